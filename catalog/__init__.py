@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("prepare",)
+MODULES = ("prepare", "inspect")
 
 
 def load():

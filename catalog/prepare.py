@@ -15,7 +15,7 @@ S = SeriesSpec()
 
 
 def r4(*cols: str) -> str:
-    return ", ".join(f"ROUND({c}, 4) + 0.0 AS {c.split('.')[-1]}" for c in cols)
+    return ", ".join(f"ROUND({c}, 6) + 0.0 AS {c.split('.')[-1]}" for c in cols)
 
 
 # --- shaping ------------------------------------------------------------------------------------------------
@@ -195,14 +195,14 @@ def fill_ffill(spark, sf):
 @query(
     sql(
         "user_daily",
-        "SELECT item_id, ts, ROUND(COALESCE(bought, AVG(bought) OVER (PARTITION BY item_id)), 4) + 0.0 AS y FROM user_daily",
+        "SELECT item_id, ts, ROUND(COALESCE(bought, AVG(bought) OVER (PARTITION BY item_id)), 6) + 0.0 AS y FROM user_daily",
     )
 )
 def fill_group_mean(spark, sf):
     return rounded(missing.fill(_holes(spark, sf), "group_mean", S))
 
 
-@query(sql("user_daily", "SELECT item_id, ts, ROUND(COALESCE(bought, (SELECT AVG(bought) FROM user_daily)), 4) + 0.0 AS y FROM user_daily"))
+@query(sql("user_daily", "SELECT item_id, ts, ROUND(COALESCE(bought, (SELECT AVG(bought) FROM user_daily)), 6) + 0.0 AS y FROM user_daily"))
 def fill_table_mean(spark, sf):
     return rounded(missing.fill(_holes(spark, sf), "group_mean", S, group_cols=()))
 
@@ -210,7 +210,7 @@ def fill_table_mean(spark, sf):
 @query(
     sql(
         "user_daily",
-        """SELECT item_id, ts, ROUND(COALESCE(y, v0 + (v1 - v0) * (p - p0) / NULLIF(p1 - p0, 0), v0), 4) + 0.0 AS y FROM w""",
+        """SELECT item_id, ts, ROUND(COALESCE(y, v0 + (v1 - v0) * (p - p0) / NULLIF(p1 - p0, 0), v0), 6) + 0.0 AS y FROM w""",
         n="SELECT item_id, ts, bought AS y, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY ts) AS p FROM user_daily",
         w="""SELECT *, LAST_VALUE(y IGNORE NULLS) OVER b AS v0, LAST_VALUE(CASE WHEN y IS NOT NULL THEN p END IGNORE NULLS) OVER b AS p0,
             FIRST_VALUE(y IGNORE NULLS) OVER f AS v1, FIRST_VALUE(CASE WHEN y IS NOT NULL THEN p END IGNORE NULLS) OVER f AS p1 FROM n
@@ -224,7 +224,7 @@ def fill_interpolate(spark, sf):
 @query(
     sql(
         "user_daily",
-        """SELECT u.item_id, u.ts, ROUND(COALESCE(u.bought, k.v), 4) + 0.0 AS bought, u.n, u.top
+        """SELECT u.item_id, u.ts, ROUND(COALESCE(u.bought, k.v), 6) + 0.0 AS bought, u.n, u.top
         FROM user_daily u LEFT JOIN (SELECT item_id, ts, AVG(v) AS v FROM near WHERE r <= 5 GROUP BY 1, 2) k ON u.item_id = k.item_id AND u.ts = k.ts""",
         near="""SELECT q.item_id, q.ts, d.bought AS v, ROW_NUMBER() OVER (PARTITION BY q.item_id, q.ts
             ORDER BY sqrt(((d.n - q.n) * (d.n - q.n) + (d.top - q.top) * (d.top - q.top)) * 1.5::DOUBLE), d.ts) AS r
@@ -365,9 +365,9 @@ def holiday_flag_transferred(spark, sf):
     CAST(isodow(ts) - 1 AS BIGINT) AS dayofweek, CAST(quarter(ts) AS BIGINT) AS quarter, CAST(hour(ts) AS BIGINT) AS hour, CAST(minute(ts) AS BIGINT) AS minute,
     CAST(CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS BIGINT) AS is_weekend, CAST(CASE WHEN day(ts) = 1 THEN 1 ELSE 0 END AS BIGINT) AS is_month_start,
     CAST(CASE WHEN CAST(ts AS DATE) = last_day(ts) THEN 1 ELSE 0 END AS BIGINT) AS is_month_end,
-    ROUND(sin(2 * pi() * month(ts) / 12), 4) + 0.0 AS sin_month, ROUND(cos(2 * pi() * month(ts) / 12), 4) + 0.0 AS cos_month,
-    ROUND(sin(2 * pi() * day(ts) / 31), 4) + 0.0 AS sin_day, ROUND(cos(2 * pi() * day(ts) / 31), 4) + 0.0 AS cos_day,
-    ROUND(sin(2 * pi() * (isodow(ts) - 1) / 7), 4) + 0.0 AS sin_dayofweek, ROUND(cos(2 * pi() * (isodow(ts) - 1) / 7), 4) + 0.0 AS cos_dayofweek FROM events"""
+    ROUND(sin(2 * pi() * month(ts) / 12), 6) + 0.0 AS sin_month, ROUND(cos(2 * pi() * month(ts) / 12), 6) + 0.0 AS cos_month,
+    ROUND(sin(2 * pi() * day(ts) / 31), 6) + 0.0 AS sin_day, ROUND(cos(2 * pi() * day(ts) / 31), 6) + 0.0 AS cos_day,
+    ROUND(sin(2 * pi() * (isodow(ts) - 1) / 7), 6) + 0.0 AS sin_dayofweek, ROUND(cos(2 * pi() * (isodow(ts) - 1) / 7), 6) + 0.0 AS cos_dayofweek FROM events"""
 )
 def time_features(spark, sf):
     from tidegrid.functions.calendar import TIME_FEATURES
@@ -404,7 +404,7 @@ _ROLL_FN = {"mean": "AVG", "std": "STDDEV_SAMP", "min": "MIN", "max": "MAX"}
         "user_daily",
         "SELECT item_id, ts, "
         + ", ".join(
-            f"ROUND({_ROLL_FN[f]}(bought) OVER (PARTITION BY item_id ORDER BY ts ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW), 4) + 0.0 AS y_rolling_{w}_{f}"
+            f"ROUND({_ROLL_FN[f]}(bought) OVER (PARTITION BY item_id ORDER BY ts ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW), 6) + 0.0 AS y_rolling_{w}_{f}"
             for w in (7, 14, 30)
             for f in _ROLL_FN
         )
@@ -416,7 +416,7 @@ def rolling(spark, sf):
 
 
 def _transform_sql(expr: str) -> str:
-    return f"SELECT event_id, ROUND({expr}, 4) + 0.0 AS value FROM events"
+    return f"SELECT event_id, ROUND({expr}, 6) + 0.0 AS value FROM events"
 
 
 def _transformed(spark, sf, kind, lam=None):
@@ -436,7 +436,7 @@ def transform_sqrt(spark, sf):
 
 @query(
     """WITH s AS (SELECT CASE WHEN MIN(value) <= 0 THEN abs(MIN(value)) + 1 ELSE 0 END AS shift FROM events)
-    SELECT event_id, ROUND((pow(value + shift, 0.5) - 1) / 0.5::DOUBLE, 4) + 0.0 AS value FROM events, s"""
+    SELECT event_id, ROUND((pow(value + shift, 0.5) - 1) / 0.5::DOUBLE, 6) + 0.0 AS value FROM events, s"""
 )
 def transform_box_cox(spark, sf):
     return _transformed(spark, sf, "box-cox", 0.5)
@@ -466,7 +466,7 @@ def _round_trip(spark, sf, kind, lam=None):
     return rounded(features.inverse_target(there, "value", params))
 
 
-_PLAIN = "SELECT event_id, ROUND(value, 4) + 0.0 AS value FROM events"
+_PLAIN = "SELECT event_id, ROUND(value, 6) + 0.0 AS value FROM events"
 
 
 @query(_PLAIN)

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison, integers as BIGINT; ``+ 0.0`` turns -0.0 into 0.0."""
     cols = []
     for f in df.schema.fields:

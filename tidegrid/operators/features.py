@@ -126,7 +126,7 @@ def inverse_target(df: DataFrame, col: str, params: TransformParams) -> DataFram
 def _fit_lambda(df: DataFrame, x: Column, transform, log_sum: Column, low: float = -2.0, high: float = 2.0) -> float:
     """Lambda of the greatest profile likelihood. The likelihood of a whole grid of lambdas is one aggregate
     (a variance per lambda); the grid closes in on its best point. A best point at the edge moves the grid."""
-    points = 17
+    points = 33
     best = 1.0
     for _ in range(12):
         grid = [low + (high - low) * i / (points - 1) for i in range(points)]
