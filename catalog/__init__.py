@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("prepare", "inspect")
+MODULES = ("prepare", "inspect", "forecasting")
 
 
 def load():

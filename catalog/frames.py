@@ -141,4 +141,5 @@ def with_frames(names: str, body: str, **steps: str) -> str:
     for n in names.split():
         need(n)
     parts = [f"{n} AS ({SQL[n]})" for n in ordered] + [f"{n} AS ({s})" for n, s in steps.items()]
-    return f"WITH {', '.join(parts)} {body}" if parts else body
+    recursive = "RECURSIVE " if "rec" in steps else ""
+    return f"WITH {recursive}{', '.join(parts)} {body}" if parts else body

@@ -37,7 +37,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     out = hot_rows.groupBy(*keys).agg(*([e.alias(n) for n, e in extra.items()] or [F.count(F.lit(1)).alias(COUNT)]))
     for name, p in probs.items():
         out = join_stats(out, _select(hot_rows.where(F.col(value).isNotNull()), keys, value, p, name, limit), keys)
-    out = out.select(*keys, *probs, *extra)
+    out = out.select(*[F.col(f"`{c}`") for c in (*keys, *probs, *extra)])
     return out if cold is None else cold.unionByName(out)
 
 
@@ -98,7 +98,3 @@ def _select(rows: DataFrame, keys: list[str], value: str, p: float, name: str, l
     part = F.max("__rank") - F.max("__k")
     return counted.groupBy(*keys).agg((low + (high - low) * part).alias(name))
 
-
-def quantile_column(value: str, p: float) -> Column:
-    """The exact quantile as a plain aggregate, for groups known to be small."""
-    return F.percentile(value, F.lit(p))

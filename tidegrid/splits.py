@@ -15,6 +15,7 @@ With nothing hot the hot side does not exist in the plan at all.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -49,7 +50,7 @@ def join_stats(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "lef
     execution split a skewed key or broadcast a small ``stats``."""
     if not keys:
         return df.crossJoin(F.broadcast(stats))  # one row
-    renamed = stats.select([F.col(c).alias(f"__k_{c}" if c in keys else c) for c in stats.columns])
+    renamed = stats.select([F.col(f"`{c}`").alias(f"__k_{c}" if c in keys else c) for c in stats.columns])
     cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[f"__k_{k}"]) for k in keys])
     return df.join(renamed, cond, how).drop(*[f"__k_{k}" for k in keys])
 
@@ -83,11 +84,12 @@ class Split:
     block_rows: int
 
 
-def split(df: DataFrame, spec: SeriesSpec, reach: int = 0) -> Split:
-    """Separate long series. ``reach`` is how many rows a window looks beyond a block's edge."""
+def split(df: DataFrame, spec: SeriesSpec, reach: int = 0, most: int | None = None) -> Split:
+    """Separate long series. ``reach`` is how many rows a window looks beyond a block's edge; ``most`` lowers
+    the size of a block for work that holds a block in memory."""
     keys = spec.keys
-    size = max(rows_per_task(df.sparkSession), reach + 1)
-    groups = [] if spec.bounded else hot_groups(df, keys, size)
+    size = max(min(rows_per_task(df.sparkSession), most or sys.maxsize), reach + 1)
+    groups = [] if spec.bounded and not most else hot_groups(df, keys, size)
     if not groups:
         return Split(df, None, keys, size)
     rows, cold = df, df.limit(0)
@@ -118,7 +120,7 @@ def split(df: DataFrame, spec: SeriesSpec, reach: int = 0) -> Split:
 
 def _join_small(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     """Left join a table that has one row per block or hot group."""
-    renamed = small.select([F.col(c).alias(f"__k_{c}" if c in keys else c) for c in small.columns])
+    renamed = small.select([F.col(f"`{c}`").alias(f"__k_{c}" if c in keys else c) for c in small.columns])
     cond = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(renamed[f"__k_{k}"]) for k in keys], F.lit(True))
     return rows.join(F.broadcast(renamed), cond, "left").drop(*[f"__k_{k}" for k in keys])
 
