@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("prepare", "inspect", "forecasting")
+MODULES = ("prepare", "inspect", "forecasting", "tables")
 
 
 def load():

@@ -173,13 +173,13 @@ def theta(spark, sf):
 # Intermittent demand: months without an order count as 0.
 _ZN = _N.replace("user_regular", "cust_zero")
 _DEM = "SELECT item_id, y, pos, ROW_NUMBER() OVER w - 1 AS at0, pos - COALESCE(LAG(pos) OVER w, -1) AS gap FROM m WHERE y <> 0 WINDOW w AS (PARTITION BY item_id ORDER BY pos)"
-_MOUT = "item_id, CAST(k AS BIGINT) AS step, CAST(last_day(date_trunc('month', last) + to_months(CAST(k AS INTEGER))) AS TIMESTAMP) AS ts, ROUND(v, 8) + 0.0 AS yhat FROM f, range(1, 4) s(k)"
+_MOUT = "item_id, CAST(k AS BIGINT) AS step, CAST(last_day(date_trunc('month', last) + to_months(CAST(k AS INTEGER))) AS TIMESTAMP) AS ts, ROUND(v, 4) + 0.0 AS yhat FROM f, range(1, 4) s(k)"
 #: With one fixed alpha the level is a weighted sum: alpha (1-alpha)^age, and (1-alpha)^age for the first value.
 _FIXED = "SUM({0} * pow(0.9::DOUBLE, c - 1 - at0) * CASE WHEN at0 = 0 THEN 1 ELSE 0.1::DOUBLE END)"
 
 
 def _intermittent(name, spark, sf):
-    return rounded(registry.forecast(name, demand(spark, sf), MONTHLY, 3), 8)
+    return rounded(registry.forecast(name, demand(spark, sf), MONTHLY, 3), 4)
 
 
 @query(

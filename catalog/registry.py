@@ -28,7 +28,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison, integers as BIGINT; ``+ 0.0`` turns -0.0 into 0.0."""
     cols = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             c = F.round(c.cast("double"), digits) + F.lit(0.0)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):

@@ -24,18 +24,24 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it from there, so its lineage ends here.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can read: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session without one gets a
-    temporary folder, because executors on other machines could not read it.
+    Only a local session without one gets a temporary folder, because executors on other machines could not
+    read it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not folder:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
             folder = tempfile.mkdtemp(prefix="tidegrid-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it from there, so its lineage ends here."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
