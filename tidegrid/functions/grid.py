@@ -27,44 +27,60 @@ def check_freq(freq: str) -> str:
 
 def micros(ts: Column) -> Column:
     """Microseconds since 1970-01-01 on the wall clock, whatever the session time zone."""
-    seconds = F.unix_date(F.to_date(ts)) * F.lit(86_400) + F.hour(ts) * F.lit(3_600) + F.minute(ts) * F.lit(60)
-    return seconds.cast("long") * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    seconds = F.unix_date(F.to_date(ts)).cast("long") * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts)
+    # Time zone offsets are whole seconds, so the fraction of a second is the same in all of them.
+    return seconds * 1_000_000 + F.pmod(F.unix_micros(ts.cast("timestamp")), F.lit(1_000_000))
 
 
 def time_of_day(ts: Column) -> Column:
-    return micros(ts) % _DAY
+    return F.pmod(micros(ts), F.lit(_DAY))
 
 
 def from_micros(us: Column) -> Column:
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    days = F.floor(us / _DAY).cast("int")
-    rest = F.pmod(us, F.lit(_DAY))
-    seconds = (rest.cast("decimal(18,0)") / F.lit(1_000_000).cast("decimal(18,0)")).cast("decimal(18,6)")
-    return epoch + F.make_dt_interval(days, F.lit(0), F.lit(0), seconds)
+    return F.timestamp_add("MICROSECOND", us, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def _period(ts: Column, months: int) -> Column:
-    return F.floor((F.year(ts) * 12 + F.month(ts) - 1) / months).cast("long")
+    return _div(F.year(ts) * 12 + F.month(ts) - 1, months)
+
+
+def _div(a: Column, b: int) -> Column:
+    """Whole-number quotient, rounded down."""
+    a = a.cast("long")
+    return ((a - F.pmod(a, F.lit(b).cast("long"))) / b).cast("long")
 
 
 def _period_end(period: Column, months: int) -> Column:
     month = period * months + (months - 1)
-    return F.last_day(F.make_date(F.floor(month / 12).cast("int"), (month % 12 + 1).cast("int"), F.lit(1)))
+    return F.last_day(F.make_date(_div(month, 12).cast("int"), (month % 12 + 1).cast("int"), F.lit(1)))
 
 
 def _at(day: Column, tod: Column) -> Column:
-    return from_micros(F.unix_date(day).cast("long") * _DAY + tod)
+    return F.timestamp_add("MICROSECOND", tod, day.cast("timestamp_ntz"))
 
 
-def grid_point(k: Column, first: Column, freq: str) -> Column:
-    """The k-th point (k >= 0) of the grid of a series that starts at ``first``."""
+def grid_anchor(first: Column, freq: str) -> Column:
+    """What fixes the grid of a series that starts at ``first``: number of its first point, and time of day."""
     code = check_freq(freq)
-    if code in _STEP_MICROS:
-        return from_micros(micros(first) + k * _STEP_MICROS[code])
+    if code in _MONTHS:
+        return F.struct(_period(first, _MONTHS[code]).alias("base"), time_of_day(first).alias("tod"))
+    start = micros(first)
     if code == "W":
-        return from_micros(micros(first) + (6 - F.weekday(first) + 7 * k) * _DAY)
-    months = _MONTHS[code]
-    return _at(_period_end(_period(first, months) + k, months), time_of_day(first))
+        start = start + (6 - F.weekday(first)).cast("long") * _DAY
+    return F.struct(start.alias("base"), F.lit(0).cast("long").alias("tod"))
+
+
+def anchored_point(k: Column, anchor: Column, freq: str) -> Column:
+    """The k-th point (k >= 0) of the grid with that anchor."""
+    code = check_freq(freq)
+    if code in _MONTHS:
+        return _at(_period_end(anchor["base"] + k, _MONTHS[code]), anchor["tod"])
+    return from_micros(anchor["base"] + k * (7 * _DAY if code == "W" else _STEP_MICROS[code]))
+
+
+def grid_point(k: Column, first: Column, freq: str) -> Column:
+    """The k-th point (k >= 0) of the grid of a series that starts at ``first``."""
+    return anchored_point(k, grid_anchor(first, freq), freq)
 
 
 def grid_index(ts: Column, first: Column, freq: str) -> Column:
@@ -72,10 +88,10 @@ def grid_index(ts: Column, first: Column, freq: str) -> Column:
     code = check_freq(freq)
     if code in _STEP_MICROS:
         gap = micros(ts) - micros(first)
-        return F.when(gap % _STEP_MICROS[code] == 0, F.floor(gap / _STEP_MICROS[code]))
+        return F.when(gap % F.lit(_STEP_MICROS[code]) == 0, _div(gap, _STEP_MICROS[code]))
     if code == "W":
-        gap = micros(ts) - micros(first) - (6 - F.weekday(first)) * _DAY
-        return F.when((gap % (7 * _DAY) == 0) & (gap >= 0), F.floor(gap / (7 * _DAY)))
+        gap = micros(ts) - micros(first) - (6 - F.weekday(first)).cast("long") * _DAY
+        return F.when((gap % (7 * _DAY) == 0) & (gap >= 0), _div(gap, 7 * _DAY))
     months = _MONTHS[code]
     period = _period(ts, months)
     on_grid = (F.to_date(ts) == _period_end(period, months)) & (time_of_day(ts) == time_of_day(first))
@@ -83,15 +99,24 @@ def grid_index(ts: Column, first: Column, freq: str) -> Column:
 
 
 def last_index(first: Column, last: Column, freq: str) -> Column:
-    """Index of the last grid point not after ``last``; -1 if there is none."""
+    """Index of the last grid point of a series that ends at ``last``; -1 if there is none.
+
+    On a ``W`` or period-end grid a point after ``last`` is left out. If ``first`` lies on a grid day, so is the
+    point of the last grid day whenever ``last`` has an earlier time of day than ``first``; that is how
+    pandas' ``date_range`` ends such ranges.
+    """
     code = check_freq(freq)
     if code in _STEP_MICROS:
-        return F.floor((micros(last) - micros(first)) / _STEP_MICROS[code])
+        return _div(micros(last) - micros(first), _STEP_MICROS[code])
     if code == "W":
-        return F.floor((micros(last) - micros(first) - (6 - F.weekday(first)) * _DAY) / (7 * _DAY))
-    months = _MONTHS[code]
-    k = _period(last, months) - _period(first, months)
-    return F.when(grid_point(k, first, code) > last, k - 1).otherwise(k)
+        k = _div(F.datediff(last, first) - (6 - F.weekday(first)), 7)
+        starts, ends = F.weekday(first) == 6, F.weekday(last) == 6
+    else:
+        months = _MONTHS[code]
+        starts = F.to_date(first) == _period_end(_period(first, months), months)
+        ends = F.to_date(last) == _period_end(_period(last, months), months)
+        k = _period(last, months) - _period(first, months) - (~ends).cast("int")
+    return k - ((time_of_day(first) > time_of_day(last)) & (starts | ends)).cast("int")
 
 
 def step_ahead(last: Column, k: Column, freq: str) -> Column:

@@ -115,7 +115,7 @@ def npts_quantiles(df: DataFrame, spec: SeriesSpec, levels: list[float], decay:
     """Per series the weighted quantiles of the history: the least value whose cumulative share of weight
     reaches the level. Columns are named by level."""
     rows = _recency(df, spec, decay).groupBy(*spec.keys, spec.target).agg(F.sum("__w").alias("__w"))
-    by_value = SeriesSpec(id=None, by=tuple(spec.keys), ts=spec.target)
+    by_value = SeriesSpec(id=None, by=tuple(spec.keys), ts=spec.target, longest=spec.longest)
     along = running_sums(rows, by_value, ["__w"])
     totals = rows.groupBy(*spec.keys).agg(F.sum("__w").alias("__total"))
     share = F.col("__w_cum") / F.col("__total") + F.lit(1e-9)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from tidegrid.models import baseline, smoothing, tabular
 from tidegrid.spec import SeriesSpec
+from tidegrid.splits import measured
 
 
 class Forecaster(Protocol):
@@ -69,4 +70,4 @@ def resolve(models: str | list[str] | tuple[str, ...] | None) -> list[str]:
 
 
 def forecast(name: str, df: DataFrame, spec: SeriesSpec, h: int, season: int = 7) -> DataFrame:
-    return MODELS[resolve([name])[0]](df, spec, h, season)
+    return MODELS[resolve([name])[0]](df, measured(df, spec), h, season)

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.models.baseline import known_rows, over_steps
+from tidegrid.models.baseline import known_rows
 from tidegrid.models.registry import MODELS, resolve
 from tidegrid.quantiles import quantiles
 from tidegrid.session import checkpointed
 from tidegrid.spec import SeriesSpec
-from tidegrid.splits import join_stats, over_series, with_positions
+from tidegrid.splits import join_stats, measured, over_series, with_positions
 
 METRICS = ("MAE", "MAPE", "MASE", "MSE", "RMSE", "RMSSE", "SMAPE")
 
@@ -71,6 +71,7 @@ def backtest_forecasts(
     """Forecast and actual of every (model, fold, series, step): ``(model, fold, keys, step, y, yhat, scales)``.
 
     All folds run in one pass per model, with the fold as a further key. Folds without history are left out."""
+    spec = measured(df, spec)
     train, held = folds_of(df, spec, h, folds)
     inner = spec.replace(by=("fold", *spec.by))
     runs = [MODELS[m](train, inner, h, season).select(F.lit(m).alias("model"), *inner.keys, "step", "yhat") for m in resolve(models)]
@@ -101,6 +102,7 @@ def best_models(scores: DataFrame, spec: SeriesSpec) -> DataFrame:
 
 def best_forecasts(df: DataFrame, spec: SeriesSpec, best: DataFrame, models: list[str] | str, h: int, season: int = 7) -> DataFrame:
     """The forecast of each series by the model that ``best`` names for it."""
+    spec = measured(df, spec)
     chosen = best.select(*spec.keys, F.col("model").alias("__model"))
     out = []
     for m in resolve(models):
@@ -173,6 +175,7 @@ def ensemble_weights(backtested: DataFrame, spec: SeriesSpec, metric: str = "MAE
 
 def ensemble_forecast(df: DataFrame, spec: SeriesSpec, weights: DataFrame, h: int, season: int = 7) -> DataFrame:
     """The weighted sum of the models' forecasts. Where a model gives none, the others' weights are scaled up."""
+    spec = measured(df, spec)
     chosen = [(r["model"], r["weight"]) for r in weights.orderBy("model").collect()]  # one row per model
     runs = [MODELS[m](df, spec, h, season).withColumn("__w", F.lit(w)) for m, w in chosen]
     both = reduce(lambda a, b: a.unionByName(b), runs).where(F.col("yhat").isNotNull())

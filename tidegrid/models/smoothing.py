@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from tidegrid.models.baseline import AT, LAST, LEN, known_rows, line_of, over_steps
 from tidegrid.operators.seasonal import decompose
 from tidegrid.spec import SeriesSpec
-from tidegrid.splits import BLOCK, POS, join_stats, over_series, split, with_positions
+from tidegrid.splits import BLOCK, POS, join_stats, measured, over_series, split, with_positions
 
 # The parameter grids.
 ALPHAS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -247,6 +247,7 @@ def holt_winters(df: DataFrame, spec: SeriesSpec, h: int, season: int = 7) -> Da
 
 def theta(df: DataFrame, spec: SeriesSpec, h: int, season: int = 1) -> DataFrame:
     """Theta method: simple smoothing plus a drift of half the slope of the least-squares line."""
+    spec = measured(df, spec)
     both = join_stats(fit_ses(df, spec), line_of(df, spec).select(*spec.keys, "slope"), spec.keys)
     a, n = F.col("alpha"), F.col(LEN)
     drift = F.col("slope") / 2 * (F.col("step") - 1 + (1 - F.pow(1 - a, n)) / a)
@@ -266,6 +267,7 @@ def _ends(df: DataFrame, spec: SeriesSpec) -> DataFrame:
 
 def croston(df: DataFrame, spec: SeriesSpec, h: int, season: int = 1, alpha: float = 0.1) -> DataFrame:
     """Croston: smoothed demand sizes over smoothed intervals; 0 for a series without demand."""
+    spec = measured(df, spec)
     demand = _demand(df, spec)
     sizes = fit_ses(demand, spec, (alpha,)).select(*spec.keys, F.col("level").alias("size"))
     gaps = fit_ses(demand.withColumn(spec.target, F.col("__gap")), spec, (alpha,)).select(*spec.keys, F.col("level").alias("gap"))
@@ -287,7 +289,7 @@ def _bucketed(df: DataFrame, spec: SeriesSpec, all_widths: bool) -> DataFrame:
 
 
 def _aggregated(df: DataFrame, spec: SeriesSpec, h: int, all_widths: bool) -> DataFrame:
-    inner = SeriesSpec(id=None, by=(*spec.keys, "__k"), ts="__order", target=spec.target)
+    inner = SeriesSpec(id=None, by=(*spec.keys, "__k"), ts="__order", target=spec.target, longest=spec.longest)
     levels = fit_ses(_bucketed(df, spec, all_widths), inner, INTERMITTENT_ALPHAS)
     one = levels.groupBy(*spec.keys).agg(F.avg(F.col("level") / F.col("__k")).alias("v"))
     return over_steps(join_stats(_ends(df, spec), one, spec.keys), spec, h, F.coalesce(F.col("v"), F.lit(0.0)))
@@ -295,18 +297,19 @@ def _aggregated(df: DataFrame, spec: SeriesSpec, h: int, all_widths: bool) -> Da
 
 def adida(df: DataFrame, spec: SeriesSpec, h: int, season: int = 1) -> DataFrame:
     """ADIDA: smooth demand summed over buckets of the mean interval, spread back evenly."""
-    return _aggregated(df, spec, h, False)
+    return _aggregated(df, measured(df, spec), h, False)
 
 
 def imapa(df: DataFrame, spec: SeriesSpec, h: int, season: int = 1) -> DataFrame:
     """IMAPA: the mean of ADIDA forecasts over every bucket width up to the mean interval."""
-    return _aggregated(df, spec, h, True)
+    return _aggregated(df, measured(df, spec), h, True)
 
 
 def stlf(df: DataFrame, spec: SeriesSpec, h: int, season: int = 7) -> DataFrame:
     """Decompose, forecast the seasonally adjusted series by Holt, add the phase back.
 
     Series shorter than two seasons are forecast by Holt alone."""
+    spec = measured(df, spec)
     rows = known_rows(df, spec)
     parts = decompose(rows, spec, season)
     at = with_positions(parts, spec, AT, LEN)

@@ -46,7 +46,7 @@ def fill(
     groups = tuple(spec.keys if group_cols is None else group_cols)
     cols = cols or numeric_columns(df, exclude=[*spec.keys, *groups, spec.ts])
     df = nan_to_null(df)
-    by_group = SeriesSpec(id=None, ts=spec.ts, by=groups, ties=spec.ties, bounded=spec.bounded)
+    by_group = SeriesSpec(id=None, ts=spec.ts, by=groups, ties=spec.ties, longest=spec.longest if groups == tuple(spec.keys) else None)
     if method == "constant":
         return df.na.fill(0, subset=cols)
     if method == "ffill":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.grid import check_freq, grid_index, grid_point, last_index, step_ahead
+from tidegrid.functions.grid import anchored_point, check_freq, grid_anchor, grid_index, last_index, step_ahead
 from tidegrid.spec import SeriesSpec, freq_code
 from tidegrid.splits import join_stats, measured, nearest_known, over_series, with_group_stats
 
@@ -45,6 +45,8 @@ def regularize(
         twice = F.raise_error(F.concat(F.lit(f"duplicate timestamp in a series: {spec.ts}="), ts.cast("string"))).cast("long")
         upto = F.when(F.col("__next") == F.col("__k"), twice).otherwise(upto)
     rows = rows.withColumn("__from", start.cast("long")).withColumn("__to", upto.cast("long")).where(F.col("__to") >= F.col("__from"))
+    # The anchor is computed per source row, below the explode; a point is then cheap arithmetic.
+    rows = rows.withColumn("__anchor", grid_anchor(F.col("__mn"), freq))
     rows = rows.withColumn("__c", F.explode(F.sequence("__from", "__to", F.lit(_CHUNK).cast("long"))))
     rows = rows.withColumn("__g", F.explode(F.sequence("__c", F.least(F.col("__c") + (_CHUNK - 1), F.col("__to")))))
     own = F.col("__g") == F.col("__k")
@@ -53,7 +55,7 @@ def regularize(
         if c in keys:
             return F.col(c)
         if c == spec.ts:
-            return F.when(own, ts).otherwise(grid_point(F.col("__g"), F.col("__mn"), freq)).alias(c)
+            return F.when(own, ts).otherwise(anchored_point(F.col("__g"), F.col("__anchor"), freq)).alias(c)
         if c == y:
             return (value if fill else F.when(own, value)).alias(c)
         return F.when(own, F.col(c)).alias(c)

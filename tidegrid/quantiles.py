@@ -25,13 +25,15 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     extra = extra or {}
     limit = rows_per_task(df.sparkSession)
     groups = hot_groups(df, keys, limit)
-    aggs = [F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()] + [e.alias(n) for n, e in extra.items()]
+    # One buffer of values serves all levels.
+    aggs = [F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("__q"), *[e.alias(n) for n, e in extra.items()]]
+    columns = [*[F.col(k) for k in keys], *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)], *[F.col(f"`{n}`") for n in extra]]
     if not groups:
-        return df.groupBy(*keys).agg(*aggs)
+        return df.groupBy(*keys).agg(*aggs).select(*columns)
     if keys:
         hot_keys = F.broadcast(groups_frame(df, keys, groups))
         hot_rows = df.join(hot_keys, null_safe(df, hot_keys, keys), "left_semi")
-        cold = df.join(hot_keys, null_safe(df, hot_keys, keys), "left_anti").groupBy(*keys).agg(*aggs)
+        cold = df.join(hot_keys, null_safe(df, hot_keys, keys), "left_anti").groupBy(*keys).agg(*aggs).select(*columns)
     else:
         hot_rows, cold = df, None
     out = hot_rows.groupBy(*keys).agg(*([e.alias(n) for n, e in extra.items()] or [F.count(F.lit(1)).alias(COUNT)]))

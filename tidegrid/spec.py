@@ -12,7 +12,7 @@ class SeriesSpec:
 
     ``by`` holds further key columns (a fold number, a sample label). ``ties`` orders rows that share a
     timestamp, for tables that are not unique on (key, timestamp). ``id=None`` means one single series.
-    ``bounded`` states that every series fits one task, which spares the operators from measuring it.
+    ``longest`` is an upper bound of the rows of any series, if known; it spares the operators from measuring.
     """
 
     id: str | None = "item_id"
@@ -22,7 +22,7 @@ class SeriesSpec:
     ties: tuple[str, ...] = ()
     freq: str = "D"
     statics: tuple[str, ...] = ()
-    bounded: bool = False
+    longest: int | None = None
 
     @property
     def keys(self) -> list[str]:

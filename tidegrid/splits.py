@@ -89,7 +89,8 @@ def split(df: DataFrame, spec: SeriesSpec, reach: int = 0, most: int | None = No
     the size of a block for work that holds a block in memory."""
     keys = spec.keys
     size = max(min(rows_per_task(df.sparkSession), most or sys.maxsize), reach + 1)
-    groups = [] if spec.bounded and not most else hot_groups(df, keys, size)
+    fits = spec.longest is not None and spec.longest <= size
+    groups = [] if fits else hot_groups(df, keys, size)
     if not groups:
         return Split(df, None, keys, size)
     rows, cold = df, df.limit(0)
@@ -126,15 +127,16 @@ def _join_small(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame
 
 
 def measured(df: DataFrame, spec: SeriesSpec) -> SeriesSpec:
-    """``spec`` marked as bounded if no series of ``df`` is too long for one task."""
-    if spec.bounded or hot_groups(df, spec.keys):
+    """``spec`` with the length of the longest series of ``df``. Holds for any subset of the rows as well."""
+    if spec.longest is not None:
         return spec
-    return spec.replace(bounded=True)
+    counts = df.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias(COUNT))
+    return spec.replace(longest=counts.agg(F.max(COUNT)).first()[0] or 0)
 
 
 def with_group_stats(df: DataFrame, spec: SeriesSpec, aggs: dict[str, Column]) -> DataFrame:
     """Add per-series aggregates to every row: in the series window if series are short, by a join if not."""
-    if measured(df, spec).bounded:
+    if measured(df, spec).longest <= rows_per_task(df.sparkSession):
         w = series_window(spec.keys, spec).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return df.select("*", *[e.over(w).alias(n) for n, e in aggs.items()])
     return join_stats(df, df.groupBy(*spec.keys).agg(*[e.alias(n) for n, e in aggs.items()]), spec.keys)
