@@ -10,6 +10,7 @@ from catalog.registry import query, rounded
 from tidegrid.models import baseline, registry, selection, smoothing, tabular
 from tidegrid.operators import features, regular, series
 from tidegrid.spec import SeriesSpec
+from tidegrid.splits import measured
 
 S = SeriesSpec()
 MONTHLY = SeriesSpec(freq="M")
@@ -277,11 +278,12 @@ _HELD = {
 def forecast_metrics(spark, sf):
     """The whole way: series, daily grid, rolling mean and lag, seasonal-naive forecast of the last week, metrics."""
     grid = regular.regularize(fr.type_daily(spark, sf), S, "D")
-    wide = features.add_lags(features.add_rolling(grid, S, (7,), ("mean",)), S, (7,))
-    train, held = selection.folds_of(grid, S, H, 1)
-    predicted = registry.forecast("seasonal_naive", train.drop("fold"), S, H, P).select("item_id", "step", "yhat")
+    spec = measured(grid, S)
+    wide = features.add_lags(features.add_rolling(grid, spec, (7,), ("mean",)), spec, (7,))
+    train, held = selection.folds_of(grid, spec, H, 1)
+    predicted = registry.forecast("seasonal_naive", train.drop("fold"), spec, H, P).select("item_id", "step", "yhat")
     actual = held.drop("fold").join(wide.select("item_id", "ts", "y_rolling_7_mean"), ["item_id", "ts"])
-    joined = actual.join(predicted, ["item_id", "step"]).join(selection.in_sample_error(train, S, P), "item_id")
+    joined = actual.join(predicted, ["item_id", "step"]).join(selection.in_sample_error(train, spec, P), "item_id")
     scores = selection.metrics(joined, ["item_id"])
     level = joined.groupBy("item_id").agg(F.avg("y_rolling_7_mean").alias("mean_rolling_7"))
     return rounded(level.join(scores, "item_id"), 4)

@@ -38,7 +38,7 @@ def series_of(spark):
     """Build series from ``{id: [(timestamp text, value), ...]}``."""
 
     def build(data: dict, schema: str = "item_id string, ts timestamp_ntz, y double"):
-        rows = [(k, dt.datetime.fromisoformat(t) if t else None, v) for k, points in data.items() for t, v in points]
+        rows = [(k, dt.datetime.fromisoformat(t) if t else None, None if v is None else float(v)) for k, points in data.items() for t, v in points]
         return spark.createDataFrame(rows, schema)
 
     return build

@@ -41,18 +41,21 @@ def from_micros(us: Column) -> Column:
 
 
 def _period(ts: Column, months: int) -> Column:
-    return _div(F.year(ts) * 12 + F.month(ts) - 1, months)
+    return F.floor((F.year(ts) * 12 + F.month(ts) - 1) / months)
+
+
+def _ends_period(ts: Column, months: int) -> Column:
+    return (F.last_day(ts) == F.to_date(ts)) & (F.month(ts) % months == 0)
 
 
 def _div(a: Column, b: int) -> Column:
-    """Whole-number quotient, rounded down."""
-    a = a.cast("long")
-    return ((a - F.pmod(a, F.lit(b).cast("long"))) / b).cast("long")
+    """Whole-number quotient of a >= 0, exact for any long."""
+    return F.call_function("div", a, F.lit(b).cast("long"))
 
 
 def _period_end(period: Column, months: int) -> Column:
-    month = period * months + (months - 1)
-    return F.last_day(F.make_date(_div(month, 12).cast("int"), (month % 12 + 1).cast("int"), F.lit(1)))
+    year = F.floor(period * months / 12).cast("int")
+    return F.last_day(F.make_date(year, (period * months % 12 + months).cast("int"), F.lit(1)))
 
 
 def _at(day: Column, tod: Column) -> Column:
@@ -87,15 +90,16 @@ def grid_index(ts: Column, first: Column, freq: str) -> Column:
     """Position of ``ts`` on the grid; NULL if it does not lie on it."""
     code = check_freq(freq)
     if code in _STEP_MICROS:
+        if code == "D":
+            return F.when(time_of_day(ts) == time_of_day(first), F.datediff(ts, first).cast("long"))
         gap = micros(ts) - micros(first)
         return F.when(gap % F.lit(_STEP_MICROS[code]) == 0, _div(gap, _STEP_MICROS[code]))
     if code == "W":
-        gap = micros(ts) - micros(first) - (6 - F.weekday(first)).cast("long") * _DAY
-        return F.when((gap % (7 * _DAY) == 0) & (gap >= 0), _div(gap, 7 * _DAY))
+        on_grid = (F.weekday(ts) == 6) & (time_of_day(ts) == time_of_day(first))
+        return F.when(on_grid, F.floor((F.datediff(ts, first) - (6 - F.weekday(first))) / 7))
     months = _MONTHS[code]
-    period = _period(ts, months)
-    on_grid = (F.to_date(ts) == _period_end(period, months)) & (time_of_day(ts) == time_of_day(first))
-    return F.when(on_grid, period - _period(first, months))
+    on_grid = _ends_period(ts, months) & (time_of_day(ts) == time_of_day(first))
+    return F.when(on_grid, _period(ts, months) - _period(first, months))
 
 
 def last_index(first: Column, last: Column, freq: str) -> Column:
@@ -109,12 +113,11 @@ def last_index(first: Column, last: Column, freq: str) -> Column:
     if code in _STEP_MICROS:
         return _div(micros(last) - micros(first), _STEP_MICROS[code])
     if code == "W":
-        k = _div(F.datediff(last, first) - (6 - F.weekday(first)), 7)
+        k = F.floor((F.datediff(last, first) - (6 - F.weekday(first))) / 7)
         starts, ends = F.weekday(first) == 6, F.weekday(last) == 6
     else:
         months = _MONTHS[code]
-        starts = F.to_date(first) == _period_end(_period(first, months), months)
-        ends = F.to_date(last) == _period_end(_period(last, months), months)
+        starts, ends = _ends_period(first, months), _ends_period(last, months)
         k = _period(last, months) - _period(first, months) - (~ends).cast("int")
     return k - ((time_of_day(first) > time_of_day(last)) & (starts | ends)).cast("int")
 

@@ -32,21 +32,26 @@ def regularize(
     keys, ts, y = spec.keys, F.col(spec.ts), spec.target
     rows = df.where(ts.isNotNull())
     rows = with_group_stats(rows, spec, {"__mn": F.min(ts), "__mx": F.max(ts)})
+    # Grid numbers are worked out once per row here, below the windows, and only carried from then on.
+    rows = rows.select(
+        *df.columns,
+        grid_index(ts, F.col("__mn"), freq).alias("__k"),
+        grid_anchor(F.col("__mn"), freq).alias("__anchor"),
+        last_index(F.col("__mn"), F.col("__mx"), freq).alias("__end"),
+    )
     rows = over_series(rows, spec, {"__prior": lambda w: F.lag(F.lit(1)).over(w)}, before=1)
     # A first row off the grid stays as an anchor: it stands for the grid points before the first row on it.
-    rows = rows.withColumn("__k", grid_index(ts, F.col("__mn"), freq)).where(F.col("__k").isNotNull() | F.col("__prior").isNull())
+    rows = rows.where(F.col("__k").isNotNull() | F.col("__prior").isNull())
     rows = over_series(rows, spec, {"__next": lambda w: F.lead("__k").over(w)}, after=1)
     value = F.col(y)
     if fill:
         rows = nearest_known(rows, spec, {"y": F.when(F.col("__k").isNotNull(), F.col(y))})
         value = F.col("__prev_y.v")
-    start, upto = F.coalesce("__k", F.lit(0)), F.coalesce(F.col("__next") - 1, last_index(F.col("__mn"), F.col("__mx"), freq))
+    start, upto = F.coalesce("__k", F.lit(0)), F.coalesce(F.col("__next") - 1, F.col("__end"))
     if on_duplicate == "error":
         twice = F.raise_error(F.concat(F.lit(f"duplicate timestamp in a series: {spec.ts}="), ts.cast("string"))).cast("long")
         upto = F.when(F.col("__next") == F.col("__k"), twice).otherwise(upto)
     rows = rows.withColumn("__from", start.cast("long")).withColumn("__to", upto.cast("long")).where(F.col("__to") >= F.col("__from"))
-    # The anchor is computed per source row, below the explode; a point is then cheap arithmetic.
-    rows = rows.withColumn("__anchor", grid_anchor(F.col("__mn"), freq))
     rows = rows.withColumn("__c", F.explode(F.sequence("__from", "__to", F.lit(_CHUNK).cast("long"))))
     rows = rows.withColumn("__g", F.explode(F.sequence("__c", F.least(F.col("__c") + (_CHUNK - 1), F.col("__to")))))
     own = F.col("__g") == F.col("__k")
