@@ -45,7 +45,7 @@ def regularize(
     rows = over_series(rows, spec, {"__next": lambda w: F.lead("__k").over(w)}, after=1)
     value = F.col(y)
     if fill:
-        rows = nearest_known(rows, spec, {"y": F.when(F.col("__k").isNotNull(), F.col(y))})
+        rows = nearest_known(rows, spec, {"y": F.when(F.col("__k").isNotNull(), F.col(y))}, ahead=False)
         value = F.col("__prev_y.v")
     start, upto = F.coalesce("__k", F.lit(0)), F.coalesce(F.col("__next") - 1, F.col("__end"))
     if on_duplicate == "error":

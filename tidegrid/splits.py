@@ -142,8 +142,9 @@ def with_group_stats(df: DataFrame, spec: SeriesSpec, aggs: dict[str, Column]) -
     return join_stats(df, df.groupBy(*spec.keys).agg(*[e.alias(n) for n, e in aggs.items()]), spec.keys)
 
 
-def series_window(keys: list[str], spec: SeriesSpec) -> WindowSpec:
-    return Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(*spec.order)
+def series_window(keys: list[str], spec: SeriesSpec, backwards: bool = False) -> WindowSpec:
+    order = [F.desc(c) for c in spec.order] if backwards else spec.order
+    return Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(*order)
 
 
 def _both(cold: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -195,25 +196,27 @@ def over_series(
     return cold.unionByName(hot)
 
 
-def nearest_known(df: DataFrame, spec: SeriesSpec, cols: dict[str, Column], pos: str | None = None) -> DataFrame:
-    """For every named expression add ``__prev_<name>`` (last non-NULL at or before the row) and
+def nearest_known(
+    df: DataFrame, spec: SeriesSpec, cols: dict[str, Column], pos: str | None = None, ahead: bool = True
+) -> DataFrame:
+    """For every named expression add ``__prev_<name>`` (last non-NULL at or before the row) and, if ``ahead``,
     ``__next_<name>`` (first non-NULL at or after it), each a struct ``(p, v)`` of position and value.
     The row's own position is added as ``pos`` when a name is given.
+
+    Looking ahead is a running value along the series read backwards: a frame that *ends* at the last row would
+    be recomputed for every row.
     """
+    sides = ("prev", "next") if ahead else ("prev",)
     s = split(df, spec)
 
     def known(position: Column) -> dict[str, Column]:
         return {n: F.when(e.isNotNull(), F.struct(position.alias("p"), e.alias("v"))) for n, e in cols.items()}
 
     def add(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
-        w = series_window(keys, spec)
-        back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        out = []
-        for n, e in known(F.col(position)).items():
-            out.append(F.last(e, ignorenulls=True).over(back).alias(f"__prev_{n}"))
-            out.append(F.first(e, ignorenulls=True).over(ahead).alias(f"__next_{n}"))
-        return rows.select("*", *out)
+        for side in sides:
+            w = series_window(keys, spec, side == "next").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            rows = rows.select("*", *[F.last(e, ignorenulls=True).over(w).alias(f"__{side}_{n}") for n, e in known(F.col(position)).items()])
+        return rows
 
     numbered = s.cold.withColumn(POS, (F.row_number().over(series_window(s.keys, spec)) - 1).cast("long"))
     cold = add(numbered, s.keys, POS)
@@ -225,23 +228,17 @@ def nearest_known(df: DataFrame, spec: SeriesSpec, cols: dict[str, Column], pos:
         *[F.max(e).alias(f"__last_{n}") for n, e in known(F.col(POS)).items()],
         *[F.min(e).alias(f"__first_{n}") for n, e in known(F.col(POS)).items()],
     )
-    w = Window.partitionBy(*[F.col(k) for k in s.keys] or [F.lit(0)]).orderBy(BLOCK)
-    carry = edges.select(
-        *at_block,
-        *[
-            F.last(f"__last_{n}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"__cp_{n}")
-            for n in cols
-        ],
-        *[
-            F.first(f"__first_{n}", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias(f"__cn_{n}")
-            for n in cols
-        ],
-    )
+    w = Window.partitionBy(*[F.col(k) for k in s.keys] or [F.lit(0)])
+    carry = edges
+    for side in sides:
+        edge, order = ("__last", F.col(BLOCK)) if side == "prev" else ("__first", F.desc(BLOCK))
+        earlier = w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        carry = carry.select("*", *[F.last(f"{edge}_{n}", ignorenulls=True).over(earlier).alias(f"__carry_{side}_{n}") for n in cols])
+    carry = carry.drop(*[f"{edge}_{n}" for edge in ("__last", "__first") for n in cols])
     hot = _join_small(add(s.hot, at_block, POS), carry, at_block)
-    hot = hot.withColumns(
-        {f"__prev_{n}": F.coalesce(f"__prev_{n}", f"__cp_{n}") for n in cols}
-        | {f"__next_{n}": F.coalesce(f"__next_{n}", f"__cn_{n}") for n in cols}
-    ).drop(BLOCK, *[f"__cp_{n}" for n in cols], *[f"__cn_{n}" for n in cols])
+    both_sides = [f"{side}_{n}" for side in sides for n in cols]
+    hot = hot.withColumns({f"__{x}": F.coalesce(f"__{x}", f"__carry_{x}") for x in both_sides})
+    hot = hot.drop(BLOCK, *[f"__carry_{x}" for x in both_sides])
     both = cold.unionByName(hot)
     return both.withColumnRenamed(POS, pos) if pos else both.drop(POS)
 
