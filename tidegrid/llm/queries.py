@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from tidegrid.llm.bpe_stream import digests, encode_decode
 from tidegrid.llm.common import table
 from tidegrid.llm.token_count import token_counts
 
@@ -19,3 +20,9 @@ def query(fn):
 @query
 def op1_token_counts(spark, sf):
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op6_bpe_round_trip(spark, sf):
+    coded = encode_decode(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return digests(coded)
