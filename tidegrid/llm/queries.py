@@ -6,6 +6,7 @@ import public_tokenizers
 
 from tidegrid.llm.bpe_stream import digests, encode_decode
 from tidegrid.llm.common import table
+from tidegrid.llm.language_id import identify
 from tidegrid.llm.token_count import token_counts
 
 QUERIES = {}
@@ -26,3 +27,8 @@ def op1_token_counts(spark, sf):
 def op6_bpe_round_trip(spark, sf):
     coded = encode_decode(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return digests(coded)
+
+
+@query
+def op2_language_id(spark, sf):
+    return identify(table(spark, sf, "documents"))
