@@ -7,6 +7,7 @@ import public_tokenizers
 from tidegrid.llm.bpe_stream import digests, encode_decode
 from tidegrid.llm.common import table
 from tidegrid.llm.language_id import identify
+from tidegrid.llm.quality_rules import quality_rules
 from tidegrid.llm.token_count import token_counts
 
 QUERIES = {}
@@ -32,3 +33,8 @@ def op6_bpe_round_trip(spark, sf):
 @query
 def op2_language_id(spark, sf):
     return identify(table(spark, sf, "documents"))
+
+
+@query
+def op8_quality_rules(spark, sf):
+    return quality_rules(table(spark, sf, "documents"))
