@@ -7,6 +7,7 @@ import public_tokenizers
 from tidegrid.llm.bpe_stream import digests, encode_decode
 from tidegrid.llm.common import table
 from tidegrid.llm.language_id import identify
+from tidegrid.llm.pii import counts_and_hashes, find_pii
 from tidegrid.llm.quality_rules import quality_rules
 from tidegrid.llm.token_count import token_counts
 
@@ -38,3 +39,8 @@ def op2_language_id(spark, sf):
 @query
 def op8_quality_rules(spark, sf):
     return quality_rules(table(spark, sf, "documents"))
+
+
+@query
+def op7_pii(spark, sf):
+    return counts_and_hashes(find_pii(table(spark, sf, "documents")))
