@@ -6,6 +6,7 @@ import public_tokenizers
 
 from tidegrid.llm.bpe_stream import digests, encode_decode
 from tidegrid.llm.common import table
+from tidegrid.llm.decontaminate import contamination
 from tidegrid.llm.language_id import identify
 from tidegrid.llm.pii import counts_and_hashes, find_pii
 from tidegrid.llm.quality_rules import quality_rules
@@ -44,3 +45,8 @@ def op8_quality_rules(spark, sf):
 @query
 def op7_pii(spark, sf):
     return counts_and_hashes(find_pii(table(spark, sf, "documents")))
+
+
+@query
+def op3_decontamination(spark, sf):
+    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
