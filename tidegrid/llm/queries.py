@@ -7,6 +7,7 @@ import public_tokenizers
 from tidegrid.llm.bpe_stream import digests, encode_decode
 from tidegrid.llm.common import table
 from tidegrid.llm.decontaminate import contamination
+from tidegrid.llm.html_text import extract_pages
 from tidegrid.llm.language_id import identify
 from tidegrid.llm.pii import counts_and_hashes, find_pii
 from tidegrid.llm.quality_rules import quality_rules
@@ -50,3 +51,8 @@ def op7_pii(spark, sf):
 @query
 def op3_decontamination(spark, sf):
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op4_html_text(spark, sf):
+    return extract_pages(table(spark, sf, "pages"))
