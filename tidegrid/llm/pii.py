@@ -200,9 +200,12 @@ def mask_pii(docs: DataFrame, threshold: float = 0.6, text_col: str = "text", ch
 
 def counts_and_hashes(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """What :func:`find_pii` returns, as counts per base kind, a hash of the base spans and a string of all."""
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     def shown(spans: Column) -> Column:
         return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select(F.col(id_col), *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+    return found.select(F.col(id_col), *map(count, BASE), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
