@@ -11,6 +11,7 @@ from tidegrid.llm.html_text import extract_pages
 from tidegrid.llm.language_id import identify
 from tidegrid.llm.pii import counts_and_hashes, find_pii
 from tidegrid.llm.quality_rules import quality_rules
+from tidegrid.llm.simhash import near_duplicates
 from tidegrid.llm.token_count import token_counts
 
 QUERIES = {}
@@ -56,3 +57,8 @@ def op3_decontamination(spark, sf):
 @query
 def op4_html_text(spark, sf):
     return extract_pages(table(spark, sf, "pages"))
+
+
+@query
+def op10_simhash_duplicates(spark, sf):
+    return near_duplicates(table(spark, sf, "documents"))
