@@ -12,6 +12,8 @@ from tidegrid.llm.language_id import identify
 from tidegrid.llm.pii import counts_and_hashes, find_pii
 from tidegrid.llm.quality_rules import quality_rules
 from tidegrid.llm.simhash import near_duplicates
+from tidegrid.llm.suffix_dedup import digests as cut_digests
+from tidegrid.llm.suffix_dedup import remove_repeats
 from tidegrid.llm.token_count import token_counts
 
 QUERIES = {}
@@ -62,3 +64,8 @@ def op4_html_text(spark, sf):
 @query
 def op10_simhash_duplicates(spark, sf):
     return near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op5_suffix_dedup(spark, sf):
+    return cut_digests(remove_repeats(table(spark, sf, "documents")))
