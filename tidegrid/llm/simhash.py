@@ -162,16 +162,19 @@ def bucket_rows(prints: DataFrame, plan: list[tuple[list[int], int]]) -> DataFra
     for a mask means that its highest bit is set in the fingerprint.
     """
     fp = F.col("fp")
-    groups = []
-    for part, (bits, threshold) in enumerate(plan):
-        own = fp.bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
-        groups.append(F.array(F.struct(F.lit(part).alias("part"), own.alias("value"))))
-        masks = [_signed(sum(1 << b for b in chosen)) for t in range(1, threshold + 1) for chosen in combinations(bits, t)]
-        tops = [_signed(1 << max(chosen)) for t in range(1, threshold + 1) for chosen in combinations(bits, t)]
-        if masks:
-            pairs = F.arrays_zip(F.array(*map(F.lit, masks)).alias("m"), F.array(*map(F.lit, tops)).alias("t"))
-            probing = F.filter(pairs, lambda x: fp.bitwiseAND(x["t"]) != 0)
-            groups.append(F.transform(probing, lambda x, o=own, k=part: F.struct(F.lit(k).alias("part"), o.bitwiseXOR(x["m"]).alias("value"))))
+
+    def own(bits: list[int]) -> Column:
+        return fp.bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
+
+    def probes(part: int, bits: list[int], threshold: int) -> Column:
+        chosen = [c for t in range(1, threshold + 1) for c in combinations(bits, t)]
+        masks = F.array(*(F.lit(_signed(sum(1 << b for b in c))) for c in chosen))
+        tops = F.array(*(F.lit(_signed(1 << max(c))) for c in chosen))
+        pairs = F.filter(F.arrays_zip(masks.alias("m"), tops.alias("t")), lambda x: fp.bitwiseAND(x["t"]) != 0)
+        return F.transform(pairs, lambda x: F.struct(F.lit(part).alias("part"), own(bits).bitwiseXOR(x["m"]).alias("value")))
+
+    groups = [F.array(F.struct(F.lit(part).alias("part"), own(bits).alias("value"))) for part, (bits, _) in enumerate(plan)]
+    groups += [probes(part, bits, threshold) for part, (bits, threshold) in enumerate(plan) if threshold]
     return prints.select("fp", F.explode(F.concat(*groups)).alias("b")).select("b.part", "b.value", "fp")
 
 
@@ -255,10 +258,9 @@ def links_of(part: np.ndarray, value: np.ndarray, fp: np.ndarray, masks: np.ndar
     return local_stars(u, v) if len(u) else (u, v)
 
 
-def find_links(prints: DataFrame, distance: int) -> DataFrame:
+def find_links(prints: DataFrame, distance: int, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
     """Columns u, v: links whose components are those of all pairs within ``distance`` bits. ``prints`` has distinct fp."""
-    n, both = bit_statistics(prints)
-    plan = plan_search(n, both, distance)
+    plan = plan or plan_search(*bit_statistics(prints), distance)
     masks = np.array([sum(1 << b for b in bits) for bits, _ in plan], np.uint64)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
