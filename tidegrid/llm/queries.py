@@ -9,6 +9,7 @@ from tidegrid.llm.common import table
 from tidegrid.llm.decontaminate import contamination
 from tidegrid.llm.html_text import extract_pages
 from tidegrid.llm.language_id import identify
+from tidegrid.llm.lm_score import pseudo_likelihood
 from tidegrid.llm.pii import counts_and_hashes, find_pii
 from tidegrid.llm.quality_rules import quality_rules
 from tidegrid.llm.simhash import near_duplicates
@@ -69,3 +70,8 @@ def op10_simhash_duplicates(spark, sf):
 @query
 def op5_suffix_dedup(spark, sf):
     return cut_digests(remove_repeats(table(spark, sf, "documents")))
+
+
+@query
+def op9_lm_score(spark, sf):
+    return pseudo_likelihood(table(spark, sf, "documents"))
