@@ -21,57 +21,84 @@ QUERIES = {}
 ORACLES = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
-
-
-@query
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+_DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+windows AS (
+    SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS words
+    FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+),
+places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows)),
+hits AS (
+    SELECT doc_id, i, p.n, item FROM (SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS words FROM places) p
+    JOIN windows USING (n, words)
+),
+hit_words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query()
 def op1_token_counts(spark, sf):
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query
+@query()
 def op6_bpe_round_trip(spark, sf):
     coded = encode_decode(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return digests(coded)
 
 
-@query
+@query()
 def op2_language_id(spark, sf):
     return identify(table(spark, sf, "documents"))
 
 
-@query
+@query()
 def op8_quality_rules(spark, sf):
     return quality_rules(table(spark, sf, "documents"))
 
 
-@query
+@query()
 def op7_pii(spark, sf):
     return counts_and_hashes(find_pii(table(spark, sf, "documents")))
 
 
-@query
+@query(_DECONTAMINATION)
 def op3_decontamination(spark, sf):
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-@query
+@query()
 def op4_html_text(spark, sf):
     return extract_pages(table(spark, sf, "pages"))
 
 
-@query
+@query()
 def op10_simhash_duplicates(spark, sf):
     return near_duplicates(table(spark, sf, "documents"))
 
 
-@query
+@query()
 def op5_suffix_dedup(spark, sf):
     return cut_digests(remove_repeats(table(spark, sf, "documents")))
 
 
-@query
+@query()
 def op9_lm_score(spark, sf):
     return pseudo_likelihood(table(spark, sf, "documents"))
