@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidegrid.functions.numeric import nan_to_null, numeric_columns
 from tidegrid.spec import SeriesSpec
-from tidegrid.splits import COUNT, groups_frame, hot_groups, join_stats, nearest_known, rows_per_task, with_group_stats
+from tidegrid.splits import COUNT, hot_groups, join_stats, nearest_known, null_safe, rows_per_task, small_side, with_group_stats
 
 # Every spelling of the fill methods that callers use, and the method it means.
 FILL_METHODS = {
@@ -102,15 +102,18 @@ def fill_knn(df: DataFrame, spec: SeriesSpec, cols: list[str], k: int = 5, block
     slim = rows.select("__row", *[F.col(g).alias(f"__g_{g}") for g in groups], F.col(spec.ts).alias("__ts"), *numbers)
     by = [f"__g_{g}" for g in groups]
     slim = slim.withColumn("__blocks", F.lit(1))
-    if big:  # at most MAX_HOT_GROUPS rows
-        sizes = groups_frame(df, groups, big).withColumnsRenamed({g: f"__g_{g}" for g in groups})
+    if big:
+        sizes = big.keys.withColumnsRenamed({g: f"__g_{g}" for g in groups})
         many = F.ceil(F.col(COUNT) / block_rows).cast("int")
-        slim = join_stats(slim.drop("__blocks"), F.broadcast(sizes.withColumn("__blocks", many).drop(COUNT)), by)
+        slim = join_stats(slim.drop("__blocks"), small_side(sizes.withColumn("__blocks", many).drop(COUNT), big.groups), by)
     slim = slim.withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
     slim = slim.withColumn("__cut", F.pmod(F.xxhash64("__row"), F.col("__blocks")).cast("int"))
     incomplete = F.lit(False)
     for c in cols:
         incomplete = incomplete | F.col(c).isNull()
+    # A group without gaps needs no donors.
+    gaps = slim.where(incomplete).select(*by).distinct()
+    slim = slim.join(gaps, null_safe(slim, gaps, by), "left_semi") if by else slim
     every = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
     queries = slim.where(incomplete).withColumn("__q", F.col("__cut")).withColumn("__d", every).drop("__cut")
     donors = slim.withColumn("__d", F.col("__cut")).withColumn("__q", every).drop("__cut")

@@ -13,7 +13,7 @@ from tidegrid.functions.numeric import nan_to_null, numeric_columns
 from tidegrid.operators.series import count_invalid, label_segments, safe_timestamp
 from tidegrid.quantiles import quantiles
 from tidegrid.spec import SeriesSpec
-from tidegrid.splits import hot_groups, join_stats, over_series
+from tidegrid.splits import join_stats, over_series
 
 #: Fixed value: the choice that stands for "no column".
 NO_COLUMN = "<нет>"
@@ -110,11 +110,9 @@ def missing_counts(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Count, mean, std, min, quartiles and max of each numeric column, one row per column.
 
-    A table that fits one task is one aggregate over its columns. A larger one is unpivoted, so that the
-    quantiles of each column can be selected."""
+    The columns become rows, so that one grouped pass serves all of them and no task orders more than one column's
+    values."""
     cols = cols or numeric_columns(df)
-    if not hot_groups(df, []):
-        return _describe_small(nan_to_null(df.select(*[F.col(c).cast("double").alias(c) for c in cols])), cols)
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
     long = nan_to_null(df.select(F.explode(cells).alias("r")).select("r.*"))
     v = F.col("value")
@@ -122,20 +120,6 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return quantiles(long, ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, extra)
 
 
-def _describe_small(df: DataFrame, cols: list[str]) -> DataFrame:
-    def row(c: str) -> Column:
-        v = F.col(c)
-        levels = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return F.struct(
-            F.lit(c).alias("column"), levels.alias("q"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-            F.min(v).alias("min"), F.max(v).alias("max"),
-        )
-
-    one = df.agg(*[row(c).alias(c) for c in cols]).select(F.explode(F.array(*cols)).alias("r"))
-    levels = [F.col("r.q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
-    return one.select("r.column", *levels, "r.count", "r.mean", "r.std", "r.min", "r.max")
-
-
 def target_outliers(df: DataFrame, y: str) -> DataFrame:
     """Values beyond 1.5 interquartile ranges from the quartiles of the whole table: count and percent."""
     bounds = quantiles(df, [], y, _Q)

@@ -2,7 +2,9 @@
 
 ``percentile`` keeps every distinct value of a group in one buffer. Groups too long for that are solved by
 selection instead: an approximate quantile brackets the wanted rank, one aggregate counts what lies below the
-bracket, and only the rows inside it are ordered. Brackets shrink until they fit one task.
+bracket, and only the rows inside it are ordered. All levels of a column share the passes. Brackets shrink until
+they fit one task or shrink no more (few distinct values, which are counted before they are ordered). A bracket that
+keeps missing its rank is an error, never a wrong rank.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.session import checkpointed
-from tidegrid.splits import COUNT, groups_frame, hot_groups, join_stats, null_safe, rows_per_task
+from tidegrid.splits import COUNT, hot_groups, join_stats, parted, rows_per_task, small_side
 
 _ACCURACY = 10_000
 _SLACK = 4.0 / _ACCURACY
@@ -30,73 +32,88 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     columns = [*[F.col(k) for k in keys], *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)], *[F.col(f"`{n}`") for n in extra]]
     if not groups:
         return df.groupBy(*keys).agg(*aggs).select(*columns)
+    hot_rows, cold = df, None
     if keys:
-        hot_keys = F.broadcast(groups_frame(df, keys, groups))
-        hot_rows = df.join(hot_keys, null_safe(df, hot_keys, keys), "left_semi")
-        cold = df.join(hot_keys, null_safe(df, hot_keys, keys), "left_anti").groupBy(*keys).agg(*aggs).select(*columns)
-    else:
-        hot_rows, cold = df, None
+        hot_rows, rest = parted(df, keys, groups)
+        cold = rest.groupBy(*keys).agg(*aggs).select(*columns)
     out = hot_rows.groupBy(*keys).agg(*([e.alias(n) for n, e in extra.items()] or [F.count(F.lit(1)).alias(COUNT)]))
-    for name, p in probs.items():
-        out = join_stats(out, _select(hot_rows.where(F.col(value).isNotNull()), keys, value, p, name, limit), keys)
+    out = join_stats(out, _select(hot_rows.where(F.col(value).isNotNull()), keys, value, probs, groups.groups, limit), keys)
     out = out.select(*[F.col(f"`{c}`") for c in (*keys, *probs, *extra)])
     return out if cold is None else cold.unionByName(out)
 
 
-def _select(rows: DataFrame, keys: list[str], value: str, p: float, name: str, limit: int) -> DataFrame:
-    """The ``p`` quantile of the (few) groups in ``rows``, by narrowing brackets around its two ranks."""
-    v = F.col(value)
+def _select(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float], groups: int, limit: int) -> DataFrame:
+    """The quantiles of the long groups in ``rows``, by narrowing brackets around the two ranks of each level."""
+    v, levels = F.col(value), range(len(probs))
     state = checkpointed(
-        rows.groupBy(*keys).agg(
-            F.count(v).alias("__n"),
-            F.percentile_approx(v, F.lit(max(p - _SLACK, 0.0)), _ACCURACY).alias("__lo"),
-            F.percentile_approx(v, F.lit(min(p + _SLACK, 1.0)), _ACCURACY).alias("__hi"),
-            F.min(v).alias("__min"),
-            F.max(v).alias("__max"),
+        rows.groupBy(*keys)
+        .agg(
+            F.count(v).alias("__n"), F.min(v).alias("__min"), F.max(v).alias("__max"),
+            F.percentile_approx(v, F.array(*[F.lit(max(p - _SLACK, 0.0)) for p in probs.values()]), _ACCURACY).alias("__los"),
+            F.percentile_approx(v, F.array(*[F.lit(min(p + _SLACK, 1.0)) for p in probs.values()]), _ACCURACY).alias("__his"),
         )
-        .withColumn("__rank", (F.col("__n") - 1) * F.lit(p))
-        .withColumn("__k", F.floor("__rank"))
-    )
-    inside = (v >= F.col("__lo")) & (v <= F.col("__hi"))
+        .withColumns({f"__lo{i}": F.col("__los")[i] for i in levels} | {f"__hi{i}": F.col("__his")[i] for i in levels})
+        .withColumns({f"__rank{i}": (F.col("__n") - 1) * F.lit(p) for i, p in enumerate(probs.values())})
+        .withColumns({f"__k{i}": F.floor(f"__rank{i}") for i in levels})
+        .drop("__los", "__his")
+    )
     columns = state.columns
-    for _ in range(8):
-        seen = (
-            join_stats(rows, F.broadcast(state), keys)
-            .groupBy(*columns)
-            .agg(
-                F.count_if(v < F.col("__lo")).alias("__below"),
-                F.count_if(inside).alias("__in"),
-                F.min(F.when(v > F.col("__hi"), v)).alias("__above"),
-                F.percentile_approx(F.when(inside, v), F.array(*[F.lit(i / 64) for i in range(65)]), _ACCURACY).alias("__q"),
-            )
-        )
-        # A bracket that missed its rank is widened to the whole range; one that is still large is narrowed
-        # to the sixty-fourths around the rank.
-        missed = (F.col("__k") < F.col("__below")) | (F.col("__k") >= F.col("__below") + F.col("__in"))
-        cell = F.floor((F.col("__k") - F.col("__below")) * 64 / F.col("__in")).cast("int")
-        done = (F.col("__in") <= limit) | (F.col("__lo") == F.col("__hi"))
-        seen = checkpointed(seen.withColumn("__missed", missed).withColumn("__done", ~missed & done))
-        if seen.where(~F.col("__done")).isEmpty():
+
+    def inside(i: int) -> Column:
+        return (v >= F.col(f"__lo{i}")) & (v <= F.col(f"__hi{i}"))
+
+    def count(i: int) -> list[Column]:
+        return [
+            F.count_if(v < F.col(f"__lo{i}")).alias(f"__below{i}"),
+            F.count_if(inside(i)).alias(f"__in{i}"),
+            F.min(F.when(v > F.col(f"__hi{i}"), v)).alias(f"__above{i}"),
+            F.percentile_approx(F.when(inside(i), v), F.array(*[F.lit(c / 64) for c in range(65)]), _ACCURACY).alias(f"__q{i}"),
+        ]
+
+    def judged(seen: DataFrame) -> DataFrame:
+        k = {i: F.col(f"__k{i}") for i in levels}
+        missed = {f"__missed{i}": (k[i] < F.col(f"__below{i}")) | (k[i] >= F.col(f"__below{i}") + F.col(f"__in{i}")) for i in levels}
+        small = {i: (F.col(f"__in{i}") <= limit) | (F.col(f"__lo{i}") == F.col(f"__hi{i}")) for i in levels}
+        return seen.withColumns(missed).withColumns({f"__done{i}": ~F.col(f"__missed{i}") & small[i] for i in levels})
+
+    before, misses = None, 0
+    while True:
+        seen = judged(join_stats(rows, small_side(state, groups), keys).groupBy(*columns).agg(*[c for i in levels for c in count(i)]))
+        seen = checkpointed(seen)
+        size = [F.sum(F.when(~F.col(f"__done{i}") & ~F.col(f"__missed{i}"), F.col(f"__in{i}")).otherwise(0)) for i in levels]
+        missed = [F.count_if(f"__missed{i}") for i in levels]
+        totals = seen.agg(*size, *missed).first()
+        open_rows, missing = sum(totals[: len(levels)]), sum(totals[len(levels) :])
+        if not missing and (not open_rows or before is not None and open_rows >= before):
             break
-        narrow_lo = F.element_at("__q", F.greatest(cell, F.lit(1)))
-        narrow_hi = F.element_at("__q", F.least(cell + 3, F.lit(65)))
-        state = seen.select(
-            *keys, "__n",
-            F.when(F.col("__done"), F.col("__lo")).when(F.col("__missed"), F.col("__min")).otherwise(narrow_lo).alias("__lo"),
-            F.when(F.col("__done"), F.col("__hi")).when(F.col("__missed"), F.col("__max")).otherwise(narrow_hi).alias("__hi"),
-            "__min", "__max", "__rank", "__k",
-        )
-    # Order the distinct values inside the bracket and read off ranks k and k+1; k+1 may be the next value above.
-    window = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(value)
+        misses += missing > 0
+        if misses > 3:
+            raise ArithmeticError("a bracket keeps missing the rank of its quantile")
+        before = None if missing else open_rows
+        # A bracket that missed its rank is widened to the whole range; one that is still large is narrowed to the
+        # sixty-fourths around the rank.
+        changes = {}
+        for i in levels:
+            cell = F.floor((F.col(f"__k{i}") - F.col(f"__below{i}")) * 64 / F.col(f"__in{i}")).cast("int")
+            low, high = F.element_at(f"__q{i}", F.greatest(cell, F.lit(1))), F.element_at(f"__q{i}", F.least(cell + 3, F.lit(65)))
+            done, miss = F.col(f"__done{i}"), F.col(f"__missed{i}")
+            changes[f"__lo{i}"] = F.when(done, F.col(f"__lo{i}")).when(miss, F.col("__min")).otherwise(low)
+            changes[f"__hi{i}"] = F.when(done, F.col(f"__hi{i}")).when(miss, F.col("__max")).otherwise(high)
+        state = seen.withColumns(changes).select(*columns)
+    # Order the distinct values inside each bracket and read off ranks k and k+1; k+1 may be the next value above.
+    of_level = [
+        F.when(inside(i), F.struct(F.lit(i).alias("level"), *[F.col(f"__{c}{i}").alias(c) for c in ("below", "k", "rank", "above")])) for i in levels
+    ]
+    ranked = join_stats(rows, small_side(seen.drop(*[f"__q{i}" for i in levels]), groups), keys)
+    ranked = ranked.select(*keys, v, "__n", F.explode(F.array_compact(F.array(*of_level))).alias("__l")).select(*keys, value, "__n", "__l.*")
+    window = Window.partitionBy(*[F.col(c) for c in keys], "level").orderBy(value)
     counted = (
-        join_stats(rows, F.broadcast(seen.drop("__q")), keys).where(inside)
-        .groupBy(*keys, value, "__below", "__k", "__rank", "__n", "__above")
+        ranked.groupBy(*keys, value, "__n", "level", "below", "k", "rank", "above")
         .agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__to", F.col("__below") + F.sum("__c").over(window))
-    )
-    nxt = F.least(F.col("__k") + 1, F.col("__n") - 1)
-    low = F.min(F.when(F.col("__to") > F.col("__k"), v))
-    high = F.coalesce(F.min(F.when(F.col("__to") > nxt, v)), F.max("__above"))
-    part = F.max("__rank") - F.max("__k")
-    return counted.groupBy(*keys).agg((low + (high - low) * part).alias(name))
-
+        .withColumn("__to", F.col("below") + F.sum("__c").over(window))
+    )
+    following = F.least(F.col("k") + 1, F.col("__n") - 1)
+    low = F.min(F.when(F.col("__to") > F.col("k"), v))
+    high = F.coalesce(F.min(F.when(F.col("__to") > following, v)), F.max("above"))
+    each = counted.groupBy(*keys, "level").agg((low + (high - low) * (F.max("rank") - F.max("k"))).alias("__v"))
+    return each.groupBy(*keys).agg(*[F.max(F.when(F.col("level") == i, F.col("__v"))).alias(n) for i, n in enumerate(probs)])

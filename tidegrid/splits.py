@@ -14,7 +14,6 @@ With nothing hot the hot side does not exist in the plan at all.
 
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -22,15 +21,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidegrid.session import checkpointed
 from tidegrid.spec import SeriesSpec
 
 ROWS_PER_TASK = "spark.tidegrid.rowsPerTask"
 DEFAULT_ROWS_PER_TASK = 4_000_000
-#: Groups collected to the driver at most. A group beyond these is smaller than 1/10000 of the table.
-MAX_HOT_GROUPS = 10_000
+#: A side table (a row per long series or per block) is broadcast up to so many rows; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 100_000
+#: Range partitions for the rows of long series, at most; one may hold many blocks.
+RANGE_PARTITIONS = 4_096
 
 POS, BLOCK, HOME, COUNT = "__pos", "__block", "__home", "__n"
 _IDX, _CELL = "__idx", "__cell"
@@ -55,23 +55,40 @@ def join_stats(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "lef
     return df.join(renamed, cond, how).drop(*[f"__k_{k}" for k in keys])
 
 
-def hot_groups(df: DataFrame, keys: list[str], limit: int | None = None) -> list:
-    """Groups with more rows than one task should take, largest first, each a Row of keys and count.
+@dataclass(frozen=True)
+class HotGroups:
+    """Groups with more rows than one task should take: a frame of keys and COUNT, how many, and how many blocks."""
+
+    keys: DataFrame
+    groups: int
+    blocks: int
+
+    def __bool__(self) -> bool:
+        return self.groups > 0
+
 
-    One aggregate with map-side combine. Every group not returned has at most
-    ``max(limit, rows / MAX_HOT_GROUPS)`` rows.
+def hot_groups(df: DataFrame, keys: list[str], limit: int | None = None) -> HotGroups:
+    """The groups of more than ``limit`` rows, all of them, however many there are.
+
+    One aggregate with map-side combine; its outcome stays distributed, only two numbers reach the driver.
     """
     limit = limit or rows_per_task(df.sparkSession)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(COUNT)).where(F.col(COUNT) > limit)
-    return counts.orderBy(F.desc(COUNT)).limit(MAX_HOT_GROUPS).collect()
+    found = checkpointed(counts)
+    n, blocks = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.ceil(F.col(COUNT) / limit)), F.lit(0))).first()
+    return HotGroups(found, n, int(blocks))
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if its known number of rows allows one."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def groups_frame(df: DataFrame, keys: list[str], groups: list) -> DataFrame:
-    """The collected groups as a frame (at most MAX_HOT_GROUPS rows, so safe to broadcast)."""
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(COUNT, T.LongType())])
-    for f in schema.fields:
-        f.nullable = True
-    return df.sparkSession.createDataFrame([tuple(g) for g in groups], schema)
+def parted(df: DataFrame, keys: list[str], hot: HotGroups) -> tuple[DataFrame, DataFrame]:
+    """The rows of hot groups, and the others."""
+    side = small_side(hot.keys, hot.groups)
+    cond = null_safe(df, hot.keys, keys)
+    return df.join(side, cond, "left_semi"), df.join(side, cond, "left_anti")
 
 
 @dataclass(frozen=True)
@@ -82,6 +99,8 @@ class Split:
     hot: DataFrame | None
     keys: list[str]
     block_rows: int
+    groups: int = 0
+    blocks: int = 0
 
 
 def split(df: DataFrame, spec: SeriesSpec, reach: int = 0, most: int | None = None) -> Split:
@@ -90,15 +109,11 @@ def split(df: DataFrame, spec: SeriesSpec, reach: int = 0, most: int | None = No
     keys = spec.keys
     size = max(min(rows_per_task(df.sparkSession), most or sys.maxsize), reach + 1)
     fits = spec.longest is not None and spec.longest <= size
-    groups = [] if fits else hot_groups(df, keys, size)
-    if not groups:
+    found = None if fits else hot_groups(df, keys, size)
+    if not found:
         return Split(df, None, keys, size)
-    rows, cold = df, df.limit(0)
-    if keys:
-        hot_keys = groups_frame(df, keys, groups)
-        rows = df.join(F.broadcast(hot_keys), null_safe(df, hot_keys, keys), "left_semi")
-        cold = df.join(F.broadcast(hot_keys), null_safe(df, hot_keys, keys), "left_anti")
-    parts = 2 * sum(math.ceil(g[COUNT] / size) for g in groups)
+    rows, cold = parted(df, keys, found) if keys else (df, df.limit(0))
+    parts = min(2 * found.blocks, RANGE_PARTITIONS)
     # The range partitioner samples, so its cut points exist only for this one run: keep the outcome.
     ranged = checkpointed(
         rows.repartitionByRange(parts, *keys, *spec.order)
@@ -108,22 +123,22 @@ def split(df: DataFrame, spec: SeriesSpec, reach: int = 0, most: int | None = No
     )
     cells = ranged.groupBy(*keys, _CELL).agg(F.min(_IDX).alias("__first"), F.count(F.lit(1)).alias("__c"))
     before = Window.partitionBy(*keys).orderBy(_CELL).rowsBetween(Window.unboundedPreceding, -1)
-    # At most one row per (range partition, key): bounded by parts + number of hot groups.
+    # At most one row per (range partition, key): parts + number of hot groups.
     base = cells.select(*keys, _CELL, (F.coalesce(F.sum("__c").over(before), F.lit(0)) - F.col("__first")).alias("__base"))
     hot = (
-        _join_small(ranged, base, [*keys, _CELL])
+        _join_small(ranged, base, [*keys, _CELL], parts + found.groups)
         .withColumn(POS, F.col(_IDX) + F.col("__base"))
         .withColumn(BLOCK, F.floor(F.col(POS) / size))
         .drop(_IDX, _CELL, "__base")
     )
-    return Split(cold, hot, keys, size)
+    return Split(cold, hot, keys, size, found.groups, found.blocks + found.groups)
 
 
-def _join_small(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join a table that has one row per block or hot group."""
+def _join_small(rows: DataFrame, small: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """Left join a table of at most ``count`` rows: one per block or hot group."""
     renamed = small.select([F.col(f"`{c}`").alias(f"__k_{c}" if c in keys else c) for c in small.columns])
     cond = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(renamed[f"__k_{k}"]) for k in keys], F.lit(True))
-    return rows.join(F.broadcast(renamed), cond, "left").drop(*[f"__k_{k}" for k in keys])
+    return rows.join(small_side(renamed, count), cond, "left").drop(*[f"__k_{k}" for k in keys])
 
 
 def measured(df: DataFrame, spec: SeriesSpec) -> SeriesSpec:
@@ -164,7 +179,7 @@ def with_positions(df: DataFrame, spec: SeriesSpec, pos: str = POS, total: str |
         sizes = hot.groupBy(*s.keys).agg((F.max(POS) + 1).alias("__total"))
         hot = hot.withColumn(pos, F.col(POS)).drop(BLOCK, *([POS] if pos != POS else []))
         if total:
-            hot = _join_small(hot, sizes, s.keys).withColumnRenamed("__total", total)
+            hot = _join_small(hot, sizes, s.keys, s.groups).withColumnRenamed("__total", total)
     return _both(cold, hot)
 
 
@@ -235,7 +250,7 @@ def nearest_known(
         earlier = w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         carry = carry.select("*", *[F.last(f"{edge}_{n}", ignorenulls=True).over(earlier).alias(f"__carry_{side}_{n}") for n in cols])
     carry = carry.drop(*[f"{edge}_{n}" for edge in ("__last", "__first") for n in cols])
-    hot = _join_small(add(s.hot, at_block, POS), carry, at_block)
+    hot = _join_small(add(s.hot, at_block, POS), carry, at_block, s.blocks)
     both_sides = [f"{side}_{n}" for side in sides for n in cols]
     hot = hot.withColumns({f"__{x}": F.coalesce(f"__{x}", f"__carry_{x}") for x in both_sides})
     hot = hot.drop(BLOCK, *[f"__carry_{x}" for x in both_sides])
@@ -262,6 +277,6 @@ def running_sums(df: DataFrame, spec: SeriesSpec, cols: list[str], suffix: str =
     )
     totals = s.hot.groupBy(*at_block).agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
     carry = totals.select(*at_block, *[F.coalesce(F.sum(f"__t_{c}").over(w), F.lit(0)).alias(f"__b_{c}") for c in cols])
-    hot = _join_small(add(s.hot, at_block), carry, at_block)
+    hot = _join_small(add(s.hot, at_block), carry, at_block, s.blocks)
     hot = hot.withColumns({c + suffix: F.col(c + suffix) + F.col(f"__b_{c}") for c in cols})
     return cold.unionByName(hot.drop(BLOCK, POS, *[f"__b_{c}" for c in cols]))
