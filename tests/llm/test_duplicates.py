@@ -143,6 +143,12 @@ def test_sorting_by_hashes():
             assert common[k] == (n if a[0] == b[0] else -1)
 
 
+def test_sorting_empty_strings():
+    none = np.zeros(3, np.int64)
+    order, common = sort_strings(np.zeros(0, np.uint8), none, none, np.array([1, 1, 2]))
+    assert order.tolist() == [0, 1, 2] and common.tolist() == [-1, 0, -1]
+
+
 def plain_print(t: str | None) -> int:
     w = re.findall(r"[^\x20\x09-\x0D]+", small(t))
     if not w:

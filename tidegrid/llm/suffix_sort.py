@@ -17,7 +17,8 @@ class Strings:
     """Strings laid end to end in ``data``; string i begins at ``start[i]`` and has ``length[i]`` bytes."""
 
     def __init__(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray, base: int):
-        self.data, self.start, self.length, self.group = data, start, length, group
+        self.data = np.r_[data, np.uint8(0)]  # one more byte, so that the place after the last string can be looked up
+        self.start, self.length, self.group = start, length, group
         self.power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(data), base, np.uint64)])
         self.prefix = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[:-1])]
         self.steps = int(length.max(initial=0)).bit_length()
@@ -43,8 +44,7 @@ class Strings:
             n = self.common(a, b)
             short = n == np.minimum(self.length[a], self.length[b])
             i, j = self.start[a] + np.where(short, 0, n), self.start[b] + np.where(short, 0, n)
-            top = len(self.data) - 1
-            out[at] = np.where(short, self.length[a] < self.length[b], self.data[np.minimum(i, top)] < self.data[np.minimum(j, top)])
+            out[at] = np.where(short, self.length[a] < self.length[b], self.data[i] < self.data[j])
         return out
 
     def sorted(self) -> np.ndarray:
@@ -76,13 +76,13 @@ class Strings:
         return order
 
 
-def _byte_common(data: np.ndarray, s: Strings, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _byte_common(s: Strings, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The common prefix of strings a and b, by their bytes."""
     out, live = np.zeros(len(a), np.int64), np.arange(len(a))
     most = np.minimum(s.length[a], s.length[b])
     for k in range(int(most.max(initial=0))):
         live = live[most[live] > k]
-        live = live[data[s.start[a[live]] + k] == data[s.start[b[live]] + k]]
+        live = live[s.data[s.start[a[live]] + k] == s.data[s.start[b[live]] + k]]
         out[live] = k + 1
     return out
 
@@ -96,10 +96,9 @@ def sort_strings(data: np.ndarray, start: np.ndarray, length: np.ndarray, group:
         common = np.r_[-1, np.where(group[a] == group[b], s.common(a, b), -1)]
         same = np.flatnonzero(group[a] == group[b])
         a, b = a[same], b[same]
-        exact = _byte_common(data, s, a, b)
+        exact = _byte_common(s, a, b)
         ends = exact == np.minimum(length[a], length[b])
-        top = max(len(data) - 1, 0)
-        ordered = np.where(ends, length[a] <= length[b], data[np.minimum(start[a] + exact, top)] < data[np.minimum(start[b] + exact, top)])
+        ordered = np.where(ends, length[a] <= length[b], s.data[start[a] + exact] < s.data[start[b] + exact])
         if (exact == common[same + 1]).all() and ordered.all() and (np.diff(group[order]) >= 0).all():
             return order, common
     raise ArithmeticError("hashes collided under every base")
