@@ -330,13 +330,20 @@ def off_grid_rows(spark, sf):
 
 # --- features -----------------------------------------------------------------------------------------------
 
-_HOLIDAYS = "(101,102,103,104,105,106,107,108,223,308,501,509,612,1104)"
+# New Year, Christmas, Women's, Labour, Victory and Russia Day in all years; the others by the year of the law.
+_HOLIDAY = """(strftime(ts, '%m-%d') IN ('01-01', '01-02', '01-07', '03-08', '05-01', '05-09', '06-12')
+    OR (year(ts) >= 2002 AND strftime(ts, '%m-%d') = '02-23')
+    OR (year(ts) > 2004 AND strftime(ts, '%m-%d') BETWEEN '01-03' AND '01-05')
+    OR (year(ts) > 2012 AND strftime(ts, '%m-%d') IN ('01-06', '01-08'))
+    OR strftime(ts, '%m-%d') = CASE WHEN year(ts) < 2005 THEN '11-07' ELSE '11-04' END
+    OR (year(ts) < 2005 AND strftime(ts, '%m-%d') = '05-02')
+    OR (year(ts) BETWEEN 1994 AND 2004 AND strftime(ts, '%m-%d') = '12-12'))"""
 
 
 @query(
     sql(
         "nation_daily",
-        f"SELECT item_id, ts, y, CASE WHEN month(ts) * 100 + day(ts) IN {_HOLIDAYS} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS russian_holiday FROM nation_daily",
+        f"SELECT item_id, ts, y, CASE WHEN {_HOLIDAY} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS russian_holiday FROM nation_daily",
     )
 )
 def holiday_flag(spark, sf):
@@ -346,7 +353,7 @@ def holiday_flag(spark, sf):
 @query(
     sql(
         "nation_daily",
-        f"""SELECT n.item_id, n.ts, CASE WHEN month(ts) * 100 + day(ts) IN {_HOLIDAYS} OR t.d IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS russian_holiday
+        f"""SELECT n.item_id, n.ts, CASE WHEN {_HOLIDAY} OR t.d IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS russian_holiday
         FROM nation_daily n LEFT JOIN t ON CAST(n.ts AS DATE) = t.d""",
         t="SELECT CAST(o_orderdate AS DATE) AS d FROM orders GROUP BY 1 HAVING COUNT(*) >= (SELECT 2 * COUNT(*) / COUNT(DISTINCT o_orderdate) FROM orders)",
     )

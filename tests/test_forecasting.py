@@ -141,7 +141,7 @@ def test_a_user_model_takes_part(series_of):
 
 def test_menu():
     assert registry.resolve(None) == [] and registry.resolve([]) == []
-    assert registry.resolve("*") == list(registry.DEFAULT_MODELS)
+    assert registry.resolve("*") == list(registry.MODELS)
     assert registry.resolve(["snaive", "SeasonalNaiveModel"]) == ["seasonal_naive"]
     with pytest.raises(ValueError, match="unknown models"):
         registry.resolve(["DeepAR"])

@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Federal holidays of the Russian Federation that fall on the same date each year (month, day).
+# Days off of the Russian Federation that fall on the same date each year, by the years in which they
+# were days off: (month, day, first year, last year), None without a bound.
 RUSSIAN_HOLIDAYS = (
-    (1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (1, 7), (1, 8),
-    (2, 23), (3, 8), (5, 1), (5, 9), (6, 12), (11, 4),
+    (1, 1, None, None), (1, 2, None, None), (1, 3, 2005, None), (1, 4, 2005, None), (1, 5, 2005, None), (1, 6, 2013, None),
+    (1, 7, None, None), (1, 8, 2013, None), (2, 23, 2002, None), (3, 8, None, None), (5, 1, None, None), (5, 2, None, 2004),
+    (5, 9, None, None), (6, 12, None, None), (11, 4, 2005, None), (11, 7, None, 2004), (12, 12, 1994, 2004),
 )
 
 
@@ -48,13 +50,17 @@ DEFAULT_TIME_FEATURES = (
 )
 
 
-def russian_calendar(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
-    """Fixed federal holidays of the years as one ``holiday`` date column (14 rows a year)."""
-    days = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(d).alias("d")) for m, d in RUSSIAN_HOLIDAYS])
-    years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("y"))
-    return years.select("y", F.explode(days).alias("x")).select(F.make_date("y", "x.m", "x.d").alias("holiday"))
-
-
 def is_fixed_holiday(ts: Column) -> Column:
-    """True on a fixed federal holiday. Needs no join: the dates repeat every year."""
-    return (F.month(ts) * 100 + F.day(ts)).isin([m * 100 + d for m, d in RUSSIAN_HOLIDAYS])
+    """True on a fixed holiday of its year. Needs no join: a comparison per range of years."""
+    spans: dict[tuple[int | None, int | None], list[int]] = {}
+    for month, day, first, last in RUSSIAN_HOLIDAYS:
+        spans.setdefault((first, last), []).append(month * 100 + day)
+    found = F.lit(False)
+    for (first, last), days in spans.items():
+        one = (F.month(ts) * 100 + F.day(ts)).isin(days)
+        if first:
+            one &= F.year(ts) >= first
+        if last:
+            one &= F.year(ts) <= last
+        found |= one
+    return found

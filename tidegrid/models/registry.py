@@ -21,9 +21,9 @@ class Forecaster(Protocol):
     def __call__(self, df: DataFrame, spec: SeriesSpec, h: int, season: int) -> DataFrame: ...
 
 
-def _regression(name: str) -> Callable:
+def _regression(name: str, strategy: str) -> Callable:
     def run(df: DataFrame, spec: SeriesSpec, h: int, season: int = 1) -> DataFrame:
-        return tabular.tabular(df, spec, h, name)
+        return tabular.tabular(df, spec, h, name, tuple(sorted({*tabular.LAGS, max(season, 1)})), strategy)
 
     return run
 
@@ -33,22 +33,20 @@ MODELS: dict[str, Forecaster] = {
     "seasonal_average": baseline.seasonal_average, "zero": baseline.zero, "polytrend": baseline.polytrend, "npts": baseline.npts,
     "ses": smoothing.ses, "holt": smoothing.holt, "holt_winters": smoothing.holt_winters, "theta": smoothing.theta,
     "croston": smoothing.croston, "adida": smoothing.adida, "imapa": smoothing.imapa, "stlf": smoothing.stlf,
-    **{name: _regression(name) for name in tabular.REGRESSORS},
+    **{name: _regression(name, "recursive") for name in tabular.REGRESSORS},
+    **{f"{name}_direct": _regression(name, "direct") for name in ("linear", "boosted_trees")},
 }
 
 # Names under which the menus of the two strategies list the models above.
 ALIASES = {
     "NaiveModel": "naive", "SeasonalNaiveModel": "seasonal_naive", "AverageModel": "average", "SeasonalAverageModel": "seasonal_average",
     "ZeroModel": "zero", "ETSModel": "holt_winters", "AutoETSModel": "holt_winters", "ThetaModel": "theta", "ADIDAModel": "adida",
-    "CrostonModel": "croston", "IMAPAModel": "imapa", "NPTSModel": "npts", "DirectTabularModel": "boosted_trees",
+    "CrostonModel": "croston", "IMAPAModel": "imapa", "NPTSModel": "npts", "DirectTabularModel": "boosted_trees_direct",
     "RecursiveTabularModel": "boosted_trees", "grand_means": "average", "snaive": "seasonal_naive", "exp_smooth": "ses", "ets": "holt_winters",
     "lr_cds_dt": "linear", "en_cds_dt": "elastic_net", "ridge_cds_dt": "ridge", "lasso_cds_dt": "lasso", "rf_cds_dt": "random_forest",
     "xgboost_cds_dt": "boosted_trees", "lightgbm_cds_dt": "boosted_trees", "catboost_cds_dt": "boosted_trees",
 }
 
-#: Models cheap enough to run when all are asked for.
-DEFAULT_MODELS = ("naive", "seasonal_naive", "average", "seasonal_average", "zero", "polytrend", "ses", "holt", "theta", "npts", "croston", "adida")
-
 
 def register(name: str, forecaster: Forecaster) -> None:
     """Add a model under ``name`` for backtests and runs."""
@@ -56,11 +54,11 @@ def register(name: str, forecaster: Forecaster) -> None:
 
 
 def resolve(models: str | list[str] | tuple[str, ...] | None) -> list[str]:
-    """Model names of a menu choice: nothing, ``'*'`` for all default models, one name, or a list."""
+    """Model names of a menu choice: nothing, ``'*'`` for all models, one name, or a list."""
     if not models:
         return []
     if isinstance(models, str):
-        models = list(DEFAULT_MODELS) if models.strip() == "*" else [models]
+        models = list(MODELS) if models.strip() == "*" else [models]
     names = [ALIASES.get(m, m) for m in models]
     unknown = [m for m in names if m not in MODELS]
     if unknown:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.models.baseline import known_rows
+from tidegrid.models.baseline import known_rows, naive
 from tidegrid.models.registry import MODELS, resolve
 from tidegrid.quantiles import quantiles
 from tidegrid.session import checkpointed
 from tidegrid.spec import SeriesSpec
-from tidegrid.splits import join_stats, measured, over_series, with_positions
+from tidegrid.splits import join_stats, measured, null_safe, over_series, with_positions
 
 METRICS = ("MAE", "MAPE", "MASE", "MSE", "RMSE", "RMSSE", "SMAPE")
 
@@ -100,15 +100,26 @@ def best_models(scores: DataFrame, spec: SeriesSpec) -> DataFrame:
     return series_leaderboard(scores, spec).where(F.col("rank") == 1).drop("rank")
 
 
+def complete(points: DataFrame, df: DataFrame, spec: SeriesSpec, h: int) -> DataFrame:
+    """``points`` (with ``model``) and the naive forecast of every series of ``df`` that has none there."""
+    if not spec.keys:
+        return points
+    have = points.where(F.col("yhat").isNotNull()).select(*spec.keys).distinct()
+    missing = df.join(have, null_safe(df, have, spec.keys), "left_anti")
+    known = points.join(have, null_safe(points, have, spec.keys), "left_semi")
+    return known.unionByName(naive(missing, spec, h).withColumn("model", F.lit("naive")).select(*points.columns))
+
+
 def best_forecasts(df: DataFrame, spec: SeriesSpec, best: DataFrame, models: list[str] | str, h: int, season: int = 7) -> DataFrame:
-    """The forecast of each series by the model that ``best`` names for it."""
+    """The forecast of each series by the model that ``best`` names for it; the naive one where it names none, or
+    where its model gives none."""
     spec = measured(df, spec)
     chosen = best.select(*spec.keys, F.col("model").alias("__model"))
     out = []
     for m in resolve(models):
         own = join_stats(df, chosen.where(F.col("__model") == m), spec.keys, "inner").drop("__model")
         out.append(MODELS[m](own, spec, h, season).withColumn("model", F.lit(m)))
-    return reduce(lambda a, b: a.unionByName(b), out)
+    return complete(reduce(lambda a, b: a.unionByName(b), out), df, spec, h)
 
 
 def leaderboard(scores: DataFrame, strategy: str) -> DataFrame:
@@ -145,24 +156,45 @@ def leaderboard_summary(board: DataFrame, seconds: float | None = None) -> DataF
 # --- ensemble and quantiles ---------------------------------------------------------------------------------
 
 
+def _loss(name: str, y: Column, yhat: Column) -> Column:
+    """The row's part of a metric; scaled metrics read ``scale_abs`` and ``scale_sq``."""
+    e = y - yhat
+    return {
+        "MAE": F.abs(e),
+        "MSE": e * e,
+        "RMSE": e * e,
+        "MAPE": F.try_divide(F.abs(e), F.abs(y)),
+        "SMAPE": F.try_divide(F.abs(e) * 2, F.abs(y) + F.abs(yhat)),
+        "MASE": F.try_divide(F.abs(e), F.col("scale_abs")),
+        "RMSSE": F.try_divide(e * e, F.col("scale_sq")),
+    }[name]
+
+
 def ensemble_weights(backtested: DataFrame, spec: SeriesSpec, metric: str = "MAE", rounds: int = 20) -> DataFrame:
     """Greedy forward selection with replacement (Caruana et al. 2004): rows ``(model, weight)``.
 
     The forecasts are laid out once, a column per model; every round is one aggregate that scores all
-    candidate averages. Rows lacking a model's forecast are left out.
+    candidate averages by the asked metric (the squared ones without their root, which orders them alike). Where a
+    model has no forecast, an average is that of its other members; a row without any counts as an error of y, so
+    that skipping rows never pays.
     """
     name = metric_name(metric)
-    if name not in ("MAE", "MSE", "RMSE"):
-        name = "MAE"
     models = [r["model"] for r in backtested.select("model").distinct().orderBy("model").collect()]
-    on = ["fold", *spec.keys, "step", "y"]
-    wide = checkpointed(backtested.groupBy(*on).pivot("model", models).agg(F.first("yhat")).select("y", *[F.col(f"`{m}`").alias(f"m{i}") for i, m in enumerate(models)]).na.drop())
+    on = ["fold", *spec.keys, "step", "y", *[c for c in ("scale_abs", "scale_sq") if c in backtested.columns]]
+    cells = [F.col(f"`{m}`").alias(f"m{i}") for i, m in enumerate(models)]
+    wide = checkpointed(backtested.groupBy(*on).pivot("model", models).agg(F.first("yhat")).select(*on, *cells))
+
+    def average(counts: list[int]) -> Column:
+        used = [(F.col(f"m{i}"), c) for i, c in enumerate(counts) if c]
+        total = reduce(lambda a, b: a + b, [F.coalesce(m, F.lit(0.0)) * c for m, c in used])
+        weight = reduce(lambda a, b: a + b, [F.when(m.isNotNull(), F.lit(float(c))).otherwise(0.0) for m, c in used])
+        return F.coalesce(F.try_divide(total, weight), F.lit(0.0))
+
     counts = [0] * len(models)
     best_score, best_counts = None, list(counts)
-    for n in range(rounds):
-        total = reduce(lambda a, b: a + b, [F.col(f"m{i}") * c for i, c in enumerate(counts) if c], F.lit(0.0))
-        errors = [F.col("y") - (total + F.col(f"m{i}")) / (n + 1) for i in range(len(models))]
-        row = wide.agg(*[F.avg(F.abs(e) if name == "MAE" else e * e).alias(f"s{i}") for i, e in enumerate(errors)]).first()
+    for _ in range(rounds):
+        tried = [[c + (i == j) for j, c in enumerate(counts)] for i in range(len(models))]
+        row = wide.agg(*[F.avg(_loss(name, F.col("y"), average(t))).alias(f"s{i}") for i, t in enumerate(tried)]).first()
         scores = [row[i] if row[i] is not None else float("inf") for i in range(len(models))]
         pick = min(range(len(models)), key=lambda i: (round(scores[i], 12), i))
         counts[pick] += 1

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.calendar import TIME_FEATURES
 from tidegrid.functions.grid import step_ahead
-from tidegrid.models.baseline import LAST, known_rows
+from tidegrid.models.baseline import LAST, known_rows, over_steps
 from tidegrid.session import checkpointed
 from tidegrid.spec import SeriesSpec
 from tidegrid.splits import over_series
@@ -49,12 +52,10 @@ def _lag(y: str, k: int):
 
 def _recent(df: DataFrame, spec: SeriesSpec, lags: tuple[int, ...]) -> DataFrame:
     """Per series its newest values, newest first (as many as the largest lag), and its last date."""
-    from pyspark.sql import Window
-
     newest = Window.partitionBy(*[F.col(k) for k in spec.keys] or [F.lit(0)]).orderBy(*[F.desc(c) for c in spec.order])
     tail = known_rows(df, spec).withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= max(lags))
     values = F.transform(F.array_sort(F.collect_list(F.struct("__r", spec.target))), lambda s: s[spec.target])
-    return tail.groupBy(*spec.keys).agg(F.max(spec.ts).alias(LAST), values.alias("__y")).where(F.size("__y") >= max(lags))
+    return tail.groupBy(*spec.keys).agg(F.max(spec.ts).alias(LAST), values.alias("__y"))
 
 
 def tabular(
@@ -63,33 +64,67 @@ def tabular(
     """Forecast every series with one regression trained on all of them.
 
     ``recursive``: one model; each step's forecast becomes a lag of the next. ``direct``: one model per step
-    that only uses known values. Series with fewer rows than the largest lag are left out. The forecasting
+    that only uses known values. Series with fewer rows than the largest lag repeat their last value. The forecasting
     side works on one row per series.
+
+    Each value of ``spec.by`` (a fold, a sample) is a table of its own with a model of its own: a fold's model never
+    sees rows that this fold holds out.
     """
-    assembler, make = _assembler(lags), REGRESSORS[regressor]
-    state = _recent(df, spec, lags)
-    if strategy == "recursive":
-        model = make().fit(assembler.transform(training_rows(df, spec, lags)).select("features", "label"))
-        state = checkpointed(state.withColumn("__out", F.array().cast("array<double>")))
-        for step in range(1, h + 1):
-            at = step_ahead(F.col(LAST), F.lit(step), spec.freq)
-            wide = state.select("*", *[F.col("__y")[k - 1].alias(f"l{k}") for k in lags], *_calendar(at))
-            scored = model.transform(assembler.transform(wide))
-            newest = F.slice(F.concat(F.array("prediction"), "__y"), 1, max(lags))
-            state = scored.select(*spec.keys, LAST, newest.alias("__y"), F.concat("__out", F.array("prediction")).alias("__out"))
-            if step % 5 == 0:
-                state = checkpointed(state)
-        steps = state.select(*spec.keys, LAST, F.posexplode("__out").alias("__i", "yhat")).withColumn("step", F.col("__i") + 1)
-        return steps.select(*spec.keys, "step", step_ahead(F.col(LAST), F.col("step"), spec.freq).alias(spec.ts), "yhat")
-    if strategy != "direct":
+    if strategy not in ("recursive", "direct"):
         raise ValueError(f"unknown strategy {strategy!r}; expected 'recursive' or 'direct'")
+    one = _recursive if strategy == "recursive" else _direct
+    if not spec.by:
+        return one(df, spec, h, regressor, lags)
     out = None
+    for value in df.select(*spec.by).distinct().orderBy(*spec.by).collect():
+        own = df.where(reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(spec.by, value, strict=True)]))
+        part = one(own, spec, h, regressor, lags)
+        out = part if out is None else out.unionByName(part)
+    return one(df, spec, h, regressor, lags) if out is None else out
+
+
+def _fit(regressor: str, assembler: VectorAssembler, rows: DataFrame):
+    """A fitted model, or None where no row has all lags. The rows are kept for the passes of the fit."""
+    rows = assembler.transform(rows).select("features", "label").persist(StorageLevel.DISK_ONLY)
+    try:
+        return None if rows.isEmpty() else REGRESSORS[regressor]().fit(rows)
+    finally:
+        rows.unpersist()
+
+
+def _split(df: DataFrame, spec: SeriesSpec, h: int, lags: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """(state of the series long enough, naive forecast of the others)."""
+    state = _recent(df, spec, lags)
+    enough = F.size("__y") >= max(lags)
+    return state.where(enough), over_steps(state.where(~enough), spec, h, F.col("__y")[0])
+
+
+def _recursive(df: DataFrame, spec: SeriesSpec, h: int, regressor: str, lags: tuple[int, ...]) -> DataFrame:
+    assembler = _assembler(lags)
+    state, short = _split(df, spec, h, lags)
+    model = _fit(regressor, assembler, training_rows(df, spec, lags))
+    if model is None:
+        return short.unionByName(over_steps(state, spec, h, F.col("__y")[0]))
+    state = checkpointed(state.withColumn("__out", F.array().cast("array<double>")))
+    for step in range(1, h + 1):
+        at = step_ahead(F.col(LAST), F.lit(step), spec.freq)
+        wide = state.select("*", *[F.col("__y")[k - 1].alias(f"l{k}") for k in lags], *_calendar(at))
+        scored = model.transform(assembler.transform(wide))
+        newest = F.slice(F.concat(F.array("prediction"), "__y"), 1, max(lags))
+        state = scored.select(*spec.keys, LAST, newest.alias("__y"), F.concat("__out", F.array("prediction")).alias("__out"))
+        if step % 5 == 0:
+            state = checkpointed(state)
+    steps = state.select(*spec.keys, LAST, F.posexplode("__out").alias("__i", "yhat")).withColumn("step", F.col("__i") + 1)
+    return short.unionByName(steps.select(*spec.keys, "step", step_ahead(F.col(LAST), F.col("step"), spec.freq).alias(spec.ts), "yhat"))
+
+
+def _direct(df: DataFrame, spec: SeriesSpec, h: int, regressor: str, lags: tuple[int, ...]) -> DataFrame:
+    assembler = _assembler(lags)
+    state, out = _split(df, spec, h, lags)
     for step in range(1, h + 1):
-        model = make().fit(assembler.transform(training_rows(df, spec, lags, step)).select("features", "label"))
+        model = _fit(regressor, assembler, training_rows(df, spec, lags, step))
         at = step_ahead(F.col(LAST), F.lit(step), spec.freq)
         wide = state.select("*", *[F.col("__y")[k - 1].alias(f"l{k}") for k in lags], *_calendar(at), at.alias("__at"))
-        one = model.transform(assembler.transform(wide)).select(
-            *spec.keys, F.lit(step).alias("step"), F.col("__at").alias(spec.ts), F.col("prediction").alias("yhat")
-        )
-        out = one if out is None else out.unionByName(one)
+        scored = model.transform(assembler.transform(wide)) if model else wide.withColumn("prediction", F.col("__y")[0])
+        out = out.unionByName(scored.select(*spec.keys, F.lit(step).alias("step"), F.col("__at").alias(spec.ts), F.col("prediction").alias("yhat")))
     return out

@@ -23,13 +23,8 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: str | None = None) ->
     return binned.groupBy(*keys, "bin").agg(F.min("lower").alias("lower"), F.count(F.lit(1)).alias("n"))
 
 
-def box_stats(df: DataFrame, col: str, by: str | None = None, max_groups: int = 10) -> DataFrame:
-    """Quartiles, and whiskers at the furthest values within 1.5 interquartile ranges of them.
-
-    With more than ``max_groups`` values of ``by`` the whole table is one box, as a chart could not show more.
-    """
-    if by and len(df.select(by).distinct().limit(max_groups + 1).collect()) > max_groups:
-        by = None
+def box_stats(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
+    """Quartiles, and whiskers at the furthest values within 1.5 interquartile ranges of them; one row per ``by``."""
     keys = [by] if by else []
     q = quantiles(df, keys, col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, {"n": F.count(col)})
     reach = (F.col("q3") - F.col("q1")) * 1.5

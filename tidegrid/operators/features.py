@@ -128,7 +128,7 @@ def _fit_lambda(df: DataFrame, x: Column, transform, log_sum: Column, low: float
     (a variance per lambda); the grid closes in on its best point. A best point at the edge moves the grid."""
     points = 33
     best = 1.0
-    for _ in range(12):
+    for _ in range(40):
         grid = [low + (high - low) * i / (points - 1) for i in range(points)]
         row = df.agg(F.count(x).alias("n"), log_sum.alias("s"), *[F.var_pop(transform(x, g)).alias(f"v{i}") for i, g in enumerate(grid)]).first()
         if not row["n"]:
@@ -139,10 +139,12 @@ def _fit_lambda(df: DataFrame, x: Column, transform, log_sum: Column, low: float
         ]
         at = max(range(points), key=likelihood.__getitem__)
         best, step = grid[at], (high - low) / (points - 1)
-        if at in (0, points - 1) and abs(best) < 64:
+        if at in (0, points - 1) and abs(best) >= 64:
+            raise ArithmeticError("the likelihood grows without end; the column has no Box-Cox or Yeo-Johnson lambda")
+        if at in (0, points - 1):
             low, high = best - (high - low) / 2, best + (high - low) / 2
             continue
         if step < 1e-6:
-            break
+            return best
         low, high = best - step, best + step
-    return best
+    raise ArithmeticError("the search for lambda has not converged")

@@ -113,7 +113,7 @@ def naive_fallback(regular: DataFrame, spec: SeriesSpec, horizon: int, freq: str
 
 
 def run_messages(df: DataFrame, spec: SeriesSpec, freq: str, horizon: int) -> DataFrame:
-    """One message per series that the grid extended or that is too short for a full forecast."""
+    """One message per series that the grid extended, that is too short for a full forecast, or that loses rows off the grid."""
     code = freq_code(freq)
     profile = grid_profile(df, spec, freq, horizon)
     id = F.col(spec.id).cast("string")
@@ -125,4 +125,8 @@ def run_messages(df: DataFrame, spec: SeriesSpec, freq: str, horizon: int) -> Da
         id.alias("item_id"), F.lit("extended").alias("kind"),
         F.format_string(f"Series %s was extended to frequency {code} by forward fill.", id).alias("message"),
     )
-    return short.unionByName(extended)
+    dropped = off_grid_rows(df, spec, code).select(
+        id.alias("item_id"), F.lit("dropped").alias("kind"),
+        F.format_string(f"Series %s has %d rows off the grid of frequency {code}; they were dropped.", id, "dropped").alias("message"),
+    )
+    return short.unionByName(extended).unionByName(dropped)

@@ -50,9 +50,9 @@ def to_series(df: DataFrame, spec: SeriesSpec) -> DataFrame:
 
 
 def static_table(df: DataFrame, id: str, cols: list[str], ts: str) -> DataFrame:
-    """The first row of each id, by timestamp, of the static columns that exist."""
+    """The first row of each id, by timestamp (rows without one come last), of the static columns that exist."""
     present = [c for c in cols if c in df.columns and c != id]
-    first = df.groupBy(id).agg(F.min(F.struct(F.col(ts), *present)).alias("s"))
+    first = df.groupBy(id).agg(F.min(F.struct(F.col(ts).isNull().alias("__undated"), F.col(ts).alias("__at"), *present)).alias("s"))
     return first.select(id, *[F.col(f"s.{c}").alias(c) for c in present])
 
 

@@ -12,6 +12,7 @@ from tidegrid.models.registry import forecast, resolve
 from tidegrid.operators import features, missing, quality, regular, series
 from tidegrid.plans.runs import PROGRESS, RunStore
 from tidegrid.session import checkpointed
+from tidegrid.sources import tables
 from tidegrid.spec import RunParams, SeriesSpec, freq_code
 from tidegrid.splits import join_stats
 
@@ -46,7 +47,7 @@ def prepare(df: DataFrame, params: RunParams, calendar: DataFrame | None = None)
         statics = series.static_table(df, spec.id, list(spec.statics), spec.ts)
     if params.use_russian_holidays:
         df = features.add_holiday(df, spec.ts, calendar=calendar)
-    df = missing.fill(df, params.fill_missing_method, spec, tuple(params.fill_group_columns))
+    df = missing.fill(df, params.fill_missing_method, spec.replace(ties=(spec.id,)), tuple(params.fill_group_columns))
     freq = freq_code(params.frequency)
     if freq is None:
         return Prepared(df, None, statics, None)
@@ -59,9 +60,10 @@ def run(df: DataFrame, params: RunParams, folds: int = 3, calendar: DataFrame |
     """Forecast every series of ``df``.
 
     ``models_to_train`` compete over all series together and with their weighted ensemble; ``pycaret_models``
-    compete series by series. The better of the two by backtest makes the forecast; with a single candidate
-    there is nothing to choose and no backtest is run. Series too short to train on get the naive fallback;
-    statics are attached by id. Progress and results go to ``store`` if one is given.
+    compete series by series. The better of the two by backtest makes the forecast; a single candidate is
+    backtested too, for its score and its quantiles. Series too short to train on, and series for which the chosen model
+    has no forecast, get the naive one; statics are attached by id. Progress and results go to ``store`` if one is given,
+    and the forecast into ``upload_table_name`` if that is set.
     """
     spec, h, season = params.spec(), params.prediction_length, params.season
 
@@ -72,8 +74,7 @@ def run(df: DataFrame, params: RunParams, folds: int = 3, calendar: DataFrame |
     if store:
         store.record(run_id, "running", 0, params=params)
     try:
-        findings = quality.validate(df, spec)
-        errors = findings.where(F.col("severity") == "error").collect()
+        errors = quality.validate(df, spec).where(F.col("severity") == "error").collect()
         if errors:
             raise ValueError("; ".join(e["code"] for e in errors))
         note("validated")
@@ -85,11 +86,14 @@ def run(df: DataFrame, params: RunParams, folds: int = 3, calendar: DataFrame |
                 part = getattr(result, name)
                 if part is not None:
                     store.write(run_id, name, part)
+        if params.upload_table_name:
+            name = ".".join(n for n in (params.upload_table_schema, params.upload_table_name) if n)
+            tables.save_forecast(result.predictions, name, create_new=False)
         note("completed")
         return result
     except Exception as e:
         if store:
-            store.record(run_id, "failed", error=str(e)[:2000])
+            store.record(run_id, "failed", error=str(e))
         raise
 
 
@@ -98,39 +102,37 @@ def _predict(ready: Prepared, params: RunParams, spec: SeriesSpec, h: int, seaso
     shared, own = resolve(params.models_to_train), resolve(params.pycaret_models)
     if not shared and not own:
         raise ValueError("no model was chosen")
-    board = per_series = weights = residuals = None
-    if len(shared) + len(own) == 1:
-        name = (shared + own)[0]
-        points = forecast(name, panel, spec, h, season).withColumn("model", F.lit(name))
+    per_series = weights = None
+    everything = list(dict.fromkeys(shared + own))
+    tested = checkpointed(selection.backtest_forecasts(panel, spec, everything, h, folds, season))
+    scores = checkpointed(selection.series_scores(tested, spec, metric))
+    boards = []
+    if shared:
+        mine = scores.where(F.col("model").isin(shared))
+        boards.append(selection.leaderboard(mine, GLOBAL))
+        if len(shared) > 1:
+            weights = selection.ensemble_weights(tested.where(F.col("model").isin(shared)), spec, metric)
+            joint = _weighted(tested, weights, spec)
+            boards.append(selection.leaderboard(selection.series_scores(joint, spec, metric), GLOBAL))
+            tested = tested.unionByName(joint.select(*tested.columns))
+    if own:
+        mine = scores.where(F.col("model").isin(own))
+        per_series = selection.series_leaderboard(mine, spec)
+        boards.append(selection.per_series_score(mine, spec, PER_SERIES))
+    board = checkpointed(selection.combine_leaderboards(*boards))
+    best = selection.best_of(board).first()
+    if best is None:  # every series is too short to be held out
+        points = forecast("naive", panel, spec, h, season).withColumn("model", F.lit("naive"))
+    elif best["strategy"] == PER_SERIES:
+        chosen = selection.best_models(scores.where(F.col("model").isin(own)), spec)
+        points = selection.best_forecasts(panel, spec, chosen, own, h, season)
+    elif best["model"] == ENSEMBLE:
+        points = selection.ensemble_forecast(panel, spec, weights, h, season).withColumn("model", F.lit(ENSEMBLE))
     else:
-        everything = list(dict.fromkeys(shared + own))
-        tested = checkpointed(selection.backtest_forecasts(panel, spec, everything, h, folds, season))
-        scores = checkpointed(selection.series_scores(tested, spec, metric))
-        boards = []
-        if shared:
-            mine = scores.where(F.col("model").isin(shared))
-            boards.append(selection.leaderboard(mine, GLOBAL))
-            if len(shared) > 1:
-                weights = selection.ensemble_weights(tested.where(F.col("model").isin(shared)), spec, metric)
-                joint = _weighted(tested, weights, spec)
-                boards.append(selection.leaderboard(selection.series_scores(joint, spec, metric), GLOBAL))
-                tested = tested.unionByName(joint.select(*tested.columns))
-        if own:
-            mine = scores.where(F.col("model").isin(own))
-            per_series = selection.series_leaderboard(mine, spec)
-            boards.append(selection.per_series_score(mine, spec, PER_SERIES))
-        board = checkpointed(selection.combine_leaderboards(*boards))
-        best = selection.best_of(board).first()
-        if best["strategy"] == PER_SERIES:
-            chosen = selection.best_models(scores.where(F.col("model").isin(own)), spec)
-            points = selection.best_forecasts(panel, spec, chosen, own, h, season)
-        elif best["model"] == ENSEMBLE:
-            points = selection.ensemble_forecast(panel, spec, weights, h, season).withColumn("model", F.lit(ENSEMBLE))
-        else:
-            points = forecast(best["model"], panel, spec, h, season).withColumn("model", F.lit(best["model"]))
-        residuals = selection.residual_quantiles(tested)
-    if residuals is not None:
-        points = selection.quantile_forecast(points, residuals, params.predict_mean_only)
+        points = forecast(best["model"], panel, spec, h, season).withColumn("model", F.lit(best["model"]))
+    residuals = selection.residual_quantiles(tested)
+    points = selection.complete(points, panel, spec, h)
+    points = selection.quantile_forecast(points, residuals, params.predict_mean_only)
     out = points.withColumnRenamed("yhat", spec.target).drop("step", "model")
     if ready.fallback is not None:
         out = series.union_forecasts(out, ready.fallback)

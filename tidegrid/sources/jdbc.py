@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.functions.numeric import nan_to_null
-from tidegrid.sources.tables import as_stored, check_keys, storage_schema
+from tidegrid.sources.tables import as_stored, check_keys, last_row, storage_schema
 
 # SQL types of stored columns.
 SQL_TYPES = {"double": "DOUBLE PRECISION", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "string": "TEXT"}
@@ -54,11 +55,6 @@ def read_table(
     return nan_to_null(df.withColumns(decimals))
 
 
-def column_types(df: DataFrame) -> str:
-    """Column definitions for ``createTableColumnTypes``."""
-    return ", ".join(f"`{f.name}` {SQL_TYPES[f.dataType.simpleString()]}" for f in storage_schema(df.schema).fields)
-
-
 def create_table_sql(df: DataFrame, schema: str | None, table: str, primary_keys: list[str] | None = None) -> str:
     keys = check_keys(df.columns, primary_keys)
     columns = [f"{quoted(None, f.name)} {SQL_TYPES[f.dataType.simpleString()]}" for f in storage_schema(df.schema).fields]
@@ -115,11 +111,11 @@ def upsert_table(
 ) -> None:
     """Write ``df`` to a staging table in parallel batches, then let the database merge it on ``keys``."""
     check_keys(df.columns, keys)
-    staging = f"{table}__staging"
+    staging = f"{table}__staging_{uuid.uuid4().hex}"  # two writers never meet
     columns = [c for c in df.columns if c != order]
     row = F.struct(*columns)
-    rows = df.groupBy(*keys).agg((F.max_by(row, order) if order else F.last(row)).alias("r")).select("r.*") if keys else df.select(*columns)
+    rows = df.groupBy(*keys).agg(last_row(row, order).alias("r")).select("r.*") if keys else df.select(*columns)
     stored = as_stored(rows)
     writer = stored.write.format("jdbc").options(**jdbc.options(dbtable=quoted(schema, staging), batchsize=str(batch)))
-    writer.option("createTableColumnTypes", column_types(stored)).mode("overwrite").save()
+    writer.mode("errorifexists").save()  # the dialect of the database picks the column types
     _execute(df.sparkSession, jdbc, [*upsert_sql(columns, schema, table, staging, keys), f"DROP TABLE {quoted(schema, staging)}"])

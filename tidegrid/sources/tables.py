@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,23 +78,48 @@ def primary_key(spark: SparkSession, table: str) -> list[str]:
     return [k for k in _property(spark, table, KEY_PROPERTY).split(",") if k]
 
 
+def last_row(row: Column, order: str | None) -> Column:
+    """Of the rows of a key the last by ``order``; without an order a second row is an error."""
+    if order:
+        return F.max_by(row, F.col(order))
+    repeated = F.raise_error(F.lit("source rows repeat a key; say by which column the last one is found"))
+    return F.when(F.count(F.lit(1)) > 1, repeated).otherwise(F.any_value(row))
+
+
+def respelled(source: DataFrame, target: DataFrame, order: str | None = None) -> tuple[DataFrame, str | None]:
+    """``source`` with its columns spelled as in ``target``, and the order column's new name."""
+    spelling = {c.lower(): c for c in target.columns}
+    unknown = [c for c in source.columns if c.lower() not in spelling and c != order]
+    if unknown:
+        raise ValueError(f"the table lacks columns of the source: {', '.join(unknown)}")
+    if len({c.lower() for c in source.columns}) < len(source.columns):
+        raise ValueError("the source has columns that differ by case only")
+    names = {c: spelling.get(c.lower(), c) for c in source.columns}
+    return source.withColumnsRenamed(names), names.get(order, order)
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """``target`` after inserting ``source`` row by row, updating on a conflict of ``keys``.
 
     Of source rows with the same key the last by ``order`` counts (it is not stored unless the target has such
-    a column). Columns the source lacks keep their value, and are NULL in new rows. Without keys the source
-    is appended. Keys must be columns of the source.
+    a column); without an order, repeated keys are an error. Columns match whatever their case, and take the
+    target's spelling. Columns the source lacks keep their value, and are NULL in new rows; columns the target lacks are
+    an error. Without keys the source is appended. Keys must be columns of the source.
     """
-    if not keys:
-        return target.unionByName(source, allowMissingColumns=True)
-    missing = [k for k in keys if k not in source.columns]
+    have = {c.lower() for c in source.columns}
+    missing = [k for k in keys if k.lower() not in have]
     if missing:
         raise ValueError(f"source lacks key columns: {', '.join(missing)}")
+    source, order = respelled(source, target, order)
+    spelling = {c.lower(): c for c in target.columns}
+    keys = [spelling[k.lower()] for k in keys]
+    if not keys:
+        return target.unionByName(source, allowMissingColumns=True)
     cols = [c for c in source.columns if c in target.columns]
     updates = [c for c in cols if c not in keys]
     row = F.struct(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in updates]) if updates else F.struct(F.lit(1).alias("one"))
     # An aggregate, not a window: repeated keys collapse before the shuffle.
-    latest = F.max_by(row, F.col(order)) if order else F.last(row)
+    latest = last_row(row, order)
     new = source.groupBy(*[F.col(k).cast(target.schema[k].dataType).alias(f"__k_{k}") for k in keys]).agg(latest.alias("__new"))
     new = new.withColumn("__has", F.lit(True))
     cond = [target[k] == new[f"__k_{k}"] for k in keys]
@@ -116,6 +141,7 @@ def upsert_table(source: DataFrame, table: str, order: str | None = None, update
     keys = primary_key(spark, table) if update_on_key else []
     rows = as_stored(source)
     if not keys:
+        rows, _ = respelled(rows, spark.table(table), order)
         rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in spark.table(table).schema.fields]).write.insertInto(table)
         return
     merged = upsert(spark.table(table), rows, keys, order)

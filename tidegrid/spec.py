@@ -40,6 +40,7 @@ class SeriesSpec:
 class RunParams:
     """Parameters of a training run; stored with the run as one JSON document."""
 
+    # The names under which callers send the parameters.
     datetime_column: str
     target_column: str
     item_id_column: str
@@ -49,13 +50,10 @@ class RunParams:
     fill_group_columns: tuple[str, ...] = ()
     use_russian_holidays: bool = False
     models_to_train: tuple[str, ...] | str | None = None
-    autogluon_preset: str = "high_quality"
     predict_mean_only: bool = False
     prediction_length: int = 3
-    training_time_limit: int | None = None
     static_feature_columns: tuple[str, ...] = ()
     pycaret_models: tuple[str, ...] | str | None = None
-    download_table_name: str | None = None
     upload_table_name: str | None = None
     upload_table_schema: str | None = None
     season: int = field(default=7)
