@@ -444,6 +444,12 @@ def box_stats(spark, sf):
     return rounded(charts.box_stats(fr.event_series(spark, sf), "y", "item_id"), 4)
 
 
+@query(sql("user_daily", _box_sql("user_daily", "item_id")))
+def box_stats_by_user(spark, sf):
+    """Many groups: one box each."""
+    return rounded(charts.box_stats(fr.user_daily(spark, sf), "y", "item_id"), 4)
+
+
 @query(sql("order_series", _box_sql("s", "source"), s=_SOURCED))
 def box_stats_by_source(spark, sf):
     return rounded(charts.box_stats(series.label_samples(*fr.samples(spark, sf)), "y", "source"), 4)

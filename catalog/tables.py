@@ -126,16 +126,40 @@ def _run(spark, sf, **params):
     return forecast.run(n, p).predictions
 
 
+_LEVELS = [f"0.{i}" for i in range(1, 10)]
+
+
 @query(
     sql(
         "nation_daily",
-        """SELECT f.item_id, strftime(last + to_days(CAST(s.k AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS ts, y, region
-        FROM (SELECT item_id, MAX(ts) AS last, arg_max(y, ts) AS y, ANY_VALUE(region) AS region FROM nation_daily GROUP BY 1) f, range(1, 8) s(k)""",
+        "SELECT f.item_id, strftime(last + to_days(CAST(step AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS ts, ROUND(y, 4) + 0.0 AS y, region, "
+        + ", ".join(f'ROUND(y + q{i}, 4) + 0.0 AS "{q}"' for i, q in enumerate(_LEVELS))
+        + " FROM (SELECT item_id, MAX(ts) AS last, arg_max(y, ts) AS y, ANY_VALUE(region) AS region FROM nation_daily GROUP BY 1) f, errors",
+        days="SELECT item_id, unnest(generate_series(MIN(ts), MAX(ts), INTERVAL 1 DAY)) AS ts FROM nation_daily GROUP BY 1",
+        filled="""SELECT d.item_id, d.ts, n.y, ROW_NUMBER() OVER (PARTITION BY d.item_id ORDER BY d.ts DESC) AS back
+            FROM days d ASOF JOIN (SELECT * FROM nation_daily WHERE y IS NOT NULL) n ON d.item_id = n.item_id AND d.ts >= n.ts""",
+        errors="SELECT (8 - (h.back - 7 * fold)) AS step, "
+        + ", ".join(f"quantile_cont(h.y - l.y, {q}) AS q{i}" for i, q in enumerate(_LEVELS))
+        + """ FROM range(0, 3) folds(fold) JOIN filled h ON h.back BETWEEN 7 * fold + 1 AND 7 * fold + 7
+            JOIN filled l ON l.item_id = h.item_id AND l.back = 7 * fold + 8 GROUP BY 1""",
     )
 )
 def forecast_run(spark, sf):
-    """A whole run: statics, holidays, fill, daily grid, naive model, naive fallback, statics again."""
-    return _run(spark, sf, use_russian_holidays=True, fill_missing_method="Forward fill", fill_group_columns=("item_id",), models_to_train=("NaiveModel",))
+    """A whole run: statics, holidays, fill, daily grid, naive model with its backtest and quantiles, naive fallback, statics again."""
+    return rounded(_run(spark, sf, use_russian_holidays=True, fill_missing_method="Forward fill", fill_group_columns=("item_id",), models_to_train=("NaiveModel",)), 4)
+
+
+@query(
+    sql(
+        "user_daily",
+        "SELECT CAST(COUNT(DISTINCT item_id) AS BIGINT) AS series, CAST(7 * COUNT(DISTINCT item_id) AS BIGINT) AS forecasts FROM user_daily WHERE y IS NOT NULL",
+    )
+)
+def forecast_run_auto(spark, sf):
+    """A run without a grid over many series of a few rows: every one of them is forecast."""
+    p = RunParams("ts", "y", "item_id", "MAE", prediction_length=7, models_to_train=("naive", "seasonal_naive"))
+    points = forecast.run(fr.user_daily(spark, sf), p).predictions
+    return points.agg(F.count_distinct("item_id").alias("series"), F.count("y").alias("forecasts"))
 
 
 @query()

@@ -217,3 +217,51 @@ def test_a_failed_run_is_recorded(spark, series_of, tmp_path):
     assert rows(report.report_sections(store, run_id)["Messages"]) == [("Messages not found",)]
     with pytest.raises(ValueError, match="no run"):
         store.status("absent")
+
+
+@pytest.mark.parametrize("name", ["naive", "seasonal_naive", "average", "ses", "theta", "linear", "ridge", "linear_direct"])
+def test_backtests_do_not_look_ahead(spark, series_of, name):
+    """Raising exactly the rows that a fold holds out leaves that fold's forecasts as they are."""
+    values = [20 + (i * 7919) % 13 for i in range(40)]
+    df = series_of({"a": days(values), "b": days([v + 3 for v in values])})
+    h, folds = 3, 3
+    before = selection.backtest_forecasts(df, S, [name], h, folds).where("fold = 1").select("item_id", "step", "yhat")
+    changed = [v + (1000 if len(values) - 2 * h <= i < len(values) - h else 0) for i, v in enumerate(values)]
+    other = series_of({"a": days(changed), "b": days([v + 3 for v in changed])})
+    after = selection.backtest_forecasts(other, S, [name], h, folds).where("fold = 1").select("item_id", "step", "yhat")
+    assert table(before) == table(after)
+
+
+def test_short_series_get_their_last_value_from_regressions(series_of):
+    df = series_of({"long": LINE, "short": days([1.0, 2.0, 5.0])})
+    for strategy in ("recursive", "direct"):
+        got = tabular.tabular(df, S, 2, "linear", strategy=strategy)
+        assert [r["yhat"] for r in got.where("item_id = 'short'").orderBy("step").collect()] == [5.0, 5.0]
+        assert got.where("item_id = 'long'").count() == 2
+
+
+def test_every_series_is_forecast(spark, series_of):
+    df = series_of({"long": LINE, "three": days([1.0, 2.0, 3.0]), "one": days([7.0])})
+    p = RunParams("ts", "y", "item_id", "MAE", prediction_length=3, models_to_train=("naive", "average"), pycaret_models=("linear", "snaive"))
+    got = forecast.run(df, p)
+    assert {(r["item_id"], r["n"]) for r in got.predictions.groupBy("item_id").agg(F.count("y").alias("n")).collect()} == {("long", 3), ("three", 3), ("one", 3)}
+
+
+def test_a_run_with_one_model_is_scored_and_saved(spark, series_of, tmp_path):
+    from tidegrid.sources import tables
+
+    df = series_of({"a": LINE, "b": SEASON})
+    spark.sql("DROP TABLE IF EXISTS tidegrid_run_out")
+    like = spark.createDataFrame([("a", dt.datetime(2024, 1, 1), 1.0)], "item_id string, ts timestamp_ntz, Y double")
+    tables.create_table(like, "tidegrid_run_out", str(tmp_path), ["item_id", "ts"])
+    got = forecast.run(df, RunParams("ts", "y", "item_id", "MASE", models_to_train="naive", upload_table_name="tidegrid_run_out"))
+    assert got.leaderboard.count() == 1 and {"0.1", "0.9"} <= set(got.predictions.columns)
+    assert spark.table("tidegrid_run_out").where("Y IS NOT NULL").count() == 6
+    spark.sql("DROP TABLE tidegrid_run_out")
+
+
+def test_ensembles_follow_the_asked_metric(spark):
+    rows_ = [("a", 0, i, float(y), m, f, 1.0, 1.0) for i, (y, x, z) in enumerate([(1, 1, 2), (1, 1, 2), (1, 1, 2), (1, 9, 2)]) for m, f in (("x", float(x)), ("z", float(z)))]
+    bt = spark.createDataFrame(rows_, "item_id string, fold int, step int, y double, model string, yhat double, scale_abs double, scale_sq double")
+    weights = {m: {r["model"]: r["weight"] for r in selection.ensemble_weights(bt, S, m, 1).collect()} for m in ("MAE", "RMSE", "SMAPE", "MASE", "RMSSE")}
+    assert weights["RMSE"] == weights["RMSSE"] == weights["MAE"] == weights["MASE"] == {"z": 1.0} and weights["SMAPE"] == {"x": 1.0}

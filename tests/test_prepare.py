@@ -288,3 +288,18 @@ def test_run_parameters_round_trip():
     p = RunParams("d", "y", "i", "MASE (scaled)", frequency="D (daily)", static_feature_columns=("s",))
     assert p.spec().freq == "D" and p.spec().statics == ("s",)
     assert '"prediction_length": 3' in p.to_json()
+
+
+def test_statics_prefer_dated_rows(spark):
+    df = spark.createDataFrame([("a", None, "undated"), ("a", D(2024, 1, 1), "first"), ("b", None, "only")], "item_id string, ts timestamp_ntz, kind string")
+    assert rows(series.static_table(df, "item_id", ["kind"], "ts"), "item_id") == [("a", "first"), ("b", "only")]
+
+
+def test_holidays_follow_the_law_of_their_year(spark):
+    from tidegrid.functions.calendar import is_fixed_holiday
+
+    want = {(1998, 11, 4): False, (1998, 11, 7): True, (1998, 1, 5): False, (2005, 11, 4): True, (2005, 11, 7): False, (2005, 1, 5): True,
+            (2012, 1, 6): False, (2013, 1, 8): True, (2001, 2, 23): False, (2002, 2, 23): True, (2004, 5, 2): True, (2005, 5, 2): False,
+            (2004, 12, 12): True, (2005, 12, 12): False, (1998, 1, 1): True, (2024, 5, 9): True}
+    df = spark.createDataFrame([(D(*k), v) for k, v in want.items()], "ts timestamp_ntz, want boolean")
+    assert df.where(is_fixed_holiday(df["ts"]) != df["want"]).count() == 0

@@ -150,3 +150,13 @@ def test_upsert_statements_in_a_database():
         con.execute(statement)
     assert con.execute("SELECT * FROM t ORDER BY k").fetchall() == [(1, 1.0, "a"), (2, None, "b"), (3, 30.0, None)]
     assert jdbc.upsert_sql(["k"], "s", "t", "stg", [])[0].startswith('INSERT INTO "s"."t"')
+
+
+def test_columns_match_whatever_their_case(spark):
+    target = spark.createDataFrame([("a", 1, 1.0)], "item_id string, ts int, Y double")
+    source = spark.createDataFrame([("a", 1, 2.0), ("b", 1, 3.0)], "ITEM_ID string, ts int, y double")
+    assert rows(tables.upsert(target, source, ["Item_Id", "ts"]), "item_id") == [("a", 1, 2.0), ("b", 1, 3.0)]
+    with pytest.raises(ValueError, match="lacks columns"):
+        tables.upsert(target, source.withColumn("more", source["y"]), ["item_id", "ts"])
+    with pytest.raises(Exception, match="repeat a key"):
+        tables.upsert(target, source.union(source), ["item_id", "ts"]).collect()

@@ -34,6 +34,20 @@ def _given(col: str | None) -> bool:
     return bool(col) and col != NO_COLUMN
 
 
+def errors(df: DataFrame, spec: SeriesSpec) -> list[tuple[str, float | None]]:
+    """What makes the table unusable, as (code, value): the first failing check. One aggregate at most."""
+    ts, y, id = (c if _given(c) else None for c in (spec.ts, spec.target, spec.id))
+    missing = [c for c in (ts, y, id) if c and c not in df.columns]
+    if missing:
+        return [(f"missing column: {c}", None) for c in missing]
+    bad = count_invalid(df, ts).first()["invalid"] if ts else 0
+    if bad:
+        return [(f"invalid dates: {ts}", float(bad))]
+    if y and not isinstance(df.schema[y].dataType, T.NumericType):
+        return [(f"not numeric: {y}", None)]
+    return []
+
+
 def validate(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Findings as rows ``(severity, code, value, detail)``; no row of severity ``error`` means valid.
 
@@ -44,17 +58,10 @@ def validate(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     spark = df.sparkSession
     schema = "severity string, code string, value double, detail double"
     ts, y, id = (c if _given(c) else None for c in (spec.ts, spec.target, spec.id))
-    missing = [c for c in (ts, y, id) if c and c not in df.columns]
-    if missing:
-        return spark.createDataFrame([("error", f"missing column: {c}", None, None) for c in missing], schema)
-    if ts:
-        bad = count_invalid(df, ts).first()["invalid"]
-        if bad:
-            return spark.createDataFrame([("error", f"invalid dates: {ts}", float(bad), None)], schema)
-        df = safe_timestamp(df, ts)
-    if y and not isinstance(df.schema[y].dataType, T.NumericType):
-        return spark.createDataFrame([("error", f"not numeric: {y}", None, None)], schema)
-    df = nan_to_null(df)
+    wrong = errors(df, spec)
+    if wrong:
+        return spark.createDataFrame([("error", code, value, None) for code, value in wrong], schema)
+    df = nan_to_null(safe_timestamp(df, ts) if ts else df)
     none = F.lit(0).cast("long")
     facts = df.agg(
         F.count(F.lit(1)).alias("n"),

@@ -14,7 +14,7 @@ from tidegrid.plans.runs import PROGRESS, RunStore
 from tidegrid.session import checkpointed
 from tidegrid.sources import tables
 from tidegrid.spec import RunParams, SeriesSpec, freq_code
-from tidegrid.splits import join_stats
+from tidegrid.splits import join_stats, measured
 
 PER_SERIES, GLOBAL, ENSEMBLE = "per_series", "global", "WeightedEnsemble"
 
@@ -47,12 +47,14 @@ def prepare(df: DataFrame, params: RunParams, calendar: DataFrame | None = None)
         statics = series.static_table(df, spec.id, list(spec.statics), spec.ts)
     if params.use_russian_holidays:
         df = features.add_holiday(df, spec.ts, calendar=calendar)
+    spec = measured(df, spec)
     df = missing.fill(df, params.fill_missing_method, spec.replace(ties=(spec.id,)), tuple(params.fill_group_columns))
     freq = freq_code(params.frequency)
     if freq is None:
         return Prepared(df, None, statics, None)
     grid = checkpointed(regular.regularize(df, spec, freq))
     panel, _ = regular.split_short(grid, spec, h)
+    panel = checkpointed(panel)
     return Prepared(panel, regular.naive_fallback(grid, spec, h, freq), statics, regular.run_messages(df, spec, freq, h))
 
 
@@ -74,9 +76,9 @@ def run(df: DataFrame, params: RunParams, folds: int = 3, calendar: DataFrame |
     if store:
         store.record(run_id, "running", 0, params=params)
     try:
-        errors = quality.validate(df, spec).where(F.col("severity") == "error").collect()
-        if errors:
-            raise ValueError("; ".join(e["code"] for e in errors))
+        wrong = quality.errors(df, spec)
+        if wrong:
+            raise ValueError("; ".join(code for code, _ in wrong))
         note("validated")
         ready = prepare(df, params, calendar)
         note("dataframe")
@@ -99,6 +101,7 @@ def run(df: DataFrame, params: RunParams, folds: int = 3, calendar: DataFrame |
 
 def _predict(ready: Prepared, params: RunParams, spec: SeriesSpec, h: int, season: int, folds: int) -> RunResult:
     panel, metric = ready.panel, params.evaluation_metric
+    spec = measured(panel, spec)
     shared, own = resolve(params.models_to_train), resolve(params.pycaret_models)
     if not shared and not own:
         raise ValueError("no model was chosen")

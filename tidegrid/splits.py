@@ -74,9 +74,8 @@ def hot_groups(df: DataFrame, keys: list[str], limit: int | None = None) -> HotG
     """
     limit = limit or rows_per_task(df.sparkSession)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(COUNT)).where(F.col(COUNT) > limit)
-    found = checkpointed(counts)
-    n, blocks = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.ceil(F.col(COUNT) / limit)), F.lit(0))).first()
-    return HotGroups(found, n, int(blocks))
+    n, blocks = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.ceil(F.col(COUNT) / limit)), F.lit(0))).first()
+    return HotGroups(checkpointed(counts) if n else counts, n, int(blocks))
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
