@@ -265,3 +265,12 @@ def test_ensembles_follow_the_asked_metric(spark):
     bt = spark.createDataFrame(rows_, "item_id string, fold int, step int, y double, model string, yhat double, scale_abs double, scale_sq double")
     weights = {m: {r["model"]: r["weight"] for r in selection.ensemble_weights(bt, S, m, 1).collect()} for m in ("MAE", "RMSE", "SMAPE", "MASE", "RMSSE")}
     assert weights["RMSE"] == weights["RMSSE"] == weights["MAE"] == weights["MASE"] == {"z": 1.0} and weights["SMAPE"] == {"x": 1.0}
+
+
+def test_newest_rows_are_the_same_by_rank_and_by_position(spark, monkeypatch, rows_per_task):
+    df = fr.type_daily(spark, SF)
+    by_rank = table(baseline.newest_rows(df, S, 5)), table(baseline.seasonal_naive(df, S, 9, 5))
+    monkeypatch.setattr(baseline, "RANK_LIMIT", 0)
+    for n in (4_000_000, 40):
+        with rows_per_task(n):
+            assert (table(baseline.newest_rows(df, S, 5)), table(baseline.seasonal_naive(df, S, 9, 5))) == by_rank

@@ -31,6 +31,24 @@ def future_grid(df: DataFrame, spec: SeriesSpec, h: int) -> DataFrame:
     return over_steps(df.groupBy(*spec.keys).agg(F.max(spec.ts).alias(LAST)), spec, h, F.lit(0.0)).drop("yhat")
 
 
+#: Spark cuts a rank filter to its rows before the shuffle up to this rank.
+RANK_LIMIT = 1000
+
+
+def newest_rows(df: DataFrame, spec: SeriesSpec, k: int) -> DataFrame:
+    """The last ``k`` known rows of each series, with ``__r`` counting from 1 at the last.
+
+    Up to ``RANK_LIMIT`` a rank filter leaves at most k rows per series and task before the shuffle; beyond, Spark would send
+    whole series to a task, so exact positions are used, which cut up long series.
+    """
+    rows = known_rows(df, spec)
+    if k <= RANK_LIMIT:
+        newest = Window.partitionBy(*[F.col(c) for c in spec.keys] or [F.lit(0)]).orderBy(*[F.desc(c) for c in spec.order])
+        return rows.withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= k)
+    placed = with_positions(rows, spec, AT, LEN).withColumn("__r", (F.col(LEN) - F.col(AT)).cast("int"))
+    return placed.where(F.col("__r") <= k).drop(AT, LEN)
+
+
 def _last_value(spec: SeriesSpec) -> Column:
     return F.max_by(spec.target, F.struct(*spec.order))
 
@@ -43,9 +61,7 @@ def naive(df: DataFrame, spec: SeriesSpec, h: int, season: int = 1) -> DataFrame
 
 def seasonal_naive(df: DataFrame, spec: SeriesSpec, h: int, season: int = 7) -> DataFrame:
     """The last observation of the same phase; the last one of all where the series has no such phase."""
-    newest = Window.partitionBy(*[F.col(k) for k in spec.keys] or [F.lit(0)]).orderBy(*[F.desc(c) for c in spec.order])
-    # The rank filter keeps at most ``season`` rows per series and task before the shuffle.
-    tail = known_rows(df, spec).withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= season)
+    tail = newest_rows(df, spec, season)
     one = tail.groupBy(*spec.keys).agg(
         F.max(spec.ts).alias(LAST), F.map_from_entries(F.collect_list(F.struct("__r", spec.target))).alias("m")
     )

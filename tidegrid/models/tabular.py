@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.calendar import TIME_FEATURES
 from tidegrid.functions.grid import step_ahead
-from tidegrid.models.baseline import LAST, known_rows, over_steps
+from tidegrid.models.baseline import LAST, known_rows, newest_rows, over_steps
 from tidegrid.session import checkpointed
 from tidegrid.spec import SeriesSpec
 from tidegrid.splits import over_series
@@ -52,8 +52,7 @@ def _lag(y: str, k: int):
 
 def _recent(df: DataFrame, spec: SeriesSpec, lags: tuple[int, ...]) -> DataFrame:
     """Per series its newest values, newest first (as many as the largest lag), and its last date."""
-    newest = Window.partitionBy(*[F.col(k) for k in spec.keys] or [F.lit(0)]).orderBy(*[F.desc(c) for c in spec.order])
-    tail = known_rows(df, spec).withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= max(lags))
+    tail = newest_rows(df, spec, max(lags))
     values = F.transform(F.array_sort(F.collect_list(F.struct("__r", spec.target))), lambda s: s[spec.target])
     return tail.groupBy(*spec.keys).agg(F.max(spec.ts).alias(LAST), values.alias("__y"))
 
