@@ -58,7 +58,47 @@ def test_croston_by_hand(series_of):
     assert steps(got) == pytest.approx([size / gap, 0.0])
 
 
-@pytest.mark.parametrize("name", ["naive", "seasonal_naive", "average", "seasonal_average", "polytrend", "npts", "ses", "holt", "holt_winters", "theta", "croston", "adida", "stlf"])
+def _aggregated_by_hand(y, widths):
+    """Mean over the widths of the smoothed bucket sums, empty buckets included."""
+    out = []
+    for k in widths:
+        sums = [sum(y[i : i + k]) for i in range(len(y) % k, len(y), k)]
+        fits = []
+        for i, a in enumerate(smoothing.INTERMITTENT_ALPHAS):
+            level, sse = sums[0], 0.0
+            for v in sums[1:]:
+                sse += (v - level) ** 2
+                level += a * (v - level)
+            fits.append((round(sse, 9), i, level))
+        out.append(min(fits)[2] / k)
+    return sum(out) / len(out)
+
+
+def test_aggregated_demand_by_hand(series_of, rows_per_task):
+    rng = np.random.default_rng(3)
+    data = {str(i): [float(v) for v in rng.integers(1, 9, n) * (rng.random(n) < p)] for i, (n, p) in enumerate([(60, 0.2), (41, 0.5), (30, 0.1), (50, 0.9)])}
+    data |= {"late": [0.0] * 19 + [4.0], "early": [4.0] + [0.0] * 19, "none": [0.0] * 5, "all": [2.0] * 9}
+    want = {"adida": {}, "imapa": {}}
+    for k, y in data.items():
+        at = [-1, *(i for i, v in enumerate(y) if v)]
+        gaps = np.diff(at)
+        kmax = max(int(gaps.mean() + 0.5), 1) if len(gaps) else 0
+        want["adida"][k] = _aggregated_by_hand(y, [kmax]) if kmax else 0.0
+        want["imapa"][k] = _aggregated_by_hand(y, range(1, kmax + 1)) if kmax else 0.0
+    for n, ids in ((4_000_000, list(data)), (10, ["1", "late", "none"])):
+        df = series_of({k: days(data[k]) for k in ids})
+        with rows_per_task(n):
+            for name in want:
+                got = {r["item_id"]: r["yhat"] for r in registry.forecast(name, df, S, 1).collect()}
+                assert got == pytest.approx({k: want[name][k] for k in ids}), (name, n)
+
+
+def test_widths_of_a_single_demand_take_few_rows(series_of):
+    df = series_of({"a": days([0.0] * 400 + [3.0])})
+    assert smoothing._bucketed(df, S, True).count() == 401
+
+
+@pytest.mark.parametrize("name", ["naive", "seasonal_naive", "average", "seasonal_average", "polytrend", "npts", "ses", "holt", "holt_winters", "theta", "croston", "adida", "imapa", "stlf"])
 def test_long_series_cut_up_give_the_same_forecast(spark, rows_per_task, name):
     e = fr.event_series(spark, SF).groupBy("item_id", F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("ts")).agg(F.sum("y").alias("y"))
     spec = S.replace(freq="H")

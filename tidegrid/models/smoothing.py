@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from tidegrid.models.baseline import AT, LAST, LEN, known_rows, line_of, over_steps
 from tidegrid.operators.seasonal import decompose
 from tidegrid.spec import SeriesSpec
-from tidegrid.splits import BLOCK, POS, join_stats, measured, over_series, split, with_positions
+from tidegrid.splits import BLOCK, POS, hot_groups, join_stats, measured, over_series, parted, rows_per_task, split, with_positions
 
 # The parameter grids.
 ALPHAS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -266,33 +266,88 @@ def _ends(df: DataFrame, spec: SeriesSpec) -> DataFrame:
 
 
 def croston(df: DataFrame, spec: SeriesSpec, h: int, season: int = 1, alpha: float = 0.1) -> DataFrame:
-    """Croston: smoothed demand sizes over smoothed intervals; 0 for a series without demand."""
+    """Croston: smoothed demand sizes over smoothed intervals; 0 for a series without demand.
+
+    With a fixed alpha a smoothed level is a weighted sum, so one aggregate gives both.
+    """
     spec = measured(df, spec)
-    demand = _demand(df, spec)
-    sizes = fit_ses(demand, spec, (alpha,)).select(*spec.keys, F.col("level").alias("size"))
-    gaps = fit_ses(demand.withColumn(spec.target, F.col("__gap")), spec, (alpha,)).select(*spec.keys, F.col("level").alias("gap"))
-    one = join_stats(join_stats(_ends(df, spec), sizes, spec.keys), gaps, spec.keys)
+    demand = with_positions(_demand(df, spec), spec, "__i", "__n")
+    weight = F.when(F.col("__i") == 0, 1.0).otherwise(alpha) * F.pow(F.lit(1 - alpha), F.col("__n") - 1 - F.col("__i"))
+    levels = demand.groupBy(*spec.keys).agg(F.sum(weight * F.col(spec.target)).alias("size"), F.sum(weight * F.col("__gap")).alias("gap"))
+    one = join_stats(_ends(df, spec), levels, spec.keys)
     return over_steps(one, spec, h, F.coalesce(F.try_divide("size", "gap"), F.lit(0.0)))
 
 
 def _bucketed(df: DataFrame, spec: SeriesSpec, all_widths: bool) -> DataFrame:
     """Sums over ``k`` rows counted back from the end (an incomplete first bucket is dropped), for k equal to
-    the rounded mean interval between demands, or for every k up to it."""
-    y = spec.target
-    mean_gap = _demand(df, spec).groupBy(*spec.keys).agg(F.greatest(F.round(F.avg("__gap")), F.lit(1.0)).cast("int").alias("__kmax"))
-    rows = join_stats(with_positions(known_rows(df, spec), spec, AT, LEN), mean_gap, spec.keys, "inner")
+    the rounded mean interval between demands, ``__kmax``, or for every k up to it.
+
+    Only buckets with demand have a row: ``__order`` is the bucket's number from the oldest, ``__buckets`` how many there are.
+    A series of n rows has about n / __kmax demands, so all widths together take about n rows.
+    """
+    y, back = spec.target, F.col(LEN) - 1 - F.col(AT)
+    demand = _demand(df, spec)
+    mean_gap = demand.groupBy(*spec.keys).agg(F.greatest(F.round(F.avg("__gap")), F.lit(1.0)).cast("int").alias("__kmax"))
+    rows = join_stats(demand, mean_gap, spec.keys, "inner")
     widths = F.explode(F.sequence(F.lit(1), F.col("__kmax"))) if all_widths else F.col("__kmax")
-    rows = rows.withColumn("__k", widths)
-    back = F.floor((F.col(LEN) - 1 - F.col(AT)) / F.col("__k"))
-    sums = rows.withColumn("__back", back).groupBy(*spec.keys, "__k", "__back").agg(F.sum(y).alias(y), F.count(F.lit(1)).alias("__c"))
-    return sums.where(F.col("__c") == F.col("__k")).withColumn("__order", -F.col("__back"))
+    rows = rows.withColumn("__k", widths).withColumn("__buckets", F.floor(F.col(LEN) / F.col("__k")))
+    rows = rows.withColumn("__order", F.col("__buckets") - 1 - F.floor(back / F.col("__k"))).where("__order >= 0")
+    return rows.groupBy(*spec.keys, "__kmax", "__k", "__buckets", "__order").agg(F.sum(y).alias(y))
+
+
+def _sparse_levels(buckets: DataFrame, inner: SeriesSpec, alphas: tuple[float, ...]) -> DataFrame:
+    """Final level of simple smoothing over buckets of which only those with demand have a row.
+
+    m empty buckets after a level L leave L (1 - a)^m and add L^2 (1 - (1 - a)^2m) / (1 - (1 - a)^2) to the error sum.
+    Series with more such buckets than one array should hold get rows for the empty ones and are chained.
+    """
+    y, size = inner.target, min(rows_per_task(buckets.sparkSession), ARRAY_ROWS)
+    long = None if inner.longest is not None and inner.longest <= size else hot_groups(buckets, inner.keys, size)
+    hot, cold = parted(buckets, inner.keys, long) if long else (None, buckets)
+    arrays = cold.groupBy(*inner.keys).agg(F.max("__buckets").alias("__n"), F.array_sort(F.collect_list(F.struct("__order", F.col(y).alias("v")))).alias("__y"))
+    start = F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("sse"), F.lit(0).cast("long").alias("next"))
+
+    def fit(p: Column) -> Column:
+        stay = F.lit(1.0) - p["a"]
+
+        def empty(s: Column, until: Column) -> tuple[Column, Column]:
+            share = F.pow(stay, until - s["next"])
+            return s["l"] * share, s["sse"] + s["l"] * s["l"] * (1 - share * share) / (1 - stay * stay)
+
+        def step(s: Column, r: Column) -> Column:
+            ahead, sse = empty(s, r["__order"])
+            e, first = r["v"] - ahead, r["__order"] == 0
+            level, error = F.when(first, r["v"]).otherwise(ahead + p["a"] * e), F.when(first, 0.0).otherwise(sse + e * e)
+            return F.struct(level.alias("l"), error.alias("sse"), (r["__order"] + 1).alias("next"))
+
+        def finish(s: Column) -> Column:
+            level, sse = empty(s, F.col("__n"))
+            return F.struct(F.round(sse, 9).alias("k"), p["i"].alias("i"), level.alias("l"))
+
+        return F.aggregate("__y", start, step, finish)
+
+    options = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a")) for i, a in enumerate(alphas)])
+    levels = arrays.select(*inner.keys, F.array_min(F.transform(options, fit))["l"].alias("level"))
+    if hot is None:
+        return levels
+    beside = {"__next": lambda w: F.lead("__order").over(w), "__before": lambda w: F.lag("__order").over(w)}
+    at = F.sequence(F.col("__order"), F.coalesce(F.col("__next"), F.col("__buckets")) - 1)
+    # Empty buckets before the first demand change nothing, except that smoothing starts at zero.
+    at = F.when(F.col("__before").isNull() & (F.col("__order") > 0), F.concat(F.array(F.lit(0).cast("long")), at)).otherwise(at)
+    full = over_series(hot, inner, beside, before=1, after=1).withColumn("__at", F.explode(at))
+    value = F.when(F.col("__at") == F.col("__order"), F.col(y)).otherwise(0.0)
+    filled = full.select(*inner.keys, F.col("__at").alias("__order"), value.alias(y))
+    return levels.unionByName(fit_ses(filled, inner.replace(longest=None), alphas).select(*inner.keys, "level"))
 
 
 def _aggregated(df: DataFrame, spec: SeriesSpec, h: int, all_widths: bool) -> DataFrame:
-    inner = SeriesSpec(id=None, by=(*spec.keys, "__k"), ts="__order", target=spec.target, longest=spec.longest)
-    levels = fit_ses(_bucketed(df, spec, all_widths), inner, INTERMITTENT_ALPHAS)
-    one = levels.groupBy(*spec.keys).agg(F.avg(F.col("level") / F.col("__k")).alias("v"))
-    return over_steps(join_stats(_ends(df, spec), one, spec.keys), spec, h, F.coalesce(F.col("v"), F.lit(0.0)))
+    inner = SeriesSpec(id=None, by=(*spec.keys, "__kmax", "__k"), ts="__order", target=spec.target, longest=spec.longest)
+    levels = _sparse_levels(_bucketed(df, spec, all_widths), inner, INTERMITTENT_ALPHAS)
+    # A width without demand in its complete buckets has the level 0.
+    widths = F.max("__kmax") if all_widths else F.lit(1)
+    one = levels.groupBy(*spec.keys).agg((F.sum(F.col("level") / F.col("__k")) / widths).alias("v"))
+    # Rounded, so that the order of the arithmetic does not show.
+    return over_steps(join_stats(_ends(df, spec), one, spec.keys), spec, h, F.coalesce(F.round("v", 12), F.lit(0.0)))
 
 
 def adida(df: DataFrame, spec: SeriesSpec, h: int, season: int = 1) -> DataFrame:
