@@ -314,3 +314,29 @@ def test_newest_rows_are_the_same_by_rank_and_by_position(spark, monkeypatch, ro
     for n in (4_000_000, 40):
         with rows_per_task(n):
             assert (table(baseline.newest_rows(df, S, 5)), table(baseline.seasonal_naive(df, S, 9, 5))) == by_rank
+
+
+def test_regressions_use_statics_and_holidays(spark, series_of):
+    rng = np.random.default_rng(1)
+    noise = {k: [float(v) for v in 10 * (k in "cd") + rng.normal(0, 3, 60)] for k in "abcd"}
+    df = series_of({k: days(y) for k, y in noise.items()}).withColumn("kind", F.when(F.col("item_id") < "c", "low").otherwise("high")).withColumn("size", F.lit(1))
+
+    def error(spec):
+        got = {(r["item_id"], r["step"]): r["yhat"] for r in tabular.tabular(df, spec, 5, "linear").collect()}
+        assert len(got) == 20
+        return np.mean([abs(v - 10 * (k in "cd")) for (k, _), v in got.items()])
+
+    assert error(S.replace(statics=("kind", "size", "absent", "ts"))) < 0.8 * error(S)
+    bumps = [((dt.datetime(2021, 1, 1) + dt.timedelta(days=i)), i) for i in range(850)]
+    off = {(1, d) for d in range(1, 9)} | {(2, 23), (3, 8), (5, 1), (5, 9), (6, 12), (11, 4)}
+    df = series_of({"a": [(t.isoformat(), 50.0 if (t.month, t.day) in off else 10.0 + i % 3) for t, i in bumps]})
+    got = {r["ts"]: r["yhat"] for r in tabular.tabular(df, S.replace(holidays=True), 15, "linear", strategy="direct").collect()}
+    holidays = {t: v for t, v in got.items() if (t.month, t.day) in off}
+    assert len(holidays) == 2 and min(holidays.values()) > 35 and max(v for t, v in got.items() if t not in holidays) < 20
+
+
+def test_a_run_hands_statics_to_its_regressions(series_of):
+    df = series_of({"a": LINE, "b": SEASON, "short": days([1.0, 9.0])}).withColumn("kind", F.upper("item_id"))
+    p = RunParams("ts", "y", "item_id", "MAE", frequency="D", prediction_length=2, static_feature_columns=("kind",), use_russian_holidays=True, models_to_train=("ridge", "naive"), pycaret_models=("snaive",))
+    got = forecast.run(df, p)
+    assert got.predictions.where("y IS NOT NULL AND kind = upper(item_id)").count() == 6 and got.leaderboard.count() == 4

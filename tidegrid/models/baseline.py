@@ -16,8 +16,16 @@ from tidegrid.splits import join_stats, running_sums, with_positions
 LAST, AT, LEN = "__last", "__at", "__len"
 
 
-def known_rows(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    return df.select(*spec.keys, *spec.order, F.col(spec.target).cast("double").alias(spec.target)).where(F.col(spec.target).isNotNull())
+def known_rows(df: DataFrame, spec: SeriesSpec, extra: list[str] | None = None) -> DataFrame:
+    """Keys, order, target and ``extra`` columns of the rows with a target."""
+    value = F.col(spec.target).cast("double").alias(spec.target)
+    return df.select(*spec.keys, *spec.order, value, *[F.col(f"`{c}`") for c in extra or []]).where(F.col(spec.target).isNotNull())
+
+
+def statics_in(df: DataFrame, spec: SeriesSpec) -> list[str]:
+    """The static columns that ``df`` has besides keys, order and target."""
+    taken = {*spec.keys, *spec.order, spec.target}
+    return [c for c in dict.fromkeys(spec.statics) if c in df.columns and c not in taken]
 
 
 def over_steps(per_series: DataFrame, spec: SeriesSpec, h: int, yhat: Column) -> DataFrame:
@@ -35,13 +43,13 @@ def future_grid(df: DataFrame, spec: SeriesSpec, h: int) -> DataFrame:
 RANK_LIMIT = 1000
 
 
-def newest_rows(df: DataFrame, spec: SeriesSpec, k: int) -> DataFrame:
+def newest_rows(df: DataFrame, spec: SeriesSpec, k: int, extra: list[str] | None = None) -> DataFrame:
     """The last ``k`` known rows of each series, with ``__r`` counting from 1 at the last.
 
     Up to ``RANK_LIMIT`` a rank filter leaves at most k rows per series and task before the shuffle; beyond, Spark would send
     whole series to a task, so exact positions are used, which cut up long series.
     """
-    rows = known_rows(df, spec)
+    rows = known_rows(df, spec, extra)
     if k <= RANK_LIMIT:
         newest = Window.partitionBy(*[F.col(c) for c in spec.keys] or [F.lit(0)]).orderBy(*[F.desc(c) for c in spec.order])
         return rows.withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= k)

@@ -1,18 +1,24 @@
-"""Regression on lags and calendar, one model for all series (MLlib)."""
+"""Regression on lags, calendar, holidays and static columns, one model for all series (MLlib).
+
+Static columns (``spec.statics``) are hashed into ``STATIC_BUCKETS`` features: numbers keep their value, anything else is one
+feature per value. So a column may have any number of values, and none is gathered on the driver; values may share a feature.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidegrid.functions.calendar import TIME_FEATURES
+from tidegrid.functions.calendar import TIME_FEATURES, is_fixed_holiday
 from tidegrid.functions.grid import step_ahead
-from tidegrid.models.baseline import LAST, known_rows, newest_rows, over_steps
+from tidegrid.models.baseline import LAST, known_rows, newest_rows, over_steps, statics_in
 from tidegrid.session import checkpointed
 from tidegrid.spec import SeriesSpec
 from tidegrid.splits import over_series
@@ -28,22 +34,51 @@ REGRESSORS = {
 }
 LAGS = (1, 2, 3, 7)
 CALENDAR = ("dayofweek", "month", "day")
+STATIC_BUCKETS = 64
+
+
+def _calendar(ts: Column, spec: SeriesSpec) -> list[Column]:
+    parts = [TIME_FEATURES[n](ts).cast("double").alias(f"c_{n}") for n in CALENDAR]
+    return [*parts, F.coalesce(is_fixed_holiday(ts), F.lit(False)).cast("double").alias("c_holiday")] if spec.holidays else parts
+
+
+@dataclass(frozen=True)
+class Features:
+    """Turns rows with lags ``l1, ...``, calendar parts ``c_...`` and static columns ``__s_...`` into feature vectors."""
+
+    lags: tuple[int, ...]
+    calendar: tuple[str, ...]
+    statics: tuple[str, ...]
 
+    @staticmethod
+    def of(df: DataFrame, spec: SeriesSpec, lags: tuple[int, ...]) -> Features:
+        return Features(lags, (*CALENDAR, "holiday") if spec.holidays else CALENDAR, tuple(statics_in(df, spec)))
 
-def _calendar(ts: Column) -> list[Column]:
-    return [TIME_FEATURES[n](ts).cast("double").alias(f"c_{n}") for n in CALENDAR]
+    @property
+    def carried(self) -> list[str]:
+        return [f"__s_{i}" for i in range(len(self.statics))]
 
+    def prepared(self, df: DataFrame) -> DataFrame:
+        """``df`` with the static columns as numbers or texts under the names that the features use."""
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        casts = {s: "double" if isinstance(kinds[c], T.NumericType) else "string" for s, c in zip(self.carried, self.statics, strict=True)}
+        return df.withColumns({s: F.col(f"`{c}`").cast(casts[s]) for s, c in zip(self.carried, self.statics, strict=True)})
 
-def _assembler(lags: tuple[int, ...]) -> VectorAssembler:
-    return VectorAssembler(inputCols=[f"l{k}" for k in lags] + [f"c_{n}" for n in CALENDAR], outputCol="features", handleInvalid="skip")
+    def transform(self, rows: DataFrame) -> DataFrame:
+        inputs = [f"l{k}" for k in self.lags] + [f"c_{n}" for n in self.calendar]
+        if self.statics:
+            rows = FeatureHasher(inputCols=self.carried, outputCol="__statics", numFeatures=STATIC_BUCKETS).transform(rows)
+            inputs.append("__statics")
+        return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip").transform(rows)
 
 
 def training_rows(df: DataFrame, spec: SeriesSpec, lags: tuple[int, ...] = LAGS, ahead: int = 1) -> DataFrame:
-    """Rows ``(keys, features..., label)``: the target, its values ``ahead - 1 + k`` rows back, its date."""
-    rows = known_rows(df, spec)
+    """Rows ``(keys, features..., label)``: the target, its values ``ahead - 1 + k`` rows back, its date, its series' statics."""
+    kind = Features.of(df, spec, lags)
+    rows = known_rows(kind.prepared(df), spec, kind.carried)
     back = {f"l{k}": _lag(spec.target, k + ahead - 1) for k in lags}
     rows = over_series(rows, spec, back, before=max(lags) + ahead - 1)
-    return rows.select(*spec.keys, *back, *_calendar(F.col(spec.ts)), F.col(spec.target).alias("label")).na.drop(subset=list(back))
+    return rows.select(*spec.keys, *back, *kind.carried, *_calendar(F.col(spec.ts), spec), F.col(spec.target).alias("label")).na.drop(subset=list(back))
 
 
 def _lag(y: str, k: int):
@@ -51,10 +86,12 @@ def _lag(y: str, k: int):
 
 
 def _recent(df: DataFrame, spec: SeriesSpec, lags: tuple[int, ...]) -> DataFrame:
-    """Per series its newest values, newest first (as many as the largest lag), and its last date."""
-    tail = newest_rows(df, spec, max(lags))
+    """Per series its newest values, newest first (as many as the largest lag), its last date and its statics."""
+    kind = Features.of(df, spec, lags)
+    tail = newest_rows(kind.prepared(df), spec, max(lags), kind.carried)
+    statics = [F.max_by(c, F.struct(*spec.order)).alias(c) for c in kind.carried]
     values = F.transform(F.array_sort(F.collect_list(F.struct("__r", spec.target))), lambda s: s[spec.target])
-    return tail.groupBy(*spec.keys).agg(F.max(spec.ts).alias(LAST), values.alias("__y"))
+    return tail.groupBy(*spec.keys).agg(F.max(spec.ts).alias(LAST), values.alias("__y"), *statics)
 
 
 def tabular(
@@ -82,9 +119,9 @@ def tabular(
     return one(df, spec, h, regressor, lags) if out is None else out
 
 
-def _fit(regressor: str, assembler: VectorAssembler, rows: DataFrame):
+def _fit(regressor: str, kind: Features, rows: DataFrame):
     """A fitted model, or None where no row has all lags. The rows are kept for the passes of the fit."""
-    rows = assembler.transform(rows).select("features", "label").persist(StorageLevel.DISK_ONLY)
+    rows = kind.transform(rows).select("features", "label").persist(StorageLevel.DISK_ONLY)
     try:
         return None if rows.isEmpty() else REGRESSORS[regressor]().fit(rows)
     finally:
@@ -99,18 +136,18 @@ def _split(df: DataFrame, spec: SeriesSpec, h: int, lags: tuple[int, ...]) -> tu
 
 
 def _recursive(df: DataFrame, spec: SeriesSpec, h: int, regressor: str, lags: tuple[int, ...]) -> DataFrame:
-    assembler = _assembler(lags)
+    kind = Features.of(df, spec, lags)
     state, short = _split(df, spec, h, lags)
-    model = _fit(regressor, assembler, training_rows(df, spec, lags))
+    model = _fit(regressor, kind, training_rows(df, spec, lags))
     if model is None:
         return short.unionByName(over_steps(state, spec, h, F.col("__y")[0]))
     state = checkpointed(state.withColumn("__out", F.array().cast("array<double>")))
     for step in range(1, h + 1):
         at = step_ahead(F.col(LAST), F.lit(step), spec.freq)
-        wide = state.select("*", *[F.col("__y")[k - 1].alias(f"l{k}") for k in lags], *_calendar(at))
-        scored = model.transform(assembler.transform(wide))
+        wide = state.select("*", *[F.col("__y")[k - 1].alias(f"l{k}") for k in lags], *_calendar(at, spec))
+        scored = model.transform(kind.transform(wide))
         newest = F.slice(F.concat(F.array("prediction"), "__y"), 1, max(lags))
-        state = scored.select(*spec.keys, LAST, newest.alias("__y"), F.concat("__out", F.array("prediction")).alias("__out"))
+        state = scored.select(*spec.keys, LAST, *kind.carried, newest.alias("__y"), F.concat("__out", F.array("prediction")).alias("__out"))
         if step % 5 == 0:
             state = checkpointed(state)
     steps = state.select(*spec.keys, LAST, F.posexplode("__out").alias("__i", "yhat")).withColumn("step", F.col("__i") + 1)
@@ -118,12 +155,12 @@ def _recursive(df: DataFrame, spec: SeriesSpec, h: int, regressor: str, lags: tu
 
 
 def _direct(df: DataFrame, spec: SeriesSpec, h: int, regressor: str, lags: tuple[int, ...]) -> DataFrame:
-    assembler = _assembler(lags)
+    kind = Features.of(df, spec, lags)
     state, out = _split(df, spec, h, lags)
     for step in range(1, h + 1):
-        model = _fit(regressor, assembler, training_rows(df, spec, lags, step))
+        model = _fit(regressor, kind, training_rows(df, spec, lags, step))
         at = step_ahead(F.col(LAST), F.lit(step), spec.freq)
-        wide = state.select("*", *[F.col("__y")[k - 1].alias(f"l{k}") for k in lags], *_calendar(at), at.alias("__at"))
-        scored = model.transform(assembler.transform(wide)) if model else wide.withColumn("prediction", F.col("__y")[0])
+        wide = state.select("*", *[F.col("__y")[k - 1].alias(f"l{k}") for k in lags], *_calendar(at, spec), at.alias("__at"))
+        scored = model.transform(kind.transform(wide)) if model else wide.withColumn("prediction", F.col("__y")[0])
         out = out.unionByName(scored.select(*spec.keys, F.lit(step).alias("step"), F.col("__at").alias(spec.ts), F.col("prediction").alias("yhat")))
     return out

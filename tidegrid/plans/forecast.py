@@ -100,7 +100,7 @@ def run(df: DataFrame, params: RunParams, folds: int = 3, calendar: DataFrame |
 
 
 def _predict(ready: Prepared, params: RunParams, spec: SeriesSpec, h: int, season: int, folds: int) -> RunResult:
-    panel, metric = ready.panel, params.evaluation_metric
+    panel, metric = _with_statics(ready, spec), params.evaluation_metric
     spec = measured(panel, spec)
     shared, own = resolve(params.models_to_train), resolve(params.pycaret_models)
     if not shared and not own:
@@ -147,6 +147,14 @@ def _predict(ready: Prepared, params: RunParams, spec: SeriesSpec, h: int, seaso
     return RunResult(out, board, per_series, weights, ready.messages)
 
 
+def _with_statics(ready: Prepared, spec: SeriesSpec) -> DataFrame:
+    """The panel with each series' statics on all its rows, for models that use them."""
+    if ready.statics is None:
+        return ready.panel
+    names = [c for c in spec.statics if c in ready.statics.columns and c not in (spec.id, spec.ts, spec.target)]
+    return checkpointed(join_stats(ready.panel.drop(*names), ready.statics.select(spec.id, *names), [spec.id])) if names else ready.panel
+
+
 def _weighted(tested: DataFrame, weights: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Backtest rows of the ensemble: the weighted mean of its members' rows."""
     on = ["fold", *spec.keys, "step", "y", "scale_abs", "scale_sq"]

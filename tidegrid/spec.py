@@ -12,7 +12,8 @@ class SeriesSpec:
 
     ``by`` holds further key columns (a fold number, a sample label). ``ties`` orders rows that share a
     timestamp, for tables that are not unique on (key, timestamp). ``id=None`` means one single series.
-    ``longest`` is an upper bound of the rows of any series, if known; it spares the operators from measuring.
+    ``statics`` are columns with one value per series and ``holidays`` asks for the fixed public holidays, both as features of the
+    regressions. ``longest`` is an upper bound of the rows of any series, if known; it spares the operators from measuring.
     """
 
     id: str | None = "item_id"
@@ -22,6 +23,7 @@ class SeriesSpec:
     ties: tuple[str, ...] = ()
     freq: str = "D"
     statics: tuple[str, ...] = ()
+    holidays: bool = False
     longest: int | None = None
 
     @property
@@ -65,6 +67,7 @@ class RunParams:
             target=self.target_column,
             freq=freq_code(self.frequency) or "D",
             statics=tuple(self.static_feature_columns),
+            holidays=self.use_russian_holidays,
         )
 
     def to_json(self) -> str:
