@@ -313,7 +313,11 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
 
 def keep_one(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that with the smallest id, of repeated rows any."""
-    found = rooted_documents(docs, distance, shingle, seed, id_col, text_col)
+    return keep_least(docs, rooted_documents(docs, distance, shingle, seed, id_col, text_col), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the row of the smallest id of each root; ``found`` has doc, text_hash and root of every row."""
     chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull(), F.col("doc").alias("i"), F.col("text_hash").alias("h"))).alias("s")).select("s.i", "s.h")
     name = unused(docs, "text_hash")
     hashed = docs.withColumn(name, F.xxhash64(F.col(text_col)))
