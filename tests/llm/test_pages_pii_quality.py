@@ -128,3 +128,11 @@ def test_quality_rows(spark):
     assert got == [(0, 0, True, False), (1, 80, False, True), (1, 80, False, True), (2, 1, True, False), (3, 0, True, False), (4, 180, True, False), (5, 160, True, False)]
     assert [tuple(r) for r in keep_good(docs).collect()] == [(1, good, 1), (1, good, 1)]
     assert keep_good(docs.where("doc_id > 9")).count() == 0
+
+
+def test_covered_share_decides_alone(spark):
+    other, passage = [f"w{i}" for i in range(180)], [f"p{i}" for i in range(60)]
+    text = " ".join([*passage, *other, *passage])
+    docs = spark.createDataFrame([(1, text), (2, " ".join([*passage[:30], *other, *passage[:30]]))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.base_failed, r.longest_repeat, r.n_covered_words, r.kept) for r in quality_rules(docs).collect())
+    assert got == [(1, False, 60, 120, False), (2, False, 30, 60, True)]

@@ -159,11 +159,16 @@ def measures_column(text: Column, min_words: int) -> Column:
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds. A repeat counts from ``min_words`` words on."""
+    """Thresholds. A repeat counts from ``min_words`` words on.
+
+    Words covered by repeats also lie in three-word windows that occur twice, so ``max_covered`` decides below the base
+    rules' half only. It is fixed against the labels of 20,000 documents of ``check_s``: among labelled documents that pass
+    the base rules, more than a quarter is covered in 4 of 510 bad ones and 19 of 6,520 good ones, more than a fifth in 4 and 36.
+    """
 
     min_length: int = 50
     min_words: int = 10
-    max_covered: float = 0.5
+    max_covered: float = 0.25
     max_longest: int = 100
     long_share: float = 0.2
 
