@@ -37,6 +37,22 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<h1>Title</h1>\n<div class=ad>\n <p>Buy</p>\n</div>\n<p>{PARAGRAPH}</p>", f"Title\n\n{PARAGRAPH}"),
+        (f"<p>{PARAGRAPH}</p>\n<table>\n<tbody>\n<tr>\n<td>Cell</td>\n</tr>\n</tbody>\n</table>\n<p>Short end.</p>", f"{PARAGRAPH}\n\nCell\n\nShort end."),
+        (f"<h1>Title</h1><div class=ad>Buy</div><div class=promo>Now</div><p>{PARAGRAPH}</p>", f"Title\n\n{PARAGRAPH}"),
+        (f"<article>\n <h1>Title</h1>\n <div class=ad>\n  <p>Buy</p>\n </div>\n <aside>x</aside>\n <p>{PARAGRAPH}</p>\n</article>", f"Title\n\n{PARAGRAPH}"),
+        ("<main><p>One.</p>\n<div class=ad>x</div>\n<div class=ad>y</div>\n<p>Two.</p></main>", "One.\n\nTwo."),
+        (f"<article class='post social share'><p>{PARAGRAPH}</p></article>", PARAGRAPH),
+        (f"<div class='page has-sidebar no-comments'><p>{PARAGRAPH}</p><div class='has-text sidebar'>side</div></div>", PARAGRAPH),
+    ],
+)
+def test_article_lines_are_kept_whole(html, text):
+    assert main_text(html) == text
+
+
 def test_pages_match_their_articles(spark):
     import html as entities
 

@@ -2,13 +2,14 @@
 
 Markup is stripped in one pass over the tags. Each block element begins a new line; what is never part of an article
 (scripts, styles, forms, menus, headers, footers, sidebars, and elements whose class, id or role names an advert, a notice
-or comments) leaves an empty line instead of its text, and lines that mostly consist of links count as empty. If the page
-marks an article or main element, only its lines count.
+or comments) is left out. Names that only say what an element has or lacks (``has-sidebar``) do not count, nor do
+those of an article or main element. If the page marks one of these, all lines in it are the text.
 
-The length of text in ``WINDOW`` consecutive lines then rises at the beginning of the main text and falls at its end. A
-surge point is a line whose window holds ``surge`` characters or more with text before it being absent; a dive point is a
-line after which a whole window is empty. All lines between a surge and the next dive are kept, short ones included. A page
-whose text nowhere surges keeps the densest stretch instead, so that a short article is still found.
+Otherwise lines that mostly consist of links count as empty; lines without text, which come from tags and what was left out,
+are no lines at all. The length of text in ``WINDOW`` consecutive lines rises at the beginning of the main text and
+falls at its end. A surge point is a line whose window holds ``surge`` characters or more with text before it being absent;
+a dive point is a line after which a whole window is empty. All lines between a surge and the next dive are kept, short
+ones included. A page whose text nowhere surges keeps the densest stretch instead, so that a short article is still found.
 
 Character references are decoded once, white space inside a block becomes one space, blocks are joined by an empty
 line. Null and empty pages, and pages without text, give an empty text. Pages are independent rows: repeated ones each get
@@ -46,6 +47,8 @@ UNWANTED = re.compile(
     r"comments?|disqus|replies|respond|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|related|recommended|share|sharing|social|"
     r"toolbar|pagination|pager|widgets?|complementary|contentinfo|search|login|signup)(?:$|[\s_-])"
 )
+#: Names that say what an element has or lacks, not what it is.
+MODIFIER = re.compile(r"(?i)(?:^|(?<=\s))(?:has|have|no|not|with|without)[_-]\S*")
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z))", re.DOTALL)
 _NAMED = re.compile(r"""(?i)(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -64,10 +67,10 @@ class Line:
         return " ".join(entities.unescape("".join(self.parts)).split())
 
 
-def _unwanted(attributes: str) -> bool:
-    if not attributes or "=" not in attributes:
+def _unwanted(name: str, attributes: str) -> bool:
+    if not attributes or "=" not in attributes or name in ARTICLE:
         return bool(attributes) and bool(_HIDDEN.search(attributes))
-    if any(UNWANTED.search(value) for found in _NAMED.findall(attributes) for value in found if value):
+    if any(UNWANTED.search(MODIFIER.sub(" ", value)) for found in _NAMED.findall(attributes) for value in found if value):
         return True
     return bool(_HIDDEN.search(attributes))
 
@@ -99,7 +102,6 @@ def to_lines(html: str) -> tuple[list[Line], bool]:
             articles -= name in ARTICLE
             if dropped_at and len(stack) < dropped_at:
                 dropped_at = 0
-                lines.append(Line([], 0, articles > 0))  # where something was dropped stands an empty line
                 lines.append(Line([], 0, articles > 0))
 
     for m in iter(lambda: _TAG.search(html, at), None):
@@ -136,7 +138,7 @@ def to_lines(html: str) -> tuple[list[Line], bool]:
         articles += name in ARTICLE
         if name in ARTICLE:
             cut()
-        if not dropped_at and name not in ("html", "body") and (name in OUTSIDE and not (name == "header" and articles) or _unwanted(m[3])):
+        if not dropped_at and name not in ("html", "body") and (name in OUTSIDE and not (name == "header" and articles) or _unwanted(name, m[3])):
             cut()
             dropped_at = len(stack)
     take(html[at:])
@@ -148,10 +150,10 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     if not html:
         return ""
     lines, marked = to_lines(html)
-    texts = []
-    for line in lines:
-        text = line.text() if (line.inside or not marked) and line.parts else ""
-        texts.append("" if not marked and 2 * line.linked > len(text) else text)
+    read = [(line.text(), line.linked) for line in lines if (line.inside or not marked) and line.parts]
+    if marked:
+        return "\n\n".join(text for text, _ in read if text)
+    texts = ["" if 2 * linked > len(text) else text for text, linked in read if text]
     lengths = [len(t) for t in texts]
     kept: list[str] = []
     densest: tuple[int, list[str]] = (0, [])
