@@ -340,3 +340,12 @@ def test_a_run_hands_statics_to_its_regressions(series_of):
     p = RunParams("ts", "y", "item_id", "MAE", frequency="D", prediction_length=2, static_feature_columns=("kind",), use_russian_holidays=True, models_to_train=("ridge", "naive"), pycaret_models=("snaive",))
     got = forecast.run(df, p)
     assert got.predictions.where("y IS NOT NULL AND kind = upper(item_id)").count() == 6 and got.leaderboard.count() == 4
+
+
+def test_hashed_statics_follow_their_values(spark):
+    from tidegrid.models.tabular import Features
+
+    df = spark.createDataFrame([(f"shop {i}", 1.0, 2.0) for i in range(200)], "kind string, size double, l1 double")
+    kind = Features((1,), (), ("kind", "size")).sized(df)
+    rows = kind.transform(kind.prepared(df)).select("features").collect()
+    assert len({r.features for r in rows}) > 150  # 64 features tell 64 values apart at most

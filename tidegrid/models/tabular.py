@@ -1,12 +1,12 @@
 """Regression on lags, calendar, holidays and static columns, one model for all series (MLlib).
 
-Static columns (``spec.statics``) are hashed into ``STATIC_BUCKETS`` features: numbers keep their value, anything else is one
-feature per value. So a column may have any number of values, and none is gathered on the driver; values may share a feature.
+Static columns (``spec.statics``) are hashed into ``STATIC_BUCKETS`` features, or more as their distinct values grow: numbers keep
+their value, anything else is one feature per value. So a column may have any number of values, and none is gathered on the driver; values may share a feature.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -34,7 +34,8 @@ REGRESSORS = {
 }
 LAGS = (1, 2, 3, 7)
 CALENDAR = ("dayofweek", "month", "day")
-STATIC_BUCKETS = 64
+#: The least number of hashed features, and features to each distinct value.
+STATIC_BUCKETS, ROOM = 64, 8
 
 
 def _calendar(ts: Column, spec: SeriesSpec) -> list[Column]:
@@ -49,11 +50,21 @@ class Features:
     lags: tuple[int, ...]
     calendar: tuple[str, ...]
     statics: tuple[str, ...]
+    buckets: int = STATIC_BUCKETS
 
     @staticmethod
     def of(df: DataFrame, spec: SeriesSpec, lags: tuple[int, ...]) -> Features:
         return Features(lags, (*CALENDAR, "holiday") if spec.holidays else CALENDAR, tuple(statics_in(df, spec)))
 
+    def sized(self, df: DataFrame) -> Features:
+        """With as many hashed features as the static columns' values in ``df`` ask for: a power of two, ``ROOM`` to a value or more."""
+        if not self.statics:
+            return self
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        texts = [F.approx_count_distinct(F.col(f"`{c}`")) for c in self.statics if not isinstance(kinds[c], T.NumericType)]
+        values = len(self.statics) - len(texts) + (sum(df.agg(*texts).first()) if texts else 0)
+        return replace(self, buckets=max(STATIC_BUCKETS, 1 << (ROOM * values - 1).bit_length()))
+
     @property
     def carried(self) -> list[str]:
         return [f"__s_{i}" for i in range(len(self.statics))]
@@ -67,7 +78,7 @@ class Features:
     def transform(self, rows: DataFrame) -> DataFrame:
         inputs = [f"l{k}" for k in self.lags] + [f"c_{n}" for n in self.calendar]
         if self.statics:
-            rows = FeatureHasher(inputCols=self.carried, outputCol="__statics", numFeatures=STATIC_BUCKETS).transform(rows)
+            rows = FeatureHasher(inputCols=self.carried, outputCol="__statics", numFeatures=self.buckets).transform(rows)
             inputs.append("__statics")
         return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip").transform(rows)
 
@@ -136,7 +147,7 @@ def _split(df: DataFrame, spec: SeriesSpec, h: int, lags: tuple[int, ...]) -> tu
 
 
 def _recursive(df: DataFrame, spec: SeriesSpec, h: int, regressor: str, lags: tuple[int, ...]) -> DataFrame:
-    kind = Features.of(df, spec, lags)
+    kind = Features.of(df, spec, lags).sized(df)
     state, short = _split(df, spec, h, lags)
     model = _fit(regressor, kind, training_rows(df, spec, lags))
     if model is None:
@@ -155,7 +166,7 @@ def _recursive(df: DataFrame, spec: SeriesSpec, h: int, regressor: str, lags: tu
 
 
 def _direct(df: DataFrame, spec: SeriesSpec, h: int, regressor: str, lags: tuple[int, ...]) -> DataFrame:
-    kind = Features.of(df, spec, lags)
+    kind = Features.of(df, spec, lags).sized(df)
     state, out = _split(df, spec, h, lags)
     for step in range(1, h + 1):
         model = _fit(regressor, kind, training_rows(df, spec, lags, step))
