@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from tidegrid.llm.bpe_stream import encode_decode
 from tidegrid.llm.common import table
 from tidegrid.llm.decontaminate import drop_contaminated
-from tidegrid.llm.near_copies import keep_one_similar
 from tidegrid.llm.pii import mask_pii
 from tidegrid.llm.quality_rules import keep_good
+from tidegrid.llm.simhash import keep_one
 from tidegrid.session import shared_folder
 
 
@@ -28,9 +28,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs)
 
 
-def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word similarity of 0.8 or more): the one with the smallest id."""
-    return keep_one_similar(docs)
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by fingerprints of four-word shingles at four or fewer differing bits: that with the smallest id."""
+    return keep_one(docs, distance=4, shingle=4)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality_rules", quality_stage),
-    ("near_copies", near_copies_stage),
+    ("simhash", simhash_stage),
     ("decontamination", decontamination_stage),
     ("pii", pii_stage),
     ("tokens", tokens_stage),
