@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from pyspark.sql import functions as F
+
 from tidegrid.llm.bpe_stream import digests, encode_decode
+from tidegrid.llm.chat_format import conversation_digests, format_conversations, read_back
 from tidegrid.llm.common import table
 from tidegrid.llm.decontaminate import contamination
 from tidegrid.llm.html_text import extract_pages
 from tidegrid.llm.language_id import identify
 from tidegrid.llm.lm_score import pseudo_likelihood
+from tidegrid.llm.periodic_runs import periodic_runs, run_digests
+from tidegrid.llm.phrases import collocations
 from tidegrid.llm.pii import counts_and_hashes, find_pii
 from tidegrid.llm.quality_rules import quality_rules
 from tidegrid.llm.simhash import near_duplicates
@@ -51,6 +56,54 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
     sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+_CONTROL = r"""<\\*/?s>|\[\\*/?(ROLE|INST|SYS)\]"""
+_CHAT = f"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+e AS (
+    SELECT *, length(text) + len(regexp_extract_all(text, '{_CONTROL}')) AS shown,
+        CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 11 WHEN 'assistant' THEN 4
+            ELSE 17 + length(role) + len(regexp_extract_all(role, '{_CONTROL}')) END AS marks,
+        CASE WHEN role = 'assistant' THEN text ELSE '' END AS learned
+    FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    CAST(sum(length(learned)) AS BIGINT) AS loss_chars, sha256(string_agg(learned, '' ORDER BY turn)) AS loss_sha256,
+    CAST(3 + sum(shown + marks) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+_PHRASES = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+    SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+    FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m)
+),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+cuts AS (
+    SELECT lang, phrase, a, m, k, array_to_string(list_slice(p, 1, k), ' ') AS first, array_to_string(list_slice(p, k + 1, m), ' ') AS rest
+    FROM (SELECT lang, phrase, a, m, string_split(phrase, ' ') AS p, unnest(range(1, m)) AS k FROM f WHERE m > 1)
+),
+scores AS (
+    SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, n.n,
+        (1000::HUGEINT * c.a * n.n) // (x.a::HUGEINT * y.a) AS score
+    FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.phrase = c.rest JOIN n ON n.lang = c.lang
+),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM scores) WHERE o = 1),
+kept AS (
+    SELECT * FROM best b WHERE NOT EXISTS (
+        SELECT 1 FROM f g WHERE g.lang = b.lang AND g.m > len(string_split(b.phrase, ' ')) AND g.a >= b.a
+            AND contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' ')
+    )
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
+"""
 
 
 @query()
@@ -102,3 +155,40 @@ def op5_suffix_dedup(spark, sf):
 @query()
 def op9_lm_score(spark, sf):
     return pseudo_likelihood(table(spark, sf, "documents"))
+
+
+@query(_CHAT)
+def op11_chat_format(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], turns.schema)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return conversation_digests(read_back(format_conversations(turns.union(more), path), path))
+
+
+def with_planted_periods(docs):
+    """``docs`` with the words from one place on replaced by a cycle of the first of them, in every tenth document by the checksum of its id."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def cycled(words):  # a lambda's argument, so that the text is split once
+        n = F.size(words)
+        a = (g % F.greatest(n, F.lit(1))).cast("int")
+        p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+        rest = F.slice(words, a + 1, n - a)
+        cycles = F.flatten(F.array_repeat(F.slice(rest, 1, p), (F.floor((n - a) / p) + 1).cast("int")))
+        return F.array_join(F.concat(F.slice(words, 1, a), F.slice(cycles, 1, n - a)), " ")
+
+    words = F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "")
+    return docs.withColumn("text", F.when(h % 10 == 0, F.transform(F.array(words), cycled)[0]).otherwise(F.col("text")))
+
+
+@query()
+def op12_periodic_runs(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return run_digests(periodic_runs(with_planted_periods(docs)))
+
+
+@query(_PHRASES)
+def op13_phrase_collocations(spark, sf):
+    return collocations(table(spark, sf, "documents"))
