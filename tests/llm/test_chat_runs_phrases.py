@@ -263,7 +263,7 @@ def made_rows():
 def test_collocations_equal_brute_force(spark, monkeypatch, least, longest, small):
     rows = made_rows() if least > 1 else made_rows()[::9]
     if small:  # blocks, chunks, remembered words and bitmaps of small size, and crowded beginnings: the same result
-        for name, value in (("BLOCK", 7), ("CHUNK", 40), ("REMEMBERED", 5), ("LEAST_BITS", 64), ("MOST_BITS", 64)):
+        for name, value in (("BLOCK", 7), ("CHUNK", 40), ("REMEMBERED", 5), ("LEAST_BITS", 64), ("MOST_BITS", 64), ("PART", 50)):
             monkeypatch.setattr(phrases, name, value)
         monkeypatch.setattr(phrases.sorted_counts, "__defaults__", (3,))
     docs = spark.createDataFrame([(*x, "clash") for x in rows], "lang string, text string, phrase string").repartition(3)

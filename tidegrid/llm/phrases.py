@@ -4,7 +4,8 @@ A phrase is 2 to ``longest`` consecutive words of a piece (the text between mark
 occurs ``least`` times in its language. Everything is counted per language, and counts are exact.
 
 1. *Words* are counted per task and summed. A phrase of ``least`` occurrences has only words, and pairs of neighbouring words, of as many.
-2. *Pairs* of such words are counted in the same way.
+2. *Pairs* of such words are counted by a hash whose range is at least the number of words, as sorted and packed lists per task. Pairs that
+   share a hash are counted together, which can only let a pair pass.
 3. *Suffixes*: every place where a frequent pair begins points to the words from there on, as long as the pairs go on being frequent.
    Equal suffixes of a task are one row with a weight, so copied passages shrink before the shuffle.
 4. *Routing*: suffixes go to tasks by their leading words: two of them, and, where more than ``GROUP`` different suffixes begin alike, one
@@ -43,6 +44,9 @@ BLOCK, CHUNK, REMEMBERED = 1 << 20, 1 << 21, 1 << 19
 #: Most different suffixes that begin alike in one group of a task.
 GROUP = 200_000
 
+#: About so many different pairs' hashes are summed at once.
+PART = 1 << 22
+
 #: Bits of a bitmap for each entry, at least, and bits at most.
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
 
@@ -105,10 +109,7 @@ def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _phrase_hash(lang: str, phrase: bytes) -> int:
-    words = phrase.split(b" ")
-    hashes = np.array([[word_hash(lang, w)] for w in words], np.uint64)
-    return int(hashes[0, 0] if len(words) == 1 else pair_hashes(hashes[0], hashes[1])[0])
+_MIX = 0x9FB21C651E98DF25
 
 
 class Bitmap:
@@ -116,10 +117,11 @@ class Bitmap:
 
     def __init__(self, words: np.ndarray):
         self.words = words
-        self.mask = np.uint64(len(words) * 64 - 1)
+        self.mask = len(words) * 64 - 1
 
     def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return hashes & self.mask, (hashes >> np.uint64(33)) & self.mask
+        mixed = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(_MIX)
+        return (mixed >> np.uint64(8)) & np.uint64(self.mask), (mixed >> np.uint64(36)) & np.uint64(self.mask)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)
@@ -127,23 +129,38 @@ class Bitmap:
             out &= (self.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
         return out
 
+    def has_one(self, h: int) -> bool:
+        mixed = (h ^ h >> 32) * _MIX & 0xFFFFFFFFFFFFFFFF
+        a, b = mixed >> 8 & self.mask, mixed >> 36 & self.mask
+        return bool(int(self.words[a >> 6]) >> (a & 63) & int(self.words[b >> 6]) >> (b & 63) & 1)
+
+
+def word_hashes(words: DataFrame) -> DataFrame:
+    """Column h: the hash of each word of a table with lang and phrase."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [word_hash(lang, p.as_buffer().to_pybytes()) for lang, p in zip(batch.column("lang").to_pylist(), batch.column("phrase"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64))], ["h"])
 
-def make_bitmap(phrases: DataFrame) -> Bitmap:
-    """The bitmap of the words or pairs of a table with lang and phrase; at most ``MOST_BITS`` bits reach the driver."""
+    return words.select("lang", "phrase").mapInArrow(hashed, "h long")
+
+
+def make_bitmap(hashes: DataFrame) -> Bitmap:
+    """The bitmap of a column h of hashes; at most ``MOST_BITS`` bits reach the driver."""
     bits = LEAST_BITS
-    entries = phrases.count()
+    entries = hashes.count()
     while bits < MOST_BITS and bits < BITS_EACH * entries:
         bits *= 2
     empty = Bitmap(np.zeros(bits // 64, np.uint64))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [_phrase_hash(lang, p.as_buffer().to_pybytes()) for lang, p in zip(batch.column("lang").to_pylist(), batch.column("phrase"), strict=True)]
-            place = np.concatenate(empty.places(np.array(hashes, np.uint64)))
+            place = np.concatenate(empty.places(batch.column("h").to_numpy().view(np.uint64)))
             bit = np.uint64(1) << (place & np.uint64(63))
             yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array(bit.view(np.int64))], ["i", "b"])
 
-    found = phrases.select("lang", "phrase").mapInArrow(marked, "i long, b long").groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
+    found = hashes.mapInArrow(marked, "i long, b long").groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
     words = np.zeros(bits // 64, np.uint64)
     words[found.column("i").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
     return Bitmap(words)
@@ -165,9 +182,8 @@ class Codes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = word_hash(self.lang, word)
-        a, b = h & int(self.bitmap.mask), h >> 33 & int(self.bitmap.mask)
-        words, code = self.bitmap.words, 0
-        if int(words[a >> 6]) >> (a & 63) & 1 and int(words[b >> 6]) >> (b & 63) & 1:
+        code = 0
+        if self.bitmap.has_one(h):
             code = len(self.words)
             self.words.append(word)
             self.hashes.append(h)
@@ -204,8 +220,8 @@ class Stream:
         return chunk, len(chunk) - len(rest), hashes, words
 
 
-def _per_chunk(docs: DataFrame, bitmap: Bitmap, overlap: int, counted: Callable) -> DataFrame:
-    """Columns lang, phrase, c: ``counted`` turns a chunk into phrases and counts; equal phrases are not summed yet."""
+def _per_chunk(docs: DataFrame, bitmap: Bitmap, overlap: int, counted: Callable, schema: str) -> DataFrame:
+    """``counted`` turns the chunks of each task into batches: it gets the language and what ``Stream.take`` returns."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,35 +234,84 @@ def _per_chunk(docs: DataFrame, bitmap: Bitmap, overlap: int, counted: Callable)
                     stream = streams[lang] = Stream(lang, words, overlap)
                 stream.add(text)
                 if stream.size > CHUNK:
-                    yield from _phrase_batch({lang: counted(*stream.take(False))})
+                    yield from counted(lang, *stream.take(False))
         for lang, stream in streams.items():
-            yield from _phrase_batch({lang: counted(*stream.take(True))})
+            yield from counted(lang, *stream.take(True))
+
+    return docs.mapInArrow(run, schema)
+
 
-    return docs.mapInArrow(run, "lang string, phrase string, c long")
+def _pairs_at(chunk: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where two words follow each other, and the hashes of these pairs."""
+    at = np.flatnonzero((chunk[:-1] > 0) & (chunk[1:] > 0))
+    return at, pair_hashes(hashes[chunk[at]], hashes[chunk[at + 1]])
 
 
-def count_pairs(docs: DataFrame, words: Bitmap) -> DataFrame:
-    """Columns lang, phrase (two words that the bitmap has), c."""
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed: most planes of small numbers are zeros."""
+    return pa.compress(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
 
-    def counted(chunk: np.ndarray, places: int, hashes: np.ndarray, names: list[bytes]) -> list[tuple[bytes, int]]:
-        left, right = chunk[:-1][:places].astype(np.int64), chunk[1:][:places]
-        pairs, counts = np.unique((left << 32 | right)[(left > 0) & (right > 0)], return_counts=True)
-        return [(names[p >> 32] + b" " + names[p & 0xFFFFFFFF], c) for p, c in zip(pairs.tolist(), counts.tolist(), strict=True)]
 
-    return _per_chunk(docs, words, 1, counted).groupBy("lang", "phrase").agg(F.sum("c").alias("c"))
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+
+
+def frequent_pairs(docs: DataFrame, words: Bitmap, places: int, least: int) -> tuple[DataFrame, int]:
+    """Column h: the leading bits of the hashes of all pairs that occur ``least`` times (others may share them), and how many bits.
+
+    Hashes have at least twice the range of the number of ``places`` that pairs can begin at; those of a stretch of the range are summed together.
+    """
+    bits = max(16, places.bit_length() + 1)
+    split = max(0, (places // PART).bit_length())  # leading bits that number the stretches
+    down, part_down = np.uint64(64 - bits), np.uint64(bits - split)
+
+    def counted(lang: str, chunk: np.ndarray, size: int, hashes: np.ndarray, names: list[bytes]) -> Iterator[pa.RecordBatch]:
+        at, pairs = _pairs_at(chunk, hashes)
+        keys, counts = np.unique(pairs[at < size] >> down, return_counts=True)
+        parts = keys >> part_down
+        cuts = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]])[: len(keys)]
+        rows = [(int(k[0] >> part_down), len(k), _packed(np.diff(k, prepend=np.uint64(0))), _packed(c)) for k, c in zip(np.split(keys, cuts[1:]), np.split(counts, cuts[1:]), strict=True) if len(k)]
+        if rows:
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "n", "steps", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = None, []
+
+        def out() -> pa.RecordBatch:
+            keys, counts = (np.concatenate(x) for x in zip(*kept, strict=True))
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            return pa.RecordBatch.from_arrays([pa.array(keys[first][np.add.reduceat(counts, first) >= least].view(np.int64))], ["h"])
+
+        for batch in batches:
+            for part, n, steps, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "steps", "counts")), strict=True):
+                if part != now and kept:
+                    yield out()
+                    kept = []
+                now = part
+                kept.append((np.cumsum(_unpacked(steps, n)), _unpacked(counts, n).astype(np.int64)))
+        if kept:
+            yield out()
+
+    packed = _per_chunk(docs, words, 1, counted, "part long, n long, steps binary, counts binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(summed, "h long"), bits
 
 
-def suffixes(docs: DataFrame, words: Bitmap, pairs: Bitmap, longest: int) -> DataFrame:
+def suffixes(docs: DataFrame, words: Bitmap, pairs: Bitmap, bits: int, longest: int) -> DataFrame:
     """Columns lang, phrase (the words from a place on, while neighbours are in ``pairs``), c: the places; all different."""
     shared = docs.sparkSession.sparkContext.broadcast(pairs.words)
+    down = np.uint64(64 - bits)
 
-    def counted(chunk: np.ndarray, places: int, hashes: np.ndarray, names: list[bytes]) -> list[tuple[bytes, int]]:
-        good = np.flatnonzero((chunk[:-1] > 0) & (chunk[1:] > 0))
+    def counted(lang: str, chunk: np.ndarray, size: int, hashes: np.ndarray, names: list[bytes]) -> Iterator[pa.RecordBatch]:
+        good, found = _pairs_at(chunk, hashes)
         follows = np.zeros(len(chunk) + longest, bool)
-        follows[good] = Bitmap(shared.value).has(pair_hashes(hashes[chunk[good]], hashes[chunk[good + 1]]))
-        at = np.flatnonzero(follows[:places])
+        follows[good] = Bitmap(shared.value).has(found >> down)
+        at = np.flatnonzero(follows[:size])
         if not len(at):
-            return []
+            return
         padded = np.r_[chunk, np.zeros(longest, np.int32)]
         rows = np.zeros((len(at), longest), np.int32)
         rows[:, 0] = padded[at]
@@ -258,9 +323,9 @@ def suffixes(docs: DataFrame, words: Bitmap, pairs: Bitmap, longest: int) -> Dat
         rows = rows[order]
         first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(1)])
         counts = np.diff(np.r_[first, len(rows)])
-        return [(b" ".join([names[x] for x in row if x]), c) for row, c in zip(rows[first].tolist(), counts.tolist(), strict=True)]
+        yield from _phrase_batch({lang: [(b" ".join([names[x] for x in row if x]), c) for row, c in zip(rows[first].tolist(), counts.tolist(), strict=True)]})
 
-    return _per_chunk(docs, words, longest - 1, counted).groupBy("lang", "phrase").agg(F.sum("c").alias("c"))
+    return _per_chunk(docs, words, longest - 1, counted, "lang string, phrase string, c long").groupBy("lang", "phrase").agg(F.sum("c").alias("c"))
 
 
 def quicksort_counts(rows: np.ndarray, weights: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -370,9 +435,11 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     vocabulary = checkpointed(count_words(docs))
     totals = vocabulary.groupBy("lang").agg(F.sum("c").alias("n"))
     words = vocabulary.where(F.col("c") >= least)
-    word_map = make_bitmap(words)
-    pairs = checkpointed(count_pairs(docs, word_map).where(F.col("c") >= least))
-    phrases = checkpointed(sorted_counts(checkpointed(suffixes(docs, word_map, make_bitmap(pairs), longest)), least, longest))
+    word_map = make_bitmap(word_hashes(words))
+    places = totals.agg(F.sum("n")).first()[0] or 0
+    pairs, bits = frequent_pairs(docs, word_map, places, least)
+    pair_map = make_bitmap(checkpointed(pairs))
+    phrases = checkpointed(sorted_counts(checkpointed(suffixes(docs, word_map, pair_map, bits, longest)), least, longest))
     found = drop_covered(scored(phrases, words, totals, scale), phrases)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long"))
     return ranked.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
