@@ -4,9 +4,9 @@ A phrase is 2 to ``longest`` consecutive words of a piece (the text between mark
 occurs ``least`` times in its language. Everything is counted per language, and counts are exact.
 
 1. *Words* are counted per task and summed. A phrase of ``least`` occurrences has only words, and pairs of neighbouring words, of as many.
-2. *Pairs* of such words are counted by a hash whose range is at least the number of words, as sorted and packed lists per task. Pairs that
-   share a hash are counted together, which can only let a pair pass.
-3. *Suffixes*: every place where a frequent pair begins points to the words from there on, as long as the pairs go on being frequent.
+2. *Pairs* of such words, and then *triples* of such pairs, are counted by a hash whose range is twice the number of words, as sorted and
+   packed lists per task. Those that share a hash are counted together, which can only let one pass.
+3. *Suffixes*: every place where a frequent pair begins points to the words from there on, as long as pairs and triples go on being frequent.
    Equal suffixes of a task are one row with a weight, so copied passages shrink before the shuffle.
 4. *Routing*: suffixes go to tasks by their leading words: two of them, and, where more than ``GROUP`` different suffixes begin alike, one
    more, and so on; such a beginning is a phrase whose count is summed across tasks. So no task holds all suffixes of a common beginning.
@@ -14,7 +14,7 @@ occurs ``least`` times in its language. Everything is counted per language, and
    into smaller, equal and greater; the weight of an equal partition is the count of the phrase up to there. Partitions lighter than
    ``least`` are abandoned, equal ones go one word deeper.
 
-Frequent words and pairs are recognised in tasks by bitmaps of at most ``MOST_BITS`` bits (16 MB), whatever the vocabulary. A bitmap may
+Frequent words, pairs and triples are recognised in tasks by bitmaps of at most ``MOST_BITS`` bits (16 MB), whatever the vocabulary. A bitmap may
 let an infrequent word pass, never the reverse: that costs a row and changes no count.
 
 A candidate's score is that of its weakest cut, in integers: floor(scale * a * n / (l * r)). Candidates that only occur inside a longer
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tidegrid.session import checkpointed
 
 #: Bytes of a text taken at once, words counted at once in a task, and words a task remembers.
-BLOCK, CHUNK, REMEMBERED = 1 << 20, 1 << 21, 1 << 19
+BLOCK, CHUNK, REMEMBERED = 1 << 20, 1 << 22, 1 << 19
 
 #: Most different suffixes that begin alike in one group of a task.
 GROUP = 200_000
@@ -241,10 +241,19 @@ def _per_chunk(docs: DataFrame, bitmap: Bitmap, overlap: int, counted: Callable,
     return docs.mapInArrow(run, schema)
 
 
-def _pairs_at(chunk: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places where two words follow each other, and the hashes of these pairs."""
-    at = np.flatnonzero((chunk[:-1] > 0) & (chunk[1:] > 0))
-    return at, pair_hashes(hashes[chunk[at]], hashes[chunk[at + 1]])
+def _grams(chunk: np.ndarray, hashes: np.ndarray, maps: list[Bitmap], down: np.uint64) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each bitmap (pairs, triples, ...) the places where one of them begins, and the places and hashes of the next longer."""
+    begins, every = [chunk > 0], hashes[chunk]
+    now = every
+    for m in range(2, len(maps) + 3):
+        at = np.flatnonzero(begins[-1][:-1] & begins[-1][1:])
+        found = pair_hashes(now[at], every[at + m - 1])
+        if m < len(maps) + 2:
+            now = np.zeros(len(chunk), np.uint64)
+            now[at] = found
+            begins.append(np.zeros(len(chunk), bool))
+            begins[-1][at] = maps[m - 2].has(found >> down)
+    return begins[1:], at, found
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -257,18 +266,25 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
 
 
-def frequent_pairs(docs: DataFrame, words: Bitmap, places: int, least: int) -> tuple[DataFrame, int]:
-    """Column h: the leading bits of the hashes of all pairs that occur ``least`` times (others may share them), and how many bits.
+def hash_bits(places: int) -> int:
+    """Bits of the hashes of pairs and triples: at least twice the number of ``places`` that they can begin at."""
+    return max(16, places.bit_length() + 1)
 
-    Hashes have at least twice the range of the number of ``places`` that pairs can begin at; those of a stretch of the range are summed together.
+
+def frequent_grams(docs: DataFrame, words: Bitmap, maps: list[Bitmap], places: int, least: int) -> DataFrame:
+    """Column h: the leading bits of the hashes of what occurs ``least`` times (others may share them): pairs of words, or, given the
+    bitmap of pairs, triples.
+
+    The range of the hashes is cut into stretches of about ``PART`` places, each summed at once.
     """
-    bits = max(16, places.bit_length() + 1)
+    bits = hash_bits(places)
     split = max(0, (places // PART).bit_length())  # leading bits that number the stretches
     down, part_down = np.uint64(64 - bits), np.uint64(bits - split)
+    shared = docs.sparkSession.sparkContext.broadcast([m.words for m in maps])
 
     def counted(lang: str, chunk: np.ndarray, size: int, hashes: np.ndarray, names: list[bytes]) -> Iterator[pa.RecordBatch]:
-        at, pairs = _pairs_at(chunk, hashes)
-        keys, counts = np.unique(pairs[at < size] >> down, return_counts=True)
+        _, at, found = _grams(chunk, hashes, [Bitmap(m) for m in shared.value], down)
+        keys, counts = np.unique(found[at < size] >> down, return_counts=True)
         parts = keys >> part_down
         cuts = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]])[: len(keys)]
         rows = [(int(k[0] >> part_down), len(k), _packed(np.diff(k, prepend=np.uint64(0))), _packed(c)) for k, c in zip(np.split(keys, cuts[1:]), np.split(counts, cuts[1:]), strict=True) if len(k)]
@@ -296,20 +312,18 @@ def frequent_pairs(docs: DataFrame, words: Bitmap, places: int, least: int) -> t
         if kept:
             yield out()
 
-    packed = _per_chunk(docs, words, 1, counted, "part long, n long, steps binary, counts binary")
-    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(summed, "h long"), bits
+    packed = _per_chunk(docs, words, len(maps) + 1, counted, "part long, n long, steps binary, counts binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(summed, "h long")
 
 
-def suffixes(docs: DataFrame, words: Bitmap, pairs: Bitmap, bits: int, longest: int) -> DataFrame:
-    """Columns lang, phrase (the words from a place on, while neighbours are in ``pairs``), c: the places; all different."""
-    shared = docs.sparkSession.sparkContext.broadcast(pairs.words)
+def suffixes(docs: DataFrame, words: Bitmap, maps: list[Bitmap], bits: int, longest: int) -> DataFrame:
+    """Columns lang, phrase (the words from a place on, while pairs and triples are in ``maps``), c: the places; all different."""
+    shared = docs.sparkSession.sparkContext.broadcast([m.words for m in maps])
     down = np.uint64(64 - bits)
 
     def counted(lang: str, chunk: np.ndarray, size: int, hashes: np.ndarray, names: list[bytes]) -> Iterator[pa.RecordBatch]:
-        good, found = _pairs_at(chunk, hashes)
-        follows = np.zeros(len(chunk) + longest, bool)
-        follows[good] = Bitmap(shared.value).has(found >> down)
-        at = np.flatnonzero(follows[:size])
+        begins = [np.r_[b, np.zeros(longest, bool)] for b in _grams(chunk, hashes, [Bitmap(m) for m in shared.value], down)[0]]
+        at = np.flatnonzero(begins[0][:size])
         if not len(at):
             return
         padded = np.r_[chunk, np.zeros(longest, np.int32)]
@@ -317,7 +331,8 @@ def suffixes(docs: DataFrame, words: Bitmap, pairs: Bitmap, bits: int, longest:
         rows[:, 0] = padded[at]
         live = np.ones(len(at), bool)
         for k in range(1, longest):
-            live &= follows[at + k - 1]
+            m = min(k + 1, len(begins) + 1)  # the longest that is known and ends here
+            live &= begins[m - 2][at + k + 1 - m]
             rows[live, k] = padded[at + k][live]
         order = np.lexsort(rows.T[::-1])
         rows = rows[order]
@@ -437,9 +452,10 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     words = vocabulary.where(F.col("c") >= least)
     word_map = make_bitmap(word_hashes(words))
     places = totals.agg(F.sum("n")).first()[0] or 0
-    pairs, bits = frequent_pairs(docs, word_map, places, least)
-    pair_map = make_bitmap(checkpointed(pairs))
-    phrases = checkpointed(sorted_counts(checkpointed(suffixes(docs, word_map, pair_map, bits, longest)), least, longest))
+    maps: list[Bitmap] = []
+    for _ in range(2, min(longest, 3) + 1):
+        maps.append(make_bitmap(checkpointed(frequent_grams(docs, word_map, maps, places, least))))
+    phrases = checkpointed(sorted_counts(checkpointed(suffixes(docs, word_map, maps, hash_bits(places), longest)), least, longest))
     found = drop_covered(scored(phrases, words, totals, scale), phrases)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long"))
     return ranked.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
