@@ -290,7 +290,13 @@ def test_crowded_beginnings_go_deeper(spark):
     r = random.Random(6)
     given = Counter(("en", " ".join(["the", "sea", *(r.choice("abcd") for _ in range(r.randint(0, 3)))])) for _ in range(3000))
     given.update({("en", "a b"): 9, ("de", "the sea a"): 4, ("en", "a c d"): 50})
-    frame = spark.createDataFrame([(*k, v) for k, v in given.items()], "lang string, phrase string, c long")
+    lists = defaultdict(lambda: ([], []))
+    for (lang, phrase), c in given.items():
+        for part in (c // 2, c - c // 2):  # as from two tasks
+            phrases_, counts = lists[lang, phrase.split()[0], part % 2]
+            phrases_.append(phrase)
+            counts.append(part)
+    frame = spark.createDataFrame([(*k[:2], *v) for k, v in lists.items()], "lang string, lead string, phrases array<string>, counts array<long>")
     want = Counter()
     for (lang, phrase), c in given.items():
         w = phrase.split()

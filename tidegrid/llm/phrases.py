@@ -7,9 +7,10 @@ occurs ``least`` times in its language. Everything is counted per language, and
 2. *Pairs* of such words, and then *triples* of such pairs, are counted by a hash whose range is twice the number of words, as sorted and
    packed lists per task. Those that share a hash are counted together, which can only let one pass.
 3. *Suffixes*: every place where a frequent pair begins points to the words from there on, as long as pairs and triples go on being frequent.
-   Equal suffixes of a task are one row with a weight, so copied passages shrink before the shuffle.
-4. *Routing*: suffixes go to tasks by their leading words: two of them, and, where more than ``GROUP`` different suffixes begin alike, one
-   more, and so on; such a beginning is a phrase whose count is summed across tasks. So no task holds all suffixes of a common beginning.
+   Equal suffixes of a task have one entry with a weight, so copied passages shrink before the shuffle.
+4. *Routing*: the lists of suffixes go to tasks by their leading word. Where more than ``GROUP`` entries begin alike, equal suffixes are
+   summed and routed by two leading words, then three, and so on; such a beginning is a phrase whose count is summed across tasks. So no
+   task holds all suffixes of a common beginning.
 5. *Sorting*: each task sorts pointers to its suffixes by multikey quicksort: a partition is split by the word at the depth reached
    into smaller, equal and greater; the weight of an equal partition is the count of the phrase up to there. Partitions lighter than
    ``least`` are abandoned, equal ones go one word deeper.
@@ -317,7 +318,7 @@ def frequent_grams(docs: DataFrame, words: Bitmap, maps: list[Bitmap], places: i
 
 
 def suffixes(docs: DataFrame, words: Bitmap, maps: list[Bitmap], bits: int, longest: int) -> DataFrame:
-    """Columns lang, phrase (the words from a place on, while pairs and triples are in ``maps``), c: the places; all different."""
+    """Lists of suffixes (the words from a place on, while pairs and triples are in ``maps``) by first word: lang, lead, phrases, counts."""
     shared = docs.sparkSession.sparkContext.broadcast([m.words for m in maps])
     down = np.uint64(64 - bits)
 
@@ -338,9 +339,19 @@ def suffixes(docs: DataFrame, words: Bitmap, maps: list[Bitmap], bits: int, long
         rows = rows[order]
         first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(1)])
         counts = np.diff(np.r_[first, len(rows)])
-        yield from _phrase_batch({lang: [(b" ".join([names[x] for x in row if x]), c) for row, c in zip(rows[first].tolist(), counts.tolist(), strict=True)]})
+        yield _lists(lang, names, rows[first], counts)
 
-    return _per_chunk(docs, words, longest - 1, counted, "lang string, phrase string, c long").groupBy("lang", "phrase").agg(F.sum("c").alias("c"))
+    return _per_chunk(docs, words, longest - 1, counted, "lang string, lead string, phrases array<string>, counts array<long>")
+
+
+def _lists(lang: str, names: list[bytes], rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Sorted rows of codes as one list of phrases for each first word."""
+    first = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+    ends = pa.array(np.r_[first, len(rows)], pa.int32())
+    phrases = pa.array([b" ".join([names[x] for x in row if x]) for row in rows.tolist()], pa.binary()).cast(pa.string())
+    leads = pa.array([names[x] for x in rows[first, 0].tolist()], pa.binary()).cast(pa.string())
+    columns = [pa.array([lang] * len(first)), leads, pa.ListArray.from_arrays(ends, phrases), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "lead", "phrases", "counts"])
 
 
 def quicksort_counts(rows: np.ndarray, weights: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -368,50 +379,53 @@ def _words(phrase: Column) -> Column:
 
 def sorted_counts(given: DataFrame, least: int, longest: int, group: int = GROUP) -> DataFrame:
     """Columns lang, phrase, c: every beginning of two words or more that ``least`` of the suffixes have. ``given``: see ``suffixes``."""
-    parts, counted, left = [], [], given
-    for k in range(2, longest + 1):
-        lead = F.substring_index("phrase", " ", k).alias("lead")
-        keyed = left.select("lang", "phrase", "c", lead, F.lit(k).alias("k"))
-        crowded = keyed.groupBy("lang", "lead").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).where(F.col("n") > group)
-        crowded = checkpointed(crowded.select("lang", "lead", "c"))
-        if crowded.isEmpty():
-            parts.append(keyed)
-            break
-        parts.append(keyed.join(crowded, ["lang", "lead"], "left_anti").select(keyed.columns))
-        counted.append(crowded.where(F.col("c") >= least).select("lang", F.col("lead").alias("phrase"), "c"))
-        left = keyed.join(crowded, ["lang", "lead"], "left_semi").where(_words(F.col("phrase")) > k).select("lang", "phrase", "c")
-    routed = parts[0]
-    for part in parts[1:]:
-        routed = routed.union(part)
-
-    def sort(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        langs, phrases, weights, levels = (np.array(x, dtype=t) for x, t in zip(zip(*rows, strict=True), (object, object, np.int64, np.int64), strict=True))
+    crowded = checkpointed(given.groupBy("lang", "lead").agg(F.sum(F.size("phrases")).alias("n")).where(F.col("n") > group).select("lang", "lead"))
+    routed, counted = given.withColumn("k", F.lit(1)), []
+    if not crowded.isEmpty():
+        left = given.join(crowded, ["lang", "lead"], "left_semi").select("lang", F.explode(F.arrays_zip("phrases", "counts")).alias("s"))
+        left = checkpointed(left.groupBy("lang", F.col("s.phrases").alias("phrase")).agg(F.sum("s.counts").alias("c")))
+        routed = routed.join(crowded, ["lang", "lead"], "left_anti").select(routed.columns)
+        for k in range(2, longest + 1):
+            keyed = left.withColumn("lead", F.substring_index("phrase", " ", k))
+            crowded = keyed.groupBy("lang", "lead").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).where(F.col("n") > group)
+            crowded = checkpointed(crowded.select("lang", F.col("lead"), F.col("c").alias("all")))
+            none = crowded.isEmpty()
+            calm = keyed if none else keyed.join(crowded, ["lang", "lead"], "left_anti")
+            routed = routed.union(calm.select("lang", "lead", F.array("phrase"), F.array("c"), F.lit(k)))
+            if none:
+                break
+            counted.append(crowded.where(F.col("all") >= least).select("lang", F.col("lead").alias("phrase"), F.col("all").alias("c")))
+            left = keyed.join(crowded, ["lang", "lead"], "left_semi").where(_words(F.col("phrase")) > k).select("lang", "phrase", "c")
+
+    def sort(langs: list[str], phrases: list[str], weights: list[int], levels: list[int]) -> Iterator[pa.RecordBatch]:
         numbers: dict[str, int] = {}
-        table = np.zeros((len(rows), longest + 1), np.int32)  # the language is the first symbol
+        table = np.zeros((len(phrases), longest + 1), np.int32)  # the language is the first symbol
         for r, (lang, phrase) in enumerate(zip(langs, phrases, strict=True)):
             symbols = [numbers.setdefault(w, len(numbers) + 1) for w in ("\xff" + lang, *phrase.split(" "))]
             table[r, : len(symbols)] = symbols
-        for k in np.unique(levels).tolist():  # shorter beginnings than a group's own are shared with other groups
-            own = np.flatnonzero(levels == k)
-            found = [(own[p], d - 1, w) for p, d, w in quicksort_counts(table[own], weights[own], least) if d > k]
+        weight, level = np.array(weights, np.int64), np.array(levels)
+        for k in np.unique(level).tolist():  # shorter beginnings than a group's own are shared with other groups
+            own = np.flatnonzero(level == k)
+            found = [(int(own[p]), d - 1, w) for p, d, w in quicksort_counts(table[own], weight[own], least) if d - 1 >= max(k, 2)]
             if found:
-                columns = [langs[[p for p, _, _ in found]], [" ".join(phrases[p].split(" ")[:d]) for p, d, _ in found], [w for _, _, w in found]]
+                columns = [[langs[p] for p, _, _ in found], [" ".join(phrases[p].split(" ")[:d]) for p, d, _ in found], [w for _, _, w in found]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "phrase", "c"])
 
     def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
+        kept: tuple[list, ...] = ([], [], [], [])
         key = None
         for batch in batches:
-            for lang, lead, phrase, c, k in zip(*(batch.column(x).to_pylist() for x in ("lang", "lead", "phrase", "c", "k")), strict=True):
-                if len(kept) >= group and (lang, lead) != key:
-                    yield from sort(kept)
-                    kept = []
-                key = (lang, lead)
-                kept.append((lang, phrase, c, k))
-        if kept:
-            yield from sort(kept)
-
-    ordered = routed.select("lang", "lead", "phrase", "c", "k").repartition("lang", "lead").sortWithinPartitions("lang", "lead")
+            for lang, lead, phrases, counts, k in zip(*(batch.column(x).to_pylist() for x in ("lang", "lead", "phrases", "counts", "k")), strict=True):
+                if len(kept[0]) >= group and (lang, lead, k) != key:
+                    yield from sort(*kept)
+                    kept = ([], [], [], [])
+                key = (lang, lead, k)
+                for part, more in zip(kept, ([lang] * len(phrases), phrases, counts, [k] * len(phrases)), strict=True):
+                    part.extend(more)
+        if kept[0]:
+            yield from sort(*kept)
+
+    ordered = routed.repartition("lang", "lead").sortWithinPartitions("lang", "lead", "k")
     found = ordered.mapInArrow(sort_groups, "lang string, phrase string, c long")
     for more in counted:
         found = found.union(more)
