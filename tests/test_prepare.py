@@ -6,6 +6,7 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import days, rows
 from tidegrid import RunParams, SeriesSpec
@@ -146,6 +147,41 @@ def test_knn_against_brute_force(spark, block):
         assert g == pytest.approx(w)
 
 
+@pytest.mark.parametrize("groups", [("item_id",), ()])
+def test_knn_of_large_groups_with_ties_and_lone_patterns(spark, groups):
+    import random
+
+    rng = random.Random(8)
+    data = [[None if rng.random() < 0.2 else float(rng.randint(0, 6)) for _ in range(3)] for _ in range(260)]
+    data += [[None, None, None], [None, None, 50.0], [90.0, None, None]]
+    rows = [("g", D(2020, 1, 1) + dt.timedelta(days=i), *r) for i, r in enumerate(data)]
+    small = [("h", D(2020, 1, 1) + dt.timedelta(days=i), *r) for i, r in enumerate(data[:9])] if groups else []
+    df = spark.createDataFrame(rows + small, "item_id string, ts timestamp_ntz, a double, b double, c double")
+    by = SeriesSpec(id=None, ts="ts", by=groups)
+    got = [tuple(r) for r in missing.fill_knn(df, by, ["a", "b", "c"], 4, block_rows=20).orderBy("item_id", "ts").collect()]
+    for g, w in zip(got, knn_by_hand(data, 4) + (knn_by_hand(data[:9], 4) if groups else []), strict=True):
+        assert list(g[2:]) == pytest.approx(w)
+
+
+def test_knn_sends_rows_in_proportion(spark, monkeypatch):
+    sent, meet = [], missing._meet
+
+    def counted(cells, donors, by, cols, k, block_rows):
+        blocks = cells.groupBy("__c", "__p", "__b").count().join(donors.groupBy("__c", "__p", "__b").agg(F.count(F.lit(1)).alias("d")), ["__c", "__p", "__b"])
+        sent.append(blocks.agg(F.sum(F.col("count") + F.col("d") * F.ceil(F.col("count") / block_rows))).first()[0] or 0)
+        return meet(cells, donors, by, cols, k, block_rows)
+
+    monkeypatch.setattr(missing, "_meet", counted)
+    totals = []
+    for n in (8_000, 40_000):
+        value = (F.rand(1) * 100).alias("x"), (F.rand(2) * 100).alias("y"), F.when(F.rand(3) < 0.9, F.rand(4)).alias("z")
+        df = spark.range(n).select(F.lit("g").alias("item_id"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"), *value)
+        sent.clear()
+        assert missing.fill_knn(df, SeriesSpec(id=None, ts="ts", by=("item_id",)), ["x", "y", "z"], 5, block_rows=200).where("z IS NULL").count() == 0
+        totals.append(sum(sent))
+    assert totals[1] < 7 * totals[0], totals
+
+
 # --- grids
 
 

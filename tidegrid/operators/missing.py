@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.functions.numeric import nan_to_null, numeric_columns
+from tidegrid.session import checkpointed
 from tidegrid.spec import SeriesSpec
-from tidegrid.splits import COUNT, hot_groups, join_stats, nearest_known, null_safe, rows_per_task, small_side, with_group_stats
+from tidegrid.splits import HotGroups, hot_groups, join_stats, nearest_known, null_safe, parted, rows_per_task, small_side, with_group_stats, with_positions
 
 # Every spelling of the fill methods that callers use, and the method it means.
 FILL_METHODS = {
@@ -79,8 +80,10 @@ def _line(c: str) -> Column:
 
 # --- nearest neighbours -------------------------------------------------------------------------------------
 
-#: Rows of one group that meet in one task; larger groups are cut into query x donor blocks.
+#: Rows of one group that meet in one task; larger groups are cut into blocks of neighbouring rows.
 KNN_BLOCK_ROWS = 20_000
+#: Steps into which the quantiles of a column cut a large group, as a power of two.
+_Z_BITS = 5
 
 
 def fill_knn(df: DataFrame, spec: SeriesSpec, cols: list[str], k: int = 5, block_rows: int | None = None) -> DataFrame:
@@ -90,41 +93,35 @@ def fill_knn(df: DataFrame, spec: SeriesSpec, cols: list[str], k: int = 5, block
     Equally distant donors are taken in time order. If no donor is comparable the column mean is used.
     Rows must be unique on (group, timestamp, ``spec.ties``).
 
-    Rows are cut into blocks per group; a task gets one block of rows to fill and one block of donors and
-    returns its ``k`` best per missing cell, so no task sees a whole long group and pairs never leave a task.
+    A group of up to ``block_rows`` rows is one task's work. In a larger one the donors of each column are cut into blocks of rows with the
+    same columns and similar values of the others (along a Z curve over quantiles), each with the bounds of its columns. A missing
+    cell first meets the block that can be nearest, which gives a k-th best distance, and then only blocks whose bounds are not farther than that. So the result
+    is that of comparing all pairs, no task sees a whole large group, and how many blocks a cell meets follows from the data's
+    density and not from the group's size. Only the bounds of blocks are compared with every cell.
     """
     block_rows = block_rows or min(KNN_BLOCK_ROWS, rows_per_task(df.sparkSession))
-    groups = spec.keys
-    big = hot_groups(df, groups, block_rows)
-    named = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (*groups, *spec.order)]
+    big = hot_groups(df, spec.keys, block_rows)
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (*spec.keys, *spec.order)]
     rows = df.withColumn("__row", F.concat_ws("\x1f", *named))
     numbers = [F.col(c).cast("double").alias(c) for c in cols]
-    slim = rows.select("__row", *[F.col(g).alias(f"__g_{g}") for g in groups], F.col(spec.ts).alias("__ts"), *numbers)
-    by = [f"__g_{g}" for g in groups]
-    slim = slim.withColumn("__blocks", F.lit(1))
-    if big:
-        sizes = big.keys.withColumnsRenamed({g: f"__g_{g}" for g in groups})
-        many = F.ceil(F.col(COUNT) / block_rows).cast("int")
-        slim = join_stats(slim.drop("__blocks"), small_side(sizes.withColumn("__blocks", many).drop(COUNT), big.groups), by)
-    slim = slim.withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
-    slim = slim.withColumn("__cut", F.pmod(F.xxhash64("__row"), F.col("__blocks")).cast("int"))
+    by = ["__g", *[f"__g_{g}" for g in spec.keys]]
+    slim = rows.select("__row", F.lit(0).alias("__g"), *[F.col(g).alias(f"__g_{g}") for g in spec.keys], F.col(spec.ts).alias("__ts"), *numbers)
     incomplete = F.lit(False)
     for c in cols:
         incomplete = incomplete | F.col(c).isNull()
     # A group without gaps needs no donors.
     gaps = slim.where(incomplete).select(*by).distinct()
-    slim = slim.join(gaps, null_safe(slim, gaps, by), "left_semi") if by else slim
-    every = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
-    queries = slim.where(incomplete).withColumn("__q", F.col("__cut")).withColumn("__d", every).drop("__cut")
-    donors = slim.withColumn("__d", F.col("__cut")).withColumn("__q", every).drop("__cut")
-    meet = [*by, "__q", "__d"]
-    schema = T.StructType(
-        [T.StructField("__row", slim.schema["__row"].dataType), T.StructField("column", T.StringType()),
-         T.StructField("distance", T.DoubleType()), T.StructField("at", slim.schema["__ts"].dataType),
-         T.StructField("value", T.DoubleType())]
-    )
-    tagged = queries.withColumn("__is_q", F.lit(True)).unionByName(donors.withColumn("__is_q", F.lit(False)))
-    found = tagged.groupBy(*meet).applyInPandas(_nearest_donors(cols, k), schema)
+    slim = slim.join(gaps, null_safe(slim, gaps, by), "left_semi")
+    found, large = None, None
+    if big:
+        keys = HotGroups(big.keys.withColumn("__g", F.lit(0)).withColumnsRenamed({g: f"__g_{g}" for g in spec.keys}), big.groups, big.blocks)
+        large, slim = parted(slim, by, keys)
+        found = _pruned(large, by, cols, k, block_rows, keys)
+    if not big or spec.keys:
+        donors = slim.withColumns({"__c": F.lit(0), "__q": F.lit(False)})
+        tagged = _cells(slim, cols).withColumn("__q", F.lit(True)).unionByName(donors)
+        small = tagged.groupBy(*by).applyInPandas(_nearest_donors(cols, k), _found_schema(slim))
+        found = small if found is None else small.unionByName(found)
     best = Window.partitionBy("__row", "column").orderBy("distance", "at", "value")
     filled = (
         found.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k)
@@ -136,25 +133,115 @@ def fill_knn(df: DataFrame, spec: SeriesSpec, cols: list[str], k: int = 5, block
     return _replace(wide, df.columns, {c: F.coalesce(F.col(c).cast("double"), f"__knn_{c}", f"__mean_{c}") for c in cols})
 
 
+def _cells(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """``rows`` once for each missing column, whose number is ``__c``."""
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(i)) for i, c in enumerate(cols)]))
+    return rows.withColumn("__c", F.explode(missing))
+
+
+def _found_schema(rows: DataFrame) -> T.StructType:
+    return T.StructType(
+        [T.StructField("__row", rows.schema["__row"].dataType), T.StructField("column", T.StringType()),
+         T.StructField("distance", T.DoubleType()), T.StructField("at", rows.schema["__ts"].dataType),
+         T.StructField("value", T.DoubleType())]
+    )
+
+
+def _count_below(cuts: Column, value: Column) -> Column:
+    return F.size(F.filter(cuts, lambda q: q < value))
+
+
+def _blocks(rows: DataFrame, by: list[str], cols: list[str], block_rows: int, big: HotGroups) -> DataFrame:
+    """``rows`` once for each column ``__c`` that they can give to others, with ``__p``, which columns they have, and ``__b``, their block."""
+    steps = 1 << _Z_BITS
+    levels = F.array(*[F.lit(i / steps) for i in range(1, steps)])
+    cuts = rows.groupBy(*by).agg(*[F.percentile_approx(c, levels, 1000).alias(f"__q_{c}") for c in cols])
+    rows = join_stats(rows, small_side(cuts, big.groups), by)
+    step = [_count_below(F.col(f"__q_{c}"), F.col(c)) for c in cols]
+    wanted = rows.agg(*[F.bool_or(F.col(c).isNull()) for c in cols]).first()
+    given = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(i)) for i, c in enumerate(cols) if wanted[i]]))
+    rows = rows.withColumn("__c", F.explode(given))
+    compared = [F.col(c).isNotNull() & (F.col("__c") != i) for i, c in enumerate(cols)]
+    bits = [F.when(use, F.shiftright(n, b).bitwiseAND(1).cast("string")) for b in reversed(range(_Z_BITS)) for use, n in zip(compared, step)]
+    known = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in cols])
+    rows = rows.withColumns({"__p": known, "__z": F.concat_ws("", *bits)}).drop(*[f"__q_{c}" for c in cols])
+    curve = SeriesSpec(id=None, by=(*by, "__c", "__p"), ts="__z", ties=("__row",))
+    placed = with_positions(rows, curve, "__pos").withColumn("__b", F.floor(F.col("__pos") / block_rows))
+    return checkpointed(placed.drop("__z", "__pos"))
+
+
+def _pruned(rows: DataFrame, by: list[str], cols: list[str], k: int, block_rows: int, big: HotGroups) -> DataFrame:
+    """The best donors of each missing cell of large groups, among others that are no better."""
+    placed = _blocks(rows, by, cols, block_rows, big)
+    lows = [F.min(c).alias(f"__lo_{c}") for c in cols] + [F.max(c).alias(f"__hi_{c}") for c in cols]
+    boxes = checkpointed(placed.groupBy(*by, "__c", "__p", "__b").agg(F.count(F.lit(1)).alias("__n"), *lows))
+    count = boxes.count()
+    cells = _cells(rows, cols)
+    # The least distance from a cell's row to a block: none inside its bounds.
+    shared = sum((F.when(F.col(c).isNotNull() & F.col(f"__lo_{c}").isNotNull(), 1).otherwise(0) for c in cols), F.lit(0))
+    off = [F.greatest(F.col(f"__lo_{c}") - F.col(c), F.col(c) - F.col(f"__hi_{c}"), F.lit(0.0)) for c in cols]
+    least = F.sqrt(sum((F.coalesce(x * x, F.lit(0.0)) for x in off), F.lit(0.0)) * F.try_divide(F.lit(float(len(cols))), shared))
+
+    def near(left: DataFrame) -> DataFrame:
+        return join_stats(left, small_side(boxes, count), [*by, "__c"], "inner").where(shared > 0).withColumn("__least", least)
+
+    cell = [*by, "__row", "__c"]
+    closest = F.min(F.struct("__least", "__p", "__b")).alias("__home")
+    home = near(cells).where(F.col("__n") >= k).groupBy(*cell, "__ts", *cols).agg(closest)
+    home = checkpointed(home.withColumns({"__p": F.col("__home.__p"), "__b": F.col("__home.__b")}).drop("__home"))
+    first = checkpointed(_meet(home, placed, by, cols, k, block_rows))
+    column = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("__c") + 1)
+    reach = first.groupBy(F.col("__row").alias("__r"), "column").agg(F.max("distance").alias("__reach"))
+    known = home.withColumnsRenamed({"__p": "__hp", "__b": "__hb"}).withColumn("__name", column)
+    known = known.join(reach, (F.col("__row") == F.col("__r")) & (F.col("__name") == F.col("column"))).select("__row", "__c", "__hp", "__hb", "__reach")
+    # A cell without such a block, in a group of few donors, meets all.
+    wide = near(cells.join(known, ["__row", "__c"], "left")).where("__least <= coalesce(__reach * (1 + 1e-9), double('infinity'))")
+    rest = wide.where("__hb IS NULL OR __p <> __hp OR __b <> __hb").select(*home.columns)
+    return first.unionByName(_meet(rest, placed, by, cols, k, block_rows))
+
+
+def _meet(cells: DataFrame, donors: DataFrame, by: list[str], cols: list[str], k: int, block_rows: int) -> DataFrame:
+    """The best donors of each cell in the block (``__p``, ``__b``) that it was sent to. Many cells of a block are dealt out, with a copy of it each."""
+    at = [*by, "__c", "__p", "__b"]
+    crowd = cells.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("__parts"))
+    cells = join_stats(cells, crowd, at, "inner").withColumn("__part", F.pmod(F.xxhash64("__row", "__c"), F.col("__parts")).cast("int"))
+    copies = join_stats(donors, crowd, at, "inner").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    tagged = cells.withColumn("__q", F.lit(True)).unionByName(copies.withColumn("__q", F.lit(False)))
+    return tagged.groupBy(*at, "__part").applyInPandas(_nearest_donors(cols, k), _found_schema(donors))
+
+
+#: Distances that a task holds at once.
+_DISTANCES = 1 << 20
+
+
 def _nearest_donors(cols: list[str], k: int):
-    """Kernel: one block of incomplete rows against one block of donors, k best donors per missing cell."""
+    """Kernel: missing cells of column number ``__c`` (rows with ``__q``) against donors, the k best donors of each cell."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, d = pdf[pdf["__is_q"]], pdf[~pdf["__is_q"]].sort_values("__ts", kind="stable")
+        q, d = pdf[pdf["__q"]], pdf[~pdf["__q"]].sort_values("__ts", kind="stable")
         x, y = q[cols].to_numpy(float), d[cols].to_numpy(float)
-        x_has, y_has = ~np.isnan(x), ~np.isnan(y)
-        at, ids = d["__ts"].to_numpy(), q["__row"].to_numpy()
+        at, ids, wanted = d["__ts"].to_numpy(), q["__row"].to_numpy(), q["__c"].to_numpy(int)
         out = []
-        for i in range(len(q)):
-            both = y_has & x_has[i]
-            shared = both.sum(axis=1)
-            gaps = np.where(both, y - x[i], 0.0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                dist = np.sqrt((gaps * gaps).sum(axis=1) * (len(cols) / shared))
-            for j in np.flatnonzero(~x_has[i]):
-                usable = np.flatnonzero(y_has[:, j] & (shared > 0))
-                near = usable[np.argsort(dist[usable], kind="stable")[:k]]
-                out += [(ids[i], cols[j], dist[n], at[n], y[n, j]) for n in near]
-        return pd.DataFrame(out, columns=["__row", "column", "distance", "at", "value"])
+        for j in np.unique(wanted):
+            mine, givers = np.flatnonzero(wanted == j), np.flatnonzero(~np.isnan(y[:, j]))
+            step = max(1, _DISTANCES // max(1, len(givers)))
+            for a in range(0, len(mine), step) if len(givers) else ():
+                some = mine[a : a + step]
+                total, shared = np.zeros((len(some), len(givers))), np.zeros((len(some), len(givers)))
+                for c in range(len(cols)):
+                    gap = y[givers, c][None, :] - x[some, c][:, None]
+                    both = ~np.isnan(gap)
+                    total += np.where(both, gap * gap, 0.0)
+                    shared += both
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    dist = np.where(shared > 0, np.sqrt(total * (len(cols) / shared)), np.inf)
+                last = np.partition(dist, k - 1, axis=1)[:, k - 1] if len(givers) > k else np.full(len(some), np.inf)
+                i, n = np.nonzero((dist <= last[:, None]) & (shared > 0))  # all that tie with the k-th
+                order = np.lexsort((n, dist[i, n], i))
+                i, n = i[order], n[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                i, n = i[rank < k], n[rank < k]
+                out.append(pd.DataFrame({"__row": ids[some[i]], "column": cols[j], "distance": dist[i, n], "at": at[givers[n]], "value": y[givers[n], j]}))
+        return pd.concat(out) if out else pd.DataFrame({"__row": [], "column": [], "distance": [], "at": at[:0], "value": []})
 
     return run
