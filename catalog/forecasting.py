@@ -152,7 +152,27 @@ def holt(spark, sf):
     return _model("holt", spark, sf)
 
 
-@query()
+_SETS = ", ".join(f"({i}, {a}::DOUBLE, {a * b!r}::DOUBLE, {g}::DOUBLE)" for i, (a, b, g) in enumerate(smoothing.HW_GRID))
+_E = "(p.y - r.l - r.t - r.s[1])"
+_HW = {
+    "al": f"SELECT * FROM (VALUES {_SETS}) v(i, a, b, g)",
+    "hd": "SELECT item_id, AVG(CASE WHEN pos < 7 THEN y END) AS f1, AVG(CASE WHEN pos BETWEEN 7 AND 13 THEN y END) AS f2 FROM m WHERE n >= 14 GROUP BY 1",
+    "st": """SELECT item_id, f1 + (f2 - f1) / 7 * 3 AS l, (f2 - f1) / 7 AS t, list(y - (f1 + (f2 - f1) / 7 * (pos - 3)) ORDER BY pos) AS s
+        FROM m JOIN hd USING (item_id) WHERE pos < 7 GROUP BY item_id, f1, f2""",
+    "rec": f"""SELECT st.item_id, al.i, al.a, al.b, al.g, CAST(6 AS BIGINT) AS pos, st.l, st.t, st.s, 0.0::DOUBLE AS sse FROM st, al
+        UNION ALL SELECT r.item_id, r.i, r.a, r.b, r.g, p.pos, r.l + r.t + r.a * {_E}, r.t + r.b * {_E}, list_append(r.s[2:7], r.s[1] + r.g * {_E}), r.sse + {_E} * {_E}
+        FROM rec r JOIN m p ON p.item_id = r.item_id AND p.pos = r.pos + 1""",
+    "hs": "SELECT m.*, COALESCE(LEAD(y) OVER (PARTITION BY item_id ORDER BY pos) - y, 0) AS b0 FROM m WHERE n < 14",
+    "rec2": """SELECT p.item_id, al.i, al.a, al.b, p.pos, p.y AS l, p.b0 AS t, 0.0::DOUBLE AS sse FROM hs p, al WHERE p.pos = 0
+        UNION ALL SELECT r.item_id, r.i, r.a, r.b, p.pos, r.l + r.t + r.a * (p.y - (r.l + r.t)), r.t + r.b * (p.y - (r.l + r.t)), r.sse + (p.y - (r.l + r.t)) * (p.y - (r.l + r.t))
+        FROM rec2 r JOIN m p ON p.item_id = r.item_id AND p.pos = r.pos + 1""",
+    "ends": "SELECT item_id, i, pos, l, t, s, sse FROM rec UNION ALL SELECT item_id, i, pos, l, t, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[], sse FROM rec2",
+    "f": """SELECT item_id, last, l, t, s FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY round(sse, 9), i) AS r FROM
+        (SELECT ends.*, m.last FROM ends JOIN m ON m.item_id = ends.item_id AND m.pos = ends.pos AND m.pos = m.n - 1)) WHERE r = 1""",
+}
+
+
+@query(sql("user_regular", f"SELECT {_OUT.format('l + t * k + s[CAST((k - 1) % 7 + 1 AS BIGINT)]')} FROM f, range(1, {H + 1}) s(k)".replace("s(k)", "q(k)"), m=_N, **_HW))
 def holt_winters(spark, sf):
     return _model("holt_winters", spark, sf)
 
@@ -214,7 +234,26 @@ def imapa(spark, sf):
     return _intermittent("imapa", spark, sf)
 
 
-@query()
+_DEC = {
+    "nn": "SELECT item_id, ts, y, last, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY ts) - 1 AS pos, COUNT(*) OVER (PARTITION BY item_id) AS n FROM m",
+    "tr": """SELECT *, CASE WHEN COUNT(y) OVER w = 7 THEN SUM(y) OVER w / 7 END AS trend FROM nn WHERE n >= 14
+        WINDOW w AS (PARTITION BY item_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""",
+    "ph": "SELECT item_id, pos % 7 AS phase, AVG(y - trend) AS pm FROM tr GROUP BY 1, 2",
+    "se": "SELECT item_id, phase, pm - AVG(pm) OVER (PARTITION BY item_id) AS seasonal FROM ph",
+    "ad": "SELECT nn.item_id, nn.ts, nn.last, nn.pos, nn.n, nn.y - COALESCE(seasonal, 0) AS y FROM nn LEFT JOIN se ON nn.item_id = se.item_id AND nn.pos % 7 = se.phase",
+}
+_STLF = {"m": _N} | _DEC | {k: (v.replace("FROM m", "FROM ad").replace("m.*", "ad.*").replace("JOIN m", "JOIN ad").replace("m.", "ad.")) for k, v in _HOLT.items()}
+
+
+@query(
+    sql(
+        "user_regular",
+        f"""SELECT g.item_id, CAST(g.k AS BIGINT) AS step, g.last + to_days(CAST(g.k AS INTEGER)) AS ts, ROUND(l + t * g.k + COALESCE(seasonal, 0), 6) + 0.0 AS yhat
+        FROM (SELECT f.*, n, q.k FROM f JOIN (SELECT DISTINCT item_id, n FROM m) USING (item_id), range(1, {H + 1}) q(k)) g
+        LEFT JOIN se ON se.item_id = g.item_id AND se.phase = (g.n - 1 + g.k) % 7""",
+        **_STLF,
+    )
+)
 def stlf(spark, sf):
     return _model("stlf", spark, sf)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -121,6 +122,61 @@ def test_smoothing_blocks_chain_exactly():
             x = np.einsum("pij,pj->pi", m, x) + v
         assert total[best] == pytest.approx(sse)
         assert x[best] == pytest.approx(state)
+        parts = [smoothing._summary(part, grid, season) for part in np.split(y[at:], [7, 20, 21])]
+        m, v, q, b, quad = smoothing._joined(smoothing._joined(parts[0], parts[1]), smoothing._joined(parts[2], parts[3]))
+        assert np.einsum("pij,j->pi", m, x0)[best] + v[best] == pytest.approx(state)
+        assert (q + b @ x0 + np.einsum("i,pij,j->p", x0, quad, x0))[best] == pytest.approx(sse)
+
+
+def test_many_series_are_smoothed_as_one_by_one():
+    rng = np.random.default_rng(7)
+    series = [rng.normal(10, 3, n) for n in (8, 30, 9, 57, 8, 31)]
+    for season, grid in ((None, smoothing.ALPHAS), (0, smoothing.HOLT_GRID), (4, smoothing.HW_GRID)):
+        for y, (best, state, sse) in zip(series, smoothing._run_many(series, grid, season), strict=True):
+            x0, at = smoothing._start(y, season)
+            errors = []
+            for p in grid:
+                a, b, g = (*(p if isinstance(p, tuple) else (p,)), 0.0, 0.0)[:3]
+                l, t, s = x0[0], x0[1] if season is not None else 0.0, list(x0[2:])
+                total = 0.0
+                for v in y[at:]:
+                    e = v - l - t - (s[0] if s else 0.0)
+                    total += e * e
+                    l, t = l + t + a * e, t + (a * b * e if season is not None else 0.0)
+                    s = [*s[1:], s[0] + g * e] if s else s
+                errors.append((round(total, 9), len(errors), [l, *([t] if season is not None else []), *s]))
+            want = min(errors)
+            assert (best, sse) == (want[1], pytest.approx(want[0]))
+            assert state == pytest.approx(want[2])
+            if season:
+                stream = smoothing._Stream(grid, season)
+                for part in np.split(y, [3, 5, 7]):
+                    stream.add(part)
+                assert stream.finish()[0] == best and stream.finish()[1] == pytest.approx(state)
+
+
+@pytest.mark.parametrize("name", ["ses", "holt", "holt_winters"])
+def test_rounds_of_joined_blocks_and_streams_give_the_same(spark, rows_per_task, monkeypatch, name):
+    e = fr.event_series(spark, SF).groupBy("item_id", F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("ts")).agg(F.sum("y").alias("y"))
+    spec = S.replace(freq="H")
+    whole = table(registry.forecast(name, e, spec, 5, 4))
+    with rows_per_task(20):
+        monkeypatch.setattr(smoothing, "_JOINED", 3)
+        assert table(registry.forecast(name, e, spec, 5, 4)) == whole
+        monkeypatch.setattr(smoothing, "_EFFECT", 0)
+        if name == "holt_winters":
+            assert table(registry.forecast(name, e, spec, 5, 4)) == whole
+            one = e.where("item_id = 'view'").select("ts", "y")
+            assert registry.forecast(name, one, spec.replace(id=None), 5, 4).count() == 5
+
+
+def test_a_season_of_a_day_in_minutes(spark, rows_per_task):
+    y = [100 + 10 * math.sin(i % 1440 / 229.2) for i in range(4 * 1440)]
+    df = spark.createDataFrame([("a", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), v) for i, v in enumerate(y)], "item_id string, ts timestamp_ntz, y double")
+    for rows in (10_000, 3000):  # whole, and as a stream
+        with rows_per_task(rows):
+            got = [r["yhat"] for r in registry.forecast("holt_winters", df, S.replace(freq="T"), 1440, 1440).orderBy("step").collect()]
+        assert got == pytest.approx(y[:1440], abs=0.5)
 
 
 @pytest.mark.parametrize("name", ["linear", "random_forest"])

@@ -78,7 +78,7 @@ def anchored_point(k: Column, anchor: Column, freq: str) -> Column:
     code = check_freq(freq)
     if code in _MONTHS:
         return _at(_period_end(anchor["base"] + k, _MONTHS[code]), anchor["tod"])
-    return from_micros(anchor["base"] + k * (7 * _DAY if code == "W" else _STEP_MICROS[code]))
+    return from_micros(anchor["base"] + k.cast("long") * (7 * _DAY if code == "W" else _STEP_MICROS[code]))
 
 
 def grid_point(k: Column, first: Column, freq: str) -> Column:

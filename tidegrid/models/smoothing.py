@@ -4,12 +4,13 @@ Parameters are chosen per series from a grid by the sum of squared one-step erro
 of ordinary series run inside the JVM as a fold over the series' array. Smoothing is a linear recursion
 ``x' = A x + g y`` with error ``y - c x``, so a *block* of rows acts on the state as one affine map and on the
 error sum as one quadratic form. Series too long for one task are therefore cut into blocks that are
-summarised in parallel and then chained.
+summarised in parallel; neighbouring summaries are joined in rounds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -36,34 +37,16 @@ ARRAY_ROWS = 500_000
 # --- the linear recursion -----------------------------------------------------------------------------------
 
 
-def _system(grid: tuple, season: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(A, g, c) for every parameter set. The state is (level[, trend[, season phases, next one first]])."""
-    trend = season is not None
-    size = 1 + (1 if trend else 0) + (season or 0)
-    c = np.zeros(size)
-    c[: 2 if trend else 1] = 1.0
-    move = np.zeros((size, size))
-    move[0, 0] = 1.0
-    if trend:
-        move[0, 1] = move[1, 1] = 1.0
-    if season:
-        c[2] = 1.0
-        for i in range(season):
-            move[2 + i, 2 + (i + 1) % season] = 1.0
-    g = np.zeros((len(grid), size))
-    for i, p in enumerate(grid):
-        p = p if isinstance(p, tuple) else (p,)
-        g[i, 0] = p[0]
-        if trend:
-            g[i, 1] = p[0] * p[1]
-        if season:
-            g[i, -1] = p[2]
-    # x' = move x + g (y - c x)
-    return move[None] - g[:, :, None] * c[None, None, :], g, c
+def _gains(grid: tuple, season: int | None) -> tuple[np.ndarray, ...]:
+    """What an error of one moves level, trend and phase by, for every parameter set."""
+    sets = np.array([p if isinstance(p, tuple) else (p,) for p in grid], float)
+    none = np.zeros(len(grid))
+    trend = none if season is None else sets[:, 0] * sets[:, 1]
+    return sets[:, 0], trend, sets[:, 2] if season else none
 
 
 def _start(y: np.ndarray, season: int | None) -> tuple[np.ndarray, int]:
-    """State before the first row that is smoothed, and that row's position."""
+    """State (level[, trend[, season phases, next one first]]) before the first row that is smoothed, and that row's position."""
     if season is None:
         return y[:1], 1
     if season == 0:
@@ -75,36 +58,117 @@ def _start(y: np.ndarray, season: int | None) -> tuple[np.ndarray, int]:
     return np.concatenate([[first + slope * centre, slope], phases]), season
 
 
+def _run_many(series: list[np.ndarray], grid: tuple, season: int | None) -> list[tuple[int, np.ndarray, float]]:
+    """Smooth whole series, all of them and under every parameter set at once; (best set, its final state, its error sum) of each.
+
+    The state is one array per part of it, series by parameter sets, and a ring of phases: a value costs the same at any season.
+    """
+    order = sorted(range(len(series)), key=lambda i: -len(series[i]))  # those that go on are always the first
+    starts = [_start(series[i], season) for i in order]
+    at = 1 if not season else season
+    lengths = np.array([len(series[i]) - at for i in order])
+    most = max(int(lengths.max(initial=0)), 0)
+    values = np.zeros((most, len(order)))
+    for k, i in enumerate(order):
+        values[: max(lengths[k], 0), k] = series[i][at:]
+    going = np.searchsorted(-lengths, -np.arange(most))  # series longer than t
+    a, b, g = _gains(grid, season)
+    level = np.repeat([[x[0]] for x, _ in starts], len(grid), 1)
+    trend = np.repeat([[x[1] if season is not None else 0.0] for x, _ in starts], len(grid), 1)
+    ring = [np.repeat([[x[2 + p]] for x, _ in starts], len(grid), 1) for p in range(season or 0)]
+    sse = np.zeros_like(level)
+    for t in range(most):
+        n = going[t]
+        ahead = level[:n] + trend[:n] if season is not None else level[:n].copy()
+        phase = ring[t % season][:n] if season else 0.0
+        e = values[t, :n, None] - ahead - phase
+        sse[:n] += e * e
+        level[:n] = ahead + a * e
+        if season is not None:
+            trend[:n] += b * e
+        if season:
+            phase += g * e
+    best = np.argmin(np.round(sse, 9), 1)
+    out: list = [None] * len(series)
+    for k, i in enumerate(order):
+        p = best[k]
+        state = [level[k, p]] + ([trend[k, p]] if season is not None else [])
+        state += [ring[(max(lengths[k], 0) + q) % season][k, p] for q in range(season or 0)]
+        out[i] = (int(p), np.array(state), float(sse[k, p]))
+    return out
+
+
 def _run(y: np.ndarray, grid: tuple, season: int | None) -> tuple[int, np.ndarray, float]:
-    """Smooth one whole series under every parameter set; (best set, its final state, its error sum)."""
-    a, g, c = _system(grid, season)
-    x0, at = _start(y, season)
-    x = np.tile(x0, (len(grid), 1))
-    sse = np.zeros(len(grid))
-    for v in y[at:]:
-        e = v - x @ c
-        sse += e * e
-        x = np.einsum("pij,pj->pi", a, x) + g * v
-    best = int(np.argmin(np.round(sse, 9)))
-    return best, x[best], float(sse[best])
+    """Smooth one whole series."""
+    return _run_many([y], grid, season)[0]
+
+
+#: Errors whose products are summed at once.
+_ERRORS = 256
 
 
 def _summary(y: np.ndarray, grid: tuple, season: int | None) -> tuple[np.ndarray, ...]:
-    """What a block does: x' = M x + v, and its error sum q + b.x + x'Cx, for every parameter set."""
-    a, g, c = _system(grid, season)
-    size = len(c)
-    m = np.tile(np.eye(size), (len(grid), 1, 1))
-    v = np.zeros((len(grid), size))
-    q, b, quad = np.zeros(len(grid)), np.zeros((len(grid), size)), np.zeros((len(grid), size, size))
-    for value in y:
-        k = value - v @ c
-        r = np.einsum("j,pji->pi", c, m)
-        q += k * k
-        b -= 2 * k[:, None] * r
-        quad += r[:, :, None] * r[:, None, :]
-        m = np.einsum("pij,pjk->pik", a, m)
-        v = np.einsum("pij,pj->pi", a, v) + g * value
-    return m, v, q, b, quad
+    """What a block does: x' = M x + v, and its error sum q + b.x + x'Cx, for every parameter set.
+
+    The recursion runs once from every unit state without values and once from zero with them, as columns of one array; errors
+    are linear in the state, so the error sum is their product with themselves.
+    """
+    a, b, g = (x[:, None] for x in _gains(grid, season))
+    size = 1 + (season is not None) + (season or 0)
+    unit = np.eye(size + 1)[:size]  # a row per part of the state, a column per start; the last column is the one with values
+    parts = [np.tile(row, (len(grid), 1)) for row in unit]
+    value = np.zeros((len(grid), size + 1))
+    total = np.zeros((len(grid), size + 1, size + 1))
+    errors: list[np.ndarray] = []
+    trend = season is not None
+
+    def add() -> None:
+        e = np.stack(errors, 1)  # sets, steps, columns
+        total[:] += e.transpose(0, 2, 1) @ e
+        errors.clear()
+
+    for t, v in enumerate(y):
+        value[:, -1] = v
+        ahead = parts[0] + parts[1] if trend else parts[0]
+        at = 2 + t % season if season else 0
+        e = value - ahead - parts[at] if season else value - ahead
+        errors.append(e)
+        if len(errors) == _ERRORS:
+            add()
+        parts[0] = ahead + a * e
+        if trend:
+            parts[1] = parts[1] + b * e
+        if season:
+            parts[at] = parts[at] + g * e
+    if errors:
+        add()
+    turn = len(y) % season if season else 0
+    now = np.stack(parts[: 1 + trend] + parts[2 + turn :] + parts[2 : 2 + turn] if season else parts, 1)
+    return now[:, :, :-1], now[:, :, -1], total[:, -1, -1], 2 * total[:, -1, :-1], total[:, :-1, :-1]
+
+
+def _joined(first: tuple[np.ndarray, ...], second: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """What two blocks do one after the other."""
+    (m1, v1, q1, b1, c1), (m2, v2, q2, b2, c2) = first, second
+    over = m1.transpose(0, 2, 1)
+    cv = (c2 @ v1[:, :, None])[:, :, 0]
+    return (
+        m2 @ m1,
+        (m2 @ v1[:, :, None])[:, :, 0] + v2,
+        q1 + q2 + (b2 * v1).sum(1) + (v1 * cv).sum(1),
+        b1 + (over @ (b2 + 2 * cv)[:, :, None])[:, :, 0],
+        c1 + over @ c2 @ m1,
+    )
+
+
+def _unpack(raw: bytes, sets: int, size: int) -> tuple[np.ndarray, ...]:
+    shapes = [(sets, size, size), (sets, size), (sets,), (sets, size), (sets, size, size)]
+    flat = np.split(np.frombuffer(raw, float), np.cumsum([int(np.prod(x)) for x in shapes])[:-1])
+    return tuple(f.reshape(x) for f, x in zip(flat, shapes))
+
+
+def _pack(effect: tuple[np.ndarray, ...]) -> bytes:
+    return np.concatenate([np.ravel(p) for p in effect]).tobytes()
 
 
 def _smooth(df: DataFrame, spec: SeriesSpec, grid: tuple, season: int | None) -> DataFrame:
@@ -126,13 +190,17 @@ def _smooth(df: DataFrame, spec: SeriesSpec, grid: tuple, season: int | None) ->
         cold = _fold(_arrays(s.cold, spec), spec, grid, season == 0)
     if s.hot is None:
         return cold
-    return cold.unionByName(_chained(s.hot, spec, s.keys, grid, season, schema))
+    if _effect_size(grid, season) > _EFFECT:
+        return cold.unionByName(_streamed(s.hot, spec, s.keys, grid, season, schema))
+    most = s.hot.agg(F.max(BLOCK)).first()[0] + 1  # blocks of the longest series
+    return cold.unionByName(_chained(s.hot, spec, s.keys, grid, season, schema, most))
 
 
 def _arrays(rows: DataFrame, spec: SeriesSpec) -> DataFrame:
     """One row per (short) series with its values in time order."""
     ordered = F.array_sort(F.collect_list(F.struct(*spec.order, F.col(spec.target).alias("__v"))))
-    return rows.groupBy(*spec.keys).agg(F.max(spec.ts).alias(LAST), ordered.alias("__a")).select(
+    # Without keys an empty frame still has one group.
+    return rows.groupBy(*spec.keys).agg(F.max(spec.ts).alias(LAST), ordered.alias("__a")).where(F.size("__a") > 0).select(
         *spec.keys, LAST, F.size("__a").cast("long").alias(LEN), F.transform("__a", lambda r: r["__v"]).alias("__y")
     )
 
@@ -161,16 +229,25 @@ def _fold(arrays: DataFrame, spec: SeriesSpec, grid: tuple, trend: bool) -> Data
     return best.select(*spec.keys, LAST, LEN, F.col("__b.i").alias("best"), state.alias("state"), F.col("__b.sse").alias("sse"))
 
 
+#: Series that are smoothed together, and values of them.
+_TOGETHER, _VALUES = 256, 1 << 20
+
+
 def _whole(keys: list[str], grid: tuple, season: int):
+    pairs = tuple((p[0], p[1]) for p in grid)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fits = []
-            for values in pdf["__y"]:
-                v = np.asarray(values, float)
-                if len(v) >= 2 * season:
-                    fits.append(_run(v, grid, season))
-                else:
-                    fits.append(_run(v, tuple((p[0], p[1]) for p in grid), 0))
+            values = [np.asarray(v, float) for v in pdf["__y"]]
+            fits: list = [None] * len(values)
+            for long in (True, False):
+                mine = sorted((i for i, v in enumerate(values) if (len(v) >= 2 * season) == long), key=lambda i: len(values[i]))
+                while mine:
+                    # The longest first; all of a chunk are laid out as long as its longest.
+                    take = max(1, min(_TOGETHER, _VALUES // max(1, len(values[mine[-1]])), _VALUES // (len(grid) * (season if long else 1))))
+                    chunk, mine = mine[-take:], mine[:-take]
+                    for i, fit in zip(chunk, _run_many([values[i] for i in chunk], grid if long else pairs, season if long else 0)):
+                        fits[i] = fit
             out = pdf[[*keys, LAST, LEN]].copy()
             out["best"] = [f[0] for f in fits]
             out["state"] = [f[1].tolist() for f in fits]
@@ -180,9 +257,22 @@ def _whole(keys: list[str], grid: tuple, season: int):
     return run
 
 
-def _chained(hot: DataFrame, spec: SeriesSpec, keys: list[str], grid: tuple, season: int | None, schema: T.StructType) -> DataFrame:
-    """Long series: summarise blocks in parallel, then chain the summaries of each series (one per block)."""
+#: Blocks whose effects one task joins into one.
+_JOINED = 64
+#: Numbers of a block's effect, at most; above that a long series is streamed through one task instead.
+_EFFECT = 1 << 21
+
+
+def _effect_size(grid: tuple, season: int | None) -> int:
+    size = 1 + (season is not None) + (season or 0)
+    return len(grid) * (2 * size * size + 2 * size + 1)
+
+
+def _chained(hot: DataFrame, spec: SeriesSpec, keys: list[str], grid: tuple, season: int | None, schema: T.StructType, most: int) -> DataFrame:
+    """Long series: blocks are summarised in parallel, and the summaries of a series joined in rounds, ``_JOINED`` neighbours
+    at a time, until one task chains the few that are left."""
     y, skip = spec.target, (season or 1)
+    sets, size = len(grid), 1 + (season is not None) + (season or 0)
     key_fields = [hot.schema[k] for k in keys]
     block_schema = T.StructType(
         key_fields
@@ -190,33 +280,105 @@ def _chained(hot: DataFrame, spec: SeriesSpec, keys: list[str], grid: tuple, sea
            T.StructField(LAST, hot.schema[spec.ts].dataType), T.StructField(LEN, T.LongType())]
     )
 
+    def one(pdf: pd.DataFrame, row: dict) -> pd.DataFrame:
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {k: [v] for k, v in row.items()})
+
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(POS)
-        values = pdf[y].to_numpy(float)
-        body = values[pdf[POS].to_numpy() >= skip]
-        parts = np.concatenate([p.ravel() for p in _summary(body, grid, season)])
-        row = {k: [pdf[k].iloc[0]] for k in keys} | {BLOCK: [int(pdf[BLOCK].iloc[0])]}
-        head = values[pdf[POS].to_numpy() < 2 * skip].tolist()
-        return pd.DataFrame(row | {"head": [head], "effect": [parts.tobytes()], LAST: [pdf[spec.ts].max()], LEN: [len(pdf)]})
+        values, pos = pdf[y].to_numpy(float), pdf[POS].to_numpy()
+        effect = _pack(_summary(values[pos >= skip], grid, season))
+        return one(pdf, {BLOCK: int(pdf[BLOCK].iloc[0]), "head": values[pos < 2 * skip].tolist(), "effect": effect, LAST: pdf[spec.ts].max(), LEN: len(pdf)})
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(BLOCK)
+        effects = [_unpack(e, sets, size) for e in pdf["effect"]]
+        head = np.concatenate([np.asarray(h, float) for h in pdf["head"]])
+        return one(pdf, {BLOCK: int(pdf[BLOCK].iloc[0]) // _JOINED, "head": head.tolist(), "effect": _pack(reduce(_joined, effects)), LAST: pdf[LAST].max(), LEN: int(pdf[LEN].sum())})
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(BLOCK)
         x0, _ = _start(np.concatenate([np.asarray(h, float) for h in pdf["head"]]), season)
-        size, sets = len(x0), len(grid)
         x, sse = np.tile(x0, (sets, 1)), np.zeros(sets)
         for raw in pdf["effect"]:
-            flat = np.frombuffer(raw, float)
-            m, v, q, b, quad = np.split(flat, np.cumsum([sets * size * size, sets * size, sets, sets * size]))
-            sse += q + (b.reshape(sets, size) * x).sum(1) + np.einsum("pi,pij,pj->p", x, quad.reshape(sets, size, size), x)
-            x = np.einsum("pij,pj->pi", m.reshape(sets, size, size), x) + v.reshape(sets, size)
+            m, v, q, b, quad = _unpack(raw, sets, size)
+            sse += q + (b * x).sum(1) + ((quad @ x[:, :, None])[:, :, 0] * x).sum(1)
+            x = (m @ x[:, :, None])[:, :, 0] + v
         best = int(np.argmin(np.round(sse, 9)))
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame(row | {LAST: [pdf[LAST].max()], LEN: [int(pdf[LEN].sum())], "best": [best], "state": [x[best].tolist()], "sse": [float(sse[best])]})
+        return one(pdf, {LAST: pdf[LAST].max(), LEN: int(pdf[LEN].sum()), "best": best, "state": x[best].tolist(), "sse": float(sse[best])})
 
     blocks = hot.select(*keys, spec.ts, y, POS, BLOCK).groupBy(*keys, BLOCK).applyInPandas(summarise, block_schema)
+    while most > _JOINED:
+        near = F.floor(F.col(BLOCK) / _JOINED).alias("__near")
+        blocks = blocks.groupBy(*keys, near).applyInPandas(join, block_schema)
+        most = -(-most // _JOINED)
     return blocks.groupBy(*keys).applyInPandas(chain, schema)
 
 
+def _streamed(hot: DataFrame, spec: SeriesSpec, keys: list[str], grid: tuple, season: int, schema: T.StructType) -> DataFrame:
+    """Long series whose season is so long that a block's effect would be larger than the block: each passes through one task in order.
+
+    A task holds the state of one series, and values of one batch."""
+    y = spec.target
+    names = [*keys, LAST, LEN, "best", "state", "sse"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, smoother, last, n = None, None, None, 0
+
+        def done() -> pd.DataFrame:
+            best, state, sse = smoother.finish()
+            return pd.DataFrame([(*now, last, n, best, state.tolist(), sse)], columns=names)
+
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]:
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                if smoother is None or key != now:
+                    if smoother is not None:
+                        yield done()
+                    now, smoother, n = key, _Stream(grid, season), 0
+                smoother.add(part[y].to_numpy(float))
+                last, n = part[spec.ts].iloc[-1], n + len(part)
+        if smoother is not None:
+            yield done()
+
+    rows = hot.select(*keys, spec.ts, y, POS)
+    ordered = rows.repartition(*keys) if keys else rows.coalesce(1)
+    return ordered.sortWithinPartitions(*keys, POS).mapInPandas(run, schema)
+
+
+class _Stream:
+    """Smooths one series as its values come. ``season`` is above 0."""
+
+    def __init__(self, grid: tuple, season: int):
+        self.gains, self.season = _gains(grid, season), season
+        self.head, self.level, self.t = np.zeros(0), None, 0
+        self.sse = np.zeros(len(grid))
+
+    def add(self, y: np.ndarray) -> None:
+        if self.level is None:
+            self.head = np.concatenate([self.head, y])
+            if len(self.head) < 2 * self.season:
+                return
+            x, at = _start(self.head, self.season)
+            self.level, self.trend = np.full_like(self.sse, x[0]), np.full_like(self.sse, x[1])
+            self.ring = np.repeat(x[2:, None], len(self.sse), 1)
+            y = self.head[at:]
+        a, b, g = self.gains
+        for v in y:
+            phase = self.ring[self.t]
+            ahead = self.level + self.trend
+            e = v - ahead - phase
+            self.sse += e * e
+            self.level = ahead + a * e
+            self.trend = self.trend + b * e
+            phase += g * e
+            self.t = (self.t + 1) % self.season
+
+    def finish(self) -> tuple[int, np.ndarray, float]:
+        best = int(np.argmin(np.round(self.sse, 9)))
+        phases = np.roll(self.ring[:, best], -self.t)
+        return best, np.concatenate([[self.level[best], self.trend[best]], phases]), float(self.sse[best])
+
+
 # --- the models ---------------------------------------------------------------------------------------------
 
 
