@@ -409,9 +409,22 @@ def drift_findings(spark, sf):
     return rounded(drift.drift_findings(*fr.samples(spark, sf), ORDERED).drop("reason"))
 
 
-@query()
+@query(
+    sql(
+        "hist fresh",
+        """SELECT COALESCE(bool_or(detected), FALSE) AS drift_detected, ROUND(COALESCE(MAX(score), 0), 6) + 0.0 AS drift_score, COUNT(*) FILTER (WHERE detected) AS findings FROM (
+        SELECT 'ks' AS test, 'y' AS subject, CASE WHEN p < 0.05 THEN statistic ELSE 0 END AS score, p < 0.05 AS detected FROM pv
+        UNION ALL SELECT 'mean', 'y', CASE WHEN mean_change_pct > 20 THEN least(1, mean_change_pct / 100) ELSE 0 END, mean_change_pct > 20 FROM m
+        UNION ALL SELECT 'std', 'y', CASE WHEN std_change_pct > 30 THEN least(1, std_change_pct / 100) ELSE 0 END, std_change_pct > 30 FROM m
+        UNION ALL SELECT 'rolling', item_id, CASE WHEN mean_z > 2 THEN least(1, mean_z / 5) ELSE 0 END, mean_z > 2 FROM rd)""",
+        ks=_KS,
+        pv=_P,
+        m=_MOMENTS,
+        **_rolling_sql("item_id", ""),
+    )
+)
 def drift_report(spark, sf):
-    return drift.drift_report(*fr.samples(spark, sf), ORDERED)
+    return rounded(drift.drift_report(*fr.samples(spark, sf), ORDERED))
 
 
 # --- chart data ---------------------------------------------------------------------------------------------

@@ -86,6 +86,17 @@ def upsert_table(spark, sf):
     return spark.table(name)
 
 
+@query(sql("", "SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_acctbal, c_mktsegment FROM u", src=_SRC, u=_UPSERTED))
+def upsert_buckets(spark, sf):
+    """The same with the rows in buckets of the key, of which an upsert replaces those that it hits."""
+    target, source = _upsert(spark, sf)
+    name = f"tidegrid_{uuid.uuid4().hex}"
+    tables.create_table(target, name, _scratch(spark), ["c_custkey"], buckets=16)
+    tables.upsert_table(target, name)
+    tables.upsert_table(source, name, order="seq")
+    return tables.stored_rows(spark, name)
+
+
 @query(sql("", "SELECT * FROM customer_rows UNION ALL SELECT c_custkey, c_acctbal, NULL FROM src", src=_SRC, customer_rows="SELECT c_custkey, c_acctbal, c_mktsegment FROM customer"))
 def upsert_without_key(spark, sf):
     target, source = _upsert(spark, sf)

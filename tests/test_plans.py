@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from catalog import frames as fr
 from tests.conftest import SF
 from tidegrid import SeriesSpec
 from tidegrid.models import registry
-from tidegrid.operators import features, missing, quality, regular, series
+from tidegrid.operators import correlation, drift, features, missing, quality, regular, series
 
 #: Series known to be short: nothing is measured, plans are the everyday ones.
 S = SeriesSpec(longest=1000)
@@ -66,3 +69,40 @@ def test_calendar_cut_needs_no_shuffle_of_the_table(spark):
 
 def test_a_holiday_needs_no_join(spark):
     assert "Join" not in plan(features.add_holiday(events(spark), "ts"))
+
+
+def test_rolling_drift_of_a_wide_window_cuts_up_long_series(spark, rows_per_task, monkeypatch):
+    series = spark.range(900).select((F.col("id") % 2).cast("string").alias("item_id"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"), F.rand(3).alias("y"))
+    new = spark.range(900, 960).select((F.col("id") % 2).cast("string").alias("item_id"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"), (F.rand(4) + 5).alias("y"))
+    kept = sorted(tuple(r) for r in drift.rolling_drift(series, new, SeriesSpec(), 300).collect())
+    monkeypatch.setattr(drift, "RANK_LIMIT", 10)
+    with rows_per_task(100):
+        cut = sorted(tuple(r) for r in drift.rolling_drift(series, new, SeriesSpec(), 300).collect())
+    assert [r[0] for r in cut] == [r[0] for r in kept] == ["0", "1"]
+    for a, b in zip(cut, kept, strict=True):
+        assert a[1:] == pytest.approx(b[1:])
+
+
+def test_many_columns_are_correlated_in_one_small_plan(spark):
+    rng = np.random.default_rng(2)
+    wide = rng.normal(1e6, 1.0, (300, 60))
+    wide[:, 1] = wide[:, 0] * 2 + rng.normal(0, 0.1, 300)
+    wide[rng.random((300, 60)) < 0.2] = np.nan
+    wide[:, 5] = 0.1  # does not vary
+    wide[:, 6] = np.nan
+    names = [f"a.{i}" for i in range(60)]
+    df = spark.createDataFrame(pd.DataFrame(wide, columns=names)).repartition(3)
+    found = correlation.correlations(df, names)
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+    got = {(r.f1, r.f2): r.r for r in found.collect()}
+    assert len(got) == 3600
+    want = pd.DataFrame(wide, columns=names).corr(min_periods=2)
+    for (a, b), r in got.items():
+        if a in ("a.5", "a.6") or b in ("a.5", "a.6"):
+            assert r is None
+        else:
+            assert r == pytest.approx(want.loc[a, b], abs=1e-6)
+    few = correlation.target_correlation(df, names, "a.0").collect()
+    assert {r.feature for r in few} == {*names} - {"a.0"}
+    assert {r.feature for r in few if r.level == "strong"} == {"a.1"}
+    assert correlation.correlations(df, []).count() == 0

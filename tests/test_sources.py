@@ -6,6 +6,7 @@ import datetime as dt
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidegrid.sources import files, jdbc, tables
@@ -160,3 +161,32 @@ def test_columns_match_whatever_their_case(spark):
         tables.upsert(target, source.withColumn("more", source["y"]), ["item_id", "ts"])
     with pytest.raises(Exception, match="repeat a key"):
         tables.upsert(target, source.union(source), ["item_id", "ts"]).collect()
+
+
+def test_upsert_replaces_only_the_buckets_it_hits(spark, tmp_path):
+    def made(lo, hi, shift):
+        return spark.range(lo, hi).select(F.concat(F.lit("k"), "id").alias("item"), (F.col("id") % 5).alias("n"), (F.col("id") * 0.5 + shift).alias("v"))
+
+    name = "bucketed_upsert"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    tables.create_table(made(0, 1, 0), name, str(tmp_path / "t"), ["item", "n"], buckets=40)
+    tables.upsert_table(made(0, 4000, 0), name)
+    files = {str(f): f.parent.name for f in (tmp_path / "t").rglob("*.parquet")}
+    assert len(set(files.values())) == 40
+    more = made(100, 110, 1000).union(made(9000, 9003, 0))
+    want = sorted(tuple(r) for r in tables.upsert(tables.stored_rows(spark, name), tables.as_stored(more), ["item", "n"]).collect())
+    tables.upsert_table(more, name)
+    after = {str(f): f.parent.name for f in (tmp_path / "t").rglob("*.parquet")}
+    changed = {bucket for f, bucket in {**files, **after}.items() if f not in files or f not in after}
+    assert 0 < len(changed) <= 13 and len(set(after) & set(files)) == 40 - len(changed)
+    assert sorted(tuple(r) for r in tables.stored_rows(spark, name).collect()) == want
+    assert len(want) == 4003
+    with pytest.raises(ValueError, match="lacks key columns"):
+        tables.upsert_table(more.drop("n"), name)
+    tables.upsert_table(more.limit(0), name)
+    tables.upsert_table(more.select(F.col("item").alias("ITEM"), "n", F.lit(None).cast("double").alias("V"), F.lit(1).alias("o")), name, order="o")
+    assert spark.table(name).where("v IS NULL").count() == 13
+    assert spark.table(name).count() == 4003
+    with pytest.raises(ValueError, match="primary key"):
+        tables.create_table(more, "bucketed_none", str(tmp_path / "u"), buckets=4)
+    spark.sql(f"DROP TABLE {name}")

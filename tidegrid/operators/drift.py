@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators.series import label_samples, safe_timestamp
 from tidegrid.spec import SeriesSpec
-from tidegrid.splits import join_stats, running_sums
+from tidegrid.splits import join_stats, running_sums, with_positions
 
 _TINY = 1e-10
+#: Spark cuts a rank filter to its rows before the shuffle up to this rank.
+RANK_LIMIT = 1000
 
 
 def ks_two_sample(historical: DataFrame, new: DataFrame, col: str) -> DataFrame:
@@ -67,9 +69,13 @@ def rolling_drift(historical: DataFrame, new: DataFrame, spec: SeriesSpec, windo
     """
     y, keys = spec.target, spec.keys
     historical, new = safe_timestamp(historical, spec.ts), safe_timestamp(new, spec.ts)
-    latest = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(*[F.desc_nulls_last(c) for c in spec.order])
-    # row_number() <= window is cut to ``window`` rows per task before the shuffle, however long a series is.
-    tail = historical.withColumn("__r", F.row_number().over(latest)).where(F.col("__r") <= window)
+    if window <= RANK_LIMIT:
+        # row_number() <= window is cut to ``window`` rows per task before the shuffle, however long a series is.
+        latest = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(*[F.desc_nulls_last(c) for c in spec.order])
+        tail = historical.withColumn("__r", F.row_number().over(latest)).where(F.col("__r") <= window)
+    else:  # exact positions, which cut up long series; rows without a time come first, so they are the oldest here too
+        at = with_positions(historical, spec, "__at", "__len")
+        tail = at.where(F.col("__len") - F.col("__at") <= window)
     enough = F.count(y) >= 5
     base = tail.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__nh"), F.when(enough, F.avg(y)).alias("hist_mean"), F.when(enough, F.stddev_samp(y)).alias("hist_std")

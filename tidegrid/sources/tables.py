@@ -15,6 +15,9 @@ from tidegrid.splits import with_positions
 
 KEY_PROPERTY = "tidegrid.primaryKey"
 PATH_PROPERTY = "tidegrid.path"
+BUCKETS_PROPERTY = "tidegrid.buckets"
+#: The last column of a table in buckets: the bucket of a row's key.
+BUCKET = "key_bucket"
 #: Names of the quantile columns a saved forecast leaves out.
 QUANTILE_COLUMNS = tuple(str(round(i / 10, 1)) for i in range(1, 10))
 MAX_LIMIT = 10**10
@@ -50,22 +53,33 @@ def check_keys(columns: list[str], primary_keys: list[str] | None) -> list[str]:
     return primary_keys or []
 
 
-def create_table(df: DataFrame, table: str, path: str, primary_keys: list[str] | None = None) -> None:
+def create_table(df: DataFrame, table: str, path: str, primary_keys: list[str] | None = None, buckets: int = 0) -> None:
     """Create an empty table with the columns of ``df`` in storage types. Error if it exists.
 
     Data lives in a folder per version below ``path``; replacing the content means pointing the table at a new
-    version, so readers never see half of it."""
+    version, so readers never see half of it.
+
+    With ``buckets`` above 0 rows lie in so many partitions by the hash of their primary key (column ``key_bucket``, which
+    ``stored_rows`` leaves out), and an upsert replaces only the partitions that it has keys for, without keeping their
+    old files. Choose it so that a bucket has some hundred megabytes."""
     spark = df.sparkSession
     keys = check_keys(df.columns, primary_keys)
     if spark.catalog.tableExists(table):
         raise ValueError(f"table {table!r} already exists")
+    if buckets and not keys:
+        raise ValueError("buckets need a primary key")
+    if buckets and BUCKET in {c.lower() for c in df.columns}:
+        raise ValueError(f"a table in buckets has a column {BUCKET} of its own")
     schema = storage_schema(df.schema)
+    if buckets:
+        schema = schema.add(BUCKET, T.IntegerType())
     location = f"{path.rstrip('/')}/v0"
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(location)
+    empty = spark.createDataFrame([], schema).write.mode("overwrite")
+    (empty.partitionBy(BUCKET) if buckets else empty).parquet(location)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     spark.sql(
-        f"CREATE TABLE {table} ({columns}) USING parquet LOCATION '{location}' "
-        f"TBLPROPERTIES ('{KEY_PROPERTY}' = '{','.join(keys)}', '{PATH_PROPERTY}' = '{path.rstrip('/')}')"
+        f"CREATE TABLE {table} ({columns}) USING parquet {f'PARTITIONED BY ({BUCKET})' if buckets else ''} LOCATION '{location}' "
+        f"TBLPROPERTIES ('{KEY_PROPERTY}' = '{','.join(keys)}', '{PATH_PROPERTY}' = '{path.rstrip('/')}', '{BUCKETS_PROPERTY}' = '{buckets}')"
     )
 
 
@@ -78,6 +92,19 @@ def primary_key(spark: SparkSession, table: str) -> list[str]:
     return [k for k in _property(spark, table, KEY_PROPERTY).split(",") if k]
 
 
+def stored_rows(spark: SparkSession, table: str) -> DataFrame:
+    """The rows of a table, without the column of its buckets."""
+    return spark.table(table).drop(BUCKET) if _buckets(spark, table) else spark.table(table)
+
+
+def _buckets(spark: SparkSession, table: str) -> int:
+    return int(_property(spark, table, BUCKETS_PROPERTY) or 0)
+
+
+def _in_bucket(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    return rows.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
 def last_row(row: Column, order: str | None) -> Column:
     """Of the rows of a key the last by ``order``; without an order a second row is an error."""
     if order:
@@ -144,6 +171,10 @@ def upsert_table(source: DataFrame, table: str, order: str | None = None, update
         rows, _ = respelled(rows, spark.table(table), order)
         rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in spark.table(table).schema.fields]).write.insertInto(table)
         return
+    buckets = _buckets(spark, table)
+    if buckets:
+        _upsert_buckets(rows, table, keys, order, buckets)
+        return
     merged = upsert(spark.table(table), rows, keys, order)
     location = f"{_property(spark, table, PATH_PROPERTY)}/v{uuid.uuid4().hex}"
     merged.write.parquet(location)
@@ -151,6 +182,28 @@ def upsert_table(source: DataFrame, table: str, order: str | None = None, update
     spark.catalog.refreshTable(table)
 
 
+def _upsert_buckets(rows: DataFrame, table: str, keys: list[str], order: str | None, buckets: int) -> None:
+    """Replace the buckets that ``rows`` have keys of. Spark stages them and puts them in place when the job is committed."""
+    spark = rows.sparkSession
+    target = spark.table(table)
+    missing = [k for k in keys if k.lower() not in {c.lower() for c in rows.columns}]
+    if missing:
+        raise ValueError(f"source lacks key columns: {', '.join(missing)}")
+    rows, order = respelled(rows, target.drop(BUCKET), order)
+    typed = rows.select(*[F.col(f"`{k}`").cast(target.schema[k].dataType).alias(k) for k in keys])
+    hit = [r[0] for r in _in_bucket(typed, keys, buckets).select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+    old = target.where(F.col(BUCKET).isin(hit)).drop(BUCKET)
+    merged = _in_bucket(upsert(old, rows, keys, order), keys, buckets).select(*target.columns).repartition(BUCKET)
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        merged.write.mode("overwrite").insertInto(table)
+    finally:
+        spark.conf.set(setting, before)
+    spark.catalog.refreshTable(table)
+
+
 def _kind(t: T.DataType) -> str:
     if isinstance(t, T.IntegralType):
         return "int"
@@ -179,7 +232,7 @@ def forecast_rows(df: DataFrame) -> DataFrame:
     return auto_convert_dates(df.drop(*QUANTILE_COLUMNS))
 
 
-def save_forecast(df: DataFrame, table: str, create_new: bool, path: str | None = None, primary_keys: list[str] | None = None) -> None:
+def save_forecast(df: DataFrame, table: str, create_new: bool, path: str | None = None, primary_keys: list[str] | None = None, buckets: int = 0) -> None:
     """Create the table and fill it, or check that the forecast fits and upsert it."""
     rows = forecast_rows(df)
     if rows.isEmpty():
@@ -188,8 +241,8 @@ def save_forecast(df: DataFrame, table: str, create_new: bool, path: str | None
     if create_new:
         if not path:
             raise ValueError("a new table needs a path")
-        create_table(rows, table, path, primary_keys)
-    elif not spark.catalog.tableExists(table) or not schema_matches(rows, spark.table(table)):
+        create_table(rows, table, path, primary_keys, buckets)
+    elif not spark.catalog.tableExists(table) or not schema_matches(rows, stored_rows(spark, table)):
         raise ValueError(f"the forecast does not fit table {table!r}: check names and types of the columns")
     upsert_table(rows, table)
 
