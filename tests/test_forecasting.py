@@ -315,6 +315,40 @@ def test_a_failed_run_is_recorded(spark, series_of, tmp_path):
         store.status("absent")
 
 
+def promoted(spark, change=(), future=0):
+    """A level of 10, and 50 more on days with a promotion; ``change`` turns promotions round on some days."""
+    rows = []
+    for i in range(80 + future):
+        promo = float((i * 7919) % 11 < 3)
+        shown = 1.0 - promo if i in change else promo
+        rows.append(("a", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), 10.0 + 50.0 * promo + (i % 3) if i < 80 else None, shown))
+    return spark.createDataFrame(rows, "item_id string, ts timestamp_ntz, y double, promo double")
+
+
+@pytest.mark.parametrize("strategy", ["recursive", "direct"])
+def test_columns_known_ahead_shape_the_forecast(spark, strategy):
+    spec = S.replace(known=("promo",))
+    got = {r["step"]: r["yhat"] for r in tabular.tabular(promoted(spark, future=5), spec, 5, "linear", strategy=strategy).collect()}
+    for step in range(1, 6):
+        promo = ((79 + step) * 7919) % 11 < 3
+        assert got[step] > 40 if promo else got[step] < 30
+    blind = {r["step"]: r["yhat"] for r in tabular.tabular(promoted(spark, future=5), S, 5, "linear", strategy=strategy).collect()}
+    assert max(abs(blind[s] - got[s]) for s in got) > 10
+
+
+def test_a_fold_sees_its_own_future_only(spark):
+    spec = S.replace(known=("promo",))
+
+    def folds(change):
+        rows = selection.backtest_forecasts(promoted(spark, change), spec, ["linear"], 4, 2).collect()
+        return {f: sorted((r["step"], r["yhat"]) for r in rows if r["fold"] == f) for f in (0, 1)}
+
+    plain, changed = folds(()), folds((76, 77, 78, 79))
+    assert changed[1] == plain[1]
+    assert changed[0] != plain[0]
+    assert all(abs(r["y"] - r["yhat"]) < 20 for r in selection.backtest_forecasts(promoted(spark), spec, ["linear"], 4, 2).collect())
+
+
 @pytest.mark.parametrize("name", ["naive", "seasonal_naive", "average", "ses", "theta", "linear", "ridge", "linear_direct"])
 def test_backtests_do_not_look_ahead(spark, series_of, name):
     """Raising exactly the rows that a fold holds out leaves that fold's forecasts as they are."""

@@ -28,6 +28,12 @@ def statics_in(df: DataFrame, spec: SeriesSpec) -> list[str]:
     return [c for c in dict.fromkeys(spec.statics) if c in df.columns and c not in taken]
 
 
+def covariates_in(df: DataFrame, spec: SeriesSpec) -> list[str]:
+    """The columns known ahead that ``df`` has besides keys, order, target and static columns."""
+    taken = {*spec.keys, *spec.order, spec.target, *statics_in(df, spec)}
+    return [c for c in dict.fromkeys(spec.known) if c in df.columns and c not in taken]
+
+
 def over_steps(per_series: DataFrame, spec: SeriesSpec, h: int, yhat: Column) -> DataFrame:
     """Spread one row per series (with ``LAST``) over steps 1 to h; ``yhat`` may use ``step``."""
     steps = per_series.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(h))))

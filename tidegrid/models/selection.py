@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.models.baseline import known_rows, naive, statics_in
+from tidegrid.models.baseline import covariates_in, known_rows, naive, statics_in
 from tidegrid.models.registry import MODELS, resolve
 from tidegrid.quantiles import quantiles
 from tidegrid.session import checkpointed
@@ -54,16 +54,20 @@ def folds_of(df: DataFrame, spec: SeriesSpec, h: int, folds: int = 3) -> tuple[D
     """(training rows with ``fold``, held-out rows with ``fold`` and ``step``) of expanding-window folds.
 
     Fold 0 holds out the last ``h`` rows of each series, fold 1 the ``h`` rows before them, and so on. A row
-    is copied to each fold it trains. Training rows keep the static columns."""
-    statics = statics_in(df, spec)
-    rows = with_positions(known_rows(df, spec, statics), spec, "__at", "__len").withColumn("__back", F.col("__len") - F.col("__at"))
+    is copied to each fold it trains. Training rows keep the static columns and those known ahead; of the latter a fold also
+    gets the values of the rows that it holds out, without their target, and of no later ones."""
+    statics, ahead = statics_in(df, spec), covariates_in(df, spec)
+    rows = with_positions(known_rows(df, spec, [*statics, *ahead]), spec, "__at", "__len").withColumn("__back", F.col("__len") - F.col("__at"))
     # The row is __back-th from the end: it trains the folds that end before it does.
     upto = F.least(F.floor((F.col("__back") - 1) / h) - 1, F.lit(folds - 1)).cast("int")
     train = rows.where(upto >= 0).withColumn("fold", F.explode(F.sequence(F.lit(0), upto)))
     held = rows.where(F.col("__back") <= h * folds).withColumn("fold", F.floor((F.col("__back") - 1) / h).cast("int"))
     held = held.withColumn("step", ((F.col("fold") + 1) * h - F.col("__back") + 1).cast("int"))
-    cols = [*spec.keys, *spec.order, spec.target]
-    return train.select("fold", *cols, *[f"`{c}`" for c in statics]), held.select("fold", "step", *spec.keys, spec.ts, F.col(spec.target).alias("y"))
+    cols = ["fold", *spec.keys, *spec.order, spec.target, *[f"`{c}`" for c in [*statics, *ahead]]]
+    train = train.select(*cols)
+    if ahead:
+        train = train.unionByName(held.withColumn(spec.target, F.lit(None).cast("double")).select(*cols))
+    return train, held.select("fold", "step", *spec.keys, spec.ts, F.col(spec.target).alias("y"))
 
 
 def backtest_forecasts(

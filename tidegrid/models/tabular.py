@@ -1,7 +1,10 @@
-"""Regression on lags, calendar, holidays and static columns, one model for all series (MLlib).
+"""Regression on lags, calendar, holidays, static columns and columns known ahead, one model for all series (MLlib).
 
 Static columns (``spec.statics``) are hashed into ``STATIC_BUCKETS`` features, or more as their distinct values grow: numbers keep
 their value, anything else is one feature per value. So a column may have any number of values, and none is gathered on the driver; values may share a feature.
+
+Columns known ahead (``spec.known``: prices, promotions, a user's calendar as 0 and 1) are read at the date that is forecast, from the rows
+without a target; a missing value counts as 0.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ from pyspark.sql import types as T
 
 from tidegrid.functions.calendar import TIME_FEATURES, is_fixed_holiday
 from tidegrid.functions.grid import step_ahead
-from tidegrid.models.baseline import LAST, known_rows, newest_rows, over_steps, statics_in
+from tidegrid.models.baseline import LAST, covariates_in, known_rows, newest_rows, over_steps, statics_in
 from tidegrid.session import checkpointed
 from tidegrid.spec import SeriesSpec
-from tidegrid.splits import over_series
+from tidegrid.splits import join_stats, over_series
 
 # The regressors by menu name.
 REGRESSORS = {
@@ -50,11 +53,12 @@ class Features:
     lags: tuple[int, ...]
     calendar: tuple[str, ...]
     statics: tuple[str, ...]
+    known: tuple[str, ...] = ()
     buckets: int = STATIC_BUCKETS
 
     @staticmethod
     def of(df: DataFrame, spec: SeriesSpec, lags: tuple[int, ...]) -> Features:
-        return Features(lags, (*CALENDAR, "holiday") if spec.holidays else CALENDAR, tuple(statics_in(df, spec)))
+        return Features(lags, (*CALENDAR, "holiday") if spec.holidays else CALENDAR, tuple(statics_in(df, spec)), tuple(covariates_in(df, spec)))
 
     def sized(self, df: DataFrame) -> Features:
         """With as many hashed features as the static columns' values in ``df`` ask for: a power of two, ``ROOM`` to a value or more."""
@@ -69,14 +73,40 @@ class Features:
     def carried(self) -> list[str]:
         return [f"__s_{i}" for i in range(len(self.statics))]
 
+    @property
+    def covariates(self) -> list[str]:
+        return [f"__x_{i}" for i in range(len(self.known))]
+
+    @property
+    def kept(self) -> list[str]:
+        """What a series carries from step to step."""
+        return [*self.carried, *(["__ahead"] if self.known else [])]
+
     def prepared(self, df: DataFrame) -> DataFrame:
         """``df`` with the static columns as numbers or texts under the names that the features use."""
         kinds = {f.name: f.dataType for f in df.schema.fields}
         casts = {s: "double" if isinstance(kinds[c], T.NumericType) else "string" for s, c in zip(self.carried, self.statics, strict=True)}
-        return df.withColumns({s: F.col(f"`{c}`").cast(casts[s]) for s, c in zip(self.carried, self.statics, strict=True)})
+        numbers = {x: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for x, c in zip(self.covariates, self.known, strict=True)}
+        return df.withColumns({s: F.col(f"`{c}`").cast(casts[s]) for s, c in zip(self.carried, self.statics, strict=True)} | numbers)
+
+    def at_step(self, step: int) -> list[Column]:
+        """The columns known ahead, at a step of a series."""
+        return [F.coalesce(F.col("__ahead")[step - 1][x], F.lit(0.0)).alias(x) for x in self.covariates]
+
+    def with_ahead(self, state: DataFrame, df: DataFrame, spec: SeriesSpec, h: int) -> DataFrame:
+        """``state`` with ``__ahead``, an element per step; ``df`` has the future in rows without a target."""
+        if not self.known:
+            return state
+        values = F.struct(*self.covariates)
+        future = self.prepared(df).where(F.col(spec.target).isNull()).groupBy(*spec.keys, F.col(spec.ts).alias("__on")).agg(F.max(values).alias("__v"))
+        steps = state.select(*spec.keys, LAST, F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step"))
+        steps = steps.withColumn("__on", step_ahead(F.col(LAST), F.col("step"), spec.freq))
+        found = join_stats(steps, future, [*spec.keys, "__on"])
+        arrays = found.groupBy(*spec.keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "__v"))), lambda s: s["__v"]).alias("__ahead"))
+        return join_stats(state, arrays, spec.keys)
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        inputs = [f"l{k}" for k in self.lags] + [f"c_{n}" for n in self.calendar]
+        inputs = [f"l{k}" for k in self.lags] + [f"c_{n}" for n in self.calendar] + self.covariates
         if self.statics:
             rows = FeatureHasher(inputCols=self.carried, outputCol="__statics", numFeatures=self.buckets).transform(rows)
             inputs.append("__statics")
@@ -86,10 +116,10 @@ class Features:
 def training_rows(df: DataFrame, spec: SeriesSpec, lags: tuple[int, ...] = LAGS, ahead: int = 1) -> DataFrame:
     """Rows ``(keys, features..., label)``: the target, its values ``ahead - 1 + k`` rows back, its date, its series' statics."""
     kind = Features.of(df, spec, lags)
-    rows = known_rows(kind.prepared(df), spec, kind.carried)
+    rows = known_rows(kind.prepared(df), spec, [*kind.carried, *kind.covariates])
     back = {f"l{k}": _lag(spec.target, k + ahead - 1) for k in lags}
     rows = over_series(rows, spec, back, before=max(lags) + ahead - 1)
-    return rows.select(*spec.keys, *back, *kind.carried, *_calendar(F.col(spec.ts), spec), F.col(spec.target).alias("label")).na.drop(subset=list(back))
+    return rows.select(*spec.keys, *back, *kind.carried, *kind.covariates, *_calendar(F.col(spec.ts), spec), F.col(spec.target).alias("label")).na.drop(subset=list(back))
 
 
 def _lag(y: str, k: int):
@@ -152,13 +182,13 @@ def _recursive(df: DataFrame, spec: SeriesSpec, h: int, regressor: str, lags: tu
     model = _fit(regressor, kind, training_rows(df, spec, lags))
     if model is None:
         return short.unionByName(over_steps(state, spec, h, F.col("__y")[0]))
-    state = checkpointed(state.withColumn("__out", F.array().cast("array<double>")))
+    state = checkpointed(kind.with_ahead(state, df, spec, h).withColumn("__out", F.array().cast("array<double>")))
     for step in range(1, h + 1):
         at = step_ahead(F.col(LAST), F.lit(step), spec.freq)
-        wide = state.select("*", *[F.col("__y")[k - 1].alias(f"l{k}") for k in lags], *_calendar(at, spec))
+        wide = state.select("*", *[F.col("__y")[k - 1].alias(f"l{k}") for k in lags], *_calendar(at, spec), *kind.at_step(step))
         scored = model.transform(kind.transform(wide))
         newest = F.slice(F.concat(F.array("prediction"), "__y"), 1, max(lags))
-        state = scored.select(*spec.keys, LAST, *kind.carried, newest.alias("__y"), F.concat("__out", F.array("prediction")).alias("__out"))
+        state = scored.select(*spec.keys, LAST, *kind.kept, newest.alias("__y"), F.concat("__out", F.array("prediction")).alias("__out"))
         if step % 5 == 0:
             state = checkpointed(state)
     steps = state.select(*spec.keys, LAST, F.posexplode("__out").alias("__i", "yhat")).withColumn("step", F.col("__i") + 1)
@@ -168,10 +198,11 @@ def _recursive(df: DataFrame, spec: SeriesSpec, h: int, regressor: str, lags: tu
 def _direct(df: DataFrame, spec: SeriesSpec, h: int, regressor: str, lags: tuple[int, ...]) -> DataFrame:
     kind = Features.of(df, spec, lags).sized(df)
     state, out = _split(df, spec, h, lags)
+    state = kind.with_ahead(state, df, spec, h)
     for step in range(1, h + 1):
         model = _fit(regressor, kind, training_rows(df, spec, lags, step))
         at = step_ahead(F.col(LAST), F.lit(step), spec.freq)
-        wide = state.select("*", *[F.col("__y")[k - 1].alias(f"l{k}") for k in lags], *_calendar(at, spec), at.alias("__at"))
+        wide = state.select("*", *[F.col("__y")[k - 1].alias(f"l{k}") for k in lags], *_calendar(at, spec), *kind.at_step(step), at.alias("__at"))
         scored = model.transform(kind.transform(wide)) if model else wide.withColumn("prediction", F.col("__y")[0])
         out = out.unionByName(scored.select(*spec.keys, F.lit(step).alias("step"), F.col("__at").alias(spec.ts), F.col("prediction").alias("yhat")))
     return out

@@ -13,7 +13,8 @@ class SeriesSpec:
     ``by`` holds further key columns (a fold number, a sample label). ``ties`` orders rows that share a
     timestamp, for tables that are not unique on (key, timestamp). ``id=None`` means one single series.
     ``statics`` are columns with one value per series and ``holidays`` asks for the fixed public holidays, both as features of the
-    regressions. ``longest`` is an upper bound of the rows of any series, if known; it spares the operators from measuring.
+    regressions. ``known`` are numeric columns whose values are known ahead, features of the regressions too: rows without a target after a series'
+    last one give them for the dates to forecast. ``longest`` is an upper bound of the rows of any series, if known; it spares the operators from measuring.
     """
 
     id: str | None = "item_id"
@@ -24,6 +25,7 @@ class SeriesSpec:
     freq: str = "D"
     statics: tuple[str, ...] = ()
     holidays: bool = False
+    known: tuple[str, ...] = ()
     longest: int | None = None
 
     @property
