@@ -453,12 +453,60 @@ def quantile_forecast_mean_only(spark, sf):
     return _with_quantiles(spark, sf, True)
 
 
-@query()
+#: Greedy rounds over the four models in name order: counts so far, the score to beat, and rounds without enough gain.
+_GREEDY = """SELECT CAST(0 AS BIGINT) AS r, [CAST(0 AS BIGINT), 0, 0, 0] AS c, NULL::DOUBLE AS score, NULL::DOUBLE AS single, NULL::DOUBLE AS mark, CAST(0 AS BIGINT) AS idle
+    UNION ALL SELECT r + 1, c, score, COALESCE(single, score), CASE WHEN mark IS NULL OR score < mark - 0.001 * single THEN score ELSE mark END,
+        CASE WHEN mark IS NULL OR score < mark - 0.001 * single THEN 0 ELSE idle + 1 END
+    FROM (SELECT r, single, mark, idle, arg_min(c2, (score, j)) AS c, MIN(score) AS score
+        FROM (SELECT r, single, mark, idle, j, list_transform(range(1, 5), lambda i: c[i] + CASE WHEN i = j THEN 1 ELSE 0 END) AS c2,
+                (SELECT AVG(LOSS) FROM (SELECT y, scale_sq, y - (c[1] * m[1] + c[2] * m[2] + c[3] * m[3] + c[4] * m[4] + m[j]) / (r + 1) AS e FROM wi)) AS score
+            FROM rec, range(1, 5) q(j) WHERE idle < 5) GROUP BY r, single, mark, idle)"""
+
+
+def _greedy(loss: str) -> dict[str, str]:
+    return {
+        **_FOLDS,
+        "wi": "SELECT fold, item_id, step, y, scale_sq, list(yhat ORDER BY model) AS m FROM bt GROUP BY 1, 2, 3, 4, 5",
+        "rec": _GREEDY.replace("LOSS", loss),
+        "ew": f"SELECT unnest({sorted(_FOUR)}) AS model, unnest(c) / list_sum(c) AS weight FROM (SELECT arg_min(c, (score, r)) AS c FROM rec WHERE r > 0)",
+    }
+
+
+_WEIGHTS = "SELECT model, ROUND(weight, 6) + 0.0 AS weight FROM ew WHERE weight > 0"
+
+
+@query(sql("type_daily", _WEIGHTS, **_greedy("abs(e)")))
 def ensemble_weights(spark, sf):
     return rounded(selection.ensemble_weights(_backtest(spark, sf), S, "MAE"))
 
 
-@query()
+@query(sql("type_daily", _WEIGHTS, **_greedy("e * e / NULLIF(scale_sq, 0)")))
+def ensemble_weights_squared(spark, sf):
+    """The same by RMSSE, whose rounds need only the products of the models' errors."""
+    return rounded(selection.ensemble_weights(_backtest(spark, sf), S, "RMSSE"))
+
+
+#: The four models' forecasts after the whole series.
+_AHEAD = {
+    "af": "SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY ts) - 1 AS pos, COUNT(*) OVER (PARTITION BY item_id) AS n, MAX(ts) OVER (PARTITION BY item_id) AS last FROM type_daily",
+    "al": "SELECT item_id, n, COALESCE(regr_slope(y, pos), 0) AS b, AVG(y) - COALESCE(regr_slope(y, pos), 0) * AVG(pos) AS a FROM af GROUP BY 1, 2",
+    "ac": """SELECT 'naive' AS model, item_id, step, yhat FROM (SELECT item_id, y AS yhat FROM af WHERE pos = n - 1), range(1, 8) s(step)
+        UNION ALL SELECT 'average', item_id, step, yhat FROM (SELECT item_id, AVG(y) AS yhat FROM af GROUP BY 1), range(1, 8) s(step)
+        UNION ALL SELECT 'seasonal_naive', item_id, pos - (n - 7) + 1, y FROM af WHERE pos >= n - 7
+        UNION ALL SELECT 'polytrend', item_id, step, a + b * (n - 1 + step) FROM al, range(1, 8) s(step)""",
+    "en": "SELECT item_id, MAX(ts) AS last FROM type_daily GROUP BY 1",
+}
+
+
+@query(
+    sql(
+        "type_daily",
+        """SELECT item_id, CAST(step AS BIGINT) AS step, last + to_days(CAST(step AS INTEGER)) AS ts, ROUND(SUM(yhat * weight) / SUM(weight), 4) + 0.0 AS yhat
+        FROM ac JOIN ew USING (model) JOIN en USING (item_id) WHERE weight > 0 GROUP BY 1, 2, 3""",
+        **_greedy("abs(e)"),
+        **_AHEAD,
+    )
+)
 def ensemble_forecast(spark, sf):
     weights = selection.ensemble_weights(_backtest(spark, sf), S, "MAE")
     return rounded(selection.ensemble_forecast(fr.type_daily(spark, sf), S, weights, H, P), 4)

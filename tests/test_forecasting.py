@@ -397,6 +397,62 @@ def test_ensembles_follow_the_asked_metric(spark):
     assert weights["RMSE"] == weights["RMSSE"] == weights["MAE"] == weights["MASE"] == {"z": 1.0} and weights["SMAPE"] == {"x": 1.0}
 
 
+def _greedy_by_hand(bt, loss, patience=5, tolerance=1e-3):
+    """The documented selection in plain Python over rows with every model's forecast or None."""
+    models = sorted({r["model"] for r in bt})
+    points: dict = {}
+    for r in bt:
+        points.setdefault((r["fold"], r["item_id"], r["step"]), (r, {}))[1][r["model"]] = r["yhat"]
+
+    def score(counts):
+        losses = []
+        for row, found in points.values():
+            have = [(found[m], c) for m, c in zip(models, counts, strict=True) if c and found.get(m) is not None]
+            mean = sum(v * c for v, c in have) / sum(c for _, c in have) if have else 0.0
+            losses.append(loss(row, mean))
+        losses = [x for x in losses if x is not None]
+        return sum(losses) / len(losses)
+
+    counts, best, kept, single, mark, idle = [0] * len(models), None, None, None, None, 0
+    while idle < patience and best != 0:
+        tried = [score([c + (i == j) for j, c in enumerate(counts)]) for i in range(len(models))]
+        pick = min(range(len(models)), key=lambda i: (round(tried[i], 12), i))
+        counts[pick] += 1
+        if best is None or tried[pick] < best:
+            best, kept = tried[pick], list(counts)
+        if single is None:
+            single = mark = best
+        elif best < mark - tolerance * single:
+            mark, idle = best, 0
+        else:
+            idle += 1
+    return {m: c / sum(kept) for m, c in zip(models, kept, strict=True) if c}
+
+
+def test_ensembles_equal_plain_rounds_also_where_models_are_missing(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    data = []
+    for i in range(60):
+        y, scale = float(rng.normal(5, 2)), None if i % 17 == 0 else float(rng.uniform(0.5, 2))
+        for j, m in enumerate("pqrs"):
+            yhat = None if rng.random() < 0.2 else float(y + rng.normal(j - 1.5, 1.0))
+            data.append((f"s{i % 3}", i % 2, i, y, m, yhat, scale, scale))
+    bt = spark.createDataFrame(data, "item_id string, fold int, step int, y double, model string, yhat double, scale_abs double, scale_sq double").repartition(5)
+    flat = bt.collect()
+    losses = {
+        "MAE": lambda r, f: abs(r["y"] - f),
+        "RMSE": lambda r, f: (r["y"] - f) ** 2,
+        "RMSSE": lambda r, f: None if r["scale_sq"] is None else (r["y"] - f) ** 2 / r["scale_sq"],
+    }
+    for name, loss in losses.items():
+        want = pytest.approx(_greedy_by_hand(flat, loss))
+        assert {r["model"]: r["weight"] for r in selection.ensemble_weights(bt, S, name).collect()} == want
+    # More sets of present models than may be brought to the driver: a pass per round, the same weights.
+    monkeypatch.setattr(selection, "PATTERNS", 2)
+    assert {r["model"]: r["weight"] for r in selection.ensemble_weights(bt, S, "RMSSE").collect()} == pytest.approx(_greedy_by_hand(flat, losses["RMSSE"]))
+    assert selection.ensemble_weights(bt.limit(0), S, "RMSE").count() == 0
+
+
 def test_newest_rows_are_the_same_by_rank_and_by_position(spark, monkeypatch, rows_per_task):
     df = fr.type_daily(spark, SF)
     by_rank = table(baseline.newest_rows(df, S, 5)), table(baseline.seasonal_naive(df, S, 9, 5))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from tidegrid.session import checkpointed
 from tidegrid.spec import SeriesSpec
 from tidegrid.splits import join_stats, measured, null_safe, over_series, with_positions
 
+#: Sets of models that have forecasts together, up to which the products of their errors are brought to the driver.
+PATTERNS = 2048
+
 METRICS = ("MAE", "MAPE", "MASE", "MSE", "RMSE", "RMSSE", "SMAPE")
 
 
@@ -175,36 +180,138 @@ def _loss(name: str, y: Column, yhat: Column) -> Column:
     }[name]
 
 
-def ensemble_weights(backtested: DataFrame, spec: SeriesSpec, metric: str = "MAE", rounds: int = 20) -> DataFrame:
+def _wide(backtested: DataFrame, spec: SeriesSpec, models: list[str]) -> DataFrame:
+    """One row per held-out point with a column ``m0, m1, ...`` per model."""
+    on = ["fold", *spec.keys, "step", "y", *[c for c in ("scale_abs", "scale_sq") if c in backtested.columns]]
+    cells = [F.col(f"`{m}`").alias(f"m{i}") for i, m in enumerate(models)]
+    return backtested.groupBy(*on).pivot("model", models).agg(F.first("yhat")).select(*on, *cells)
+
+
+def error_products(wide: DataFrame, name: str, k: int) -> DataFrame:
+    """``(pattern, i, j, total, n)``: sums of products of the models' errors over the rows with the same models present.
+
+    ``pattern`` has a 1 for each model with a forecast; errors are weighted as the squared metric ``name`` asks. The actual
+    value itself is the error number ``k``, that of an average without members. Every task sends one matrix per pattern,
+    or several where it meets over ``PATTERNS`` of them."""
+    weight = F.try_divide(F.lit(1.0), F.col("scale_sq")) if name == "RMSSE" else F.lit(1.0)
+    rows = wide.select(F.col("y").cast("double").alias("y"), weight.alias("w"), *[F.col(f"m{i}").cast("double").alias(f"m{i}") for i in range(k)])
+    rows = rows.where(F.col("y").isNotNull() & F.col("w").isNotNull())
+
+    def flushed(sums: dict) -> pd.DataFrame:
+        i, j = np.triu_indices(k + 1)
+        out = [
+            pd.DataFrame({"pattern": "".join("01"[b] for b in has), "i": i, "j": j, "total": g[i, j], "n": n}) for has, (g, n) in sums.items()
+        ]
+        return pd.concat(out)
+
+    def partial(batches):
+        sums: dict[tuple, tuple] = {}
+        for batch in batches:
+            y, w = batch["y"].to_numpy(), batch["w"].to_numpy()
+            m = batch[[f"m{i}" for i in range(k)]].to_numpy(dtype=float)
+            e = np.column_stack([np.where(np.isnan(m), 0.0, y[:, None] - m), y])
+            kinds, which = np.unique(~np.isnan(m), axis=0, return_inverse=True)
+            which = which.reshape(-1)
+            for at, has in enumerate(kinds):
+                mine = which == at
+                g, n = sums.get(tuple(map(int, has)), (0.0, 0))
+                sums[tuple(map(int, has))] = (g + (e[mine] * w[mine, None]).T @ e[mine], n + int(mine.sum()))
+            if len(sums) > PATTERNS:
+                yield flushed(sums)
+                sums = {}
+        if sums:
+            yield flushed(sums)
+
+    parts = rows.mapInPandas(partial, "pattern string, i int, j int, total double, n long")
+    return parts.groupBy("pattern", "i", "j").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def _squared_scorer(wide: DataFrame, name: str, k: int):
+    """Scores candidates from the products of errors alone, after one pass over the rows. None beyond ``PATTERNS`` patterns."""
+    cells = checkpointed(error_products(wide, name, k))
+    if cells.select("pattern").distinct().limit(PATTERNS + 1).count() > PATTERNS:
+        return None
+    found: dict[str, tuple] = {}
+    for r in cells.toLocalIterator():  # at most PATTERNS small matrices
+        g, _ = found.setdefault(r["pattern"], (np.zeros((k + 1, k + 1)), r["n"]))
+        g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["total"]
+    patterns = sorted(found)
+    n = sum(found[p][1] for p in patterns)
+    has = np.array([[c == "1" for c in p] for p in patterns], dtype=float).reshape(len(patterns), k)
+    grams = np.array([found[p][0] for p in patterns]).reshape(len(patterns), k + 1, k + 1)
+
+    def scores(counts: list[int]) -> list[float]:
+        out = []
+        for j in range(k):
+            c = has * (np.array(counts) + (np.arange(k) == j))
+            members = c.sum(axis=1)
+            squares = np.einsum("pi,pij,pj->p", c, grams[:, :k, :k], c) / np.maximum(members, 1.0) ** 2
+            out.append(float(np.where(members > 0, squares, grams[:, k, k]).sum() / n) if n else float("inf"))
+        return out
+
+    return scores
+
+
+def _pass_scorer(wide: DataFrame, name: str, k: int):
+    """Scores all candidates of a round by one aggregate over the rows; each row adds one term per candidate."""
+
+    def scores(counts: list[int]) -> list[float]:
+        used = [(F.col(f"m{i}"), float(c)) for i, c in enumerate(counts) if c]
+        total = reduce(lambda a, b: a + b, [F.coalesce(m, F.lit(0.0)) * c for m, c in used], F.lit(0.0))
+        weight = reduce(lambda a, b: a + b, [F.when(m.isNotNull(), c).otherwise(0.0) for m, c in used], F.lit(0.0))
+        state = wide.withColumn("__total", total).withColumn("__weight", weight)
+
+        def average(m: Column) -> Column:
+            more = F.col("__weight") + F.when(m.isNotNull(), 1.0).otherwise(0.0)
+            return F.coalesce(F.try_divide(F.col("__total") + F.coalesce(m, F.lit(0.0)), more), F.lit(0.0))
+
+        row = state.agg(*[F.avg(_loss(name, F.col("y"), average(F.col(f"m{i}")))).alias(f"s{i}") for i in range(k)]).first()
+        return [v if v is not None else float("inf") for v in row]
+
+    return scores
+
+
+def ensemble_weights(
+    backtested: DataFrame, spec: SeriesSpec, metric: str = "MAE", rounds: int | None = None, tolerance: float = 1e-3, patience: int = 5
+) -> DataFrame:
     """Greedy forward selection with replacement (Caruana et al. 2004): rows ``(model, weight)``.
 
-    The forecasts are laid out once, a column per model; every round is one aggregate that scores all
-    candidate averages by the asked metric (the squared ones without their root, which orders them alike). Where a
+    Every round adds the model whose average with those chosen before scores best (the squared metrics without their root,
+    which orders them alike); the best of all rounds is kept. It ends after ``patience`` rounds that together gained less
+    than ``tolerance`` of the best single model's score, or after ``rounds`` if given. So at most ``patience / tolerance`` rounds are
+    possible, and about the square root of that are usual.
+
+    A squared error of an average is a quadratic form of the products of the models' errors, so MSE, RMSE and RMSSE read the
+    rows once for all rounds. The other metrics need one aggregate per round over the forecasts laid out with a column per model. Where a
     model has no forecast, an average is that of its other members; a row without any counts as an error of y, so
     that skipping rows never pays.
     """
     name = metric_name(metric)
     models = [r["model"] for r in backtested.select("model").distinct().orderBy("model").collect()]
-    on = ["fold", *spec.keys, "step", "y", *[c for c in ("scale_abs", "scale_sq") if c in backtested.columns]]
-    cells = [F.col(f"`{m}`").alias(f"m{i}") for i, m in enumerate(models)]
-    wide = checkpointed(backtested.groupBy(*on).pivot("model", models).agg(F.first("yhat")).select(*on, *cells))
-
-    def average(counts: list[int]) -> Column:
-        used = [(F.col(f"m{i}"), c) for i, c in enumerate(counts) if c]
-        total = reduce(lambda a, b: a + b, [F.coalesce(m, F.lit(0.0)) * c for m, c in used])
-        weight = reduce(lambda a, b: a + b, [F.when(m.isNotNull(), F.lit(float(c))).otherwise(0.0) for m, c in used])
-        return F.coalesce(F.try_divide(total, weight), F.lit(0.0))
-
-    counts = [0] * len(models)
-    best_score, best_counts = None, list(counts)
-    for _ in range(rounds):
-        tried = [[c + (i == j) for j, c in enumerate(counts)] for i in range(len(models))]
-        row = wide.agg(*[F.avg(_loss(name, F.col("y"), average(t))).alias(f"s{i}") for i, t in enumerate(tried)]).first()
-        scores = [row[i] if row[i] is not None else float("inf") for i in range(len(models))]
-        pick = min(range(len(models)), key=lambda i: (round(scores[i], 12), i))
+    k, scorer = len(models), None
+    wide = _wide(backtested, spec, models)
+    if name in ("MSE", "RMSE", "RMSSE"):
+        scorer = _squared_scorer(wide, name, k)
+    if scorer is None:
+        scorer = _pass_scorer(checkpointed(wide), name, k)
+    counts, best_counts, best = [0] * k, [0] * k, None
+    single = mark = None  # the best single model's score, and the score that the next rounds have to beat
+    idle = done = 0
+    while k and (rounds is None or done < rounds):
+        scores = scorer(counts)
+        pick = min(range(k), key=lambda i: (round(scores[i], 12), i))
         counts[pick] += 1
-        if best_score is None or scores[pick] < best_score:
-            best_score, best_counts = scores[pick], list(counts)
+        done += 1
+        if best is None or scores[pick] < best:
+            best, best_counts = scores[pick], list(counts)
+        if single is None:
+            single = mark = best
+        elif best < mark - tolerance * single:
+            mark, idle = best, 0
+        else:
+            idle += 1
+        if best == 0 or best == float("inf") or idle >= patience:
+            break
     total = sum(best_counts)
     rows = [(m, c / total) for m, c in zip(models, best_counts) if c]
     return backtested.sparkSession.createDataFrame(rows, "model string, weight double")
