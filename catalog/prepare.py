@@ -276,6 +276,74 @@ def regularize_quarterly(spark, sf):
     return regular.regularize(fr.customer_monthly(spark, sf), S, "Q")
 
 
+_SNAPPED = sql(
+    "",
+    """SELECT g.item_id, g.ts, LAST_VALUE(p.y IGNORE NULLS) OVER (PARTITION BY g.item_id ORDER BY g.ts) AS y
+    FROM g LEFT JOIN (SELECT item_id, CAST(last_day(ts) AS TIMESTAMP) AS ts, arg_max(y, ts) AS y FROM p GROUP BY 1, 2) p ON p.item_id = g.item_id AND p.ts = g.ts""",
+    p="SELECT CAST(o_custkey AS VARCHAR) AS item_id, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS ts, CAST(COUNT(*) AS DOUBLE) AS y FROM orders GROUP BY 1, 2",
+    g="""SELECT item_id, CAST(last_day(unnest(generate_series(date_trunc('month', MIN(ts)), date_trunc('month', MAX(ts)), INTERVAL 1 MONTH))) AS TIMESTAMP) AS ts FROM p GROUP BY 1""",
+)
+
+
+@query(_SNAPPED)
+def regularize_snapped(spark, sf):
+    """Orders on any day of the month, moved to the end of their month; of several the latest stays."""
+    o = fr.table(spark, sf, "orders")
+    p = o.groupBy(F.col("o_custkey").cast("string").alias("item_id"), F.to_date("o_orderdate").cast("timestamp_ntz").alias("ts")).agg(F.count(F.lit(1)).cast("double").alias("y"))
+    return regular.regularize(p, S, "M", snap=True)
+
+
+def _stepped(unit: str, freq: str):
+    """Events per type and hour or minute, on their grid: the statement, and the query."""
+    statement = sql(
+        "",
+        """SELECT g.item_id, g.ts, LAST_VALUE(e.y IGNORE NULLS) OVER (PARTITION BY g.item_id ORDER BY g.ts) AS y
+        FROM g LEFT JOIN e ON g.item_id = e.item_id AND g.ts = e.ts""",
+        e=f"SELECT event_type AS item_id, date_trunc('{unit}', ts) AS ts, CAST(COUNT(*) AS DOUBLE) AS y FROM events GROUP BY 1, 2",
+        g=f"SELECT item_id, unnest(generate_series(MIN(ts), MAX(ts), INTERVAL 1 {unit})) AS ts FROM e GROUP BY 1",
+    )
+
+    def run(spark, sf):
+        e = fr.table(spark, sf, "events")
+        counts = e.groupBy(F.col("event_type").alias("item_id"), F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("ts")).agg(F.count(F.lit(1)).cast("double").alias("y"))
+        return regular.regularize(counts, S, freq)
+
+    run.__name__ = f"regularize_by_{unit}"
+    return query(statement)(run)
+
+
+regularize_by_hour, regularize_by_minute = _stepped("hour", "H"), _stepped("minute", "T")
+
+
+@query(
+    sql(
+        "customer_monthly",
+        """SELECT g.item_id, g.ts, LAST_VALUE(c.y IGNORE NULLS) OVER (PARTITION BY g.item_id ORDER BY g.ts) AS y FROM g LEFT JOIN c ON g.item_id = c.item_id AND g.ts = c.ts""",
+        c="SELECT item_id, CAST(last_day(date_trunc('year', ts) + INTERVAL 11 MONTH) AS TIMESTAMP) AS ts, SUM(y) AS y FROM customer_monthly GROUP BY 1, 2",
+        g="SELECT item_id, CAST(last_day(unnest(generate_series(date_trunc('month', MIN(ts)), MAX(ts), INTERVAL 1 YEAR))) AS TIMESTAMP) AS ts FROM c GROUP BY 1",
+    )
+)
+def regularize_yearly(spark, sf):
+    c = fr.customer_monthly(spark, sf)
+    ends = F.make_date(F.year("ts"), F.lit(12), F.lit(31)).cast("timestamp_ntz")
+    return regular.regularize(c.groupBy("item_id", ends.alias("ts")).agg(F.sum("y").alias("y")), S, "Y")
+
+
+@query(
+    sql(
+        "",
+        """SELECT g.ts, LAST_VALUE(o.y IGNORE NULLS) OVER (ORDER BY g.ts) AS y FROM g LEFT JOIN o ON g.ts = o.ts""",
+        o="SELECT CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS ts, CAST(COUNT(*) AS DOUBLE) AS y FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1",
+        g="SELECT unnest(generate_series(MIN(ts), MAX(ts), INTERVAL 1 DAY)) AS ts FROM o",
+    )
+)
+def regularize_one_series(spark, sf):
+    """A table without an id is one series."""
+    o = fr.table(spark, sf, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+    daily = o.groupBy(F.to_date("o_orderdate").cast("timestamp_ntz").alias("ts")).agg(F.count(F.lit(1)).cast("double").alias("y"))
+    return regular.regularize(daily, S.replace(id=None), "D")
+
+
 _PROFILE = """SELECT item_id, COUNT(*) AS n, date_diff('day', MIN(ts), MAX(ts)) + 1 AS len FROM user_daily GROUP BY 1"""
 
 

@@ -43,6 +43,7 @@ def test_regularising_and_everything_after_it_share_one_shuffle(spark):
     grid = regular.regularize(events(spark), S, "D")
     assert shuffles(grid) == 1
     assert "Join" not in plan(grid)
+    assert shuffles(regular.regularize(events(spark), S, "D", snap=True)) == 1
 
 
 def test_no_frame_is_recomputed_to_the_end_of_a_series(spark):

@@ -197,6 +197,29 @@ def test_month_start_rows_lie_off_a_month_end_grid(series_of):
     assert rows(regular.off_grid_rows(df, S, "M")) == [("a", 3)]
 
 
+def test_snapping_moves_rows_to_the_grid(spark, series_of, rows_per_task):
+    df = series_of({"a": [("2024-01-01", 1.0), ("2024-02-01", 2.0), ("2024-04-01", 4.0), ("2024-04-20", 5.0)]})
+    ends = [D(2024, 1, 31), D(2024, 2, 29), D(2024, 3, 31), D(2024, 4, 30)]
+    assert rows(regular.regularize(df, S, "M", snap=True), "ts") == [("a", t, v) for t, v in zip(ends, [1.0, 2.0, 2.0, 5.0])]
+    assert rows(regular.snapped_rows(df, S, "M")) == [("a", 4, 1)]
+    assert [r["kind"] for r in regular.run_messages(df, S, "M", 3, snap=True).collect()] == ["short", "snapped"]
+    assert regular.grid_profile(df, S, "M", 3, snap=True).first()["grid_rows"] == 4
+    weeks = series_of({"a": [("2024-01-03", 1.0), ("2024-01-07", 2.0), ("2024-01-08", 3.0)]})
+    assert rows(regular.regularize(weeks, S, "W", snap=True), "ts") == [("a", D(2024, 1, 7), 2.0), ("a", D(2024, 1, 14), 3.0)]
+    # A row on the grid beats a later one near it; half way goes to the later point.
+    near = [("2024-01-01T00:00", 1.0), ("2024-01-01T05:00", 9.0), ("2024-01-01T12:00", 2.0), ("2024-01-03T20:00", 3.0), (None, 7.0)]
+    kept = [("a", D(2024, 1, d), v) for d, v in [(1, 1.0), (2, 2.0), (3, 2.0), (4, 3.0)]]
+    many = series_of({"a": near, "b": days(range(40))})
+    for n in (1000, 10):
+        with rows_per_task(n):
+            assert rows(regular.regularize(many, S, "D", snap=True).where("item_id = 'a'"), "ts") == kept
+    twice = series_of({"a": [("2024-01-01", 1.0), ("2024-01-01", 2.0)]})
+    with pytest.raises(Exception, match="duplicate timestamp"):
+        regular.regularize(twice, S, "D", snap=True).collect()
+    assert values(regular.regularize(twice, S.replace(ties=("y",)), "D", on_duplicate="last", snap=True)) == [2.0]
+    assert regular.regularize(df.limit(0), S, "M", snap=True).count() == 0
+
+
 def test_unsorted_input_and_explicit_nulls(series_of):
     df = series_of({"a": [("2024-01-03", 3.0), ("2024-01-01", 1.0), ("2024-01-02", None)]})
     assert values(regular.regularize(df, S, "D")) == [1.0, 1.0, 3.0]

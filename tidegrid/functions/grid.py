@@ -102,6 +102,18 @@ def grid_index(ts: Column, first: Column, freq: str) -> Column:
     return F.when(on_grid, _period(ts, months) - _period(first, months))
 
 
+def snapped_index(ts: Column, first: Column, freq: str) -> Column:
+    """Position of the grid point that ``ts >= first`` is moved to: on a ``D``, ``H`` or ``T`` grid the nearest one (the later
+    of two equally near), on the others the end of the week or period that it lies in. Of ``first`` itself it is 0."""
+    code = check_freq(freq)
+    if code in _STEP_MICROS:
+        step = _STEP_MICROS[code]
+        return _div(micros(ts) - micros(first) + step // 2, step)
+    if code == "W":
+        return F.floor((F.datediff(ts, first) + F.weekday(first)) / 7)
+    return _period(ts, _MONTHS[code]) - _period(first, _MONTHS[code])
+
+
 def last_index(first: Column, last: Column, freq: str) -> Column:
     """Index of the last grid point of a series that ends at ``last``; -1 if there is none.
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.grid import anchored_point, check_freq, grid_anchor, grid_index, last_index, step_ahead
+from tidegrid.functions.grid import anchored_point, check_freq, grid_anchor, grid_index, last_index, micros, snapped_index, step_ahead
 from tidegrid.spec import SeriesSpec, freq_code
 from tidegrid.splits import join_stats, measured, nearest_known, over_series, with_group_stats
 
@@ -13,11 +13,13 @@ _CHUNK = 1_000_000  # grid points one array holds while a long gap is written ou
 
 
 def regularize(
-    df: DataFrame, spec: SeriesSpec, freq: str | None = None, on_duplicate: str = "error", fill: bool = True
+    df: DataFrame, spec: SeriesSpec, freq: str | None = None, on_duplicate: str = "error", fill: bool = True, snap: bool = False
 ) -> DataFrame:
     """Every series from its first to its last timestamp at ``freq``, target carried forward.
 
-    Rows off the grid are dropped; on added rows all columns but the keys and the target are NULL. A frequency
+    Rows off the grid are dropped, or with ``snap`` moved to it: to the nearest point of a daily, hourly or minute grid, to the
+    end of their week or period on the others. Of several rows at one point the nearest stays, of equally near ones the
+    later. On added rows all columns but the keys and the target are NULL. A frequency
     left open ('auto') returns the input. Two rows of a series at one timestamp are an error, or with
     ``on_duplicate='last'`` the last by ``spec.ties`` wins.
 
@@ -35,10 +37,12 @@ def regularize(
     # Grid numbers are worked out once per row here, below the windows, and only carried from then on.
     rows = rows.select(
         *df.columns,
-        grid_index(ts, F.col("__mn"), freq).alias("__k"),
+        (snapped_index if snap else grid_index)(ts, F.col("__mn"), freq).alias("__k"),
         grid_anchor(F.col("__mn"), freq).alias("__anchor"),
-        last_index(F.col("__mn"), F.col("__mx"), freq).alias("__end"),
+        (snapped_index(F.col("__mx"), F.col("__mn"), freq) if snap else last_index(F.col("__mn"), F.col("__mx"), freq)).alias("__end"),
     )
+    if snap:
+        rows = _one_per_point(rows, spec, freq, on_duplicate)
     rows = over_series(rows, spec, {"__prior": lambda w: F.lag(F.lit(1)).over(w)}, before=1)
     # A first row off the grid stays as an anchor: it stands for the grid points before the first row on it.
     rows = rows.where(F.col("__k").isNotNull() | F.col("__prior").isNull())
@@ -60,7 +64,8 @@ def regularize(
         if c in keys:
             return F.col(c)
         if c == spec.ts:
-            return F.when(own, ts).otherwise(anchored_point(F.col("__g"), F.col("__anchor"), freq)).alias(c)
+            point = anchored_point(F.col("__g"), F.col("__anchor"), freq)
+            return (point if snap else F.when(own, ts).otherwise(point)).alias(c)
         if c == y:
             return (value if fill else F.when(own, value)).alias(c)
         return F.when(own, F.col(c)).alias(c)
@@ -68,18 +73,33 @@ def regularize(
     return rows.select(*[cell(c) for c in df.columns])
 
 
+def _one_per_point(rows: DataFrame, spec: SeriesSpec, freq: str, on_duplicate: str) -> DataFrame:
+    """Of the rows moved to one grid point the nearest, or the latest of those. Partitioned by the series and the point, so the
+    shuffle on the series serves this window as well, and a long series is cut by its points."""
+    ts = F.col(spec.ts)
+    far = F.abs(micros(ts) - micros(anchored_point(F.col("__k"), F.col("__anchor"), freq)))
+    rows = rows.withColumn("__far", far)
+    w = Window.partitionBy(*spec.keys, "__k").orderBy("__far", *[F.desc(c) for c in spec.order])
+    place = F.row_number().over(w)
+    if on_duplicate == "error":
+        twice = F.raise_error(F.concat(F.lit(f"duplicate timestamp in a series: {spec.ts}="), ts.cast("string"))).cast("int")
+        place = F.when(F.lead(spec.ts).over(w) == ts, twice).otherwise(place)
+    return rows.withColumn("__place", place).where(F.col("__place") == 1).drop("__far", "__place")
+
+
 def min_required(horizon: int) -> int:
     """Grid rows a series needs to take part in training."""
     return max(horizon + 1, 5) + horizon
 
 
-def grid_profile(df: DataFrame, spec: SeriesSpec, freq: str, horizon: int) -> DataFrame:
+def grid_profile(df: DataFrame, spec: SeriesSpec, freq: str, horizon: int, snap: bool = False) -> DataFrame:
     """Per series: rows, grid length, whether the grid adds rows, whether it is too short, rows off the grid.
 
     Needs no grid: the length follows from the first and the last timestamp.
     """
     ends = df.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n_rows"), F.min(spec.ts).alias("first"), F.max(spec.ts).alias("last"))
-    length = F.coalesce(last_index(F.col("first"), F.col("last"), freq) + 1, F.lit(0)).cast("long")
+    index = snapped_index(F.col("last"), F.col("first"), freq) if snap else last_index(F.col("first"), F.col("last"), freq)
+    length = F.coalesce(index + 1, F.lit(0)).cast("long")
     return (
         ends.withColumn("grid_rows", length)
         .withColumn("extended", F.col("grid_rows") > F.col("n_rows"))
@@ -94,6 +114,16 @@ def off_grid_rows(df: DataFrame, spec: SeriesSpec, freq: str) -> DataFrame:
     return rows.groupBy(*spec.keys).agg(F.count_if(off).alias("dropped")).where(F.col("dropped") > 0)
 
 
+def snapped_rows(df: DataFrame, spec: SeriesSpec, freq: str) -> DataFrame:
+    """Series with rows off the grid: how many snapping moves (``moved``), and how many rows it leaves out because another one
+    takes their point (``merged``)."""
+    first = F.col("__mn")
+    rows = with_group_stats(df.where(F.col(spec.ts).isNotNull()), spec, {"__mn": F.min(spec.ts)})
+    off = grid_index(F.col(spec.ts), first, freq).isNull()
+    points = rows.groupBy(*spec.keys, snapped_index(F.col(spec.ts), first, freq).alias("__k")).agg(F.count_if(off).alias("__off"), F.count(F.lit(1)).alias("__n"))
+    return points.groupBy(*spec.keys).agg(F.sum("__off").alias("moved"), F.sum(F.col("__n") - 1).alias("merged")).where(F.col("moved") > 0)
+
+
 def split_short(regular: DataFrame, spec: SeriesSpec, horizon: int) -> tuple[DataFrame, DataFrame]:
     """(rows of series long enough to train on, rows of the others), counted on the grid."""
     n = regular.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("__len"))
@@ -112,10 +142,11 @@ def naive_fallback(regular: DataFrame, spec: SeriesSpec, horizon: int, freq: str
     return steps.select(*spec.keys, ahead.alias(spec.ts), spec.target)
 
 
-def run_messages(df: DataFrame, spec: SeriesSpec, freq: str, horizon: int) -> DataFrame:
-    """One message per series that the grid extended, that is too short for a full forecast, or that loses rows off the grid."""
+def run_messages(df: DataFrame, spec: SeriesSpec, freq: str, horizon: int, snap: bool = False) -> DataFrame:
+    """One message per series that the grid extended, that is too short for a full forecast, or that loses rows off the grid;
+    with ``snap`` one on the rows moved to the grid instead."""
     code = freq_code(freq)
-    profile = grid_profile(df, spec, freq, horizon)
+    profile = grid_profile(df, spec, freq, horizon, snap)
     id = F.col(spec.id).cast("string")
     short = profile.where("short").select(
         id.alias("item_id"), F.lit("short").alias("kind"),
@@ -125,6 +156,12 @@ def run_messages(df: DataFrame, spec: SeriesSpec, freq: str, horizon: int) -> Da
         id.alias("item_id"), F.lit("extended").alias("kind"),
         F.format_string(f"Series %s was extended to frequency {code} by forward fill.", id).alias("message"),
     )
+    if snap:
+        moved = snapped_rows(df, spec, code).select(
+            id.alias("item_id"), F.lit("snapped").alias("kind"),
+            F.format_string(f"Series %s has %d rows off the grid of frequency {code}; they were moved to it, and %d rows left out for a nearer or later one.", id, "moved", "merged").alias("message"),
+        )
+        return short.unionByName(extended).unionByName(moved)
     dropped = off_grid_rows(df, spec, code).select(
         id.alias("item_id"), F.lit("dropped").alias("kind"),
         F.format_string(f"Series %s has %d rows off the grid of frequency {code}; they were dropped.", id, "dropped").alias("message"),

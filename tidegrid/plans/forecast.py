@@ -52,10 +52,10 @@ def prepare(df: DataFrame, params: RunParams, calendar: DataFrame | None = None)
     freq = freq_code(params.frequency)
     if freq is None:
         return Prepared(df, None, statics, None)
-    grid = checkpointed(regular.regularize(df, spec, freq))
+    grid = checkpointed(regular.regularize(df, spec, freq, snap=params.snap_to_grid))
     panel, _ = regular.split_short(grid, spec, h)
     panel = checkpointed(panel)
-    return Prepared(panel, regular.naive_fallback(grid, spec, h, freq), statics, regular.run_messages(df, spec, freq, h))
+    return Prepared(panel, regular.naive_fallback(grid, spec, h, freq), statics, regular.run_messages(df, spec, freq, h, params.snap_to_grid))
 
 
 def run(df: DataFrame, params: RunParams, folds: int = 3, calendar: DataFrame | None = None, store: RunStore | None = None, run_id: str | None = None) -> RunResult:

@@ -61,6 +61,8 @@ class RunParams:
     upload_table_name: str | None = None
     upload_table_schema: str | None = None
     season: int = field(default=7)
+    known_columns: tuple[str, ...] = ()
+    snap_to_grid: bool = False
 
     def spec(self) -> SeriesSpec:
         return SeriesSpec(
@@ -70,6 +72,7 @@ class RunParams:
             freq=freq_code(self.frequency) or "D",
             statics=tuple(self.static_feature_columns),
             holidays=self.use_russian_holidays,
+            known=tuple(self.known_columns),
         )
 
     def to_json(self) -> str:
