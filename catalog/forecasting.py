@@ -459,14 +459,14 @@ _GREEDY = """SELECT CAST(0 AS BIGINT) AS r, [CAST(0 AS BIGINT), 0, 0, 0] AS c, N
         CASE WHEN mark IS NULL OR score < mark - 0.001 * single THEN 0 ELSE idle + 1 END
     FROM (SELECT r, single, mark, idle, arg_min(c2, (score, j)) AS c, MIN(score) AS score
         FROM (SELECT r, single, mark, idle, j, list_transform(range(1, 5), lambda i: c[i] + CASE WHEN i = j THEN 1 ELSE 0 END) AS c2,
-                (SELECT AVG(LOSS) FROM (SELECT y, scale_sq, y - (c[1] * m[1] + c[2] * m[2] + c[3] * m[3] + c[4] * m[4] + m[j]) / (r + 1) AS e FROM wi)) AS score
+                (SELECT AVG(LOSS) FROM (SELECT y, scale_abs, scale_sq, y - (c[1] * m[1] + c[2] * m[2] + c[3] * m[3] + c[4] * m[4] + m[j]) / (r + 1) AS e FROM wi)) AS score
             FROM rec, range(1, 5) q(j) WHERE idle < 5) GROUP BY r, single, mark, idle)"""
 
 
 def _greedy(loss: str) -> dict[str, str]:
     return {
         **_FOLDS,
-        "wi": "SELECT fold, item_id, step, y, scale_sq, list(yhat ORDER BY model) AS m FROM bt GROUP BY 1, 2, 3, 4, 5",
+        "wi": "SELECT fold, item_id, step, y, scale_abs, scale_sq, list(yhat ORDER BY model) AS m FROM bt GROUP BY 1, 2, 3, 4, 5, 6",
         "rec": _GREEDY.replace("LOSS", loss),
         "ew": f"SELECT unnest({sorted(_FOUR)}) AS model, unnest(c) / list_sum(c) AS weight FROM (SELECT arg_min(c, (score, r)) AS c FROM rec WHERE r > 0)",
     }

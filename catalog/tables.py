@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
 
 from catalog import frames as fr
-from catalog.forecasting import _FOLDS, _backtest
+from catalog.forecasting import _AHEAD, _FOLDS, _FOUR, _backtest, _greedy
 from catalog.frames import with_frames as sql
-from catalog.registry import query, rounded
+from catalog.registry import ORACLES, query, rounded
 from tidegrid.models import selection
 from tidegrid.plans import forecast, report, runs
 from tidegrid.session import shared_folder
@@ -125,12 +126,88 @@ def latest_status(spark, sf):
     return runs.latest(e, "user_id", "ts", ("event_id",)).select("user_id", "event_type", "ts")
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS run_id, MAX(ts + to_microseconds(event_id)) AS at, arg_max(event_type, ts + to_microseconds(event_id)) AS status, arg_max(props, ts + to_microseconds(event_id)) FILTER (event_type = 'purchase') AS params FROM events GROUP BY 1")
+def run_registry(spark, sf):
+    """Events as statuses of their users' runs, in two batches of the store's log; a purchase gives parameters."""
+    e = fr.table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("run_id"), F.timestamp_add("MICROSECOND", F.col("event_id"), F.col("ts")).alias("at"),
+        F.col("event_type").alias("status"), F.when(F.col("event_type") == "purchase", F.col("props")).alias("params"), "event_id",
+    )
+    store = runs.RunStore(spark, _scratch(spark), batches=1)
+    store.append(e.where(F.col("event_id") % 2 == 0))
+    store.append(e.where(F.col("event_id") % 2 == 1))
+    return store.newest().select("run_id", "at", "status", "params")
+
+
 @query(sql("type_daily", 'SELECT item_id AS unique_id, model AS "Model", ROUND(metric, 6) + 0.0 AS "MASE" FROM ss', **_FOLDS))
 def report_series_boards(spark, sf):
     scores = selection.series_scores(_backtest(spark, sf), S, "MASE")
     return rounded(report.series_boards(scores, "item_id", "MASE"))
 
 
+_QUANTILES = [f"0.{i}" for i in range(1, 10)]
+#: A whole run over the type series in SQL: weights, scores of the four models and their ensemble, the best one's forecast and errors.
+_REPORT = {
+    **_greedy("abs(e) / NULLIF(scale_abs, 0)"),
+    **_AHEAD,
+    "te": """SELECT model, fold, item_id, step, y, yhat, scale_abs FROM bt UNION ALL SELECT 'WeightedEnsemble', fold, item_id, step, y, SUM(yhat * weight) / SUM(weight), scale_abs
+        FROM bt JOIN ew USING (model) WHERE weight > 0 GROUP BY fold, item_id, step, y, scale_abs""",
+    "sc": """SELECT model, -AVG(metric) AS score_val FROM (SELECT model, item_id, AVG(e) AS metric FROM
+        (SELECT model, fold, item_id, AVG(abs(y - yhat) / NULLIF(scale_abs, 0)) AS e FROM te GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1""",
+    "tp": "SELECT model FROM sc ORDER BY score_val DESC, model LIMIT 1",
+    "pr": """SELECT model, item_id, step, yhat FROM ac UNION ALL SELECT 'WeightedEnsemble', item_id, step, SUM(yhat * weight) / SUM(weight)
+        FROM ac JOIN ew USING (model) WHERE weight > 0 GROUP BY item_id, step""",
+    "er": "SELECT model, step, " + ", ".join(f"quantile_cont(y - yhat, {q}) AS q{i}" for i, q in enumerate(_QUANTILES)) + " FROM te GROUP BY 1, 2",
+}
+
+
+def _section(spark, sf, name):
+    """One section of the report of a run over the type series, stored and read back."""
+    store, run_id = runs.RunStore(spark, _scratch(spark)), runs.new_run_id()
+    forecast.run(fr.type_daily(spark, sf), _REPORT_PARAMS, store=store, run_id=run_id)
+    return report.report_sections(store, run_id)[name]
+
+
+_REPORT_PARAMS = RunParams("ts", "y", "item_id", "MASE", frequency="D", models_to_train=tuple(_FOUR), prediction_length=7)
+
+
+@query(
+    sql(
+        "type_daily",
+        "SELECT item_id, strftime(last + to_days(CAST(step AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS ts, ROUND(yhat, 4) + 0.0 AS y, "
+        + ", ".join(f'ROUND(yhat + q{i}, 4) + 0.0 AS "{q}"' for i, q in enumerate(_QUANTILES))
+        + " FROM pr JOIN tp USING (model) JOIN er USING (model, step) JOIN en USING (item_id)",
+        **_REPORT,
+    )
+)
+def report_prediction(spark, sf):
+    return rounded(_section(spark, sf, "Prediction"), 4)
+
+
+@query(sql("type_daily", "SELECT model, ROUND(score_val, 6) + 0.0 AS score_val, 'global' AS strategy FROM sc", **_REPORT))
+def report_leaderboard(spark, sf):
+    return rounded(_section(spark, sf, "Leaderboard"))
+
+
+@query(sql("type_daily", 'SELECT model AS "Model", ROUND(weight, 6) + 0.0 AS "Weight" FROM ew WHERE weight > 0', **_REPORT))
+def report_weights(spark, sf):
+    return rounded(_section(spark, sf, "WeightedEnsemble"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v if isinstance(v, str) else json.dumps(v)}')" for k, v in json.loads(_REPORT_PARAMS.to_json()).items()) + ') t("Parameter", "Value")')
+def report_parameters(spark, sf):
+    return _section(spark, sf, "TrainingParams")
+
+
+@query("SELECT message AS messages FROM (" + ORACLES["run_messages"] + ")")
+def report_messages(spark, sf):
+    """The messages of a run over the users' series."""
+    store, run_id = runs.RunStore(spark, _scratch(spark)), runs.new_run_id()
+    p = RunParams("ts", "y", "item_id", "MAE", frequency="D", models_to_train=("naive",), prediction_length=14)
+    forecast.run(fr.user_daily(spark, sf).select("item_id", "ts", "y"), p, store=store, run_id=run_id)
+    return report.report_sections(store, run_id)["Messages"]
+
+
 def _run(spark, sf, **params):
     n = fr.nation_daily(spark, sf)
     p = RunParams("ts", "y", "item_id", "MASE", frequency="D", static_feature_columns=("region",), prediction_length=7, **params)

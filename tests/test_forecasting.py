@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import math
 
 import numpy as np
@@ -397,6 +398,29 @@ def test_ensembles_follow_the_asked_metric(spark):
     assert weights["RMSE"] == weights["RMSSE"] == weights["MAE"] == weights["MASE"] == {"z": 1.0} and weights["SMAPE"] == {"x": 1.0}
 
 
+def test_run_log_reads_one_bucket_and_keeps_few_files(spark, tmp_path):
+    store = runs.RunStore(spark, str(tmp_path), batches=3)
+    with pytest.raises(ValueError, match="no run"):
+        store.status("x")
+    many = spark.range(2000).select(F.concat(F.lit("r"), F.col("id") % 100).alias("run_id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("at"), F.lit("old").alias("status"))
+    store.append(many)
+    for i in range(9):
+        store.record(f"r{i % 3}", f"s{i}", i, RunParams("t", "y", "id", "MAE") if i < 3 else None)
+    assert store.status("r1").select("status", "progress").collect() == [("s7", 7)]
+    assert json.loads(store.status("r1").first()["params"])["target_column"] == "y"
+    assert store.newest().count() == 100 and store.log().count() == 2009
+    assert len(list(tmp_path.glob("runs/batch=*"))) <= 3
+    half = tmp_path / "runs" / "batch=half"  # another writer has not finished this one: it is neither merged nor removed
+    (half / "_temporary").mkdir(parents=True)
+    for i in range(4):
+        store.record("r9", "later", i)
+    assert half.exists() and store.log().count() == 2013
+    assert len(list(tmp_path.glob("runs/batch=*/bucket=*/*.parquet"))) <= 3 * runs.BUCKETS + 4
+    plan = store.log("r1")._jdf.queryExecution().executedPlan().toString()
+    assert f"(bucket#" in plan and f"= {runs.bucket_of('r1')})" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert {r["bucket"] for r in store._read(store._batches()).where("run_id = 'r1'").select("bucket").collect()} == {runs.bucket_of("r1")}
+
+
 def _greedy_by_hand(bt, loss, patience=5, tolerance=1e-3):
     """The documented selection in plain Python over rows with every model's forecast or None."""
     models = sorted({r["model"] for r in bt})

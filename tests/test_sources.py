@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +191,37 @@ def test_upsert_replaces_only_the_buckets_it_hits(spark, tmp_path):
     with pytest.raises(ValueError, match="primary key"):
         tables.create_table(more, "bucketed_none", str(tmp_path / "u"), buckets=4)
     spark.sql(f"DROP TABLE {name}")
+
+
+@pytest.mark.parametrize(
+    "lines, sep",
+    [
+        (['date,"price; EUR"', '2024-01-01,"1; 2"'], ","),
+        (["a;b,c;d", "1;2,5;3", "4;5,5;6"], ";"),
+        (["note, more;x", "1;2", "3;4"], ";"),
+        (["a\tb", "1,5\t2,5"], "\t"),
+        (["a^b", "1^2"], "^"),
+        (["date and time", "2024-01-01"], ","),
+        (["one", "1"], ","),
+    ],
+)
+def test_the_separator_agrees_with_most_lines(lines, sep):
+    assert files.separator_of(lines) == sep
+
+
+def test_a_quoted_header_reads_as_two_columns(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('date,"price; EUR"\n2024-01-01,5\n')
+    assert files.read_csv(spark, str(path)).columns == ["date", "price; EUR"]
+
+
+def test_ranges_along_any_key_meet_every_row_once():
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE "t" AS SELECT CASE WHEN i % 3 = 0 THEN 'it''s' ELSE 'k' || (i % 40) END AS "a b",
+        TIMESTAMP '2024-01-01' + to_seconds(i) AS at, i AS n FROM range(1000) r(i)""")
+    for keys in (["n"], ["a b", "at"], ["at"]):
+        cuts = con.execute(jdbc.cuts_sql(jdbc.quoted(None, "t"), keys, 90)).fetchall()
+        parts = [con.execute(f'SELECT list(n) FROM "t" WHERE {p}').fetchone()[0] for p in jdbc.range_predicates(keys, cuts)]
+        assert sorted(n for p in parts for n in p) == list(range(1000))
+        assert len(parts) == 12 and max(map(len, parts)) <= 91
+    assert jdbc.range_predicates(["n"], []) == ["1 = 1"]
