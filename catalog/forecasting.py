@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import frames as fr
 from catalog.frames import with_frames as sql
-from catalog.registry import query, rounded
+from catalog.registry import eliminated, query, rounded
 from tidegrid.models import baseline, registry, selection, smoothing, tabular
 from tidegrid.operators import features, regular, series
 from tidegrid.spec import SeriesSpec
@@ -262,17 +262,54 @@ def _regression(name, spark, sf, strategy="recursive"):
     return rounded(tabular.tabular(panel(spark, sf), S, H, name, strategy=strategy), 4)
 
 
-@query()
+_DATE = "CAST(isodow({0}) - 1 AS DOUBLE), CAST(month({0}) AS DOUBLE), CAST(day({0}) AS DOUBLE)"
+
+
+def _normal_equations(aheads: int, ridge: float = 0.0) -> dict[str, str]:
+    """Regression on lags 1, 2, 3, 7 and the date, a model per distance to the forecast: seven standardised features (0 where one never varies), the label as the eighth."""
+    rows = "UNION ALL ".join(
+        f"SELECT {a} AS a, [LAG(y, {a}) OVER w, LAG(y, {a + 1}) OVER w, LAG(y, {a + 2}) OVER w, LAG(y, {a + 6}) OVER w, {_DATE.format('ts')}, y] AS x FROM m WINDOW w AS (PARTITION BY item_id ORDER BY ts) "
+        for a in range(1, aheads + 1)
+    )
+    return {
+        "m": _N,
+        "tx": f"SELECT * FROM ({rows}) WHERE x[4] IS NOT NULL",
+        "st": "SELECT a, i, AVG(x[i]) AS mean, stddev_pop(x[i]) AS sd FROM tx, range(1, 9) q(i) GROUP BY 1, 2",
+        "sl": "SELECT a, list(mean ORDER BY i) AS mean, list(sd ORDER BY i) AS sd FROM st GROUP BY 1",
+        "s0": f"""SELECT tx.a, i, j, AVG(CASE WHEN sd[i] = 0 OR sd[j] = 0 THEN 0 ELSE (x[i] - mean[i]) / sd[i] * (x[j] - mean[j]) / sd[j] END)
+            + CASE WHEN i = j AND i < 8 THEN {ridge} / ANY_VALUE(sd[8]) + ANY_VALUE(CASE WHEN sd[i] = 0 THEN 1 ELSE 0 END) ELSE 0 END AS v
+            FROM tx JOIN sl ON tx.a = sl.a, range(1, 9) q(i), range(1, 9) r(j) GROUP BY 1, 2, 3""",
+        **eliminated(7, "a"),
+        "co": """SELECT a, list(b ORDER BY i) AS b, ANY_VALUE(m8) - SUM(b * m) AS b0 FROM (SELECT s.a, i, CASE WHEN sd[i] = 0 THEN 0 ELSE v * sd[8] / sd[i] END AS b, mean[i] AS m, mean[8] AS m8
+            FROM s7 s JOIN sl ON s.a = sl.a WHERE j = 8 AND i < 8) GROUP BY 1""",
+        "nw": "SELECT item_id, last, ANY_VALUE(n) AS n, list(y ORDER BY pos DESC) AS ys FROM m WHERE pos >= n - 7 GROUP BY 1, 2",
+    }
+
+
+_DOT = "b0 + list_dot_product(b, [ys[1], ys[2], ys[3], ys[7], " + _DATE.format("last + to_days(CAST({0} AS INTEGER))") + "])"
+#: Each step's forecast becomes the newest value.
+_ONWARD = f"""SELECT item_id, last, n, ys, CAST(0 AS BIGINT) AS k, NULL::DOUBLE AS v FROM nw
+    UNION ALL SELECT item_id, last, n, list_prepend(v, ys)[1:7], k, v FROM (SELECT item_id, last, n, ys, k + 1 AS k, CASE WHEN n < 7 THEN ys[1] ELSE {_DOT.format('k + 1')} END AS v FROM rec, co WHERE k < {H})"""
+_REGRESSED = "SELECT item_id, k AS step, last + to_days(CAST(k AS INTEGER)) AS ts, ROUND(v, 4) + 0.0 AS yhat FROM rec WHERE k > 0"
+
+
+@query(sql("user_regular", _REGRESSED, **_normal_equations(1), rec=_ONWARD))
 def tabular_linear(spark, sf):
     return _regression("linear", spark, sf)
 
 
-@query()
+@query(
+    sql(
+        "user_regular",
+        f"SELECT item_id, CAST(a AS BIGINT) AS step, last + to_days(CAST(a AS INTEGER)) AS ts, ROUND(CASE WHEN n < 7 THEN ys[1] ELSE {_DOT.format('a')} END, 4) + 0.0 AS yhat FROM nw, co",
+        **_normal_equations(H),
+    )
+)
 def tabular_linear_direct(spark, sf):
     return _regression("linear", spark, sf, "direct")
 
 
-@query()
+@query(sql("user_regular", _REGRESSED, **_normal_equations(1, 1.0), rec=_ONWARD))
 def tabular_ridge(spark, sf):
     return _regression("ridge", spark, sf)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import frames as fr
 from catalog.frames import with_frames as sql
-from catalog.registry import query, rounded
+from catalog.registry import eliminated, query, rounded
 from tidegrid.operators import charts, correlation, drift, quality, seasonal, series
 from tidegrid.spec import SeriesSpec
 
@@ -213,7 +213,23 @@ def acf_longest(spark, sf):
     return rounded(seasonal.acf(fr.user_daily(spark, sf), S, longest_only=True))
 
 
-@query()
+#: Durbin-Levinson on the autocovariances of each series, lag by lag.
+_LEVINSON = """SELECT item_id, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS phi, cov[1] AS err, CAST(1 AS DOUBLE) AS pacf FROM co
+    UNION ALL SELECT item_id, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - last * phi[k + 1 - j]), last), err * (1 - last * last), last
+    FROM (SELECT r.*, (cov[k + 2] - COALESCE(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * cov[k + 2 - j])), 0)) / err AS last
+        FROM rec r JOIN co USING (item_id) WHERE k < lags AND err <> 0)"""
+
+
+@query(
+    sql(
+        "user_daily",
+        "SELECT item_id, k AS lag, ROUND(pacf, 6) + 0.0 AS pacf FROM rec",
+        c=_CENTRED,
+        cv="SELECT a.item_id, k.lag, SUM(a.c * b.c) / (ANY_VALUE(a.n) - k.lag) AS v, ANY_VALUE(a.n) AS n FROM c a CROSS JOIN range(31) k(lag) JOIN c b ON a.item_id = b.item_id AND b.p = a.p - k.lag GROUP BY 1, 2",
+        co="SELECT item_id, list(v ORDER BY lag) AS cov, greatest(least(30, ANY_VALUE(n) // 2 - 1), 0) AS lags FROM cv GROUP BY 1",
+        rec=_LEVINSON,
+    )
+)
 def pacf(spark, sf):
     return rounded(seasonal.pacf(fr.user_daily(spark, sf), S))
 
@@ -322,7 +338,15 @@ def vif_pair(spark, sf):
     return rounded(correlation.vif(fr.line_features(spark, sf), ["qty", "price"]))
 
 
-@query()
+@query(
+    sql(
+        "line_features",
+        "SELECT feature, ROUND(v, 2) + 0.0 AS vif, CASE WHEN v > 10 THEN 'strong' WHEN v > 5 THEN 'warn' ELSE 'ok' END AS level FROM (SELECT [" + ", ".join(f"'{f}'" for f in _FEATURES) + f"][i] AS feature, v FROM s{len(_FEATURES)} WHERE i = j)",
+        c=_CORR,
+        s0=f"SELECT {_ORDER.format('f1')} AS i, {_ORDER.format('f2')} AS j, r AS v FROM c",
+        **eliminated(len(_FEATURES)),
+    )
+)
 def vif(spark, sf):
     return rounded(correlation.vif(fr.line_features(spark, sf), list(_FEATURES)), 2)
 

@@ -24,6 +24,18 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def eliminated(size: int, by: str = "") -> dict[str, str]:
+    """Steps ``s1`` to ``s<size>``: Gauss-Jordan elimination on the first ``size`` pivots of a matrix ``s0 (i, j, v)`` in SQL.
+
+    In the last step the first ``size`` rows and columns hold the inverse, and a further column the solutions. ``by``
+    names a column with the number of the matrix."""
+    on, key = (f"AND a.{by} = {{0}}.{by}", f"a.{by}, ") if by else ("", "")
+    step = """SELECT {key}a.i, a.j, CASE WHEN a.i = {k} AND a.j = {k} THEN 1 / p.v WHEN a.i = {k} THEN a.v / p.v WHEN a.j = {k} THEN -a.v / p.v
+        ELSE a.v - c.v * r.v / p.v END AS v FROM s{before} a JOIN s{before} p ON p.i = {k} AND p.j = {k} {on_p}
+        JOIN s{before} c ON c.i = a.i AND c.j = {k} {on_c} JOIN s{before} r ON r.i = {k} AND r.j = a.j {on_r}"""
+    return {f"s{k}": step.format(key=key, k=k, before=k - 1, on_p=on.format("p"), on_c=on.format("c"), on_r=on.format("r")) for k in range(1, size + 1)}
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison, integers as BIGINT; ``+ 0.0`` turns -0.0 into 0.0."""
     cols = []

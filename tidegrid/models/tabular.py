@@ -13,8 +13,10 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.ml.feature import FeatureHasher, VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import FeatureHasher, VectorAssembler, VectorSlicer
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,12 +28,14 @@ from tidegrid.session import checkpointed
 from tidegrid.spec import SeriesSpec
 from tidegrid.splits import join_stats, over_series
 
+#: Normal equations of dependent features are solved step by step, on sums alone: go on until nothing moves.
+_EXACT = {"tol": 1e-12, "maxIter": 1000}
 # The regressors by menu name.
 REGRESSORS = {
-    "linear": lambda: LinearRegression(),
-    "ridge": lambda: LinearRegression(regParam=1.0, elasticNetParam=0.0),
-    "lasso": lambda: LinearRegression(regParam=1.0, elasticNetParam=1.0),
-    "elastic_net": lambda: LinearRegression(regParam=1.0, elasticNetParam=0.5),
+    "linear": lambda: LinearRegression(**_EXACT),
+    "ridge": lambda: LinearRegression(regParam=1.0, elasticNetParam=0.0, **_EXACT),
+    "lasso": lambda: LinearRegression(regParam=1.0, elasticNetParam=1.0, **_EXACT),
+    "elastic_net": lambda: LinearRegression(regParam=1.0, elasticNetParam=0.5, **_EXACT),
     "random_forest": lambda: RandomForestRegressor(numTrees=20, maxDepth=5, seed=123),
     "boosted_trees": lambda: GBTRegressor(maxIter=20, maxDepth=5, seed=123),
 }
@@ -161,10 +165,20 @@ def tabular(
 
 
 def _fit(regressor: str, kind: Features, rows: DataFrame):
-    """A fitted model, or None where no row has all lags. The rows are kept for the passes of the fit."""
+    """A fitted model, or None where no row has all lags. The rows are kept for the passes of the fit.
+
+    Features that never vary say nothing and make the normal equations singular; the linear models do without them."""
     rows = kind.transform(rows).select("features", "label").persist(StorageLevel.DISK_ONLY)
     try:
-        return None if rows.isEmpty() else REGRESSORS[regressor]().fit(rows)
+        seen = rows.agg(Summarizer.metrics("count", "variance").summary(F.col("features")).alias("s")).select("s.*").first()
+        if not seen["count"]:
+            return None
+        varying = [i for i, v in enumerate(seen["variance"].toArray()) if v > 0]
+        model = REGRESSORS[regressor]()
+        if not isinstance(model, LinearRegression) or not varying:
+            return model.fit(rows)
+        some = VectorSlicer(inputCol="features", outputCol="varying", indices=varying)
+        return PipelineModel([some, model.setFeaturesCol("varying").fit(some.transform(rows))])
     finally:
         rows.unpersist()
 
