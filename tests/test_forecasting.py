@@ -421,6 +421,19 @@ def test_run_log_reads_one_bucket_and_keeps_few_files(spark, tmp_path):
     assert {r["bucket"] for r in store._read(store._batches()).where("run_id = 'r1'").select("bucket").collect()} == {runs.bucket_of("r1")}
 
 
+def test_a_run_reads_the_table_it_names(spark, series_of, tmp_path):
+    from tidegrid.sources import tables
+
+    df = series_of({"a": [(t, float(i)) for i, (t, _) in enumerate(days(range(12)))]})
+    tables.create_table(df, "tidegrid_run_in", str(tmp_path / "in"), ["item_id", "ts"])
+    tables.upsert_table(df, "tidegrid_run_in")
+    params = RunParams("ts", "y", "item_id", "MAE", frequency="D", models_to_train=("naive",), download_table_name="tidegrid_run_in")
+    assert [r["y"] for r in forecast.run_table(spark, params).predictions.collect()] == [11.0] * 3
+    with pytest.raises(ValueError, match="download_table_name"):
+        forecast.run_table(spark, RunParams("ts", "y", "item_id", "MAE"))
+    spark.sql("DROP TABLE tidegrid_run_in")
+
+
 def _greedy_by_hand(bt, loss, patience=5, tolerance=1e-3):
     """The documented selection in plain Python over rows with every model's forecast or None."""
     models = sorted({r["model"] for r in bt})

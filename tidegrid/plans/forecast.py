@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.models import selection
@@ -99,6 +99,13 @@ def run(df: DataFrame, params: RunParams, folds: int = 3, calendar: DataFrame |
         raise
 
 
+def run_table(spark: SparkSession, params: RunParams, **more) -> RunResult:
+    """``run`` over the catalog table that ``download_table_name`` names."""
+    if not params.download_table_name:
+        raise ValueError("download_table_name is not set")
+    return run(tables.stored_rows(spark, params.download_table_name), params, **more)
+
+
 def _predict(ready: Prepared, params: RunParams, spec: SeriesSpec, h: int, season: int, folds: int) -> RunResult:
     panel, metric = _with_statics(ready, spec), params.evaluation_metric
     spec = measured(panel, spec)
