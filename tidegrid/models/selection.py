@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.models.baseline import covariates_in, known_rows, naive, statics_in
+from tidegrid.models.folded import UPTO, forecasts, held_rows, placed_rows
 from tidegrid.models.registry import MODELS, resolve
 from tidegrid.quantiles import quantiles
 from tidegrid.session import checkpointed
 from tidegrid.spec import SeriesSpec
-from tidegrid.splits import join_stats, measured, null_safe, over_series, with_positions
+from tidegrid.splits import join_stats, measured, null_safe, over_series
 
 #: Sets of models that have forecasts together, up to which the products of their errors are brought to the driver.
 PATTERNS = 2048
@@ -62,12 +63,9 @@ def folds_of(df: DataFrame, spec: SeriesSpec, h: int, folds: int = 3) -> tuple[D
     is copied to each fold it trains. Training rows keep the static columns and those known ahead; of the latter a fold also
     gets the values of the rows that it holds out, without their target, and of no later ones."""
     statics, ahead = statics_in(df, spec), covariates_in(df, spec)
-    rows = with_positions(known_rows(df, spec, [*statics, *ahead]), spec, "__at", "__len").withColumn("__back", F.col("__len") - F.col("__at"))
-    # The row is __back-th from the end: it trains the folds that end before it does.
-    upto = F.least(F.floor((F.col("__back") - 1) / h) - 1, F.lit(folds - 1)).cast("int")
-    train = rows.where(upto >= 0).withColumn("fold", F.explode(F.sequence(F.lit(0), upto)))
-    held = rows.where(F.col("__back") <= h * folds).withColumn("fold", F.floor((F.col("__back") - 1) / h).cast("int"))
-    held = held.withColumn("step", ((F.col("fold") + 1) * h - F.col("__back") + 1).cast("int"))
+    rows = placed_rows(df, spec, h, folds, [*statics, *ahead])
+    train = rows.where(F.col(UPTO) >= 0).withColumn("fold", F.explode(F.sequence(F.lit(0), F.col(UPTO))))
+    held = held_rows(rows, spec, h, folds)
     cols = ["fold", *spec.keys, *spec.order, spec.target, *[f"`{c}`" for c in [*statics, *ahead]]]
     train = train.select(*cols)
     if ahead:
@@ -80,13 +78,19 @@ def backtest_forecasts(
 ) -> DataFrame:
     """Forecast and actual of every (model, fold, series, step): ``(model, fold, keys, step, y, yhat, scales)``.
 
-    All folds run in one pass per model, with the fold as a further key. Folds without history are left out."""
+    The models of ``folded`` read the history once for all folds; the others get a copy of it per fold, with the fold as a further key.
+    Folds without history are left out."""
     spec = measured(df, spec)
-    train, held = folds_of(df, spec, h, folds)
     inner = spec.replace(by=("fold", *spec.by))
-    runs = [MODELS[m](train, inner, h, season).select(F.lit(m).alias("model"), *inner.keys, "step", "yhat") for m in resolve(models)]
+    placed = placed_rows(df, spec, h, folds)
+    done, scales, rest = forecasts(placed, spec, {m: MODELS[m] for m in resolve(models)}, h, folds, season)
+    runs = [] if done is None else [done]
+    if rest:
+        train, _ = folds_of(df, spec, h, folds)
+        runs += [run(train, inner, h, season).select(F.lit(m).alias("model"), *inner.keys, "step", "yhat") for m, run in rest.items()]
     predicted = reduce(lambda a, b: a.unionByName(b), runs)
-    actual = join_stats(held.drop(spec.ts), in_sample_error(train, inner, season), inner.keys)
+    held = held_rows(placed, spec, h, folds).select("fold", "step", *spec.keys, F.col(spec.target).alias("y"))
+    actual = join_stats(held, scales, inner.keys)
     on = [*inner.keys, "step"]
     renamed = actual.withColumnsRenamed({k: f"__a_{k}" for k in on})
     cond = reduce(lambda a, b: a & b, [predicted[k].eqNullSafe(renamed[f"__a_{k}"]) for k in on])

@@ -30,6 +30,8 @@ HOLT_GRID = tuple(product((0.1, 0.3, 0.5, 0.7, 0.9), (0.1, 0.3, 0.5, 0.7, 0.9)))
 HW_GRID = tuple(product((0.1, 0.3, 0.5, 0.7, 0.9), (0.1, 0.3, 0.5), (0.1, 0.3, 0.5)))
 INTERMITTENT_ALPHAS = (0.1, 0.2, 0.3)
 
+#: A stretch of a series between two folds' edges.
+SEG = "__seg"
 #: Values of one series that are held as one array.
 ARRAY_ROWS = 500_000
 
@@ -58,11 +60,13 @@ def _start(y: np.ndarray, season: int | None) -> tuple[np.ndarray, int]:
     return np.concatenate([[first + slope * centre, slope], phases]), season
 
 
-def _run_many(series: list[np.ndarray], grid: tuple, season: int | None) -> list[tuple[int, np.ndarray, float]]:
-    """Smooth whole series, all of them and under every parameter set at once; (best set, its final state, its error sum) of each.
+def _run_many(series: list[np.ndarray], grid: tuple, season: int | None, stops: list[list[int]] | None = None) -> list[list[tuple[int, np.ndarray, float]]]:
+    """Smooth whole series, all of them and under every parameter set at once; for each and every stop of it (a number of values; by
+    default its end) the best set up to there, its state and its error sum.
 
     The state is one array per part of it, series by parameter sets, and a ring of phases: a value costs the same at any season.
     """
+    stops = [[len(y)] for y in series] if stops is None else stops
     order = sorted(range(len(series)), key=lambda i: -len(series[i]))  # those that go on are always the first
     starts = [_start(series[i], season) for i in order]
     at = 1 if not season else season
@@ -77,6 +81,20 @@ def _run_many(series: list[np.ndarray], grid: tuple, season: int | None) -> list
     trend = np.repeat([[x[1] if season is not None else 0.0] for x, _ in starts], len(grid), 1)
     ring = [np.repeat([[x[2 + p]] for x, _ in starts], len(grid), 1) for p in range(season or 0)]
     sse = np.zeros_like(level)
+    out: list = [[None] * len(x) for x in stops]
+    due: dict[int, list[tuple[int, int, int]]] = {}
+    for k, i in enumerate(order):
+        for j, stop in enumerate(stops[i]):
+            due.setdefault(max(stop - at, 0), []).append((k, i, j))
+
+    def note(t: int) -> None:
+        for k, i, j in due.get(t, ()):
+            p = np.argmin(np.round(sse[k], 9))
+            state = [level[k, p]] + ([trend[k, p]] if season is not None else [])
+            state += [ring[(t + q) % season][k, p] for q in range(season or 0)]
+            out[i][j] = (int(p), np.array(state), float(sse[k, p]))
+
+    note(0)
     for t in range(most):
         n = going[t]
         ahead = level[:n] + trend[:n] if season is not None else level[:n].copy()
@@ -88,19 +106,13 @@ def _run_many(series: list[np.ndarray], grid: tuple, season: int | None) -> list
             trend[:n] += b * e
         if season:
             phase += g * e
-    best = np.argmin(np.round(sse, 9), 1)
-    out: list = [None] * len(series)
-    for k, i in enumerate(order):
-        p = best[k]
-        state = [level[k, p]] + ([trend[k, p]] if season is not None else [])
-        state += [ring[(max(lengths[k], 0) + q) % season][k, p] for q in range(season or 0)]
-        out[i] = (int(p), np.array(state), float(sse[k, p]))
+        note(t + 1)
     return out
 
 
 def _run(y: np.ndarray, grid: tuple, season: int | None) -> tuple[int, np.ndarray, float]:
     """Smooth one whole series."""
-    return _run_many([y], grid, season)[0]
+    return _run_many([y], grid, season)[0][0]
 
 
 #: Errors whose products are summed at once.
@@ -190,10 +202,95 @@ def _smooth(df: DataFrame, spec: SeriesSpec, grid: tuple, season: int | None) ->
         cold = _fold(_arrays(s.cold, spec), spec, grid, season == 0)
     if s.hot is None:
         return cold
+    return cold.unionByName(_long(s.hot.withColumn(SEG, F.lit(0)), spec, s.keys, grid, season).drop(SEG))
+
+
+def _long(hot: DataFrame, spec: SeriesSpec, keys: list[str], grid: tuple, season: int | None) -> DataFrame:
+    """Long series with the stretches ``SEG``: ``(keys, SEG, LAST, LEN, best, state, sse)`` at the end of every stretch."""
+    schema = T.StructType(
+        [hot.schema[k] for k in keys]
+        + [T.StructField(SEG, T.IntegerType()), T.StructField(LAST, hot.schema[spec.ts].dataType), T.StructField(LEN, T.LongType()),
+           T.StructField("best", T.IntegerType()), T.StructField("state", T.ArrayType(T.DoubleType())), T.StructField("sse", T.DoubleType())]
+    )
     if _effect_size(grid, season) > _EFFECT:
-        return cold.unionByName(_streamed(s.hot, spec, s.keys, grid, season, schema))
-    most = s.hot.agg(F.max(BLOCK)).first()[0] + 1  # blocks of the longest series
-    return cold.unionByName(_chained(s.hot, spec, s.keys, grid, season, schema, most))
+        return _streamed(hot, spec, keys, grid, season, schema)
+    most = hot.agg(F.max(BLOCK)).first()[0] + 1  # blocks of the longest series
+    return _chained(hot, spec, keys, grid, season, schema, most)
+
+
+def smooth_folds(rows: DataFrame, spec: SeriesSpec, grid: tuple, season: int | None, h: int, folds: int) -> DataFrame:
+    """What ``_smooth`` finds at the end of every fold's history, from one run along each series:
+    ``(keys, fold, LEN, best, state, sse)``.
+
+    ``rows`` are the history of fold 0 with ``SEG``, which counts from the rows that every fold trains on (0) to those that only fold 0
+    trains on (``folds - 1``). With ``season`` above 0, folds shorter than two seasons have no row here."""
+    y, cuts = spec.target, folds - 1
+    s = split(rows.select(*spec.keys, *spec.order, y, SEG), spec, reach=2 * (season or 1), most=ARRAY_ROWS)
+    names = [*s.keys, "fold", LEN, "best", "state", "sse"]
+    schema = T.StructType(
+        [rows.schema[k] for k in s.keys]
+        + [T.StructField("fold", T.IntegerType()), T.StructField(LEN, T.LongType()), T.StructField("best", T.IntegerType()),
+           T.StructField("state", T.ArrayType(T.DoubleType())), T.StructField("sse", T.DoubleType())]
+    )
+    arrays = _arrays(s.cold, spec)
+    cold = arrays.mapInPandas(_whole_folds(s.keys, grid, season, h, folds), schema) if season else _fold_cuts(arrays, spec, grid, season == 0, h, folds)
+    if s.hot is None:
+        return cold.select(*names)
+    return cold.select(*names).unionByName(_long(s.hot, spec, s.keys, grid, season).withColumn("fold", F.lit(cuts) - F.col(SEG)).select(*names))
+
+
+def _fold_cuts(arrays: DataFrame, spec: SeriesSpec, grid: tuple, trend: bool, h: int, folds: int) -> DataFrame:
+    """Simple and Holt smoothing as one fold over the array that keeps the states at every cut, in the JVM."""
+    y, size = F.col("__y"), F.size("__y")
+
+    def cut(f: int) -> Column:
+        return F.greatest(size - f * h, F.lit(1))
+
+    bounds = [F.lit(1), *[cut(f) for f in reversed(range(folds))]]
+    parts = F.array(*[F.slice(y, a + 1, b - a) for a, b in zip(bounds, bounds[1:])])
+    slope = F.when(size > 1, F.try_element_at(y, F.lit(2)) - y[0]).otherwise(0.0) if trend else F.lit(0.0)
+    sets = [(p[0], p[0] * p[1]) if trend else (p, 0.0) for p in grid]
+    start = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b"), y[0].alias("l"), slope.alias("t"), F.lit(0.0).alias("sse"))
+        for i, (a, b) in enumerate(sets)
+    ])
+
+    def step(s: Column, v: Column) -> Column:
+        ahead = s["l"] + s["t"]
+        e = v - ahead
+        return F.struct(s["i"].alias("i"), s["a"].alias("a"), s["b"].alias("b"),
+                        (ahead + s["a"] * e).alias("l"), (s["t"] + s["b"] * e).alias("t"), (s["sse"] + e * e).alias("sse"))
+
+    def further(states: Column, part: Column) -> Column:
+        return F.concat(states, F.array(F.transform(F.element_at(states, -1), lambda s: F.aggregate(part, s, step))))
+
+    states = arrays.select(*spec.keys, LEN, F.aggregate(parts, F.array(start), further).alias("__s"))
+    each = states.select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
+    each = each.withColumn(LEN, F.col(LEN) - F.col("fold") * h).where(F.col(LEN) > 0)
+    ranked = F.transform(F.col("__s")[folds - F.col("fold")], lambda s: F.struct(F.round(s["sse"], 9).alias("k"), s["i"].alias("i"), s["l"].alias("l"), s["t"].alias("t"), s["sse"].alias("sse")))
+    best = each.select(*spec.keys, "fold", LEN, F.array_min(ranked).alias("__b"))
+    state = F.array("__b.l", "__b.t") if trend else F.array("__b.l")
+    return best.select(*spec.keys, "fold", LEN, F.col("__b.i").alias("best"), state.alias("state"), F.col("__b.sse").alias("sse"))
+
+
+def _whole_folds(keys: list[str], grid: tuple, season: int, h: int, folds: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            values = [np.asarray(v, float) for v in pdf["__y"]]
+            stops = [[len(v) - f * h for f in range(folds) if len(v) - f * h >= 2 * season] for v in values]
+            mine = sorted((i for i, x in enumerate(stops) if x), key=lambda i: len(values[i]))
+            while mine:
+                take = max(1, min(_TOGETHER, _VALUES // len(values[mine[-1]]), _VALUES // (len(grid) * season)))
+                chunk, mine = mine[-take:], mine[:-take]
+                fits = _run_many([values[i] for i in chunk], grid, season, [stops[i] for i in chunk])
+                at = [(i, f) for i in chunk for f in range(len(stops[i]))]
+                out = pdf[keys].iloc[[i for i, _ in at]].reset_index(drop=True)
+                found = [fit for one in fits for fit in one]
+                out["fold"], out[LEN] = [f for _, f in at], [stops[i][f] for i, f in at]
+                out["best"], out["state"], out["sse"] = [f[0] for f in found], [f[1].tolist() for f in found], [f[2] for f in found]
+                yield out
+
+    return run
 
 
 def _arrays(rows: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -247,7 +344,7 @@ def _whole(keys: list[str], grid: tuple, season: int):
                     take = max(1, min(_TOGETHER, _VALUES // max(1, len(values[mine[-1]])), _VALUES // (len(grid) * (season if long else 1))))
                     chunk, mine = mine[-take:], mine[:-take]
                     for i, fit in zip(chunk, _run_many([values[i] for i in chunk], grid if long else pairs, season if long else 0)):
-                        fits[i] = fit
+                        fits[i] = fit[0]
             out = pdf[[*keys, LAST, LEN]].copy()
             out["best"] = [f[0] for f in fits]
             out["state"] = [f[1].tolist() for f in fits]
@@ -269,14 +366,14 @@ def _effect_size(grid: tuple, season: int | None) -> int:
 
 
 def _chained(hot: DataFrame, spec: SeriesSpec, keys: list[str], grid: tuple, season: int | None, schema: T.StructType, most: int) -> DataFrame:
-    """Long series: blocks are summarised in parallel, and the summaries of a series joined in rounds, ``_JOINED`` neighbours
-    at a time, until one task chains the few that are left."""
+    """Long series: blocks are summarised in parallel, and the summaries of a stretch (``SEG``) joined in rounds, ``_JOINED`` neighbours
+    at a time, until one task chains the few that are left of a series. It gives the outcome at the end of every stretch."""
     y, skip = spec.target, (season or 1)
     sets, size = len(grid), 1 + (season is not None) + (season or 0)
     key_fields = [hot.schema[k] for k in keys]
     block_schema = T.StructType(
         key_fields
-        + [T.StructField(BLOCK, T.LongType()), T.StructField("head", T.ArrayType(T.DoubleType())), T.StructField("effect", T.BinaryType()),
+        + [T.StructField(SEG, T.IntegerType()), T.StructField(BLOCK, T.LongType()), T.StructField("head", T.ArrayType(T.DoubleType())), T.StructField("effect", T.BinaryType()),
            T.StructField(LAST, hot.schema[spec.ts].dataType), T.StructField(LEN, T.LongType())]
     )
 
@@ -287,29 +384,32 @@ def _chained(hot: DataFrame, spec: SeriesSpec, keys: list[str], grid: tuple, sea
         pdf = pdf.sort_values(POS)
         values, pos = pdf[y].to_numpy(float), pdf[POS].to_numpy()
         effect = _pack(_summary(values[pos >= skip], grid, season))
-        return one(pdf, {BLOCK: int(pdf[BLOCK].iloc[0]), "head": values[pos < 2 * skip].tolist(), "effect": effect, LAST: pdf[spec.ts].max(), LEN: len(pdf)})
+        return one(pdf, {SEG: int(pdf[SEG].iloc[0]), BLOCK: int(pdf[BLOCK].iloc[0]), "head": values[pos < 2 * skip].tolist(), "effect": effect, LAST: pdf[spec.ts].max(), LEN: len(pdf)})
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(BLOCK)
         effects = [_unpack(e, sets, size) for e in pdf["effect"]]
         head = np.concatenate([np.asarray(h, float) for h in pdf["head"]])
-        return one(pdf, {BLOCK: int(pdf[BLOCK].iloc[0]) // _JOINED, "head": head.tolist(), "effect": _pack(reduce(_joined, effects)), LAST: pdf[LAST].max(), LEN: int(pdf[LEN].sum())})
+        return one(pdf, {SEG: int(pdf[SEG].iloc[0]), BLOCK: int(pdf[BLOCK].iloc[0]) // _JOINED, "head": head.tolist(), "effect": _pack(reduce(_joined, effects)), LAST: pdf[LAST].max(), LEN: int(pdf[LEN].sum())})
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(BLOCK)
+        pdf = pdf.sort_values([SEG, BLOCK])
         x0, _ = _start(np.concatenate([np.asarray(h, float) for h in pdf["head"]]), season)
-        x, sse = np.tile(x0, (sets, 1)), np.zeros(sets)
-        for raw in pdf["effect"]:
-            m, v, q, b, quad = _unpack(raw, sets, size)
-            sse += q + (b * x).sum(1) + ((quad @ x[:, :, None])[:, :, 0] * x).sum(1)
-            x = (m @ x[:, :, None])[:, :, 0] + v
-        best = int(np.argmin(np.round(sse, 9)))
-        return one(pdf, {LAST: pdf[LAST].max(), LEN: int(pdf[LEN].sum()), "best": best, "state": x[best].tolist(), "sse": float(sse[best])})
-
-    blocks = hot.select(*keys, spec.ts, y, POS, BLOCK).groupBy(*keys, BLOCK).applyInPandas(summarise, block_schema)
+        x, sse, n, ends = np.tile(x0, (sets, 1)), np.zeros(sets), 0, []
+        for seg, part in pdf.groupby(SEG):
+            for raw in part["effect"]:
+                m, v, q, b, quad = _unpack(raw, sets, size)
+                sse += q + (b * x).sum(1) + ((quad @ x[:, :, None])[:, :, 0] * x).sum(1)
+                x = (m @ x[:, :, None])[:, :, 0] + v
+            best, n = int(np.argmin(np.round(sse, 9))), n + int(part[LEN].sum())
+            if n >= 2 * (season or 0):
+                ends.append(one(part, {SEG: seg, LAST: part[LAST].max(), LEN: n, "best": best, "state": x[best].tolist(), "sse": float(sse[best])}))
+        return pd.concat(ends) if ends else pd.DataFrame(columns=schema.names)
+
+    blocks = hot.select(*keys, spec.ts, y, POS, SEG, BLOCK).groupBy(*keys, SEG, BLOCK).applyInPandas(summarise, block_schema)
     while most > _JOINED:
         near = F.floor(F.col(BLOCK) / _JOINED).alias("__near")
-        blocks = blocks.groupBy(*keys, near).applyInPandas(join, block_schema)
+        blocks = blocks.groupBy(*keys, SEG, near).applyInPandas(join, block_schema)
         most = -(-most // _JOINED)
     return blocks.groupBy(*keys).applyInPandas(chain, schema)
 
@@ -317,30 +417,30 @@ def _chained(hot: DataFrame, spec: SeriesSpec, keys: list[str], grid: tuple, sea
 def _streamed(hot: DataFrame, spec: SeriesSpec, keys: list[str], grid: tuple, season: int, schema: T.StructType) -> DataFrame:
     """Long series whose season is so long that a block's effect would be larger than the block: each passes through one task in order.
 
-    A task holds the state of one series, and values of one batch."""
+    A task holds the state of one series, and values of one batch. It gives the outcome at the end of every stretch (``SEG``)."""
     y = spec.target
-    names = [*keys, LAST, LEN, "best", "state", "sse"]
+    names = [*keys, SEG, LAST, LEN, "best", "state", "sse"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, smoother, last, n = None, None, None, 0
+        now, seg, smoother, last, n = None, None, None, None, 0
 
-        def done() -> pd.DataFrame:
-            best, state, sse = smoother.finish()
-            return pd.DataFrame([(*now, last, n, best, state.tolist(), sse)], columns=names)
+        def done() -> Iterator[pd.DataFrame]:
+            if smoother is not None and n >= 2 * season:
+                best, state, sse = smoother.finish()
+                yield pd.DataFrame([(*now, seg, last, n, best, state.tolist(), sse)], columns=names)
 
         for pdf in batches:
-            for key, part in pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]:
-                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+            for key, part in pdf.groupby([*keys, SEG], dropna=False, sort=False):
+                *key, stretch = (None if pd.isna(k) else k for k in key)
+                if smoother is None or key != now or stretch != seg:
+                    yield from done()
                 if smoother is None or key != now:
-                    if smoother is not None:
-                        yield done()
                     now, smoother, n = key, _Stream(grid, season), 0
                 smoother.add(part[y].to_numpy(float))
-                last, n = part[spec.ts].iloc[-1], n + len(part)
-        if smoother is not None:
-            yield done()
+                seg, last, n = stretch, part[spec.ts].iloc[-1], n + len(part)
+        yield from done()
 
-    rows = hot.select(*keys, spec.ts, y, POS)
+    rows = hot.select(*keys, spec.ts, y, POS, SEG)
     ordered = rows.repartition(*keys) if keys else rows.coalesce(1)
     return ordered.sortWithinPartitions(*keys, POS).mapInPandas(run, schema)
 
