@@ -60,13 +60,17 @@ def _start(y: np.ndarray, season: int | None) -> tuple[np.ndarray, int]:
     return np.concatenate([[first + slope * centre, slope], phases]), season
 
 
-def _run_many(series: list[np.ndarray], grid: tuple, season: int | None, stops: list[list[int]] | None = None) -> list[list[tuple[int, np.ndarray, float]]]:
-    """Smooth whole series, all of them and under every parameter set at once; for each and every stop of it (a number of values; by
-    default its end) the best set up to there, its state and its error sum.
+def _run_many(series: list[np.ndarray], grid: tuple, season: int | None) -> list[tuple[int, np.ndarray, float]]:
+    """Smooth whole series; (best set, its final state, its error sum) of each."""
+    return [fits[0] for fits in _run_stops(series, grid, season, [[len(y)] for y in series])]
+
+
+def _run_stops(series: list[np.ndarray], grid: tuple, season: int | None, stops: list[list[int]]) -> list[list[tuple[int, np.ndarray, float]]]:
+    """Smooth series, all of them and under every parameter set at once; for each and every stop of it (a number of values) the
+    best set up to there, its state and its error sum.
 
     The state is one array per part of it, series by parameter sets, and a ring of phases: a value costs the same at any season.
     """
-    stops = [[len(y)] for y in series] if stops is None else stops
     order = sorted(range(len(series)), key=lambda i: -len(series[i]))  # those that go on are always the first
     starts = [_start(series[i], season) for i in order]
     at = 1 if not season else season
@@ -112,7 +116,7 @@ def _run_many(series: list[np.ndarray], grid: tuple, season: int | None, stops:
 
 def _run(y: np.ndarray, grid: tuple, season: int | None) -> tuple[int, np.ndarray, float]:
     """Smooth one whole series."""
-    return _run_many([y], grid, season)[0][0]
+    return _run_many([y], grid, season)[0]
 
 
 #: Errors whose products are summed at once.
@@ -282,7 +286,7 @@ def _whole_folds(keys: list[str], grid: tuple, season: int, h: int, folds: int):
             while mine:
                 take = max(1, min(_TOGETHER, _VALUES // len(values[mine[-1]]), _VALUES // (len(grid) * season)))
                 chunk, mine = mine[-take:], mine[:-take]
-                fits = _run_many([values[i] for i in chunk], grid, season, [stops[i] for i in chunk])
+                fits = _run_stops([values[i] for i in chunk], grid, season, [stops[i] for i in chunk])
                 at = [(i, f) for i in chunk for f in range(len(stops[i]))]
                 out = pdf[keys].iloc[[i for i, _ in at]].reset_index(drop=True)
                 found = [fit for one in fits for fit in one]
@@ -344,7 +348,7 @@ def _whole(keys: list[str], grid: tuple, season: int):
                     take = max(1, min(_TOGETHER, _VALUES // max(1, len(values[mine[-1]])), _VALUES // (len(grid) * (season if long else 1))))
                     chunk, mine = mine[-take:], mine[:-take]
                     for i, fit in zip(chunk, _run_many([values[i] for i in chunk], grid if long else pairs, season if long else 0)):
-                        fits[i] = fit[0]
+                        fits[i] = fit
             out = pdf[[*keys, LAST, LEN]].copy()
             out["best"] = [f[0] for f in fits]
             out["state"] = [f[1].tolist() for f in fits]
