@@ -526,13 +526,28 @@ def transform_yeo_johnson(spark, sf):
     return _transformed(spark, sf, "yeo-johnson", 0.5)
 
 
-@query()
+def _closing_in(levels: int) -> str:
+    """Steps ``g1`` to ``g<levels>``: the best of 33 lambdas from -2 to 2, then of 33 between the neighbours of the best so far."""
+    best = """g{k} AS (SELECT lam FROM (SELECT {at} AS lam, VAR_POP(CASE WHEN {at} = 0 THEN ln(m) ELSE (pow(m, {at}) - 1) / {at} END) AS v
+        FROM x, (SELECT UNNEST(range(33)) AS i) AS p{before} GROUP BY 1), t ORDER BY (lam - 1) * s - n / 2 * ln(v) DESC, lam LIMIT 1)"""
+    steps = [best.format(k=1, at="(-2 + i / 8.0::DOUBLE)", before="")]
+    for k in range(2, levels + 1):
+        at = f"(b.lam + (i - 16) * {0.125 / 16 ** (k - 1)!r}::DOUBLE)"
+        steps.append(best.format(k=k, at=at, before=f", g{k - 1} AS b"))
+    return ", ".join(steps)
+
+
+@query(
+    f"""WITH sh AS (SELECT CASE WHEN MIN(value) <= 0 THEN abs(MIN(value)) + 1 ELSE 0 END AS shift FROM events),
+    x AS (SELECT event_id, value, value + shift AS m FROM events, sh), t AS (SELECT COUNT(m) AS n, SUM(ln(m)) AS s FROM x), {_closing_in(6)}
+    SELECT event_id, ROUND(CASE WHEN lam = 0 THEN ln(m) ELSE (pow(m, lam) - 1) / lam END, 3) + 0.0 AS value, ROUND(value, 3) + 0.0 AS back, ROUND(lam, 3) + 0.0 AS lambda FROM x, g6"""
+)
 def transform_fitted(spark, sf):
     """Box-Cox with the fitted lambda, and back again."""
     e = fr.table(spark, sf, "events").select("event_id", "value")
     there, params = features.transform_target(e, "value", "box-cox")
     back = features.inverse_target(there, "value", params).withColumnRenamed("value", "back")
-    return there.join(back, "event_id").withColumn("lambda", F.lit(params.lam))
+    return rounded(there.join(back, "event_id").withColumn("lambda", F.lit(params.lam)), 3)
 
 
 def _round_trip(spark, sf, kind, lam=None):
