@@ -97,3 +97,37 @@ def test_a_long_series_is_not_ordered_in_one_task(spark, rows_per_task):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "__block" in plan
     assert largest < holes(spark).count()
+
+
+def counted_reads(spark, df):
+    """``df``, and an accumulator that counts how many of its rows are read, each time they are."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            reads.add(len(b))
+            yield b
+
+    return df.mapInPandas(run, df.schema), reads
+
+
+def test_quantiles_of_long_groups_take_two_passes(spark, rows_per_task):
+    n = 3000
+    df, reads = counted_reads(spark, spark.range(n).select((F.hash("id") % 1000 / 7).alias("v")).withColumn("w", F.col("v") * 2))
+    whole = table(quality.describe(df))
+    reads.value = 0
+    with rows_per_task(100):
+        assert table(quality.describe(df)) == whole
+    # Lengths, short groups (none, read twice by adaptive planning), statistics and the two passes.
+    assert reads.value <= 6 * n, reads.value
+
+
+def test_a_rank_outside_its_bracket_is_found(spark, rows_per_task, monkeypatch):
+    from tidegrid import quantiles as module
+
+    monkeypatch.setattr(module, "_SLACK", -0.2)
+    df = spark.range(900).select((F.col("id") % 2).alias("g"), (F.hash("id") % 1000).alias("v"))
+    levels = {"a": 0.1, "b": 0.5, "c": 0.93}
+    whole = table(quantiles(df, ["g"], "v", levels))
+    with rows_per_task(40):
+        assert table(quantiles(df, ["g"], "v", levels)) == whole

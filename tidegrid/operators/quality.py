@@ -117,14 +117,17 @@ def missing_counts(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Count, mean, std, min, quartiles and max of each numeric column, one row per column.
 
-    The columns become rows, so that one grouped pass serves all of them and no task orders more than one column's
-    values."""
+    For the quartiles the columns become rows, so that the same passes serve all of them and no task orders more than one
+    column's values; the rest needs the table only as it is."""
     cols = cols or numeric_columns(df)
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
-    long = nan_to_null(df.select(F.explode(cells).alias("r")).select("r.*"))
-    v = F.col("value")
-    extra = {"count": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)}
-    return quantiles(long, ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, extra)
+    values = nan_to_null(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    facts = values.agg(*[F.struct(F.lit(c).alias("column"), *[f(F.col(c)).alias(n) for n, f in stats.items()]).alias(f"__{i}") for i, c in enumerate(cols)])
+    facts = facts.select(F.explode(F.array(*[F.col(f"__{i}") for i in range(len(cols))])).alias("r")).select("r.*")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])
+    long = values.select(F.explode(cells).alias("r")).select("r.*")
+    quartiles = quantiles(long, ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return join_stats(quartiles, F.broadcast(facts), ["column"])
 
 
 def target_outliers(df: DataFrame, y: str) -> DataFrame:

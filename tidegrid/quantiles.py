@@ -1,19 +1,20 @@
 """Exact quantiles (linear interpolation) of groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one buffer. Groups too long for that are solved by
-selection instead: an approximate quantile brackets the wanted rank, one aggregate counts what lies below the
-bracket, and only the rows inside it are ordered. All levels of a column share the passes. Brackets shrink until
-they fit one task or shrink no more (few distinct values, which are counted before they are ordered). A bracket that
-keeps missing its rank is an error, never a wrong rank.
+selection instead, in two passes for all levels: one digest brackets the wanted ranks, then one aggregate counts each
+distinct value inside a bracket and, as one row each, what lies between brackets. Running counts over that short list,
+cut up where it is long, give the ranks. A group with a rank outside its bracket is counted once more by all its distinct
+values, so a rank is never wrong.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.session import checkpointed
-from tidegrid.splits import COUNT, hot_groups, join_stats, parted, rows_per_task, small_side
+from tidegrid.spec import SeriesSpec
+from tidegrid.splits import hot_groups, join_stats, parted, rows_per_task, running_sums, small_side
 
 _ACCURACY = 10_000
 _SLACK = 4.0 / _ACCURACY
@@ -33,87 +34,58 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     if not groups:
         return df.groupBy(*keys).agg(*aggs).select(*columns)
     hot_rows, cold = df, None
-    if keys:
+    if keys and groups.others:
         hot_rows, rest = parted(df, keys, groups)
         cold = rest.groupBy(*keys).agg(*aggs).select(*columns)
-    out = hot_rows.groupBy(*keys).agg(*([e.alias(n) for n, e in extra.items()] or [F.count(F.lit(1)).alias(COUNT)]))
-    out = join_stats(out, _select(hot_rows.where(F.col(value).isNotNull()), keys, value, probs, groups.groups, limit), keys)
+    out = hot_rows.groupBy(*keys).agg(*[e.alias(n) for n, e in extra.items()]) if extra else groups.keys
+    out = join_stats(out, _select(hot_rows.where(F.col(value).isNotNull()), keys, value, probs, groups.groups), keys)
     out = out.select(*[F.col(f"`{c}`") for c in (*keys, *probs, *extra)])
     return out if cold is None else cold.unionByName(out)
 
 
-def _select(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float], groups: int, limit: int) -> DataFrame:
-    """The quantiles of the long groups in ``rows``, by narrowing brackets around the two ranks of each level."""
-    v, levels = F.col(value), range(len(probs))
-    state = checkpointed(
-        rows.groupBy(*keys)
-        .agg(
-            F.count(v).alias("__n"), F.min(v).alias("__min"), F.max(v).alias("__max"),
-            F.percentile_approx(v, F.array(*[F.lit(max(p - _SLACK, 0.0)) for p in probs.values()]), _ACCURACY).alias("__los"),
-            F.percentile_approx(v, F.array(*[F.lit(min(p + _SLACK, 1.0)) for p in probs.values()]), _ACCURACY).alias("__his"),
-        )
-        .withColumns({f"__lo{i}": F.col("__los")[i] for i in levels} | {f"__hi{i}": F.col("__his")[i] for i in levels})
-        .withColumns({f"__rank{i}": (F.col("__n") - 1) * F.lit(p) for i, p in enumerate(probs.values())})
-        .withColumns({f"__k{i}": F.floor(f"__rank{i}") for i in levels})
-        .drop("__los", "__his")
-    )
-    columns = state.columns
+def _select(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float], groups: int) -> DataFrame:
+    """The quantiles of the long groups in ``rows``, from brackets around the two ranks of each level."""
+    v, levels = F.col(value), sorted(set(probs.values()))
+    edges = [max(p - _SLACK, 0.0) for p in levels] + [min(p + _SLACK, 1.0) for p in levels]
+    digest = F.percentile_approx(v, F.array(*[F.lit(float(e)) for e in edges]), _ACCURACY)
+    found = rows.groupBy(*keys).agg(F.count(v).alias("__n"), F.min(v).alias("__min"), F.max(v).alias("__max"), digest.alias("__edges"))
+    state = checkpointed(found)
+    ends = {f"__lo{i}": F.col("__edges")[i] for i in range(len(levels))} | {f"__hi{i}": F.col("__edges")[len(levels) + i] for i in range(len(levels))}
+    out = checkpointed(_ranked(rows, keys, value, levels, state.withColumns(ends).drop("__edges"), groups))
+    missed = out.where("__missed").count()
+    if missed:
+        whole = state.withColumns({c: F.col("__min" if c.startswith("__lo") else "__max") for c in ends}).drop("__edges")
+        whole = join_stats(whole, out.where("__missed").select(*keys, F.lit(1).alias("__again")), keys, "inner").drop("__again")
+        out = out.where(~F.col("__missed")).unionByName(_ranked(rows, keys, value, levels, whole, missed))
+    return out.select(*keys, *[F.col(f"__v{levels.index(p)}").alias(n) for n, p in probs.items()])
 
-    def inside(i: int) -> Column:
-        return (v >= F.col(f"__lo{i}")) & (v <= F.col(f"__hi{i}"))
 
-    def count(i: int) -> list[Column]:
-        return [
-            F.count_if(v < F.col(f"__lo{i}")).alias(f"__below{i}"),
-            F.count_if(inside(i)).alias(f"__in{i}"),
-            F.min(F.when(v > F.col(f"__hi{i}"), v)).alias(f"__above{i}"),
-            F.percentile_approx(F.when(inside(i), v), F.array(*[F.lit(c / 64) for c in range(65)]), _ACCURACY).alias(f"__q{i}"),
-        ]
+def _ranked(rows: DataFrame, keys: list[str], value: str, levels: list[float], state: DataFrame, groups: int) -> DataFrame:
+    """Each group of ``state`` with its quantiles ``__v0, ...``, and ``__missed`` if a rank lies between its brackets ``__lo``, ``__hi``."""
+    v, each = F.col(value), range(len(levels))
+    near = join_stats(rows, small_side(state.drop("__n", "__min", "__max"), groups), keys, "inner")
+    # Both ends ascend with the level: a value is inside a bracket if more of them begin than end before it.
+    begun = sum((F.when(v >= F.col(f"__lo{i}"), 1).otherwise(0) for i in each), F.lit(0))
+    ended = sum((F.when(v > F.col(f"__hi{i}"), 1).otherwise(0) for i in each), F.lit(0))
+    near = near.select(*keys, v.alias("__x"), begun.alias("__begun"), ended.alias("__ended"))
+    gap = F.when(F.col("__begun") <= F.col("__ended"), F.col("__ended")).alias("__gap")
+    inside = F.when(F.col("__begun") > F.col("__ended"), F.col("__x")).alias("__in")
+    counted = near.groupBy(*keys, gap, inside).agg(F.count(F.lit(1)).alias("__c"), F.min("__x").alias("__first"), F.max("__x").alias("__last"))
+    placed = running_sums(checkpointed(counted), SeriesSpec(id=None, ts="__first", by=tuple(keys)), ["__c"], "_to")
+    placed = join_stats(placed, small_side(state.select(*keys, "__n"), groups), keys)
+    start, end = F.col("__c_to") - F.col("__c"), F.col("__c_to")
 
-    def judged(seen: DataFrame) -> DataFrame:
-        k = {i: F.col(f"__k{i}") for i in levels}
-        missed = {f"__missed{i}": (k[i] < F.col(f"__below{i}")) | (k[i] >= F.col(f"__below{i}") + F.col(f"__in{i}")) for i in levels}
-        small = {i: (F.col(f"__in{i}") <= limit) | (F.col(f"__lo{i}") == F.col(f"__hi{i}")) for i in levels}
-        return seen.withColumns(missed).withColumns({f"__done{i}": ~F.col(f"__missed{i}") & small[i] for i in levels})
+    def at(k: Column) -> tuple[Column, Column]:
+        """The value of rank ``k`` in an aggregate, and whether it is hidden between brackets. The first and the last there are known."""
+        here = (start <= k) & (k < end)
+        hidden = here & F.col("__gap").isNotNull() & (k != start) & (k != end - 1)
+        return F.max(F.when(here, F.when(k == start, F.col("__first")).otherwise(F.col("__last")))), F.bool_or(hidden)
 
-    before, misses = None, 0
-    while True:
-        seen = judged(join_stats(rows, small_side(state, groups), keys).groupBy(*columns).agg(*[c for i in levels for c in count(i)]))
-        seen = checkpointed(seen)
-        size = [F.sum(F.when(~F.col(f"__done{i}") & ~F.col(f"__missed{i}"), F.col(f"__in{i}")).otherwise(0)) for i in levels]
-        missed = [F.count_if(f"__missed{i}") for i in levels]
-        totals = seen.agg(*size, *missed).first()
-        open_rows, missing = sum(totals[: len(levels)]), sum(totals[len(levels) :])
-        if not missing and (not open_rows or before is not None and open_rows >= before):
-            break
-        misses += missing > 0
-        if misses > 3:
-            raise ArithmeticError("a bracket keeps missing the rank of its quantile")
-        before = None if missing else open_rows
-        # A bracket that missed its rank is widened to the whole range; one that is still large is narrowed to the
-        # sixty-fourths around the rank.
-        changes = {}
-        for i in levels:
-            cell = F.floor((F.col(f"__k{i}") - F.col(f"__below{i}")) * 64 / F.col(f"__in{i}")).cast("int")
-            low, high = F.element_at(f"__q{i}", F.greatest(cell, F.lit(1))), F.element_at(f"__q{i}", F.least(cell + 3, F.lit(65)))
-            done, miss = F.col(f"__done{i}"), F.col(f"__missed{i}")
-            changes[f"__lo{i}"] = F.when(done, F.col(f"__lo{i}")).when(miss, F.col("__min")).otherwise(low)
-            changes[f"__hi{i}"] = F.when(done, F.col(f"__hi{i}")).when(miss, F.col("__max")).otherwise(high)
-        state = seen.withColumns(changes).select(*columns)
-    # Order the distinct values inside each bracket and read off ranks k and k+1; k+1 may be the next value above.
-    of_level = [
-        F.when(inside(i), F.struct(F.lit(i).alias("level"), *[F.col(f"__{c}{i}").alias(c) for c in ("below", "k", "rank", "above")])) for i in levels
-    ]
-    ranked = join_stats(rows, small_side(seen.drop(*[f"__q{i}" for i in levels]), groups), keys)
-    ranked = ranked.select(*keys, v, "__n", F.explode(F.array_compact(F.array(*of_level))).alias("__l")).select(*keys, value, "__n", "__l.*")
-    window = Window.partitionBy(*[F.col(c) for c in keys], "level").orderBy(value)
-    counted = (
-        ranked.groupBy(*keys, value, "__n", "level", "below", "k", "rank", "above")
-        .agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__to", F.col("below") + F.sum("__c").over(window))
-    )
-    following = F.least(F.col("k") + 1, F.col("__n") - 1)
-    low = F.min(F.when(F.col("__to") > F.col("k"), v))
-    high = F.coalesce(F.min(F.when(F.col("__to") > following, v)), F.max("above"))
-    each = counted.groupBy(*keys, "level").agg((low + (high - low) * (F.max("rank") - F.max("k"))).alias("__v"))
-    return each.groupBy(*keys).agg(*[F.max(F.when(F.col("level") == i, F.col("__v"))).alias(n) for i, n in enumerate(probs)])
+    values, hidden = [], F.lit(False)
+    for i, p in enumerate(levels):
+        rank = (F.col("__n") - 1) * F.lit(float(p))
+        k = F.floor(rank)
+        (low, a), (high, b) = at(k), at(F.least(k + 1, F.col("__n") - 1))
+        values.append((low + (high - low) * F.max(rank - k)).alias(f"__v{i}"))
+        hidden = hidden | a | b
+    return placed.groupBy(*keys).agg(*values, hidden.alias("__missed"))

@@ -57,11 +57,12 @@ def join_stats(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "lef
 
 @dataclass(frozen=True)
 class HotGroups:
-    """Groups with more rows than one task should take: a frame of keys and COUNT, how many, and how many blocks."""
+    """Groups with more rows than one task should take: a frame of keys and COUNT, how many, how many blocks, and whether there are other groups."""
 
     keys: DataFrame
     groups: int
     blocks: int
+    others: bool = True
 
     def __bool__(self) -> bool:
         return self.groups > 0
@@ -73,9 +74,10 @@ def hot_groups(df: DataFrame, keys: list[str], limit: int | None = None) -> HotG
     One aggregate with map-side combine; its outcome stays distributed, only two numbers reach the driver.
     """
     limit = limit or rows_per_task(df.sparkSession)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(COUNT)).where(F.col(COUNT) > limit)
-    n, blocks = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.ceil(F.col(COUNT) / limit)), F.lit(0))).first()
-    return HotGroups(checkpointed(counts) if n else counts, n, int(blocks))
+    every, hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(COUNT)), F.col(COUNT) > limit
+    counts = every.where(hot)
+    n, blocks, groups = every.agg(F.count_if(hot), F.coalesce(F.sum(F.when(hot, F.ceil(F.col(COUNT) / limit))), F.lit(0)), F.count(F.lit(1))).first()
+    return HotGroups(checkpointed(counts) if n else counts, n, int(blocks), groups > n)
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
