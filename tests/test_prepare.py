@@ -362,3 +362,26 @@ def test_holidays_follow_the_law_of_their_year(spark):
             (2004, 12, 12): True, (2005, 12, 12): False, (1998, 1, 1): True, (2024, 5, 9): True}
     df = spark.createDataFrame([(D(*k), v) for k, v in want.items()], "ts timestamp_ntz, want boolean")
     assert df.where(is_fixed_holiday(df["ts"]) != df["want"]).count() == 0
+
+
+def test_knn_of_many_groups_reads_its_input_a_few_times(spark):
+    import random
+
+    rng = random.Random(4)
+    groups = {f"g{g}": [[None if rng.random() < 0.3 else float(rng.randint(0, 5)) for _ in range(3)] for _ in range(9)] for g in range(30)}
+    groups["g7"] = groups["g8"] = [[1.0, 2.0, None], [None, None, None], [None, 3.0, 4.0]]
+    data = [(None if g == "g3" else g, D(2024, 1, 1) + dt.timedelta(days=i), *r) for g, part in groups.items() for i, r in enumerate(part)]
+    reads = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            reads.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(data, "item_id string, ts timestamp_ntz, a double, b double, c double")
+    counted = df.mapInPandas(run, df.schema)
+    got = {(r[0], r[1]): r[2:] for r in missing.fill_knn(counted, SeriesSpec(id=None, ts="ts", by=("item_id",)), ["a", "b", "c"], 4).collect()}
+    for g, part in groups.items():
+        for i, w in enumerate(knn_by_hand(part, 4) if g not in ("g7", "g8") else [[1.0, 2.0, 4.0], [1.0, 2.5, 4.0], [1.0, 3.0, 4.0]]):
+            assert list(got[None if g == "g3" else g, D(2024, 1, 1) + dt.timedelta(days=i)]) == pytest.approx(w)
+    assert reads.value <= 3 * len(data), reads.value

@@ -100,39 +100,49 @@ def fill_knn(df: DataFrame, spec: SeriesSpec, cols: list[str], k: int = 5, block
     density and not from the group's size. Only the bounds of blocks are compared with every cell.
     """
     block_rows = block_rows or min(KNN_BLOCK_ROWS, rows_per_task(df.sparkSession))
-    big = hot_groups(df, spec.keys, block_rows)
+    sizes = df.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n"))
+    total, longest = sizes.agg(F.sum("n"), F.max("n")).first()
+    spec = spec.replace(longest=longest or 0)
+    big = hot_groups(df, spec.keys, block_rows) if spec.longest > block_rows else None
     named = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (*spec.keys, *spec.order)]
     rows = df.withColumn("__row", F.concat_ws("\x1f", *named))
     numbers = [F.col(c).cast("double").alias(c) for c in cols]
     by = ["__g", *[f"__g_{g}" for g in spec.keys]]
     slim = rows.select("__row", F.lit(0).alias("__g"), *[F.col(g).alias(f"__g_{g}") for g in spec.keys], F.col(spec.ts).alias("__ts"), *numbers)
-    incomplete = F.lit(False)
-    for c in cols:
-        incomplete = incomplete | F.col(c).isNull()
-    # A group without gaps needs no donors.
-    gaps = slim.where(incomplete).select(*by).distinct()
-    slim = slim.join(gaps, null_safe(slim, gaps, by), "left_semi")
-    found, large = None, None
+    filled = None
     if big:
+        incomplete = F.lit(False)
+        for c in cols:
+            incomplete = incomplete | F.col(c).isNull()
         keys = HotGroups(big.keys.withColumn("__g", F.lit(0)).withColumnsRenamed({g: f"__g_{g}" for g in spec.keys}), big.groups, big.blocks)
         large, slim = parted(slim, by, keys)
-        found = _pruned(large, by, cols, k, block_rows, keys)
+        # A group without gaps needs no donors.
+        gaps = large.where(incomplete).select(*by).distinct()
+        found = _pruned(large.join(gaps, null_safe(large, gaps, by), "left_semi"), by, cols, k, block_rows, keys)
+        best = Window.partitionBy("__row", "column").orderBy("distance", "at", "value")
+        filled = (
+            found.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k)
+            .groupBy("__row").pivot("column", cols).agg(F.avg("value"))
+            .withColumnsRenamed({c: f"__knn_{c}" for c in cols})
+        )
     if not big or spec.keys:
-        donors = slim.withColumns({"__c": F.lit(0), "__q": F.lit(False)})
-        tagged = _cells(slim, cols).withColumn("__q", F.lit(True)).unionByName(donors)
-        small = tagged.groupBy(*by).applyInPandas(_nearest_donors(cols, k), _found_schema(slim))
-        found = small if found is None else small.unionByName(found)
-    best = Window.partitionBy("__row", "column").orderBy("distance", "at", "value")
-    filled = (
-        found.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k)
-        .groupBy("__row").pivot("column", cols).agg(F.avg("value"))
-        .withColumnsRenamed({c: f"__knn_{c}" for c in cols})
-    )
+        small = _of_small_groups(slim, by, cols, k, -(-(total or 1) // block_rows))
+        filled = small if filled is None else filled.unionByName(small)
     means = with_group_stats(rows, spec, {f"__mean_{c}": F.avg(c) for c in cols})
     wide = means.join(filled, "__row", "left")
     return _replace(wide, df.columns, {c: F.coalesce(F.col(c).cast("double"), f"__knn_{c}", f"__mean_{c}") for c in cols})
 
 
+def _of_small_groups(rows: DataFrame, by: list[str], cols: list[str], k: int, buckets: int) -> DataFrame:
+    """Per row with gaps ``__row`` the means ``__knn_<column>`` over its nearest donors, from groups that are dealt out whole to ``buckets``."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    # As texts, in which NULL differs from NaN, but zero not from its negative.
+    texts = {g: (F.col(g) + F.lit(0.0) if isinstance(kinds[g], T.FractionalType) and not isinstance(kinds[g], T.DecimalType) else F.col(g)).cast("string") for g in by}
+    dealt = rows.withColumns(texts).withColumn("__bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)))
+    out = T.StructType([T.StructField("__row", T.StringType()), *[T.StructField(f"__knn_{c}", T.DoubleType()) for c in cols]])
+    return dealt.groupBy("__bucket").applyInPandas(_group_means(by, cols, k), out)
+
+
 def _cells(rows: DataFrame, cols: list[str]) -> DataFrame:
     """``rows`` once for each missing column, whose number is ``__c``."""
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(i)) for i, c in enumerate(cols)]))
@@ -214,6 +224,29 @@ def _meet(cells: DataFrame, donors: DataFrame, by: list[str], cols: list[str], k
 _DISTANCES = 1 << 20
 
 
+def _nearest_rows(x: np.ndarray, y: np.ndarray, k: int):
+    """The ``k`` nearest rows of ``y`` for each row of ``x``: chunks of row numbers of both and distances, in the order of ``x`` and by distance.
+    Equally distant rows come in the order of ``y``."""
+    step = max(1, _DISTANCES // max(1, len(y)))
+    for a in range(0, len(x), step) if len(y) else ():
+        some = x[a : a + step]
+        total, shared = np.zeros((len(some), len(y))), np.zeros((len(some), len(y)))
+        for c in range(x.shape[1]):
+            gap = y[:, c][None, :] - some[:, c][:, None]
+            both = ~np.isnan(gap)
+            total += np.where(both, gap * gap, 0.0)
+            shared += both
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dist = np.where(shared > 0, np.sqrt(total * (x.shape[1] / shared)), np.inf)
+        last = np.partition(dist, k - 1, axis=1)[:, k - 1] if len(y) > k else np.full(len(some), np.inf)
+        i, n = np.nonzero((dist <= last[:, None]) & (shared > 0))  # all that tie with the k-th
+        order = np.lexsort((n, dist[i, n], i))
+        i, n = i[order], n[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        i, n = i[rank < k], n[rank < k]
+        yield i + a, n, dist[i, n]
+
+
 def _nearest_donors(cols: list[str], k: int):
     """Kernel: missing cells of column number ``__c`` (rows with ``__q``) against donors, the k best donors of each cell."""
 
@@ -224,24 +257,51 @@ def _nearest_donors(cols: list[str], k: int):
         out = []
         for j in np.unique(wanted):
             mine, givers = np.flatnonzero(wanted == j), np.flatnonzero(~np.isnan(y[:, j]))
-            step = max(1, _DISTANCES // max(1, len(givers)))
-            for a in range(0, len(mine), step) if len(givers) else ():
-                some = mine[a : a + step]
-                total, shared = np.zeros((len(some), len(givers))), np.zeros((len(some), len(givers)))
-                for c in range(len(cols)):
-                    gap = y[givers, c][None, :] - x[some, c][:, None]
-                    both = ~np.isnan(gap)
-                    total += np.where(both, gap * gap, 0.0)
-                    shared += both
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    dist = np.where(shared > 0, np.sqrt(total * (len(cols) / shared)), np.inf)
-                last = np.partition(dist, k - 1, axis=1)[:, k - 1] if len(givers) > k else np.full(len(some), np.inf)
-                i, n = np.nonzero((dist <= last[:, None]) & (shared > 0))  # all that tie with the k-th
-                order = np.lexsort((n, dist[i, n], i))
-                i, n = i[order], n[order]
-                rank = np.arange(len(i)) - np.searchsorted(i, i)
-                i, n = i[rank < k], n[rank < k]
-                out.append(pd.DataFrame({"__row": ids[some[i]], "column": cols[j], "distance": dist[i, n], "at": at[givers[n]], "value": y[givers[n], j]}))
+            for i, n, dist in _nearest_rows(x[mine], y[givers], k):
+                out.append(pd.DataFrame({"__row": ids[mine[i]], "column": cols[j], "distance": dist, "at": at[givers[n]], "value": y[givers[n], j]}))
         return pd.concat(out) if out else pd.DataFrame({"__row": [], "column": [], "distance": [], "at": at[:0], "value": []})
 
     return run
+
+
+def _numbered(values) -> tuple[np.ndarray, list]:
+    """Each value's number, and the distinct values. Unlike in pandas, texts may hold zero characters."""
+    numbers: dict = {}
+    return np.array([numbers.setdefault(v, len(numbers)) for v in values], dtype=np.int64), list(numbers)
+
+
+def _group_means(by: list[str], cols: list[str], k: int):
+    """Kernel: whole groups, many at once; the means over the k best donors of each missing cell, a row per ``__row`` with gaps."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__ts", kind="stable")
+        group, _ = _numbered(zip(*[pdf[g].astype(object).where(pdf[g].notna(), None) for g in by]))
+        order = np.argsort(group, kind="stable")
+        pdf, group = pdf.iloc[order], group[order]
+        y = pdf[cols].to_numpy(float)
+        gone = np.isnan(y)
+        edges = np.flatnonzero(np.diff(group, prepend=-1, append=group.max(initial=-1) + 1))
+        cell, giver, column, far = [], [], [], []
+        for a, b in zip(edges[:-1], edges[1:]):
+            for j in np.flatnonzero(gone[a:b].any(axis=0)):
+                mine, givers = a + np.flatnonzero(gone[a:b, j]), a + np.flatnonzero(~gone[a:b, j])
+                for i, n, dist in _nearest_rows(y[mine], y[givers], k):
+                    cell.append(mine[i]), giver.append(givers[n]), column.append(np.full(len(i), j)), far.append(dist)
+        ids, names = _numbered(pdf["__row"])
+        sums, counts = np.zeros((len(names), len(cols))), np.zeros((len(names), len(cols)))
+        if cell:
+            cell, giver, column, far = ids[np.concatenate(cell)], np.concatenate(giver), np.concatenate(column), np.concatenate(far)
+            value = y[giver, column]
+            if len(names) < len(pdf):  # rows of one key share the best of their donors
+                best = pd.DataFrame({"c": cell, "j": column, "d": far, "at": pdf["__ts"].to_numpy()[giver], "v": value}).sort_values(["c", "j", "d", "at", "v"], na_position="first")
+                best = best.groupby(["c", "j"]).head(k)
+                cell, column, value = best["c"].to_numpy(), best["j"].to_numpy(), best["v"].to_numpy()
+            np.add.at(sums, (cell, column), value)
+            np.add.at(counts, (cell, column), 1)
+        with np.errstate(invalid="ignore"):
+            means = np.where(counts > 0, sums / np.maximum(counts, 1), np.nan)
+        out = pd.DataFrame(means, columns=[f"__knn_{c}" for c in cols])
+        out.insert(0, "__row", names)
+        return out[counts.any(axis=1)]
+
+    return run
