@@ -532,3 +532,22 @@ def test_hashed_statics_follow_their_values(spark):
     kind = Features((1,), (), ("kind", "size")).sized(df)
     rows = kind.transform(kind.prepared(df)).select("features").collect()
     assert len({r.features for r in rows}) > 150  # 64 features tell 64 values apart at most
+
+
+def test_direct_regression_reads_its_history_as_often_for_many_steps(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            reads.add(len(b))
+            yield b
+
+    df = spark.range(120).selectExpr("concat('s', id % 3) AS item_id", "timestamp_ntz'2024-01-01' + make_dt_interval(int(id div 3)) AS ts", "double(hash(id) % 50) AS y")
+    counted = df.mapInPandas(run, df.schema)
+    read = []
+    for h in (2, 5):
+        reads.value = 0
+        got = tabular.tabular(counted, SeriesSpec(), h, "linear", strategy="direct").collect()
+        assert len(got) == 3 * h
+        read.append(reads.value)
+    assert read[0] == read[1] <= 4 * 120, read

@@ -119,11 +119,22 @@ class Features:
 
 def training_rows(df: DataFrame, spec: SeriesSpec, lags: tuple[int, ...] = LAGS, ahead: int = 1) -> DataFrame:
     """Rows ``(keys, features..., label)``: the target, its values ``ahead - 1 + k`` rows back, its date, its series' statics."""
+    return _rows_ahead(_history(df, spec, lags, [ahead]), lags, ahead)
+
+
+def _history(df: DataFrame, spec: SeriesSpec, lags: tuple[int, ...], aheads) -> DataFrame:
+    """As ``training_rows`` for all of ``aheads`` at once: the values as many rows back as any of them needs, under ``__back<rows>``."""
     kind = Features.of(df, spec, lags)
     rows = known_rows(kind.prepared(df), spec, [*kind.carried, *kind.covariates])
-    back = {f"l{k}": _lag(spec.target, k + ahead - 1) for k in lags}
-    rows = over_series(rows, spec, back, before=max(lags) + ahead - 1)
-    return rows.select(*spec.keys, *back, *kind.carried, *kind.covariates, *_calendar(F.col(spec.ts), spec), F.col(spec.target).alias("label")).na.drop(subset=list(back))
+    back = {f"__back{k}": _lag(spec.target, k) for k in sorted({k + a - 1 for k in lags for a in aheads})}
+    rows = over_series(rows, spec, back, before=max(lags) + max(aheads) - 1)
+    return rows.select(*spec.keys, *back, *kind.carried, *kind.covariates, *_calendar(F.col(spec.ts), spec), F.col(spec.target).alias("label"))
+
+
+def _rows_ahead(history: DataFrame, lags: tuple[int, ...], ahead: int) -> DataFrame:
+    others = [F.col(f"`{c}`") for c in history.columns if not c.startswith("__back")]
+    back = [F.col(f"__back{k + ahead - 1}").alias(f"l{k}") for k in lags]
+    return history.select(*others, *back).na.drop(subset=[f"l{k}" for k in lags])
 
 
 def _lag(y: str, k: int):
@@ -164,11 +175,14 @@ def tabular(
     return one(df, spec, h, regressor, lags) if out is None else out
 
 
-def _fit(regressor: str, kind: Features, rows: DataFrame):
-    """A fitted model, or None where no row has all lags. The rows are kept for the passes of the fit.
+def _fit(regressor: str, kind: Features, rows: DataFrame, kept: bool = False):
+    """A fitted model, or None where no row has all lags. The rows are kept for the passes of the fit; a linear model's two
+    passes read rows ``kept`` already as they are.
 
     Features that never vary say nothing and make the normal equations singular; the linear models do without them."""
-    rows = kind.transform(rows).select("features", "label").persist(StorageLevel.DISK_ONLY)
+    rows = kind.transform(rows).select("features", "label")
+    if not (kept and isinstance(REGRESSORS[regressor](), LinearRegression)):
+        rows = rows.persist(StorageLevel.DISK_ONLY)
     try:
         seen = rows.agg(Summarizer.metrics("count", "variance").summary(F.col("features")).alias("s")).select("s.*").first()
         if not seen["count"]:
@@ -185,7 +199,7 @@ def _fit(regressor: str, kind: Features, rows: DataFrame):
 
 def _split(df: DataFrame, spec: SeriesSpec, h: int, lags: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
     """(state of the series long enough, naive forecast of the others)."""
-    state = _recent(df, spec, lags)
+    state = checkpointed(_recent(df, spec, lags))
     enough = F.size("__y") >= max(lags)
     return state.where(enough), over_steps(state.where(~enough), spec, h, F.col("__y")[0])
 
@@ -213,8 +227,15 @@ def _direct(df: DataFrame, spec: SeriesSpec, h: int, regressor: str, lags: tuple
     kind = Features.of(df, spec, lags).sized(df)
     state, out = _split(df, spec, h, lags)
     state = kind.with_ahead(state, df, spec, h)
-    for step in range(1, h + 1):
-        model = _fit(regressor, kind, training_rows(df, spec, lags, step))
+    if kind.known:
+        state = checkpointed(state)
+    # The models of all steps are trained on one reading of the series.
+    history = _history(df, spec, lags, range(1, h + 1)).drop(*spec.keys).persist(StorageLevel.DISK_ONLY)
+    try:
+        models = [_fit(regressor, kind, _rows_ahead(history, lags, step), kept=True) for step in range(1, h + 1)]
+    finally:
+        history.unpersist()
+    for step, model in enumerate(models, 1):
         at = step_ahead(F.col(LAST), F.lit(step), spec.freq)
         wide = state.select("*", *[F.col("__y")[k - 1].alias(f"l{k}") for k in lags], *_calendar(at, spec), *kind.at_step(step), at.alias("__at"))
         scored = model.transform(kind.transform(wide)) if model else wide.withColumn("prediction", F.col("__y")[0])
