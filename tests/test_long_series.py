@@ -118,16 +118,20 @@ def test_quantiles_of_long_groups_take_two_passes(spark, rows_per_task):
     reads.value = 0
     with rows_per_task(100):
         assert table(quality.describe(df)) == whole
-    # Lengths, short groups (none, read twice by adaptive planning), statistics and the two passes.
+    # Lengths, statistics and the two passes, with what adaptive planning reads twice.
     assert reads.value <= 6 * n, reads.value
 
 
 def test_a_rank_outside_its_bracket_is_found(spark, rows_per_task, monkeypatch):
     from tidegrid import quantiles as module
 
-    monkeypatch.setattr(module, "_SLACK", -0.2)
+    calls, ranked = [], module._ranked
+    monkeypatch.setattr(module, "_SLACK", 0.0)
+    monkeypatch.setattr(module, "_ACCURACY", 3)
+    monkeypatch.setattr(module, "_ranked", lambda *a: calls.append(a) or ranked(*a))
     df = spark.range(900).select((F.col("id") % 2).alias("g"), (F.hash("id") % 1000).alias("v"))
     levels = {"a": 0.1, "b": 0.5, "c": 0.93}
     whole = table(quantiles(df, ["g"], "v", levels))
     with rows_per_task(40):
         assert table(quantiles(df, ["g"], "v", levels)) == whole
+    assert len(calls) == 2
